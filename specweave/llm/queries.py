@@ -8,10 +8,20 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
 from .mixing import mix_report
+from .pii import find_pii
 from .simhash import near_duplicates
+from .suffix_dedup import remove_repeats
 from .url_filter import filter_urls
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_pii(table(spark, sf_dir, "documents"))
+
+
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -25,6 +35,8 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_pii": op2_pii,
+    "op5_suffix_dedup": op5_suffix_dedup,
     "op7_simhash": op7_simhash,
     "op9_mix": op9_mix,
     "op10_url_filter": op10_url_filter,
