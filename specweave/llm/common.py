@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,10 +48,9 @@ def n_parts(docs: DataFrame, column: str, bytes_each: int) -> int:
 def chunks(batches: Iterator[pa.RecordBatch], limit: int = BATCH_BYTES, column: str = "text") -> Iterator[pa.RecordBatch]:
     """The batches, cut so that each holds about ``limit`` bytes of text, or one row that is longer."""
     for batch in batches:
-        lengths = batch.column(column)
+        lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
         start, held = 0, 0
-        for i in range(batch.num_rows):
-            n = len(lengths[i].as_buffer()) if lengths[i].is_valid else 0
+        for i, n in enumerate(lengths):
             if held and held + n > limit:
                 yield batch.slice(start, i - start)
                 start, held = i, 0

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
+from .decontamination import find_leaks
 from .mixing import mix_report
 from .pii import find_pii
 from .simhash import near_duplicates
@@ -14,6 +15,10 @@ from .suffix_dedup import remove_repeats
 from .url_filter import filter_urls
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_pii(table(spark, sf_dir, "documents"))
 
@@ -35,6 +40,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_decontamination": op1_decontamination,
     "op2_pii": op2_pii,
     "op5_suffix_dedup": op5_suffix_dedup,
     "op7_simhash": op7_simhash,
