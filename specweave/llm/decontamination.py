@@ -14,7 +14,7 @@ from .common import chunks, small_batches
 #: Characters of a gram. Eight bytes are one machine word, so grams are compared as they are.
 Q = 8
 #: Edits allowed per byte of an item.
-EDIT_RATE = 0.1
+EDIT_RATE = 0.08
 #: Items that are shorter than this when normalised prove nothing and are not looked for.
 LEAST_ITEM = 24
 #: Bytes of items that are searched for in one pass over the documents.
@@ -119,8 +119,11 @@ def candidate_bands(index: ItemIndex, texts: list[bytes]):
     return zip((pair // len(index.items)).tolist(), (pair % len(index.items)).tolist(), ((band - 1) * index.band - shift).tolist(), strict=True)
 
 
-def banded(item: bytes, text: bytes, low: int, width: int) -> tuple[int, int]:
-    """(edits, end) of the best alignment of the whole item with some stretch of text whose diagonals are low .. low + width."""
+def banded(item: bytes, text: bytes, low: int, width: int, most: int) -> tuple[int, int]:
+    """(edits, end) of the best alignment of the whole item with some stretch of text whose diagonals are low .. low + width.
+
+    Given up, with more than ``most`` edits, once no alignment can have fewer.
+    """
     pad = len(item) + width + abs(low) + 2
     padded = np.full(len(text) + 2 * pad, -1, np.int16)
     padded[pad : pad + len(text)] = np.frombuffer(text, np.uint8)
@@ -134,6 +137,8 @@ def banded(item: bytes, text: bytes, low: int, width: int) -> tuple[int, int]:
         new[(end < 0) | (end > len(text))] = out
         cost = np.minimum.accumulate(new - steps) + steps
         cost[(end < 0) | (end > len(text))] = out
+        if r % 16 == 0 and cost.min() > most:
+            break
     best = int(cost.argmin())
     return int(cost[best]), len(item) + low + best
 
@@ -157,10 +162,10 @@ def leaks(index: ItemIndex, texts: list[bytes]) -> dict[tuple[int, int], tuple[i
         elif shared_grams(index.own[i], text[a:b]) < len(item) + 1 - Q - k * Q:
             continue
         else:
-            edits, end = banded(item, text, low - k, width)
+            edits, end = banded(item, text, low - k, width, k)
             if edits > k:
                 continue
-            back, begin = banded(item[::-1], text[max(0, end - len(item) - k) : end][::-1], 0, k + k)
+            back, begin = banded(item[::-1], text[max(0, end - len(item) - k) : end][::-1], 0, k + k, k)
             hit = (edits, end - begin, end)
         if (t, i) not in found or hit < found[t, i]:
             found[t, i] = hit
