@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .chat import repair
 from .common import table
 from .decontamination import find_leaks
 from .language_id import identify
 from .mixing import mix_report
+from .nearest import nearest
 from .pii import find_pii
 from .quality import judge
 from .simhash import near_duplicates
@@ -29,10 +31,18 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair(table(spark, sf_dir, "conversations"))
+
+
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"))
 
 
+def op6_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -53,7 +63,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_pii": op2_pii,
     "op3_quality": op3_quality,
+    "op4_chat": op4_chat,
     "op5_suffix_dedup": op5_suffix_dedup,
+    "op6_nearest": op6_nearest,
     "op7_simhash": op7_simhash,
     "op8_language": op8_language,
     "op9_mix": op9_mix,
