@@ -1,10 +1,11 @@
 """Interpolated Kneser-Ney n-gram models of characters, counted, smoothed and looked up in shards.
 
-Training counts n-grams in every partition, adds them up by n-gram, and derives
-continuation counts, discounts and probabilities with joins. Scoring never ships the
-model: documents are dealt to blocks, each block asks for the n-grams that occur in it,
-the requests are joined with the model, and what comes back is one block's table of
-sorted hashes, in which its texts are looked up.
+Documents are dealt to blocks once, compressed, and every step meets them there.
+Blocks count their n-grams; counts are added up by n-gram; continuation counts,
+discounts and probabilities follow by joins. Nobody gets the whole model: a block
+asks for the different n-grams that occur in it, each question goes to the shard that
+holds what its answer needs, kept as sorted hash arrays, and the answers meet the
+block again, where its texts are looked up.
 """
 
 from __future__ import annotations
@@ -20,10 +21,12 @@ from pyspark.sql import functions as F
 
 from specweave.plans.lineage import cut
 
-from .common import chunks, n_parts
+from .blocks import batches_of
+from .common import chunks
 
-#: Bytes of text in a block.
-BLOCK_BYTES = 8 << 20
+#: Parts of the model, and blocks that ask one copy of a part; there are as many copies as that takes.
+SHARDS = 24
+BLOCKS_A_COPY = 64
 #: Bytes of text whose n-grams are taken at once.
 STEP_BYTES = 1 << 20
 _MULT = np.uint64(0x9E3779B97F4A7C15)
@@ -94,33 +97,51 @@ def as_strings(points: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(points.astype("<u4")).view(f"<U{n}").reshape(len(points)) if len(points) else np.zeros(0, "<U1")
 
 
-def count_grams(docs: DataFrame, order: int, symbols: Callable[[], np.ndarray]) -> DataFrame:
-    """(key, gram, c) over all of ``docs`` (key, text); added up in each partition before the shuffle."""
+def count_grams(docs: DataFrame, order: int, symbols: Callable[[], np.ndarray], only: DataFrame | None = None) -> DataFrame:
+    """(key, gram, c) over all texts of ``docs`` (key, text) that have a key, added up in each partition before the shuffle.
 
-    def run(batches):
+    With ``only`` (block, doc_id), ``docs`` are blocks, and of these documents alone.
+    """
+
+    def run(batches) -> pa.Table:
         held: dict[str, list] = {}
-        for batch in chunks(batches, STEP_BYTES):
-            keys = batch.column("key").to_pylist()
-            texts = batch.column("text").to_pylist()
-            for key in sorted({*keys}):
-                own = [t for k, t in zip(keys, texts, strict=True) if k == key and t]
-                if own:
-                    g = Grams(own, order, symbols())
-                    parts = held.setdefault(key, [])
-                    parts.append((g.codes, g.strings(), g.counts()))
-                    if len(parts) >= 16:
-                        held[key] = [_added(parts)]
+        for batch in batches:
+            for key, own in _by_key(batch):
+                g = Grams(own, order, symbols())
+                parts = held.setdefault(key, [])
+                parts.append((g.codes, g.strings(), g.counts()))
+                if len(parts) >= 8:
+                    held[key] = [_added(parts)]
+        keys, grams, counts = [], [], []
         for key, parts in held.items():
-            _, points, counts = _added(parts)
-            grams = as_strings(points)
-            for a in range(0, len(grams), 50_000):
-                some = pa.array(grams[a : a + 50_000].tolist(), pa.string())
-                yield pa.RecordBatch.from_arrays([pa.array([key] * len(some), pa.string()), some, pa.array(counts[a : a + 50_000], pa.int64())], ["key", "gram", "c"])
-
-    counted = docs.select("key", "text").mapInArrow(run, "key string, gram string, c long")
+            _, points, n = _added(parts)
+            grams += as_strings(points).tolist()
+            keys += [key] * len(points)
+            counts.append(n)
+        n = np.concatenate(counts) if counts else np.zeros(0, np.int64)
+        return pa.table({"key": pa.array(keys, pa.string()), "gram": pa.array(grams, pa.string()), "c": pa.array(n, pa.int64())})
+
+    def chosen_of(blobs: pa.Table, chosen: pa.Table) -> pa.Table:
+        ids = pa.array(sorted({*chosen.column("doc_id").to_pylist()}), chosen.schema.field("doc_id").type)
+        return run(batch.filter(pc.is_in(batch.column("doc_id"), ids)) for batch in batches_of(blobs, STEP_BYTES))
+
+    kind = "key string, gram string, c long"
+    if only is None:
+        counted = docs.select("key", "text").mapInArrow(lambda batches: run(chunks(batches, STEP_BYTES)).to_batches(50_000), kind)
+    else:
+        counted = docs.groupBy("block").cogroup(only.groupBy("block")).applyInArrow(chosen_of, kind)
     return counted.groupBy("key", "gram").agg(F.sum("c").alias("c"))
 
 
+def _by_key(batch: pa.RecordBatch):
+    """(key, its texts) of a batch's rows that have a key and a text."""
+    held: dict[str, list[str]] = {}
+    for key, text in zip(batch.column("key").to_pylist(), batch.column("text").to_pylist(), strict=True):
+        if key is not None and text:
+            held.setdefault(key, []).append(text)
+    return sorted(held.items())
+
+
 def _added(parts):
     codes, first, back = np.unique(np.concatenate([p[0] for p in parts]), return_index=True, return_inverse=True)
     points = np.concatenate([p[1] for p in parts])[first]
@@ -153,10 +174,12 @@ def smooth(counts: DataFrame, order: int, modified: bool = True) -> DataFrame:
         else:
             y = F.greatest(F.lit(0.05), F.least(F.lit(0.95), y))
             d = d.select("key", y.alias("d1"), y.alias("d2"), y.alias("d3"))
-        seen = seen.join(d, "key").withColumn("context", F.substring("gram", 1, n - 1)).withColumn("suffix", F.substring("gram", 2, n - 1))
+        # d and, for n = 1, what it joins have one row for each language
+        seen = seen.join(F.broadcast(d), "key").withColumn("context", F.substring("gram", 1, n - 1)).withColumn("suffix", F.substring("gram", 2, n - 1))
         off = F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3"))
         context = seen.groupBy("key", "context").agg(F.sum("c").cast("double").alias("total"), (F.sum(off) / F.sum("c")).alias("g"))
-        p = seen.join(context, ["key", "context"]).join(below, ["key", "suffix"])
+        p = seen.join(context, ["key", "context"]) if n > 1 else seen.join(F.broadcast(context.drop("context")), "key")
+        p = p.join(below, ["key", "suffix"]) if n > 1 else p.join(F.broadcast(below.drop("suffix")), "key")
         p = cut(p.select("key", "gram", ((F.col("c") - off) / F.col("total") + F.col("g") * F.col("lower")).alias("p")))
         out = out.unionByName(p.withColumn("g", F.lit(None).cast("double")))
         out = out.unionByName(context.select("key", F.col("context").alias("gram"), F.lit(None).cast("double").alias("p"), "g"))
@@ -173,37 +196,31 @@ def _codes(grams: list[str], n: int) -> np.ndarray:
 
 
 class Table:
-    """A block's share of the model: for n-grams of each length, sorted hashes with p and g for each key."""
+    """A share of the model: for n-grams of each length, sorted hashes with p and g for each key."""
 
     def __init__(self, rows: pa.Table, keys: list[str], order: int):
-        self.order, place = order, {k: i for i, k in enumerate(keys)}
+        self.order = order
         lengths = pc.utf8_length(rows.column("gram")).to_numpy()
+        place = pc.index_in(rows.column("key"), pa.array(keys, pa.string())).to_numpy(zero_copy_only=False)
+        p, g = (rows.column(c).to_numpy(zero_copy_only=False).astype(float) for c in ("p", "g"))
+        grams = np.array(rows.column("gram").to_pylist(), object)
         self.hashes, self.p, self.g = [], [], []
         for n in range(order + 1):
-            part = rows.filter(pa.array(lengths == n))
-            codes = _codes(part.column("gram").to_pylist(), n)
-            p, g = (np.full((len(codes), len(keys)), np.nan) for _ in range(2))
-            entries = part.column("entries").combine_chunks()
-            if len(codes):
-                flat = entries.flatten()
-                row = np.repeat(np.arange(len(codes)), pc.list_value_length(entries).to_numpy(zero_copy_only=False))
-                at = np.array([place[k] for k in flat.field("key").to_pylist()], np.int64)
-                p[row, at] = flat.field("p").to_numpy(zero_copy_only=False)
-                g[row, at] = flat.field("g").to_numpy(zero_copy_only=False)
-            o = np.argsort(codes)
-            self.hashes.append(codes[o])
-            self.p.append(p[o])
-            self.g.append(g[o])
+            own = np.flatnonzero(lengths == n)
+            hashes, at = np.unique(_codes(grams[own].tolist(), n), return_inverse=True)
+            self.hashes.append(hashes)
+            for values, out in ((p, self.p), (g, self.g)):
+                matrix = np.full((len(hashes), len(keys)), np.nan)
+                there = ~np.isnan(values[own])
+                matrix[at[there], place[own][there]] = values[own][there]
+                out.append(matrix)
 
     def _find(self, points: np.ndarray):
-        n = points.shape[1]
-        codes = points[:, 0].astype(np.uint64) if n else np.zeros(len(points), np.uint64)
-        for j in range(1, n):
-            codes = codes * _MULT + points[:, j]
-        if not len(self.hashes[n]):
+        codes = hashed(points)
+        if not len(self.hashes[points.shape[1]]):
             return np.zeros(len(codes), np.int64), np.zeros(len(codes), bool)
-        at = np.minimum(np.searchsorted(self.hashes[n], codes), len(self.hashes[n]) - 1)
-        return at, self.hashes[n][at] == codes
+        at = np.minimum(np.searchsorted(self.hashes[points.shape[1]], codes), len(self.hashes[points.shape[1]]) - 1)
+        return at, self.hashes[points.shape[1]][at] == codes
 
     def log_p(self, points: np.ndarray) -> np.ndarray:
         """Log probability of the last character of each n-gram given the others, for each key."""
@@ -219,71 +236,124 @@ class Table:
         return np.log(p)
 
 
-def in_blocks(docs: DataFrame, text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """``docs`` with the block that each row belongs to, by a hash of doc_id and text: about ``block_bytes`` each."""
-    n = n_parts(docs, text, block_bytes)
-    return docs.withColumn("block", F.pmod(F.xxhash64("doc_id", F.col(text)), F.lit(n)).cast("int"))
+def hashed(points: np.ndarray) -> np.ndarray:
+    """The code of each row of code points, as Grams has it."""
+    codes = points[:, 0].astype(np.uint64) if points.shape[1] else np.zeros(len(points), np.uint64)
+    for j in range(1, points.shape[1]):
+        codes = codes * _MULT + points[:, j]
+    return codes
+
 
+def _codes(grams: list[str], n: int) -> np.ndarray:
+    if not (grams and n):
+        return np.zeros(len(grams), np.uint64)
+    return hashed(np.frombuffer("".join(grams).encode("utf-32-le", "surrogatepass"), "<u4").reshape(-1, n))
 
-def score(blocks: DataFrame, model: DataFrame, keys: list[str], order: int, symbols: Callable[[], np.ndarray]) -> DataFrame:
-    """(doc_id, *carried, n, sums): characters, and the log probability of the text under each key's model, in order of ``keys``.
 
-    blocks: (doc_id, *carried, text, block) from in_blocks(). A null text has no characters.
-    """
+def shard_of(points: np.ndarray, shards: int) -> np.ndarray:
+    """By the two characters before the last: p of the n-gram and of its ends, and g of their contexts, agree in these."""
+    return ((hashed(points[:, -3:-1]) * _MULT) >> np.uint64(40)).astype(np.int64) % shards
 
-    def steps(texts: list):
-        start, held = 0, 0
-        for i, t in enumerate(texts):
-            if held and held + len(t or "") > STEP_BYTES:
-                yield start, texts[start:i]
-                start, held = i, 0
-            held += len(t or "")
-        if texts:
-            yield start, texts[start:]
-
-    def ask(rows: pa.Table) -> pa.Table:
-        points = []
-        for _, some in steps(rows.column("text").to_pylist()):
-            g = Grams([t or "" for t in some], order, symbols())
-            points.append(g.strings())
-            if len(points) > 8:
-                points = [_distinct(points)]
-        wanted = {""}
-        full = _distinct(points)
-        for n in range(1, order + 1):
-            wanted.update(as_strings(full[:, order - n :]).tolist())
-        for n in range(1, order):
-            wanted.update(as_strings(full[:, order - 1 - n : order - 1]).tolist())
-        grams = sorted(wanted)
-        return pa.table({"block": pa.array([rows.column("block")[0].as_py()] * len(grams), pa.int32()), "gram": pa.array(grams, pa.string())})
-
-    def tell(rows: pa.Table, told: pa.Table) -> pa.Table:
-        texts = [t or "" for t in rows.column("text").to_pylist()]
-        lookup = Table(told, keys, order)
-        sums = np.zeros((len(texts), len(keys)))
-        for start, some in steps(texts):
-            g = Grams(some, order, symbols())
-            logs = lookup.log_p(g.strings().astype(np.uint64))
-            for k in range(len(keys)):
-                sums[start : start + len(some), k] = g.sums(logs[:, k])
-        columns = [rows.column(c) for c in carried]
-        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1) * len(keys), pa.int32()), pa.array(sums.ravel()))
-        return pa.table([*columns, pa.array([len(t) for t in texts], pa.int64()), lists], names=[*carried, "n", "sums"])
-
-    carried = [c for c in blocks.columns if c not in ("text", "block")]
-    kinds = ", ".join(f"`{c}` {blocks.schema[c].dataType.simpleString()}" for c in carried)
-    entries = model.groupBy("gram").agg(F.collect_list(F.struct("key", "p", "g")).alias("entries"))  # a row for each key
-    asked = blocks.groupBy("block").applyInArrow(ask, "block int, gram string")
-    told = asked.join(entries, "gram").select("block", "gram", "entries")
-    return blocks.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(tell, f"{kinds}, n long, sums array<double>")
+
+def in_shards(model: DataFrame, shards: int, copies: int) -> DataFrame:
+    """(shard, key, gram, p, g): each entry where it is asked for, in each copy; those too short to tell are in every shard."""
+
+    def run(batches):
+        for batch in batches:
+            grams = batch.column("gram").to_pylist()
+            rows, where, use = [], [], []
+            for i, gram in enumerate(grams):
+                for which, pair in enumerate((gram[-3:-1] if len(gram) > 2 else "", gram[-2:] if len(gram) > 1 else "")):
+                    if batch.column(3 - 1 + which)[i].is_valid:
+                        to = shard_of(np.array([[*map(ord, pair), 0]], np.uint64), shards).tolist() if pair else range(shards)
+                        to = [k + shards * copy for k in to for copy in range(copies)]
+                        where += to
+                        rows += [i] * len(to)
+                        use += [which] * len(to)
+            t = batch.take(pa.array(rows, pa.int64()))
+            use = np.array(use, bool)
+            p, g = (pc.if_else(pa.array(mask), t.column(c), pa.scalar(None, pa.float64())) for c, mask in (("p", ~use), ("g", use)))
+            yield pa.RecordBatch.from_arrays([pa.array(where, pa.int32()), t.column("key"), t.column("gram"), p, g], ["shard", "key", "gram", "p", "g"])
+
+    return model.select("key", "gram", "p", "g").mapInArrow(run, "shard int, key string, gram string, p double, g double")
 
 
 def _distinct(points: list[np.ndarray]) -> np.ndarray:
-    both = np.concatenate(points) if points else np.zeros((0, 1), np.uint32)
-    codes = both[:, 0].astype(np.uint64) if both.shape[1] else np.zeros(0, np.uint64)
-    for j in range(1, both.shape[1]):
-        codes = codes * _MULT + both[:, j]
-    return both[np.unique(codes, return_index=True)[1]]
+    both = np.concatenate(points)
+    return both[np.unique(hashed(both), return_index=True)[1]]
+
+
+def score(blocks: DataFrame, n_blocks: int, model: DataFrame, keys: list[str], order: int, symbols: Callable[[], np.ndarray], own_key: bool, finish: Callable, kind: str, shards: int = SHARDS) -> DataFrame:
+    """finish(batch, n, sums) for some rows at a time: their characters and the log probabilities of their texts.
+
+    With ``own_key`` each text is measured by the model of its row's key, and sums has one
+    column; else by all models, in order of ``keys``. A null text has no characters.
+    """
+
+    copies = -(-n_blocks // BLOCKS_A_COPY)
+
+    def ask(blobs: pa.Table) -> pa.Table:
+        block = blobs.column("block")[0].as_py()
+        held: dict[str, list] = {}
+        for batch in batches_of(blobs, STEP_BYTES):
+            for key, own in _by_key(batch) if own_key else [("", [t for t in batch.column("text").to_pylist() if t])]:
+                if own:
+                    parts = held.setdefault(key, [])
+                    parts.append(Grams(own, order, symbols()).strings())
+                    if len(parts) >= 8:
+                        held[key] = [_distinct(parts)]
+        rows = []
+        for key, parts in held.items():
+            points = _distinct(parts)
+            shard = shard_of(points, shards)
+            for k in np.unique(shard).tolist():
+                some = np.ascontiguousarray(points[shard == k].T.astype("<u4"))
+                rows.append((block, k + shards * (block % copies), key, some.tobytes()))
+        columns = list(zip(*rows, strict=True)) if rows else [[]] * 4
+        return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int32(), pa.string(), pa.binary()), strict=True)], names=["block", "shard", "key", "data"])
+
+    def answer(asked: pa.Table, rows: pa.Table) -> pa.Table:
+        out = []
+        if asked.num_rows:
+            lookup = Table(rows, keys, order)
+            for block, key, data in zip(*(asked.column(c).to_pylist() for c in ("block", "key", "data")), strict=True):
+                points = np.frombuffer(data, "<u4").reshape(order, -1).T
+                logs = lookup.log_p(points)
+                if own_key:
+                    logs = logs[:, [keys.index(key)]]
+                out.append((block, key, hashed(points).tobytes() + logs.astype("<f4").tobytes()))
+        columns = list(zip(*out, strict=True)) if out else [[]] * 3
+        return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.string(), pa.binary()), strict=True)], names=["block", "key", "data"])
+
+    def tell(blobs: pa.Table, told: pa.Table) -> pa.Table:
+        width = 1 if own_key else len(keys)
+        parts: dict[str, list] = {}
+        for key, data in zip(told.column("key").to_pylist(), told.column("data").to_pylist(), strict=True):
+            n = len(data) // (8 + 4 * width)
+            parts.setdefault(key, []).append((np.frombuffer(data, "<u8", n), np.frombuffer(data, "<f4", n * width, 8 * n).reshape(n, width)))
+        known = {}
+        for key, some in parts.items():
+            codes, values = (np.concatenate(x) for x in zip(*some, strict=True))
+            o = np.argsort(codes)
+            known[key] = codes[o], values[o].astype(np.float64)
+        out = []
+        for batch in batches_of(blobs, STEP_BYTES):
+            texts = batch.column("text").to_pylist()
+            names = batch.column("key").to_pylist() if own_key else [""] * len(texts)
+            sums = np.zeros((len(texts), width))
+            for key in {k for k, t in zip(names, texts, strict=True) if t and k is not None}:
+                rows = [i for i, (k, t) in enumerate(zip(names, texts, strict=True)) if t and k == key]
+                g = Grams([texts[i] for i in rows], order, symbols())
+                values = known[key][1][np.searchsorted(known[key][0], g.codes)]
+                for c in range(width):
+                    sums[rows, c] = g.sums(values[:, c])
+            out.append(finish(batch, np.array([len(t or "") for t in texts], np.int64), sums))
+        return pa.concat_tables(out)
+
+    entries = in_shards(model, shards, copies)
+    asked = blocks.groupBy("block").applyInArrow(ask, "block int, shard int, key string, data binary")
+    told = asked.groupBy("shard").cogroup(entries.groupBy("shard")).applyInArrow(answer, "block int, key string, data binary")
+    return blocks.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(tell, kind)
 
 
 def learned_keys(model: DataFrame) -> list[str]:

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from specweave.plans.lineage import cut
 
 from . import kneser_ney as kn
+from .blocks import in_blocks
 from .common import small_batches
 
 ORDER = 4
@@ -35,22 +38,28 @@ def identify(docs: DataFrame, order: int = ORDER, quantile: float = QUANTILE) ->
     doc_id is not held out. Repeated rows each get a row.
     """
     small_batches(docs.sparkSession)
-    own = docs.select("doc_id", "text", F.col("lang").cast("string").alias("lang"), held_out().alias("held_out"))
-    train = own.filter("not held_out and lang is not null and text is not null")
-    model = kn.smooth(kn.count_grams(train.select(F.col("lang").alias("key"), "text"), order, kn.letters), order, modified=False)
+    lang = F.col("lang").cast("string")
+    key = F.when(~held_out() & lang.isNotNull(), lang)
+    lettered = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
+    own = docs.select("doc_id", "text", key.alias("key"), held_out().alias("held_out"), lettered.alias("lettered"))
+    blocks, n = in_blocks(own)
+    model = kn.smooth(kn.count_grams(own.filter("key is not null"), order, kn.letters), order, modified=False)
     keys = kn.learned_keys(model)
-    rows = own.withColumn("lettered", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
-    blocks = kn.in_blocks(rows)
+    kind = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, held_out boolean, lang string, lettered boolean, n long, sums array<double>"
+
+    def finish(batch, size, sums):
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(size) + 1) * sums.shape[1], pa.int32()), pa.array(sums.ravel()))
+        return pa.table([*(batch.column(c) for c in ("doc_id", "held_out", "key", "lettered")), pa.array(size), lists], names=["doc_id", "held_out", "lang", "lettered", "n", "sums"])
+
+    scored = kn.score(blocks, n, model, keys or [UNKNOWN], order, kn.letters, False, finish, kind)
     if not keys:
-        none = F.lit(None).cast("double")
-        return rows.select("doc_id", "held_out", F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"), none.alias("cross_entropy"), F.lit(True).alias("rejected"))
-    scored = kn.score(blocks, model, keys, order, kn.letters)
+        scored = scored.withColumn("lettered", F.lit(False))
     best = F.array_max("sums")
     at = F.array_position("sums", best).cast("int")
     scale = F.least(F.col("n"), F.lit(EVIDENCE)) / F.col("n")
     odds = F.aggregate("sums", F.lit(0.0), lambda a, x: a + F.exp((x - best) * scale))
-    loss = -best / F.col("n")
-    guess = F.element_at(F.array(*map(F.lit, keys)), at)
+    loss = F.try_divide(-best, F.col("n"))
+    guess = F.try_element_at(F.array(*map(F.lit, keys or [UNKNOWN])), at)
     judged = scored.select(
         "doc_id", "held_out", "lang", F.when(F.col("lettered"), guess).otherwise(UNKNOWN).alias("lang_pred"),
         F.when(F.col("lettered"), 1.0 / odds).otherwise(0.0).alias("score"), F.when(F.col("lettered"), loss).alias("cross_entropy"),

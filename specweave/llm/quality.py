@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from specweave.plans.lineage import cut
 
 from . import kneser_ney as kn
+from .blocks import block_of, in_blocks
 from .common import small_batches
 
 ORDER = 4
@@ -31,32 +34,61 @@ def judge(docs: DataFrame, labels: DataFrame, order: int = ORDER, quantile: floa
     trusted text at all everything with text is kept. A null or empty text has no perplexity and is
     not kept. Repeated rows are each judged; a null doc_id is never trusted.
     """
-    return _judged(docs, labels, (), order, quantile, margin).drop("row")
+    narrow = docs.select("doc_id", "lang", "text")
+    blocks, n, model, keys, good = _trained(narrow, labels, order)
+    kind = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, model string, n_symbols long, loss double"
+    measured = cut(_measured(blocks, n, model, keys, order, lambda b: [b.column("doc_id")], ["doc_id"], kind))
+    limits = _limits(measured, good, quantile)
+    out = measured.join(F.broadcast(limits), "model", "left")  # one row for each model
+    threshold = F.exp(F.col("limit") + SLACK / F.sqrt("n_symbols")) * F.lit(margin)
+    perplexity = F.exp("loss")
+    kept = (F.col("n_symbols") > 0) & F.coalesce(perplexity <= threshold, F.lit(True))
+    return out.select("doc_id", "model", "n_symbols", perplexity.alias("perplexity"), threshold.alias("threshold"), kept.alias("kept"))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, order: int = ORDER, quantile: float = QUANTILE, margin: float = MARGIN) -> DataFrame:
+    """The rows of ``docs`` (doc_id, text, lang and any others) that judge() keeps, with all their columns."""
+    names = docs.columns
+    blocks, n, model, keys, good = _trained(docs, labels, order)
+    if not keys:
+        return docs.filter("length(text) > 0")
+    short = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, model string, n_symbols long, loss double"
+    limits = _limits(_measured(blocks, n, model, keys, order, lambda b: [b.column("doc_id")], ["doc_id"], short), good, quantile)
+    most = {r.model: r.limit for r in limits.collect()}  # one number for each language
+
+    def finish(batch, size, sums):
+        loss = -sums[:, 0] / np.maximum(size, 1)
+        limit = np.array([most.get(k, np.inf) for k in batch.column("key").to_pylist()])
+        good = (size > 0) & (loss <= limit + SLACK / np.sqrt(np.maximum(size, 1)) + np.log(margin))
+        return pa.Table.from_batches([batch.filter(pa.array(good)).select(names)])
 
+    return kn.score(blocks, n, model, keys, order, kn.characters, True, finish, docs.schema)
 
-def _judged(docs: DataFrame, labels: DataFrame, carry: tuple, order: int, quantile: float, margin: float) -> DataFrame:
+
+def _trained(docs: DataFrame, labels: DataFrame, order: int):
+    """Documents in blocks with the key of the model that measures them, the model, its keys, the trusted documents."""
     small_batches(docs.sparkSession)
-    row = F.struct(*carry) if carry else F.lit(None).cast("int")
-    own = docs.select("doc_id", F.col("lang").cast("string").alias("lang"), "text", row.alias("row"))
     good = labels.filter("quality = 1 and doc_id is not null").select("doc_id").distinct()
-    trusted = own.join(good, "doc_id", "left_semi").filter("text is not null")
-    counts = cut(kn.count_grams(trusted.select(F.coalesce("lang", F.lit(ANY)).alias("key"), "text"), order, kn.characters))
+    own, n = in_blocks(docs.withColumn("key", F.coalesce(F.col("lang").cast("string"), F.lit(ANY))))
+    chosen = good.select(block_of(F.col("doc_id").cast(docs.schema["doc_id"].dataType), n).alias("block"), F.col("doc_id").cast(docs.schema["doc_id"].dataType).alias("doc_id"))
+    counts = cut(kn.count_grams(own, order, kn.characters, chosen))
     whole = counts.groupBy("gram").agg(F.sum("c").alias("c")).select(F.lit(ANY).alias("key"), "gram", "c")
     model = kn.smooth(counts.filter(F.col("key") != ANY).unionByName(whole), order)
     keys = kn.learned_keys(model)
-    blocks = kn.in_blocks(own)
-    if not keys:
-        scored = blocks.select("doc_id", "lang", "row", F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("n"), F.array().cast("array<double>").alias("sums"))
-    else:
-        scored = kn.score(blocks, model, keys, order, kn.characters)
     named = F.array(*map(F.lit, keys)) if keys else F.array().cast("array<string>")
-    used = F.when(F.array_contains(named, F.col("lang")), F.col("lang")).otherwise(F.lit(ANY))
-    measured = scored.withColumn("model", used).withColumn("at", F.array_position(named, F.col("model")).cast("int"))
-    loss = F.when((F.col("n") > 0) & (F.col("at") > 0), -F.try_element_at("sums", F.col("at")) / F.col("n"))
-    measured = cut(measured.select("doc_id", "row", "model", "n", loss.alias("loss")))
-    limits = kn.quantile(measured.join(good, "doc_id", "left_semi").filter("loss is not null"), "model", "loss", quantile, 1000.0)
-    out = measured.join(F.broadcast(limits), "model", "left")  # one row for each model
-    threshold = F.exp(F.col("limit") + SLACK / F.sqrt("n")) * F.lit(margin)
-    perplexity = F.exp("loss")
-    kept = (F.col("n") > 0) & F.coalesce(perplexity <= threshold, F.lit(True))
-    return out.select("doc_id", "row", "model", F.col("n").alias("n_symbols"), perplexity.alias("perplexity"), threshold.alias("threshold"), kept.alias("kept"))
+    lang = F.col("lang").cast("string")
+    used = F.when(F.array_contains(named, lang), lang).otherwise(F.lit(ANY))
+    return *in_blocks(docs.withColumn("key", used)), model, keys, good
+
+
+def _measured(blocks: DataFrame, n: int, model: DataFrame, keys: list[str], order: int, carried, names: list[str], kind: str) -> DataFrame:
+    def finish(batch, size, sums):
+        loss = np.where(size > 0, -sums[:, 0] / np.maximum(size, 1), np.nan)
+        return pa.table([*carried(batch), batch.column("key"), pa.array(size), pa.array(loss, mask=size == 0)], names=[*names, "model", "n_symbols", "loss"])
+
+    return kn.score(blocks, n, model, keys or [ANY], order, kn.characters, True, finish, kind)
+
+
+def _limits(measured: DataFrame, good: DataFrame, quantile: float) -> DataFrame:
+    trusted = measured.join(good, "doc_id", "left_semi").filter("loss is not null and not isnan(loss)")
+    return kn.quantile(trusted, "model", "loss", quantile, 1000.0)
