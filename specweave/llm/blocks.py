@@ -18,9 +18,14 @@ BLOCK_BYTES = 16 << 20
 GATHER_BYTES = 24 << 20
 
 
-def in_blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, int]:
-    """(block, data): the rows of ``docs`` (doc_id, text, ...) in compressed batches, by a hash of doc_id; how many blocks."""
+def in_blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES, deal=None) -> tuple[DataFrame, int]:
+    """(block, data): the rows of ``docs`` (doc_id, text, ...) in compressed batches, by doc_id; how many blocks, a prime.
+
+    deal(doc_id, n) is the block of a row; block_of unless given.
+    """
     n = n_parts(docs, "text", block_bytes)
+    while any(n % k == 0 for k in range(2, int(n**0.5) + 1)):
+        n += 1
     names = docs.columns
 
     def run(batches):
@@ -43,7 +48,7 @@ def in_blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> tuple[DataFram
         data = [_compressed(t.slice(a, b - a)) for a, b in zip(starts, np.append(starts[1:], len(order)), strict=True)]
         return pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), pa.array(data, pa.binary())], ["block", "data"])
 
-    block = block_of(F.col("doc_id"), n).alias("_block")
+    block = F.coalesce((deal or block_of)(F.col("doc_id"), n), F.lit(0)).alias("_block")
     return docs.select("*", block).mapInArrow(run, "block int, data binary"), n
 
 

@@ -17,23 +17,26 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary_rows, chunks, flat, n_parts, small_batches
+from .blocks import batches_of, in_blocks
+from .common import BATCH_BYTES, chunks, flat, n_parts, small_batches
 
 LENGTH = 50
 #: Bytes of an anchor. Any window holds LENGTH - ANCHOR + 1 of them.
 ANCHOR = 24
 #: Bytes of text whose runs are combined before they are sent on, and that make a bucket.
-COMBINE_BYTES = 12 << 20
-BUCKET_BYTES = 24 << 20
+COMBINE_BYTES = 3 << 20
+BUCKET_BYTES = 12 << 20
+#: Bytes of text that are hashed at once.
+HASH_BYTES = 256 << 10
 
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
 _TABLE = np.random.default_rng(50).integers(0, 1 << 63, 256, dtype=np.uint64) * _U(2) + _U(1)
-#: What a document is told of one run: its first window, how many follow, anchor, and what to do.
-_RUN = np.dtype([("s", "<u4"), ("n", "<u4"), ("m", "<u8"), ("k", "u1")])
+#: What a document is told of a run (first window s, n after it, anchor m): to remove it, or to send its text.
 SETTLED, OPEN = 0, 1
 
 
@@ -48,7 +51,7 @@ def _powers(base: int, n: int) -> np.ndarray:
 
 
 def _grown(n: int) -> int:
-    return 1 << max(22, int(n).bit_length())
+    return 1 << max(18, int(n).bit_length())
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -119,25 +122,28 @@ def _unplanes(data: bytes, at: int, n: int, width: int) -> np.ndarray:
 
 
 _FIELDS = (("doc", 8), ("h", 4))
-_ENTRY = (("m", 8), ("c", 6), ("s", 4), ("n", 4))
+#: Of an anchor's hash the bucket has the rest; with it, equal runs agree in 88 bits and those of the bucket.
+_ENTRY = (("m", 5), ("c", 6), ("s", 4), ("n", 4))
+_LOW = _U(40)
+_TELL = (("s", 4), ("n", 4), ("m", 8), ("k", 1))
 
 
-def _pack(x: dict[str, np.ndarray], settled: bool) -> bytes:
+def _pack(x: dict[str, np.ndarray], settled: bool, entry=_ENTRY) -> bytes:
     """Runs sorted by document as bytes."""
     new = np.flatnonzero(np.append(True, (x["doc"][1:] != x["doc"][:-1]) | (x["h"][1:] != x["h"][:-1])))
     counts = np.diff(np.append(new, len(x["doc"])))
     head = np.array([settled, len(new), len(x["doc"])], "<u4").tobytes()
     parts = [_planes(x[f][new].view(np.uint64) if f == "doc" else x[f][new], w) for f, w in _FIELDS]
-    return b"".join([head, *parts, _planes(counts, 4), *(_planes(x[f], w) for f, w in _ENTRY)])
+    return b"".join([head, *parts, _planes(counts, 4), *(_planes(x[f], w) for f, w in entry)])
 
 
-def _unpack(data: bytes) -> tuple[bool, dict[str, np.ndarray]]:
+def _unpack(data: bytes, entry=_ENTRY) -> tuple[bool, dict[str, np.ndarray]]:
     settled, n_docs, n = map(int, np.frombuffer(data, "<u4", 3))
     at, heads, x = 12, {}, {}
     for f, w in (*_FIELDS, ("count", 4)):
         heads[f] = _unplanes(data, at, n_docs, w)
         at += n_docs * w
-    for f, w in _ENTRY:
+    for f, w in entry:
         x[f] = _unplanes(data, at, n, w)
         at += n * w
     counts = heads["count"].astype(np.int64)
@@ -169,23 +175,25 @@ def _earliest(x: dict, *keys: str) -> tuple[dict, np.ndarray]:
     return x, x["doc"] > least
 
 
-def _told(x: dict, kind: int) -> dict:
+def _marked(x: dict, kind: int) -> dict:
     return x | {"k": np.full(len(x["doc"]), kind, np.uint8)}
 
 
-def _by_document(x: dict):
-    """A record batch with a row for each document: doc_id, h, runs."""
-    x = _take(x, np.lexsort((x["s"], x["h"], x["doc"])))
-    runs = np.zeros(len(x["doc"]), _RUN)
-    for f in _RUN.names:
-        runs[f] = x[f]
-    starts = _groups(x["doc"], x["h"])
-    bounds = np.append(starts, len(runs)) * _RUN.itemsize
-    columns = [pa.array(x["doc"][starts]), pa.array(x["h"][starts].astype(np.uint32).view(np.int32)), binary_rows(runs.tobytes(), bounds)]
-    return pa.RecordBatch.from_arrays(columns, ["doc_id", "h", "runs"])
+def _dealt(doc_id, n: int):
+    return F.pmod(doc_id, F.lit(n)).cast("int")
+
+
+def _by_block(x: dict, blocks: int) -> pa.RecordBatch:
+    """What documents are told, a row for each block that holds some of them: block, data."""
+    block = np.mod(x["doc"], blocks)
+    x = _take(x, np.lexsort((x["s"], x["h"], x["doc"], block)))
+    block = np.sort(block)
+    starts = np.append(_groups(block), len(block))
+    data = [_pack(_take(x, slice(a, b)), False, _TELL) for a, b in zip(starts[:-1], starts[1:], strict=True)]
+    return pa.RecordBatch.from_arrays([pa.array(block[starts[:-1]], pa.int32()), pa.array(data, pa.binary())], ["block", "data"])
 
 
-_NO_RUNS = pa.RecordBatch.from_arrays([pa.array([], pa.int64()), pa.array([], pa.int32()), pa.array([], pa.binary())], ["doc_id", "h", "runs"])
+_NOTHING = pa.RecordBatch.from_arrays([pa.array([], pa.int32()), pa.array([], pa.binary())], ["block", "data"])
 
 
 def _send(length: int, anchor: int, buckets: int):
@@ -194,7 +202,7 @@ def _send(length: int, anchor: int, buckets: int):
     def flush(held):
         x, covered = _earliest(_joined(held), "m", "c")
         for settled, part in ((False, _take(x, ~covered)), (True, _take(x, covered))):
-            bucket = (part["m"] >> _U(32)) % _U(buckets)
+            bucket = (part["m"] >> _LOW) % _U(buckets)
             part = _take(part, np.lexsort((part["s"], part["h"], part["doc"], bucket)))
             bucket = np.sort(bucket)
             starts = np.append(_groups(bucket), len(bucket)) if len(bucket) else [0]
@@ -207,7 +215,7 @@ def _send(length: int, anchor: int, buckets: int):
 
     def run(batches):
         held, size = [], 0
-        for batch in chunks(batches):
+        for batch in chunks(batches, HASH_BYTES):
             buffer, offsets = flat(batch)
             which, s, n, m, c = anchored_runs(buffer, offsets, length, anchor)
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
@@ -222,20 +230,26 @@ def _send(length: int, anchor: int, buckets: int):
     return run
 
 
-def _meet(batches):
+def _meet(blocks: int):
+    return lambda batches: _met(batches, blocks)
+
+
+def _met(batches, blocks: int):
     """Runs of whole buckets: those that an earlier document has are settled, those that only share an anchor stay open."""
     held, done = [], []
     for batch in batches:
-        for data in batch.column("data").to_pylist():
+        for bucket, data in zip(batch.column("bucket").to_pylist(), batch.column("data").to_pylist(), strict=True):
             settled, x = _unpack(data)
+            x["m"] |= _U(bucket) << _LOW
             (done if settled else held).append(x)
-    out = [_told(_joined(done), SETTLED)] if done else []
+    out = [_marked(_joined(done), SETTLED)] if done else []
     if held:
         x = _joined(held)
-        x = _take(x, np.argsort(x["m"], kind="stable"))
-        starts = _groups(x["m"])
-        counts = np.diff(np.append(starts, len(x["m"])))
-        x = _take(x, np.repeat(counts > 1, counts))
+        held.clear()
+        order = np.argsort(x["m"])
+        starts = _groups(x["m"][order])
+        counts = np.diff(np.append(starts, len(order)))
+        x = _take(x, order[np.repeat(counts > 1, counts)])
         if len(x["m"]):
             x, covered = _earliest(x, "m", "c")
             first = np.zeros(len(covered), bool)
@@ -244,40 +258,65 @@ def _meet(batches):
             counts = np.diff(np.append(starts, len(first)))
             several = np.add.reduceat(first.astype(np.int64), starts) > 1
             mixed_docs = np.minimum.reduceat(x["doc"], starts) != np.maximum.reduceat(x["doc"], starts)
-            out += [_told(_take(x, covered), SETTLED), _told(_take(x, first & np.repeat(several & mixed_docs, counts)), OPEN)]
+            out += [_marked(_take(x, covered), SETTLED), _marked(_take(x, first & np.repeat(several & mixed_docs, counts)), OPEN)]
     out = [x for x in out if len(x["doc"])]
-    yield _by_document(_joined([{k: x[k] for k in ("doc", "h", "s", "n", "m", "k")} for x in out])) if out else _NO_RUNS
+    yield _by_block(_joined([{k: x[k] for k in ("doc", "h", "s", "n", "m", "k")} for x in out]), blocks) if out else _NOTHING
+
 
+def _told(told: pa.Table) -> dict[tuple[int, int], dict]:
+    """The runs of each document (doc_id, h) that the rows of its block tell of."""
+    if not told.num_rows:
+        return {}
+    x = _joined([_unpack(data, _TELL)[1] for data in told.column("data").to_pylist()])
+    x = _take(x, np.lexsort((x["s"], x["h"], x["doc"])))
+    starts = _groups(x["doc"], x["h"])
+    bounds = np.append(starts, len(x["doc"])).tolist()
+    names = zip(x["doc"][starts].tolist(), x["h"][starts].astype(np.uint32).view(np.int32).tolist(), strict=True)
+    return {name: _take(x, slice(a, b)) for name, a, b in zip(names, bounds[:-1], bounds[1:], strict=True)}
 
-def _runs_of(blobs) -> np.ndarray:
-    return np.frombuffer(b"".join(blobs), _RUN)
 
+def _open_windows(length: int):
+    """The text of each open run of a block's documents, by bucket of the anchor; the settled ones as they came.
 
-def _open_windows(length: int, buckets: int):
-    """The text of each open run, by bucket of its anchor: doc, h, first window, anchor, bytes."""
+    Rows: doc_id, h, first window, anchor, text, bucket; or for settled runs of the block: data as text, no anchor.
+    """
 
-    def run(batches):
-        for batch in chunks(batches):
-            rows = []
-            for doc, h, text, blobs in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "h", "text", "told")), strict=True):
-                if blobs:
-                    runs = _runs_of(blobs)
-                    for s, n, m, _ in runs[runs["k"] == OPEN].tolist():
-                        rows.append((doc, h, s, m - (1 << 64) if m >> 63 else m, text[s : s + n + length], (m >> 32) % buckets))
-            columns = list(zip(*rows, strict=True)) if rows else [[]] * 6
-            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "h", "s", "m", "text", "bucket"])
+    def run(blobs: pa.Table, told: pa.Table) -> pa.Table:
+        known, rows, settled = _told(told), [], []
+        for batch in batches_of(blobs, BATCH_BYTES):
+            for doc, h, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "h", "text")), strict=True):
+                if (x := known.get((doc, h))) is not None:
+                    here = x["k"] == OPEN
+                    settled.append(_take(x, ~here))
+                    for s, n, m in zip(*(x[f][here].tolist() for f in ("s", "n", "m")), strict=True):
+                        rows.append((doc, h, s, m, text[s : s + n + length], m >> 40))
+        settled = [x for x in settled if len(x["doc"])]
+        if settled:
+            block = told.column("block")[0].as_py()
+            rows.append((block, 0, None, None, _pack(_joined(settled), True, _TELL), block))
+        columns = list(zip(*rows, strict=True)) if rows else [[]] * 6
+        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int32())
+        return pa.table([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "h", "s", "m", "text", "bucket"])
 
     return run
 
 
-def _sort_windows(length: int):
-    """Open runs of whole buckets: sort their windows by anchor and hash, verify, and tell later documents."""
+def _sort_windows(length: int, blocks: int):
+    """Open runs of whole buckets: sort their windows by anchor and hash, verify, and tell later documents.
+
+    Settled runs pass through.
+    """
 
     def run(batches):
-        held = [b for b in batches if b.num_rows]
+        held = []
+        for batch in batches:
+            settled = batch.filter(pc.is_null(batch.column("m")))
+            yield pa.RecordBatch.from_arrays([settled.column("doc_id").cast(pa.int32()), settled.column("text")], ["block", "data"])
+            batch = batch.filter(pc.is_valid(batch.column("m")))
+            if batch.num_rows:
+                held.append(batch)
         if not held:
-            yield _NO_RUNS
+            yield _NOTHING
             return
         t = pa.Table.from_batches(held).combine_chunks().sort_by([("m", "ascending"), ("doc_id", "ascending"), ("s", "ascending")])
         batch = t.combine_chunks().to_batches()[0]
@@ -287,7 +326,7 @@ def _sort_windows(length: int):
         starts = _groups(order)
         out, lo = [], 0
         for hi in [*starts[1:].tolist(), len(order)]:  # some groups at a time
-            if offsets[hi] - offsets[lo] < (1 << 20) and hi < len(order):
+            if offsets[hi] - offsets[lo] < (1 << 18) and hi < len(order):
                 continue
             x = _windows(buffer[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], length)
             own = lo + x.pop("row")
@@ -305,13 +344,13 @@ def _sort_windows(length: int):
             lo = hi
         x = _joined(out) if out else {"doc": []}
         if not len(x["doc"]):
-            yield _NO_RUNS
+            yield _NOTHING
             return
         x = _take(x, np.lexsort((x["s"], x["h"], x["doc"])))
         new = np.append(True, (np.diff(x["doc"]) != 0) | (np.diff(x["h"].astype(np.int64)) != 0) | (np.diff(x["s"].astype(np.int64)) > 1))
         begin = np.flatnonzero(new)
         end = np.append(begin[1:], len(new)) - 1
-        yield _by_document(_take(x, begin) | {"n": x["s"][end] - x["s"][begin], "m": np.zeros(len(begin), np.uint64), "k": np.zeros(len(begin), np.uint8)})
+        yield _by_block(_take(x, begin) | {"n": x["s"][end] - x["s"][begin], "m": np.zeros(len(begin), np.uint64), "k": np.zeros(len(begin), np.uint8)}, blocks)
 
     return run
 
@@ -325,12 +364,10 @@ def _windows(buffer: np.ndarray, offsets: np.ndarray, length: int) -> dict[str,
     return {"row": row, "off": off, "at": at, "hash": Prefixes(buffer).every(length)[at]}
 
 
-def removed_ranges(runs: np.ndarray, length: int) -> list[tuple[int, int]]:
-    """The stretches of bytes that windows of settled runs cover, as [start, end), in order."""
-    runs = runs[runs["k"] == SETTLED]
-    runs = runs[np.argsort(runs["s"], kind="stable")]
+def removed_ranges(starts: np.ndarray, after: np.ndarray, length: int) -> list[tuple[int, int]]:
+    """The stretches of bytes that runs of windows cover, as [start, end), in order; runs sorted by their start."""
     out: list[list[int]] = []
-    for s, n in zip(runs["s"].tolist(), runs["n"].tolist(), strict=True):
+    for s, n in zip(starts.tolist(), after.tolist(), strict=True):
         if out and s <= out[-1][1]:
             out[-1][1] = max(out[-1][1], s + n + length)
         else:
@@ -339,21 +376,22 @@ def removed_ranges(runs: np.ndarray, length: int) -> list[tuple[int, int]]:
 
 
 def _kept(length: int, with_text: bool):
-    def run(batches):
-        for batch in chunks(batches):
-            rows = []
-            for text, one, two in zip(*(batch.column(c).to_pylist() for c in ("text", "told", "more")), strict=True):
-                ranges = removed_ranges(_runs_of([*(one or ()), *(two or ())]), length)
+    def run(blobs: pa.Table, told: pa.Table) -> pa.Table:
+        known, rows, ids = _told(told), [], []
+        for batch in batches_of(blobs, BATCH_BYTES):
+            ids.append(batch.column("doc_id"))
+            for doc, h, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "h", "text")), strict=True):
+                ranges = removed_ranges(x["s"], x["n"], length) if (x := known.get((doc, h))) is not None else []
                 at, kept = 0, []
                 for a, b in ranges:
                     kept.append(text[at:a])
                     at = b
                 kept = b"".join([*kept, text[at:]])
                 rows.append((len(text), len(text) - len(kept), len(ranges), hashlib.sha256(kept).hexdigest(), kept if with_text else None))
-            columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
-            arrays = [batch.column("doc_id"), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))]
-            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+        columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
+        arrays = [pa.chunked_array(ids, pa.int64()), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))]
+        return pa.table(arrays, names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
     return run
 
@@ -372,14 +410,11 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.hash(text).alias("h"), text.alias("text"))
     buckets = n_parts(docs, "text", BUCKET_BYTES)
     some = own.filter(F.col("doc_id").isNotNull() & (F.octet_length("text") >= length))
-    told_kind = "doc_id long, h int, runs binary"
+    blocks, n = in_blocks(own, deal=_dealt)
     sent = some.mapInArrow(_send(length, anchor, buckets), "bucket int, data binary")
-    met = sent.repartition(buckets, "bucket").mapInArrow(_meet, told_kind)
-    told = met.groupBy("doc_id", "h").agg(F.collect_list("runs").alias("told"))
-    known = own.join(told, ["doc_id", "h"], "left")
-    opened = known.mapInArrow(_open_windows(length, buckets), "doc_id long, h int, s long, m long, text binary, bucket int")
-    found = opened.repartition(buckets, "bucket").mapInArrow(_sort_windows(length), told_kind)
-    more = found.groupBy("doc_id", "h").agg(F.collect_list("runs").alias("more"))
+    met = sent.repartition(buckets, "bucket").mapInArrow(_meet(n), "block int, data binary")
+    opened = blocks.groupBy("block").cogroup(met.groupBy("block")).applyInArrow(_open_windows(length), "doc_id long, h int, s long, m long, text binary, bucket int")
+    found = opened.repartition(buckets, "bucket").mapInArrow(_sort_windows(length, n), "block int, data binary")
     kind = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
-    out = known.join(more, ["doc_id", "h"], "left").mapInArrow(_kept(length, with_text), kind)
+    out = blocks.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(_kept(length, with_text), kind)
     return out if with_text else out.drop("kept")
