@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 
 #: Used only where the session names no folder, as in local tests.
@@ -24,3 +26,8 @@ def cut(df: DataFrame) -> DataFrame:
     """
     checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def ready(spark: SparkSession) -> None:
+    """Let Python workers find this package wherever the driver was started; clusters ship it their own way."""
+    spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).parents[2]))
