@@ -22,7 +22,7 @@ SAMPLE = 20_000
 #: each. Vectors without structure need a fixed share for a given recall.
 SHARE = 0.9
 #: Leaves of a tree that one task handles together.
-PAGE = 16
+PAGE = 64
 
 
 @dataclass
@@ -157,6 +157,7 @@ def nearest(vectors: DataFrame, k: int = 5, every: int = 50, trees: int = TREES,
             leaves, vectors, ids = held.column("leaf").to_numpy(), _matrix(held.column("vector")), held.column("ids").to_pylist()
             norms, queries, names = np.linalg.norm(vectors, axis=1), _matrix(asked.column("vector")), asked.column("vec_id").to_pylist()
             by_leaf: dict[int, list[int]] = {}
+            found: dict[int, list[tuple[float, int]]] = {}
             for i, wanted in enumerate(asked.column("leaves").to_pylist()):
                 for at in wanted:
                     by_leaf.setdefault(at, []).append(i)
@@ -165,11 +166,13 @@ def nearest(vectors: DataFrame, k: int = 5, every: int = 50, trees: int = TREES,
                 scores = queries[who] @ (vectors[a:b] / norms[a:b, None]).T
                 best = np.argsort(-scores, axis=1, kind="stable")[:, : k + 1]
                 for i, order in zip(who, best, strict=True):
-                    q, found = queries[i], []
+                    q, own = queries[i], found.setdefault(i, [])
                     for e in (order + a).tolist():
                         score = float(q @ vectors[e] / (np.sqrt(q @ q) * np.sqrt(vectors[e] @ vectors[e])))
-                        found += [(-score, c) for c in ids[e] if c != names[i]]
-                    out += [(names[i], c, -s) for s, c in sorted(found)[:k]]
+                        own += [(-score, c) for c in ids[e] if c != names[i]]
+                    if len(own) > 64 * k:
+                        found[i] = sorted(own)[:k]
+            out = [(names[i], c, -s) for i, own in found.items() for s, c in sorted(own)[:k]]
         columns = list(zip(*out, strict=True)) if out else [[]] * 3
         return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["query_id", "vec_id", "score"])
 
