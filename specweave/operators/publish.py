@@ -76,12 +76,17 @@ def openapi_document(title: str, version: str, operations: DataFrame, attributes
 
     The document is one value by nature; what is collected for it is one row an operation and one an attribute.
     """
-    response = F.create_map(F.lit("200"), F.struct(F.lit("Successful response").alias("description")))
+    # lists of entries can be sorted, maps cannot: they become maps last
+    response = F.struct(F.struct(F.lit("Successful response").alias("description")).alias("200"))
     one = F.struct(F.col("summary"), F.array("domain").alias("tags"), response.alias("responses"))
-    methods = operations.groupBy("route").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct(F.lower("method").alias("k"), one.alias("v"))))).alias("methods"))
-    paths = methods.agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("route", F.to_json("methods").alias("m"))))).alias("paths"))
+    methods = operations.groupBy("route").agg(F.sort_array(F.collect_list(F.struct(F.lower("method").alias("k"), one.alias("v")))).alias("methods"))
+    listed = methods.agg(F.sort_array(F.collect_list(F.struct("route", "methods"))).alias("x"))
+    paths = listed.select(F.map_from_entries(F.transform("x", lambda r: F.struct(r["route"], F.map_from_entries(r["methods"])))).alias("paths"))
     kind = F.when(F.lower("type").isin("array", "list"), "array").otherwise(F.coalesce(F.lower("type"), F.lit("string")))
-    prop = F.struct("name", F.to_json(F.struct(kind.alias("type"), F.col("description"))).alias("v"))
-    schema = attributes.groupBy("entity").agg(F.map_from_entries(F.sort_array(F.collect_list(prop))).alias("properties"), F.sort_array(F.collect_set(F.when(F.col("required"), F.col("name")))).alias("required"))
-    schemas = schema.agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("entity", F.to_json(F.struct(F.lit("object").alias("type"), "properties", "required")).alias("s"))))).alias("schemas"))
-    return paths.crossJoin(schemas).select(F.to_json(F.struct(F.lit("3.0.3").alias("openapi"), F.struct(F.lit(title).alias("title"), F.lit(version).alias("version")).alias("info"), "paths", F.struct("schemas").alias("components"))).alias("document"))
+    prop = F.struct("name", F.struct(kind.alias("type"), F.col("description")).alias("v"))
+    schema = attributes.groupBy("entity").agg(F.sort_array(F.collect_list(prop)).alias("properties"), F.sort_array(F.collect_set(F.when(F.col("required"), F.col("name")))).alias("required"))
+    listed = schema.agg(F.sort_array(F.collect_list(F.struct("entity", "properties", "required"))).alias("x"))
+    body = lambda s: F.struct(F.lit("object").alias("type"), F.map_from_entries(s["properties"]).alias("properties"), s["required"].alias("required"))
+    schemas = listed.select(F.map_from_entries(F.transform("x", lambda s: F.struct(s["entity"], body(s)))).alias("schemas"))
+    info = F.struct(F.lit(title).alias("title"), F.lit(version).alias("version"))
+    return paths.crossJoin(schemas).select(F.to_json(F.struct(F.lit("3.0.3").alias("openapi"), info.alias("info"), "paths", F.struct("schemas").alias("components"))).alias("document"))  # one row each

@@ -178,7 +178,7 @@ def tables(found: DataFrame) -> dict[str, DataFrame]:
         "parameters": typed(of("parameter")).select("document", "owner", "name", F.col("at").alias("location"), "required", "kind", "t.collection", "position"),
         "requests": typed(of("request")).select("document", "owner", F.col("t.reference").alias("entity"), "required"),
         "responses": typed(of("response")).select("document", "owner", F.col("name").alias("status"), F.col("t.reference").alias("entity"), "t.collection"),
-        "entities": of("entity").select(entity("name").alias("id"), "document", "name", F.from_json("detail", "string").alias("description"), "pointer"),
+        "entities": of("entity").select(entity("name").alias("id"), "document", "name", F.try_variant_get(F.try_parse_json("detail"), "$", "string").alias("description"), "pointer"),
         "attributes": typed(of("attribute")).select(discovery_id("attribute", "document", "owner", "name").alias("id"), entity("owner").alias("entity_id"), "document", "owner", "name", "kind", F.col("t.reference").alias("reference"), "t.nullable", "t.collection", "required", "position", "pointer"),
         "enums": of("enum").select("document", F.col("owner").alias("name"), F.col("name").alias("value"), "position"),
         "validations": of("validation").select("document", "owner", "name", F.col("at").alias("rule"), F.try_parse_json("detail").alias("argument")),
