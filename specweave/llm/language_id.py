@@ -56,7 +56,7 @@ def identify(docs: DataFrame, order: int = ORDER, quantile: float = QUANTILE) ->
         scored = scored.withColumn("lettered", F.lit(False))
     best = F.array_max("sums")
     at = F.array_position("sums", best).cast("int")
-    scale = F.least(F.col("n"), F.lit(EVIDENCE)) / F.col("n")
+    scale = F.least(F.col("n"), F.lit(EVIDENCE)) / F.greatest("n", F.lit(1))
     odds = F.aggregate("sums", F.lit(0.0), lambda a, x: a + F.exp((x - best) * scale))
     loss = F.try_divide(-best, F.col("n"))
     guess = F.try_element_at(F.array(*map(F.lit, keys or [UNKNOWN])), at)

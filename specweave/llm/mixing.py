@@ -61,7 +61,7 @@ def position(taken: Column, target: Column, ramp: Column) -> Column:
 
     The share of a source's target asked for by time t is t + ramp (t^2 - t).
     """
-    u = taken / target
+    u = F.try_divide(taken, target)
     b = F.lit(1.0) - ramp
     return F.when(ramp == 0, u).otherwise((F.sqrt(b * b + ramp * u * 4.0) - b) / (ramp * 2.0) + 0.0)
 

@@ -40,7 +40,7 @@ def judge(docs: DataFrame, labels: DataFrame, order: int = ORDER, quantile: floa
     measured = cut(_measured(blocks, n, model, keys, order, lambda b: [b.column("doc_id")], ["doc_id"], kind))
     limits = _limits(measured, good, quantile)
     out = measured.join(F.broadcast(limits), "model", "left")  # one row for each model
-    threshold = F.exp(F.col("limit") + SLACK / F.sqrt("n_symbols")) * F.lit(margin)
+    threshold = F.exp(F.col("limit") + SLACK / F.sqrt(F.greatest("n_symbols", F.lit(1)))) * F.lit(margin)
     perplexity = F.exp("loss")
     kept = (F.col("n_symbols") > 0) & F.coalesce(perplexity <= threshold, F.lit(True))
     return out.select("doc_id", "model", "n_symbols", perplexity.alias("perplexity"), threshold.alias("threshold"), kept.alias("kept"))
