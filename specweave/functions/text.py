@@ -114,10 +114,40 @@ def common_type(x) -> Column:
 def clr_kind(x) -> Column:
     """The kind of value a CLR type holds; the order of tests matters."""
     t = F.lower(_c(x))
-    has = lambda *names: t.rlike("|".join(names))
     return (
-        F.when(has("guid"), "uuid").when(has("datetime"), "date-time").when(has("int", "long", "short"), "integer")
-        .when(has("decimal", "double", "float"), "number").when(has("bool"), "boolean").when(has("string"), "string").otherwise("unknown")
+        F.when(F.contains(t, F.lit("guid")), "uuid").when(F.contains(t, F.lit("datetime")), "date-time").when(t.isin("int", "long", "short", "system.int32", "system.int64"), "integer")
+        .when(t.isin("decimal", "double", "float", "system.decimal"), "number").when(t.isin("bool", "system.boolean"), "boolean")
+        .when(t.isin("string", "system.string"), "string").otherwise("unknown")
+    )
+
+
+def published_type(x) -> Column:
+    """The JSON schema type under which a canonical attribute is published."""
+    t = F.replace(F.lower(_c(x)), F.lit("?"), F.lit(""))
+    return (
+        F.when(t.isin("integer", "int", "int32", "int64", "long"), "integer").when(t.isin("number", "decimal", "float", "double"), "number")
+        .when(t.isin("boolean", "bool"), "boolean").when(t.startswith("array") | t.startswith("list"), "array").otherwise("string")
+    )
+
+
+def schema_keywords(rule, value, values) -> Column:
+    """A validation rule as a map of JSON schema keywords to JSON texts; empty for rules without a counterpart.
+
+    value is the rule's single argument, values its list of texts.
+    """
+    r, v, vs = F.lower(_c(rule)), _c(value), _c(values)
+    names = {"minimum": "minimum", "maximum": "maximum", "minlength": "minLength", "maxlength": "maxLength", "minitems": "minItems", "maxitems": "maxItems", "pattern": "pattern"}
+    lookup = F.create_map(*[F.lit(x) for kv in names.items() for x in kv])
+    n = F.size(vs)
+    number = lambda s: F.when(F.try_to_number(s, F.lit("S999999999999999")).isNotNull(), s).otherwise(F.regexp_replace(s, r"\.0+$", ""))
+    low = F.regexp_extract(F.coalesce(F.array_join(F.slice(vs, 2, 100), ","), F.lit("")), r"(?i)minimumlength=(\d+)", 1)
+    empty = F.create_map().cast("map<string,string>")
+    return (
+        F.when(F.map_contains_key(lookup, r) & v.isNotNull(), F.create_map(F.try_element_at(lookup, r), v.cast("string")))
+        .when((r == "range") & (n >= 3), F.create_map(F.lit("minimum"), number(F.try_element_at(vs, F.lit(-2))), F.lit("maximum"), number(F.try_element_at(vs, F.lit(-1)))))
+        .when((r == "stringlength") & (n >= 1), F.map_concat(F.create_map(F.lit("maxLength"), F.try_element_at(vs, F.lit(1))), F.when(low != "", F.create_map(F.lit("minLength"), low)).otherwise(empty)))
+        .when((r == "regularexpression") & (n >= 1), F.create_map(F.lit("pattern"), F.try_element_at(vs, F.lit(1))))
+        .otherwise(empty)
     )
 
 
@@ -164,7 +194,7 @@ def candidate_symbols(x, most: int = 8) -> Column:
 def status_class(x) -> Column:
     """What the hundreds of a status code mean."""
     h = F.floor(_c(x) / 100)
-    return F.when(h == 2, "Successful response").when(h == 4, "Client error response").when(h == 5, "Server error response").otherwise("Response")
+    return F.when(h == 2, "Successful response").when(h == 4, "Client error response").when(h >= 5, "Server error response").otherwise("Response")
 
 
 def redacted(x) -> Column:

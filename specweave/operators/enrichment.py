@@ -10,12 +10,20 @@ from pyspark.sql import functions as F
 
 from .aggregates import bands
 
-# Business domains and what they can do.
+# Business domains and their capabilities.
 TAXONOMY = {
-    "Policy": ("Quote", "Issue", "Endorse", "Renew", "Cancel"),
-    "Claims": ("First notice", "Assess", "Settle"),
-    "Billing": ("Invoice", "Collect", "Refund"),
-    "Party": ("Register", "Update", "Search"),
+    "Policy": ("Quote Management", "Policy Issuance", "Policy Inquiry", "Policy Change", "Renewal", "Cancellation"),
+    "Claims": ("FNOL", "Claim Registration", "Claim Assessment", "Settlement", "Claim Inquiry"),
+    "Billing": ("Invoice Management", "Billing Inquiry", "Collections"),
+    "Party / Customer": ("Customer Management", "Party Inquiry", "Contact Management"),
+    "Product": ("Product Definition", "Product Inquiry", "Coverage Management"),
+    "Underwriting": ("Risk Assessment", "Eligibility", "Referral Management"),
+    "Rating": ("Rate Calculation", "Premium Calculation", "Rate Management"),
+    "Distribution": ("Agent Management", "Broker Management", "Channel Management"),
+    "Documents": ("Document Generation", "Document Retrieval", "Correspondence Management"),
+    "Payments": ("Payment Collection", "Refunds", "Payment Inquiry"),
+    "Reference Data": ("Reference Data Inquiry", "Code List Management"),
+    "UNCLASSIFIED": ("UNCLASSIFIED",),
 }
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from specweave.functions.text import published_type
+
 SELECTIONS = ("Canonical baseline", "Reference", "Generated", "Manual")
 STATUSES = ("Full match", "Partial match", "Not matched")
 
@@ -82,7 +84,7 @@ def openapi_document(title: str, version: str, operations: DataFrame, attributes
     methods = operations.groupBy("route").agg(F.sort_array(F.collect_list(F.struct(F.lower("method").alias("k"), one.alias("v")))).alias("methods"))
     listed = methods.agg(F.sort_array(F.collect_list(F.struct("route", "methods"))).alias("x"))
     paths = listed.select(F.map_from_entries(F.transform("x", lambda r: F.struct(r["route"], F.map_from_entries(r["methods"])))).alias("paths"))
-    kind = F.when(F.lower("type").isin("array", "list"), "array").otherwise(F.coalesce(F.lower("type"), F.lit("string")))
+    kind = F.coalesce(published_type("type"), F.lit("string"))
     prop = F.struct("name", F.struct(kind.alias("type"), F.col("description")).alias("v"))
     schema = attributes.groupBy("entity").agg(F.sort_array(F.collect_list(prop)).alias("properties"), F.sort_array(F.collect_set(F.when(F.col("required"), F.col("name")))).alias("required"))
     listed = schema.agg(F.sort_array(F.collect_list(F.struct("entity", "properties", "required"))).alias("x"))

@@ -6,6 +6,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+# Names of configuration files, and folders that are not scanned for them.
+NAMES = ("host.json", "local.settings.json", "local.settings.sample.json", "appsettings.json", "appsettings.Development.json", "appsettings.Production.json", "extensions.json", "function.json")
+SKIPPED = ("bin", "obj", ".git", "node_modules", ".github", ".vs", "packages")
+
+
+def config_files(files: DataFrame) -> DataFrame:
+    """Files (path) that are configuration: by name, or YAML, outside skipped folders."""
+    parts = F.split("path", "/")
+    known = F.element_at(parts, -1).isin(*NAMES) | F.lower("path").rlike(r"\.ya?ml$")
+    return files.filter(known & ~F.arrays_overlap(parts, F.array(*map(F.lit, SKIPPED))))
+
+
 def config_facts(files: DataFrame) -> DataFrame:
     """(path, host_version, runtime, bundle, setting_keys, code): of JSON files (path, text); code YAML002 where they don't parse."""
     ok = F.try_parse_json("text").isNotNull()
@@ -15,5 +27,5 @@ def config_facts(files: DataFrame) -> DataFrame:
 
 
 def pipelines(files: DataFrame) -> DataFrame:
-    """Paths of build pipeline descriptions."""
-    return files.filter(F.col("path").rlike(r"(^|/)(azure-pipelines[^/]*\.ya?ml|\.github/workflows/[^/]+\.ya?ml|\.gitlab-ci\.yml)$")).select("path")
+    """Paths of YAML files (path, text) that describe a build: jobs, stages or a trigger at the top level."""
+    return files.filter(F.lower("path").rlike(r"\.ya?ml$") & F.col("text").rlike(r"(?m)^(jobs|stages|trigger)\s*:")).select("path")

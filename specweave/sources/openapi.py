@@ -12,12 +12,12 @@ from pyspark.sql import functions as F
 from specweave.functions.ids import discovery_id
 from specweave.functions.text import openapi_kind
 
-MOST_BYTES = 10 << 20
-METHODS = ("get", "put", "post", "delete", "options", "head", "patch", "trace")
+MOST_BYTES = 10_000_000
+METHODS = ("get", "post", "put", "patch", "delete", "head", "options", "trace")
 # Schema keywords that are constraints.
 CONSTRAINTS = (
-    "minimum", "maximum", "exclusiveMinimum", "exclusiveMaximum", "multipleOf", "minLength", "maxLength", "pattern", "format",
-    "minItems", "maxItems", "uniqueItems", "minProperties", "maxProperties", "nullable", "readOnly", "writeOnly", "deprecated", "default",
+    "minimum", "maximum", "exclusiveMinimum", "exclusiveMaximum", "multipleOf", "minLength", "maxLength", "pattern", "minItems", "maxItems",
+    "uniqueItems", "minProperties", "maxProperties", "additionalProperties", "readOnly", "writeOnly", "deprecated", "default", "const",
 )
 
 FACTS = "document string, fact string, owner string, name string, at string, detail string, required boolean, position int, pointer string"
@@ -121,7 +121,7 @@ def facts(document: str, text: str) -> list[tuple]:
             value = value if isinstance(value, dict) else {}
             add("attribute", name, key, detail=schema_of(value, name, f"{name}.{key}", where), required=key in required, position=i, pointer=where)
             inner, _, _ = resolve(doc, value)
-            for keyword in CONSTRAINTS:
+            for keyword in (*CONSTRAINTS, "example"):
                 if keyword in inner and len(json.dumps(inner[keyword])) <= 4_000:
                     add("validation", name, key, at=keyword, detail=inner[keyword], pointer=where)
             if inner.get("enum"):

@@ -15,8 +15,8 @@ from specweave.functions.text import redacted
 from specweave.operators.ranking import first_files
 
 # What a scan reads and what it leaves out.
-SUFFIXES = (".cs", ".csproj", ".sln", ".json", ".yaml", ".yml", ".md", ".xml", ".config", ".razor", ".cshtml")
-FOLDERS = (".git", ".vs", "bin", "obj", "node_modules", "packages", "TestResults")
+SUFFIXES = (".cs", ".cshtml", ".razor", ".csproj", ".json", ".yaml", ".yml", ".config")
+FOLDERS = (".git", ".vs", ".venv", ".tmp", ".rag", ".pytest_cache", ".ruff_cache", "__pycache__", "bin", "obj", "node_modules", "packages")
 GENERATED = (".g.cs", ".generated.cs", ".designer.cs")
 SECRETS = ("secrets.json",)
 #: Bounds of an archive: bytes, entries, bytes when expanded.

@@ -85,3 +85,10 @@ def test_statuses(spark):
         similarity.parent_status(F.lit(10.0), F.lit(False), F.lit(False)).alias("c"), similarity.attribute_status(F.lit(85.0)).alias("d"), similarity.attribute_status(F.lit(49.9)).alias("e"),
     )
     assert tuple(df.first()) == ("Full match", "Partial match", "Not matched", "Full match", "Not matched")
+
+
+def test_schema_keywords(spark):
+    cases = [("Range", None, ["int", "1", "5.0"], {"minimum": "1", "maximum": "5"}), ("StringLength", None, ["80", "MinimumLength=2"], {"maxLength": "80", "minLength": "2"}), ("minItems", "1", [], {"minItems": "1"}), ("RegularExpression", None, ["^x$"], {"pattern": "^x$"}), ("Required", None, [], {})]
+    df = spark.createDataFrame([(r, v, vs) for r, v, vs, _ in cases], "r string, v string, vs array<string>")
+    assert [x.k for x in df.select(text.schema_keywords("r", "v", "vs").alias("k")).collect()] == [c[3] for c in cases]
+    assert one(spark, text.published_type("c0"), "List[Guid]") == "array" and one(spark, text.published_type("c0"), "Int32?") == "integer"

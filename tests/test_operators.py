@@ -95,7 +95,23 @@ def test_graph(spark):
     ents = spark.createDataFrame([("e1", "e2"), ("e2", None), ("e3", None), ("e4", None)], "entity_id string, base_entity_id string")
     rel = spark.createDataFrame([("MAPS_TO", "e3", "e1")], "kind string, source string, target string")
     ops = spark.createDataFrame([("o", "e1")], "operation_id string, entity_id string")
-    assert rows(graph.contract_scope(ents, rel, ops)) == [("e1",), ("e2",), ("e3",)]
+    attrs = spark.createDataFrame([("e2", "e5"), ("e2", "enum-1")], "entity_id string, reference_id string")
+    assert rows(graph.contract_scope(ents, attrs, rel, ops)) == [("e1",), ("e2",), ("e3",)]
+
+
+def test_scope_leaves_nothing_dangling(spark):
+    c = spark.createDataFrame
+    m = {
+        "operations": c([("o1", "e1"), ("o2", "gone")], "id string, request_entity_id string"), "responses": c([("o1", "e1")], "operation_id string, entity_id string"),
+        "parameters": c([("o1", "p1", "enum-2")], "operation_id string, id string, reference_id string"),
+        "entities": c([("e1", "e2"), ("e2", None), ("e9", None)], "id string, base_entity_id string"), "attributes": c([("a1", "e2", "enum-1"), ("a9", "e9", None)], "id string, entity_id string, reference_id string"),
+        "enums": c([("enum-1",), ("enum-2",)], "id string"), "relationships": c([("ACCEPTS", "o1", "e1"), ("CONTAINS", "e9", "a9")], "kind string, source string, target string"),
+        "validations": c([("a1",), ("a9",)], "target_id string"), "evidence": c([("a1", "s1"), ("a9", "s9")], "subject_id string, source_id string"), "lineage": c([("e1", "s2")], "subject_id string, source_id string"), "sources": c([("s1",), ("s2",), ("s9",)], "id string"),
+    }
+    s = graph.scope(m)
+    assert [rows(s[t]) for t in ("entities", "attributes", "enums", "validations", "sources")] == [[("e1", "e2"), ("e2", None)], [("a1", "e2", "enum-1")], [("enum-1",)], [("a1",)], [("s1",), ("s2",)]]
+    assert sorted(map(str, s["operations"].select("id", "request_entity_id").collect())) == ["Row(id='o1', request_entity_id='e1')", "Row(id='o2', request_entity_id=None)"]
+    assert s["parameters"].first().reference_id is None and s["relationships"].count() == 1
 
 
 def test_sets(spark):

@@ -56,13 +56,13 @@ def test_archives(spark):
 
 
 def test_scan_of_a_tree(spark, tmp_path):
-    for name, data in {"a/x.cs": b"class X {}\nvar password = 1;", "a/bin/y.cs": b"no", "a/z.g.cs": b"no", "b/secrets.json": b"{}", "b/bad.json": b"\xff\xfe\xfa", "b/big.md": b"x" * 100, "c.exe": b"x"}.items():
+    for name, data in {"a/x.cs": b"class X {}\nvar password = 1;", "a/bin/y.cs": b"no", "a/z.g.cs": b"no", "b/secrets.json": b"{}", "b/bad.json": b"\xff\xfe\xfa", "b/big.cs": b"x" * 100, "c.exe": b"x"}.items():
         p = tmp_path / name
         p.parent.mkdir(parents=True, exist_ok=True)
         p.write_bytes(data)
     files, gaps = repository.scan(spark, str(tmp_path), most_bytes=50)
     assert [(r.path, r.text.split("\n")[1]) for r in files.collect()] == [("a/x.cs", "// [REDACTED secret-bearing line]")]
-    assert sorted((r.path, r.reason) for r in gaps.collect()) == [("b/bad.json", "not UTF-8"), ("b/big.md", "file too large")]
+    assert sorted((r.path, r.reason) for r in gaps.collect()) == [("b/bad.json", "not UTF-8"), ("b/big.cs", "file too large")]
 
 
 def test_config_facts(spark):
