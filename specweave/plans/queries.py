@@ -691,3 +691,107 @@ def leaked_identifiers(spark, sf_dir):
     hidden = F.concat(F.lit("entity-"), F.substring(F.sha2(F.col("lang").cast("binary"), 256), 1, 20))
     rows = d.select(F.col("doc_id").alias("k"), F.explode(F.create_map(F.lit("original"), "lang", F.lit("id"), hidden, F.lit("sourceId"), "source")).alias("key", "value"))
     return quality.leaked_keys(rows, "key", "value")
+
+
+# --- scopes, statuses and selections --------------------------------------------------------------
+
+
+@query("""
+WITH RECURSIVE e AS (SELECT DISTINCT p_name AS source, p_brand AS target FROM part WHERE p_size > 25 UNION SELECT DISTINCT p_brand, p_type FROM part WHERE p_size < 10),
+m AS (SELECT DISTINCT p_type AS source, p_name AS target FROM part WHERE p_size = 17),
+known AS (SELECT DISTINCT p_name AS n FROM part UNION SELECT DISTINCT p_brand FROM part UNION SELECT DISTINCT p_type FROM part),
+step AS (SELECT * FROM e UNION SELECT * FROM m UNION SELECT target, source FROM m),
+r(n) AS (SELECT DISTINCT p_name FROM part WHERE p_size = 3 UNION SELECT target FROM r JOIN step ON source = n)
+SELECT n AS entity_id FROM r JOIN known USING (n)""")
+def contract_scope(spark, sf_dir):
+    p = t(spark, sf_dir, "part")
+    entities = p.select(F.col("p_name").alias("entity_id")).union(p.select("p_brand")).union(p.select("p_type")).distinct().withColumn("base_entity_id", F.lit(None).cast("string"))
+    attributes = p.filter("p_size > 25").select(F.col("p_name").alias("entity_id"), F.col("p_brand").alias("reference_id")).union(p.filter("p_size < 10").select("p_brand", "p_type")).distinct()
+    edges = p.filter("p_size = 17").select(F.lit("MAPS_TO").alias("kind"), F.col("p_type").alias("source"), F.col("p_name").alias("target")).distinct()
+    operations = p.filter("p_size = 3").select(F.col("p_partkey").cast("string").alias("operation_id"), F.col("p_name").alias("entity_id"))
+    return graph.contract_scope(entities, attributes, edges, operations)
+
+
+@query(r"""
+WITH e AS (SELECT page_id, regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS route, CASE WHEN page_id % 3 = 0 THEN ['Policy', 'Claims'] WHEN page_id % 3 = 1 THEN [] END AS tags, 'page ' || page_id AS description FROM pages),
+d AS (SELECT page_id, description, unnest(CASE WHEN len(coalesce(tags, [])) > 0 THEN tags ELSE [upper(substr(string_split(route, '/')[2], 1, 1)) || substr(string_split(route, '/')[2], 2)] END) AS domain FROM e)
+SELECT domain, count(*) AS n, string_agg(description, ' ' ORDER BY page_id) AS text FROM d GROUP BY domain""")
+def endpoint_domains(spark, sf_dir):
+    p = t(spark, sf_dir, "pages").select(F.col("page_id").alias("endpoint_id"), F.regexp_extract("url", r"^(?s).*?://[^/?#]*([^?#]*)", 1).alias("route"), F.concat(F.lit("page "), "page_id").alias("description"))
+    tags = F.when(F.col("endpoint_id") % 3 == 0, F.array(F.lit("Policy"), F.lit("Claims"))).when(F.col("endpoint_id") % 3 == 1, F.array().cast("array<string>"))
+    return align.endpoint_domains(p.withColumn("tags", tags))
+
+
+@query("""
+WITH c AS (SELECT DISTINCT p_name, p_brand FROM part), m AS (SELECT DISTINCT p_name, p_brand FROM part WHERE p_size > 30)
+SELECT p_name AS candidate_id, p_brand AS right_id FROM c WHERE p_name IN (SELECT p_name FROM m) AND (p_name, p_brand) NOT IN (SELECT (p_name, p_brand) FROM m)""")
+def unmatched_details(spark, sf_dir):
+    p = t(spark, sf_dir, "part")
+    pick = [F.col("p_name").alias("candidate_id"), F.col("p_brand").alias("right_id")]
+    return align.unmatched(p.filter("p_size > 30").select(*pick).distinct(), p.select(*pick).distinct())
+
+
+@query("""
+SELECT doc_id, CASE WHEN s IS NULL OR s = '' THEN 'No suggestion' WHEN s = source THEN 'Unchanged' ELSE 'Renamed' END AS status
+FROM (SELECT d.doc_id, source, CASE WHEN quality = 1 THEN CASE WHEN toxic = 1 THEN upper(source) ELSE source END WHEN quality = 0 THEN '' END AS s FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id)""")
+def name_status(spark, sf_dir):
+    rows = t(spark, sf_dir, "documents").select("doc_id", "source").join(t(spark, sf_dir, "labels"), "doc_id", "left")
+    s = F.when(F.col("quality") == 1, F.when(F.col("toxic") == 1, F.upper("source")).otherwise(F.col("source"))).when(F.col("quality") == 0, "")
+    return catalog.name_status(rows.withColumn("s", s), "source", "s").select("doc_id", "status")
+
+
+@query("""
+WITH l AS (SELECT * FROM (SELECT l_partkey, l_suppkey, l_orderkey, l_linenumber, l_quantity, row_number() OVER (PARTITION BY l_partkey, l_suppkey ORDER BY l_orderkey * 10 + l_linenumber DESC, l_quantity DESC) AS rn FROM lineitem) WHERE rn = 1)
+SELECT DISTINCT l_partkey AS subject_id, s_name AS source, s_name || CASE WHEN l_linenumber <> l_linenumber + l_quantity % 3 THEN ':lines ' || l_linenumber || '-' || CAST(l_linenumber + l_quantity % 3 AS INT) ELSE ':line ' || l_linenumber END AS location
+FROM l JOIN supplier ON s_suppkey = l_suppkey""")
+def supporting_sources(spark, sf_dir):
+    li, s = t(spark, sf_dir, "lineitem"), t(spark, sf_dir, "supplier")
+    evidence = li.select(F.col("l_partkey").alias("subject_id"), F.col("l_suppkey").alias("source_id"))
+    sources = s.select(F.col("s_suppkey").alias("source_id"), F.col("s_name").alias("path"))
+    place = F.struct((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("a"), F.col("l_quantity").alias("b"))
+    lines = li.join(s, li.l_suppkey == s.s_suppkey).select(F.col("l_partkey").alias("subject_id"), F.col("l_suppkey").alias("source_id"), F.col("s_name").alias("path"), F.col("l_linenumber").alias("start_line"), (F.col("l_linenumber") + F.col("l_quantity") % 3).cast("int").alias("end_line"), F.lit(None).cast("string").alias("pointer"), place.alias("place"))
+    return catalog.supporting_sources(evidence, sources, lines)
+
+
+@query("""
+SELECT doc_id, CASE WHEN status = 'Not matched' AND b IS NOT NULL THEN CASE WHEN g IS NOT NULL THEN 'Generated' ELSE 'Manual' END WHEN b IS NOT NULL THEN 'Canonical baseline' WHEN r IS NOT NULL THEN 'Reference' WHEN g IS NOT NULL THEN 'Generated' ELSE 'Manual' END AS choice
+FROM (SELECT doc_id, CASE WHEN toxic = 1 THEN 'Not matched' ELSE 'Full match' END AS status, CASE WHEN doc_id % 2 = 0 THEN doc_id END AS b, CASE WHEN doc_id % 3 = 0 THEN doc_id END AS r, CASE WHEN quality = 1 THEN doc_id END AS g FROM labels)""")
+def default_choice(spark, sf_dir):
+    if_ = lambda test: F.when(test, F.col("doc_id"))
+    status = F.when(F.col("toxic") == 1, similarity.NONE).otherwise(similarity.FULL)
+    return t(spark, sf_dir, "labels").select("doc_id", align.default_choice(status, if_(F.col("doc_id") % 2 == 0), if_(F.col("doc_id") % 3 == 0), if_(F.col("quality") == 1)).alias("choice"))
+
+
+@query("""
+SELECT page_id, (page_id % 4 = 0 OR page_id % 5 = 0 OR contains(s, 'api') OR s = 'web') AND NOT contains(s, 'th') AS selected, NOT starts_with(p, '/') AND p <> '' AS safe
+FROM (SELECT page_id, lower(regexp_extract(url, '(?s)^.*?://([^./]*)', 1)) AS s, regexp_extract(url, '(?s)^.*?://[^/]*(.*)$', 1) AS p FROM pages)""")
+def project_selection(spark, sf_dir):
+    p = t(spark, sf_dir, "pages").withColumn("s", F.regexp_extract("url", r"^(?s).*?://([^./]*)", 1)).withColumn("p", F.regexp_extract("url", r"^(?s).*?://[^/]*(.*)$", 1))
+    owners = F.when(F.col("page_id") % 4 == 0, 1).otherwise(0)
+    stem = F.replace(F.replace("s", F.lit("test"), F.lit("")), F.lit("th"), F.lit("test"))
+    return p.select("page_id", quality.selected_project(owners, F.col("page_id") % 5 == 0, stem).alias("selected"), quality.safe_member(F.col("p")).alias("safe"))
+
+
+@query("""
+SELECT n_regionkey AS source, n_nationkey AS target, 'CONTAINS' AS kind, 'syntax' AS resolution FROM nation""")
+def hierarchy_edges(spark, sf_dir):
+    r, n = t(spark, sf_dir, "region"), t(spark, sf_dir, "nation")
+    nodes = r.select(F.col("r_regionkey").alias("id"), F.concat(F.lit("r"), "r_regionkey").alias("key"), F.lit(None).cast("string").alias("parent_key"))
+    return graph.parents(nodes.union(n.select("n_nationkey", F.concat(F.lit("n"), "n_nationkey"), F.concat(F.lit("r"), "n_regionkey"))))
+
+
+@query("""
+SELECT c_custkey AS id FROM customer WHERE c_nationkey IN (SELECT s_nationkey FROM supplier WHERE s_acctbal > 5000)""")
+def retained_children(spark, sf_dir):
+    s = t(spark, sf_dir, "supplier").filter("s_acctbal > 5000")
+    return graph.retained(t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("n")), "n", s, "s_nationkey").select("id")
+
+
+@query("""
+SELECT l_orderkey, CAST(l_linenumber AS INT) AS l_linenumber, first(l_quantity ORDER BY l_shipdate, l_quantity) AS l_quantity FROM lineitem WHERE l_linenumber <= 3 GROUP BY ALL""")
+def reconcile_responses(spark, sf_dir):
+    li = t(spark, sf_dir, "lineitem")
+    keys = ["l_orderkey", "l_linenumber"]
+    expected = li.filter("l_linenumber <= 3").select(*keys).distinct()
+    supplied = li.select(*keys, "l_quantity", F.struct("l_shipdate", "l_quantity").alias("place"))
+    return enrichment.reconcile_responses(expected, supplied, keys, "place")

@@ -1,6 +1,6 @@
 import json
 
-from specweave.operators import discovery
+from specweave.operators import artifacts, discovery
 from specweave.sources import repository
 
 PLACE = {"path": "Models/Quote.cs", "startLine": 1, "endLine": 9}
@@ -51,3 +51,37 @@ def test_reconciling_two_observations(spark):
     assert {(r.code, r.subject_id) for r in out["diagnostics"].collect()} == {("RECONCILE_ATTRIBUTE", "A1"), ("RECONCILE_ENUM", "N1"), ("RECONCILE_ROUTE_PREFIX", "c1"), ("RECONCILE_SPEC_ONLY", "s2"), ("RECONCILE_CODE_ONLY", "c2")}
     assert {r.id: r.evidence_ids for r in out["entities"].collect()} == {"E1": ["e2", "f2"], "E2": ["e2", "f2"], "S3": ["f2"]}
     assert sorted(r.id for r in out["operations"].collect()) == ["c1", "c2", "s2"] and out["attributes"].count() == 4
+
+
+def test_artifacts_show_names_only(spark, tmp_path):
+    (tmp_path / "x.json").write_text(json.dumps(RAW))
+    m = discovery.from_extraction(repository.sidecar(spark, str(tmp_path)).selectExpr("'eu' as region", "'quotes' as system", "*"))
+    shown = artifacts.artifacts(m)
+    graph = {r.relationship for r in shown["relationship-graph"].collect()}
+    assert "QuoteDto inherits Base" in graph and "GetQuote returns QuoteDto" in graph and "QuoteDto contains QuoteDto.status" in graph
+    model = {r.name: r for r in shown["data-model"].collect()}
+    assert model["QuoteDto"].inherits_from == "Base" and [(f.name, f.type) for f in model["QuoteDto"].fields] == [("status", "Status"), ("lines", "Base")]
+    catalog = shown["api-catalog"].first()
+    tree = json.loads(catalog.responses[0].model)
+    assert [(x["name"], x["role"]) for x in tree["models"]] == [("QuoteDto", "Root model"), ("Base", "Related model")]
+    assert {x["relationship"] for x in tree["relations"]} == {"contains many", "inherits from"}
+    assert shown["lineage"].filter("location = 'Models/Quote.cs:lines 1-9'").count() == 7
+    assert {r.rule for r in shown["validation-enums"].collect()} == {"Required", "enum"}
+    everything = "".join(str(r) for df in shown.values() for r in df.collect())
+    import re
+
+    assert not re.search(r"(entity|attribute|operation|enum)-[0-9a-f]{20}", everything)
+
+
+def test_enriched_openapi(spark, tmp_path):
+    (tmp_path / "x.json").write_text(json.dumps(RAW))
+    m = discovery.from_extraction(repository.sidecar(spark, str(tmp_path)).selectExpr("'eu' as region", "'quotes' as system", "*"))
+    op = m["operations"].first().id
+    said = spark.createDataFrame([(op, "Read a quote", 'says "hi"', "Policy")], "operation_id string, summary string, description string, domain string")
+    doc = json.loads(artifacts.enriched_openapi("t", "1", m, said).first().document)
+    get = doc["paths"]["/api/v1/quotes/{id:guid}"]["get"]
+    assert get["summary"] == "Read a quote" and get["tags"] == ["Policy"] and get["responses"]["200"]["description"] == "Successful response"
+    quote = doc["components"]["schemas"]["QuoteDto"]
+    assert quote["required"] == ["status"] and quote["properties"]["lines"]["$ref"] == "#/components/schemas/Base"
+    plain = json.loads(artifacts.enriched_openapi("t", "1", m, said.limit(0)).first().document)
+    assert plain["paths"]["/api/v1/quotes/{id:guid}"]["get"]["summary"] == "GetQuote"
