@@ -48,8 +48,9 @@ def judge(docs: DataFrame, labels: DataFrame, order: int = ORDER, quantile: floa
 
 def keep_good(docs: DataFrame, labels: DataFrame, order: int = ORDER, quantile: float = QUANTILE, margin: float = MARGIN) -> DataFrame:
     """The rows of ``docs`` (doc_id, text, lang and any others) that judge() keeps, with all their columns."""
-    names = docs.columns
-    blocks, n, model, keys, good = _trained(docs, labels, order)
+    held = {c: c if c in ("doc_id", "text", "lang") else f"_c{i}" for i, c in enumerate(docs.columns)}  # other names may clash with ours
+    own = docs.select(*[F.col(f"`{c}`").alias(h) for c, h in held.items()])
+    blocks, n, model, keys, good = _trained(own, labels, order)
     if not keys:
         return docs.filter("length(text) > 0")
     short = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, model string, n_symbols long, loss double"
@@ -60,9 +61,10 @@ def keep_good(docs: DataFrame, labels: DataFrame, order: int = ORDER, quantile:
         loss = -sums[:, 0] / np.maximum(size, 1)
         limit = np.array([most.get(k, np.inf) for k in batch.column("key").to_pylist()])
         good = (size > 0) & (loss <= limit + SLACK / np.sqrt(np.maximum(size, 1)) + np.log(margin))
-        return pa.Table.from_batches([batch.filter(pa.array(good)).select(names)])
+        return pa.Table.from_batches([batch.filter(pa.array(good)).select(list(held.values()))])
 
-    return kn.score(blocks, n, model, keys, order, kn.characters, True, finish, docs.schema)
+    kept = kn.score(blocks, n, model, keys, order, kn.characters, True, finish, own.schema)
+    return kept.select(*[F.col(h).alias(c) for c, h in held.items()])
 
 
 def _trained(docs: DataFrame, labels: DataFrame, order: int):

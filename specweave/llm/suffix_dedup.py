@@ -1,13 +1,14 @@
-"""Removal of 50-byte strings that an earlier document has, by a hash-compared sort of anchored suffixes.
-
-Prefix polynomial hashes give the hash of any stretch of text in constant time. The
-suffixes that are sorted are the windows of 50 bytes, compared by hash and verified
-byte by byte where hashes agree. Sorting all of them would move every byte of the
-corpus many times over, so windows are sorted in runs: consecutive windows that share
-their anchor, the smallest hash of any 24 bytes inside. Equal windows have equal anchors, so a
-run only ever meets runs of its own anchor, and a run that is met by an equal one in an
-earlier document is settled as a whole. Only runs that differ under a shared anchor,
-the edges of what is repeated, have their windows sorted one by one.
+"""Removal of 50-byte strings that an earlier document has, by a hash-compared sort of suffixes.
+
+Prefix polynomial hashes give the hash of any stretch of text in constant time, so a binary
+search over them finds how far two suffixes agree, and a mergesort of suffixes needs a
+logarithmic number of probes for each comparison; where hashes agree to the full 50 bytes,
+the bytes are compared. Sorting the suffixes of a whole corpus in one place
+would move every byte many times over, so they are dealt out by their anchor, the
+smallest hash of any 24 bytes among their first 50: suffixes that agree in 50 bytes share it.
+Consecutive suffixes with one anchor form a run. A run that is met by an equal one in an
+earlier document, as inside any long passage, is settled as a whole; the suffixes of runs that differ
+under a shared anchor, at the edges of what is repeated, are sorted one by one.
 """
 
 from __future__ import annotations
@@ -74,6 +75,10 @@ class Prefixes:
         n = max(0, len(self.sums) - length)
         return mixed((self.sums[length:] - self.sums[:n]) * self.inverse[:n])
 
+    def raw(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Equal for equal stretches of one length."""
+        return (self.sums[ends] - self.sums[starts]) * self.inverse[starts]
+
     def of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         return mixed((self.sums[ends] - self.sums[starts]) * self.inverse[starts] + (ends - starts).astype(np.uint64) * _U(_BASE))
 
@@ -301,8 +306,50 @@ def _open_windows(length: int):
     return run
 
 
+def common_extension(prefixes: Prefixes, a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
+    """How many bytes from places a and b on agree, up to ``most``: a binary search over prefix hashes for all pairs at once."""
+    low, high = np.zeros(len(a), np.int64), np.full(len(a), most)
+    while (high > low).any():
+        middle = (low + high + 1) >> 1
+        same = prefixes.raw(a, a + middle) == prefixes.raw(b, b + middle)
+        low, high = np.where(same, middle, low), np.where(same, high, middle - 1)
+    return low
+
+
+def suffix_sorted(prefixes: Prefixes, buffer: np.ndarray, at: np.ndarray, group: np.ndarray, most: int) -> np.ndarray:
+    """The order of suffixes that begin at ``at`` by group, then by their first ``most`` bytes; equal ones stay in place.
+
+    A bottom-up mergesort of all groups at once: on each level every suffix finds its rank in the run beside
+    its own by binary search, and each comparison is a common extension and the byte after it. group is in order.
+    """
+    starts = _groups(group)
+    sizes = np.diff(np.append(starts, len(group)))
+    order = np.arange(len(at))
+    base, size = np.repeat(starts, sizes), np.repeat(sizes, sizes)
+    width = 1
+    while width < sizes.max(initial=0):
+        here = np.flatnonzero(size > width)  # places in groups that have runs to merge
+        place = here - base[here]
+        run = place // width
+        beside = (run ^ 1) * width
+        there = np.clip(size[here] - beside, 0, width)
+        own = at[order[here]]
+        low, high = np.zeros(len(here), np.int64), there.copy()
+        while len(todo := np.flatnonzero(low < high)):
+            middle = (low[todo] + high[todo]) >> 1
+            mine, other = own[todo], at[order[base[here[todo]] + beside[todo] + middle]]
+            agree = common_extension(prefixes, mine, other, most)
+            end = agree == most
+            after = np.where(end, run[todo] & 1, buffer[other + np.minimum(agree, most - 1)] < buffer[mine + np.minimum(agree, most - 1)]).astype(bool)
+            low[todo], high[todo] = np.where(after, middle + 1, low[todo]), np.where(after, high[todo], middle)
+        merged = order.copy()
+        merged[base[here] + (run >> 1) * 2 * width + place % width + low] = order[here]
+        order, width = merged, 2 * width
+    return order
+
+
 def _sort_windows(length: int, blocks: int):
-    """Open runs of whole buckets: sort their windows by anchor and hash, verify, and tell later documents.
+    """Open runs of whole buckets: sort their windows as suffixes within each anchor, verify equal ones, and tell later documents.
 
     Settled runs pass through.
     """
@@ -320,27 +367,29 @@ def _sort_windows(length: int, blocks: int):
             return
         t = pa.Table.from_batches(held).combine_chunks().sort_by([("m", "ascending"), ("doc_id", "ascending"), ("s", "ascending")])
         batch = t.combine_chunks().to_batches()[0]
-        order = batch.column("m").to_numpy(zero_copy_only=False)
-        ids, h, s = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "h", "s"))
+        anchors, ids, h, s = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("m", "doc_id", "h", "s"))
         buffer, offsets = flat(batch)
-        starts = _groups(order)
         out, lo = [], 0
-        for hi in [*starts[1:].tolist(), len(order)]:  # some groups at a time
-            if offsets[hi] - offsets[lo] < (1 << 18) and hi < len(order):
+        for hi in [*_groups(anchors)[1:].tolist(), len(anchors)]:  # some anchors at a time
+            if offsets[hi] - offsets[lo] < (1 << 18) and hi < len(anchors):
                 continue
-            x = _windows(buffer[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], length)
-            own = lo + x.pop("row")
-            x |= {"m": order[own], "doc": ids[own], "h": h[own].view(np.uint32).astype(np.uint64), "s": (s[own] + x["off"]).astype(np.uint64)}
-            x, later = _earliest(x, "m", "hash")
-            begin = _groups(x["m"], x["hash"])
-            source = np.repeat(x["at"][begin], np.diff(np.append(begin, len(later))))
-            which = np.flatnonzero(later)
-            part = buffer[offsets[lo] : offsets[hi]]
-            for a in range(0, len(which), 1 << 16):
-                some = which[a : a + (1 << 16)]
-                span = np.arange(length)
-                same = (part[x["at"][some][:, None] + span] == part[source[some][:, None] + span]).all(1)
-                out.append({k: x[k][some[same]] for k in ("doc", "h", "s")})
+            part, bounds = buffer[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
+            row, off = _windows(bounds, length)
+            at = bounds[row] + off
+            prefixes = Prefixes(part)
+            order = suffix_sorted(prefixes, part, at, anchors[lo + row], length)
+            at, off, own = at[order], off[order], lo + row[order]
+            alike = np.zeros(len(at), bool)
+            alike[1:] = (anchors[own[1:]] == anchors[own[:-1]]) & (common_extension(prefixes, at[1:], at[:-1], length) == length)
+            begin = np.flatnonzero(~alike)
+            counts = np.diff(np.append(begin, len(at)))
+            which = np.flatnonzero(ids[own] > np.repeat(np.minimum.reduceat(ids[own], begin), counts))
+            source = np.repeat(at[begin], counts)
+            span = np.arange(length)
+            for a in range(0, len(which), 1 << 15):
+                some = which[a : a + (1 << 15)]
+                some = some[(part[at[some][:, None] + span] == part[source[some][:, None] + span]).all(1)]
+                out.append({"doc": ids[own[some]], "h": h[own[some]].view(np.uint32).astype(np.uint64), "s": (s[own[some]] + off[some]).astype(np.uint64)})
             lo = hi
         x = _joined(out) if out else {"doc": []}
         if not len(x["doc"]):
@@ -355,13 +404,11 @@ def _sort_windows(length: int, blocks: int):
     return run
 
 
-def _windows(buffer: np.ndarray, offsets: np.ndarray, length: int) -> dict[str, np.ndarray]:
-    """Each window of each row: row, offset in it, place in the buffer, hash."""
+def _windows(offsets: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Each window of each row: the row and the window's place in it."""
     counts = np.diff(offsets) - length + 1
     row = np.repeat(np.arange(len(counts)), counts)
-    off = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
-    at = offsets[row] + off
-    return {"row": row, "off": off, "at": at, "hash": Prefixes(buffer).every(length)[at]}
+    return row, np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
 
 
 def removed_ranges(starts: np.ndarray, after: np.ndarray, length: int) -> list[tuple[int, int]]:

@@ -230,7 +230,8 @@ def test_quality_keeps_the_trusted_kind(spark):
     assert all(got[i].kept for i in [*range(60), 2002, 2003, 2004]) and not any(got[i].kept for i in [*range(1000, 1010), 2000, 2001])
     assert got[2000].perplexity is None and got[2003].model == quality.ANY
     kept = quality.keep_good(d, labels)
-    assert kept.columns == d.columns and sorted(r.doc_id for r in kept.collect()) == sorted([0, *range(60), 2002, 2003, 2004])
+    assert kept.columns == d.columns and {r.key for r in kept.collect()} == {"x"}
+    assert sorted(r.doc_id for r in kept.collect()) == sorted([0, *range(60), 2002, 2003, 2004])
     none = spark.createDataFrame([], labels.schema)
     assert {r.doc_id for r in quality.keep_good(d, none).collect()} == {r[0] for r in good + bad + odd if r[1]}
     assert all(r.kept == bool(r.n_symbols) for r in quality.judge(d, none).collect())

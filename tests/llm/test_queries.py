@@ -53,3 +53,18 @@ def test_pipeline_stages(spark, small, tmp_path):
 def test_run_is_the_stages(spark, small):
     first = sorted(map(tuple, corpus_pipeline.run(spark, small).collect()), key=str)
     assert first and first == sorted(map(tuple, corpus_pipeline.run(spark, small).collect()), key=str)
+
+
+def test_stages_take_odd_documents(spark, small):
+    odd = [(1, None, "en", "a", 0), (2, "", None, None, 0), (3, "a word or two of the same text here", "en", "a", 35), (3, "a word or two of the same text here", "en", "a", 35), (None, "no id at all", "de", "b", 12), (4, "x" * 200_000, "xx", "b", 200_000)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    for rows in (odd, []):
+        docs = spark.createDataFrame(rows, schema).selectExpr("*", "'k' as key", "'b' as block", "1 as size", "2.5 as target", "array(1) as row", "'f' as fp")
+        columns = docs.columns
+        for name, stage in corpus_pipeline.STAGES:
+            docs = stage(spark, docs, small)
+            got = docs.collect()
+            assert name == "mixing" or docs.columns == columns
+            assert all(r.key == "k" and r.block == "b" and r.row == [1] for r in got)
+            docs = spark.createDataFrame(got, docs.schema)
+        assert len(got) == 0 or {r.doc_id for r in got} <= {None, 3, 4}
