@@ -58,6 +58,14 @@ def entity_score(name: Column, attributes: Column, description: Column) -> Colum
     return name * 0.5 + attributes * 0.4 + description * 0.1
 
 
+def domain_score(name: Column, capabilities: Column) -> Column:
+    return name * 0.7 + capabilities * 0.3
+
+
+def capability_score(name: Column, text: Column) -> Column:
+    return name * 0.8 + text * 0.2
+
+
 def parent_status(score: Column, every_full: Column, any_matched: Column, full: float = 85, partial: float = 40) -> Column:
     """A parent matches fully only if all its children do, and in part if any does."""
     return F.when((score >= full) & every_full, FULL).when((score >= partial) | any_matched, PARTIAL).otherwise(NONE)

@@ -8,10 +8,13 @@ from pyspark.sql import functions as F
 from specweave.functions.similarity import (
     FULL,
     NONE,
+    PARTIAL,
     attribute_score,
     attribute_status,
+    capability_score,
     chosen_source,
     compatible_types,
+    domain_score,
     entity_score,
     name_similarity,
     parent_status,
@@ -61,14 +64,33 @@ def align(regional: DataFrame, regional_attributes: DataFrame, candidates: DataF
     """
     pairs = entity_pairs(regional, candidates, blocked)
     matched = score_attributes(pairs, regional_attributes, candidate_attributes)
+    return _best(pairs, matched, regional, regional_attributes, candidates, candidate_attributes, entity_score)
+
+
+def align_domains(regional: DataFrame, regional_capabilities: DataFrame, candidates: DataFrame, candidate_capabilities: DataFrame) -> DataFrame:
+    """regional_id, candidate_id, score, status of business domains by name and by their capabilities, matched one to one.
+
+    Domains (id, name, description), capabilities (regional_id, left_id, name, description) and (candidate_id, right_id, ...).
+    """
+    pairs = entity_pairs(regional, candidates)
+    side = lambda t, p: t.select(*[F.col(c).alias(c if c.endswith("_id") else f"{p}_{c}") for c in t.columns])
+    both = pairs.join(side(regional_capabilities, "left"), "regional_id").join(side(candidate_capabilities, "right"), "candidate_id")
+    score = capability_score(name_similarity("left_name", "right_name"), text_similarity("left_description", "right_description"))
+    taken = greedy_pairs(both.withColumn("score", F.round(score, 1)), ["regional_id", "candidate_id"])
+    matched = taken.withColumn("status", F.when(F.col("score") >= 85, FULL).when(F.col("score") >= 45, PARTIAL).otherwise(NONE))
+    return _best(pairs, matched, regional, regional_capabilities, candidates, candidate_capabilities, lambda name, mean, _: domain_score(name, mean))
+
+
+def _best(pairs: DataFrame, matched: DataFrame, regional: DataFrame, regional_children: DataFrame, candidates: DataFrame, candidate_children: DataFrame, total) -> DataFrame:
+    """Each regional item's best pair by total(name, mean of children, description)."""
     size = lambda t, k: t.groupBy(k).agg(F.count("*").alias(f"n_{k}"))
     by_pair = matched.groupBy("regional_id", "candidate_id").agg(F.sum("score").alias("total"), F.count_if(F.col("status") == FULL).alias("full"), F.count_if(F.col("status") != NONE).alias("any"))
     named = lambda t, k, p: t.select(k, F.col("name").alias(f"{p}_name"), F.col("description").alias(f"{p}_description"))
     rows = pairs.join(named(regional, "regional_id", "left"), "regional_id").join(named(candidates, "candidate_id", "right"), "candidate_id")
-    rows = rows.join(by_pair, ["regional_id", "candidate_id"], "left").join(size(regional_attributes, "regional_id"), "regional_id", "left").join(size(candidate_attributes, "candidate_id"), "candidate_id", "left")
+    rows = rows.join(by_pair, ["regional_id", "candidate_id"], "left").join(size(regional_children, "regional_id"), "regional_id", "left").join(size(candidate_children, "candidate_id"), "candidate_id", "left")
     n, m = F.coalesce("n_regional_id", F.lit(0)), F.coalesce("n_candidate_id", F.lit(0))
-    mean = F.when(n > 0, F.coalesce("total", F.lit(0.0)) / n).when(m == 0, 100.0).otherwise(0.0)
-    score = entity_score(name_similarity("left_name", "right_name"), mean, text_similarity("left_description", "right_description"))
+    mean = F.when(n > 0, F.try_divide(F.coalesce("total", F.lit(0.0)), n)).when(m == 0, 100.0).otherwise(0.0)
+    score = total(name_similarity("left_name", "right_name"), mean, text_similarity("left_description", "right_description"))
     rows = rows.withColumn("score", score).withColumn("status", parent_status(F.col("score"), F.coalesce("full", F.lit(0)) == n, F.coalesce("any", F.lit(0)) > 0))
     best = best_candidate(rows.select("regional_id", "score", F.col("right_name").alias("candidate_name"), "candidate_id", "status"), ["regional_id"], "score", "candidate_name")
     out = regional.select("regional_id").distinct().join(best, "regional_id", "left")

@@ -181,6 +181,18 @@ def test_alignment(spark):
     assert got["r1"] == ("c1", 100.0, "Full match") and got["r2"][2] == "Not matched"
 
 
+def test_domains(spark):
+    c = spark.createDataFrame
+    d = "{}_id string, name string, description string"
+    k = "{}_id string, {}_id string, name string, description string"
+    out = align.align_domains(
+        c([("r1", "Claims", ""), ("r2", "Zzz", "")], d.format("regional")), c([("r1", "l1", "Settlement", "pay a claim")], k.format("regional", "left")),
+        c([("c1", "Claims", ""), ("c2", "Billing", "")], d.format("candidate")), c([("c1", "x1", "Settlement", "pay a claim"), ("c2", "x2", "Refund", "")], k.format("candidate", "right")),
+    )
+    got = {r.regional_id: (r.candidate_id, r.score, r.status) for r in out.collect()}
+    assert got["r1"] == ("c1", 100.0, "Full match") and got["r2"][2] == "Not matched"
+
+
 def test_review_and_truth_map(spark):
     s = spark.createDataFrame([("k1", "B", "Address"), ("k2", "a", "address"), ("k3", "c", "Claim")], "source_key string, api string, approved_name string")
     at = spark.createDataFrame([("k1", "a1", "Line1", "string", True), ("k2", "a2", "line1", "String", False)], "source_key string, attribute_id string, approved_name string, type string, required boolean")
