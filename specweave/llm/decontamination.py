@@ -17,6 +17,8 @@ Q = 8
 EDIT_RATE = 0.08
 #: Items that are shorter than this when normalised prove nothing and are not looked for.
 LEAST_ITEM = 24
+#: Hits of grams that are counted at once.
+HITS = 1 << 19
 #: Bytes of items that are searched for in one pass over the documents.
 BLOCK_BYTES = 8 << 20
 
@@ -105,14 +107,23 @@ def candidate_bands(index: ItemIndex, texts: list[bytes]):
     good = index.words[which] == word
     at, which = at[good], which[good]
     counts = index.first[which + 1] - index.first[which]
-    posting = np.repeat(index.first[which] - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
-    text = np.repeat(np.searchsorted(starts, at, side="right") - 1, counts)
-    item = index.item[posting]
     shift = int(max(map(len, index.items))) + 1
-    diagonal = np.repeat(at, counts) - starts[text] - index.place[posting] + shift
-    low = diagonal // index.band
-    keys = (text * len(index.items) + item) << 32
-    both, n = np.unique(np.concatenate((keys + low, keys + low + 1)), return_counts=True)  # band b holds steps b - 1 and b
+    found, tally, done = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], np.cumsum(counts)
+    lo = 0
+    while lo < len(at):  # so many hits at a time, however often texts repeat a gram that many items have
+        hi = max(lo + 1, int(np.searchsorted(done, (done[lo - 1] if lo else 0) + HITS)))
+        n = counts[lo:hi]
+        posting = np.repeat(index.first[which[lo:hi]] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        here = np.repeat(at[lo:hi], n)
+        text = np.searchsorted(starts, here, side="right") - 1
+        low = (here - starts[text] - index.place[posting] + shift) // index.band
+        keys = ((text * len(index.items) + index.item[posting]) << 32) + low
+        keys, n = np.unique(np.concatenate((keys, keys + 1)), return_counts=True)  # band b holds steps b - 1 and b
+        found.append(keys)
+        tally.append(n)
+        lo = hi
+    both, back = np.unique(np.concatenate(found), return_inverse=True)
+    n = np.bincount(back, np.concatenate(tally), len(both)).astype(np.int64)
     pair = both >> 32
     keep = n >= index.need[pair % len(index.items)]
     pair, band = pair[keep], (both & 0xFFFFFFFF)[keep]
