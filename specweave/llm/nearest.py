@@ -21,8 +21,8 @@ SAMPLE = 20_000
 #: Leaves that a query visits: so many that they hold this share of all vectors, trees counted
 #: each. Vectors without structure need a fixed share for a given recall.
 SHARE = 0.9
-#: Leaves of a tree that one task handles together.
-PAGE = 64
+#: Vectors of a tree that are held together: many leaves, or a part of one.
+PAGE = 1 << 14
 
 
 @dataclass
@@ -126,7 +126,9 @@ def nearest(vectors: DataFrame, k: int = 5, every: int = 50, trees: int = TREES,
     forest = grow(_unit(np.array([r.vector for r in fit], np.float64)) if fit else np.zeros((0, 0)), n, trees, leaf)
     n_leaves = max(2 * trees, int(np.ceil(share * n / max(1, n >> forest.depth))))
     shared = spark.sparkContext.broadcast(forest)  # trees x 2^depth planes; the sample bounds the depth
-    pages = max(1, (1 << forest.depth) // PAGE)
+    in_leaf = max(1, n >> forest.depth)
+    together, splits = max(1, PAGE // in_leaf), -(-in_leaf // PAGE)
+    pages = -(-(1 << forest.depth) // together)
 
     def index(batches):
         for batch in batches:
@@ -135,7 +137,8 @@ def nearest(vectors: DataFrame, k: int = 5, every: int = 50, trees: int = TREES,
             at = shared.value.leaves(_unit(_matrix(batch.column("vector"))))
             tree, row = np.repeat(np.arange(trees), at.shape[1]), np.tile(np.arange(at.shape[1]), trees)
             own = batch.take(pa.array(row))
-            page = tree * pages + at.ravel() * pages // (1 << shared.value.depth)
+            part = np.array([i[0] % splits for i in own.column("ids").to_pylist()])
+            page = (tree * pages + at.ravel() // together) * splits + part
             yield pa.RecordBatch.from_arrays([pa.array(page, pa.int32()), pa.array(at.ravel(), pa.int32()), *own.columns], ["page", "leaf", "ids", "vector"])
 
     def search(batches):
@@ -144,7 +147,8 @@ def nearest(vectors: DataFrame, k: int = 5, every: int = 50, trees: int = TREES,
             for i, v in enumerate(_unit(_matrix(batch.column("vector"))) if batch.num_rows else []):
                 wanted: dict[int, list[int]] = {}
                 for t, at in shared.value.search(v, n_leaves):
-                    wanted.setdefault(t * pages + at * pages // (1 << shared.value.depth), []).append(at)
+                    for part in range(splits):
+                        wanted.setdefault((t * pages + at // together) * splits + part, []).append(at)
                 out += [(i, page, at) for page, at in wanted.items()]
             where, page, at = zip(*out, strict=True) if out else ([], [], [])
             own = batch.take(pa.array(where, pa.int64()))

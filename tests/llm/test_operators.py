@@ -333,6 +333,15 @@ def test_repeats_equal_brute_force(spark, small):
 # --- 6 nearest ----------------------------------------------------------------------------------------------
 
 
+def _paged(df, rows):
+    """The same search with pages that hold parts of leaves only."""
+    before, nearest.PAGE = nearest.PAGE, rows
+    try:
+        return nearest.nearest(df, leaf=64).cache()
+    finally:
+        nearest.PAGE = before
+
+
 def test_recall_and_ties(spark):
     rng = np.random.default_rng(6)
     v = rng.standard_normal((3000, 16))
@@ -355,6 +364,8 @@ def test_recall_and_ties(spark):
         assert all(abs(s - unit[q] @ unit[i]) < 1e-12 for i, s, _ in got[q])
     assert hits >= 0.9 * total and set(got) == set(range(0, 3000, 50))
     assert [i for i, *_ in got[1000]] == [7, 1001, 1002, 1003, 1004]
+    nearest_in_parts = {(r.query_id, r.vec_id) for r in _paged(df, 50).collect()}
+    assert nearest_in_parts == {(q, i) for q, own in got.items() for i, *_ in own}
     few = nearest.nearest(spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 1.0])], "vec_id long, embedding array<double>")).collect()
     assert [(r.query_id, r.vec_id) for r in few] == [(0, 1)]
     assert nearest.nearest(df.limit(0)).count() == 0
