@@ -108,7 +108,7 @@ def by_vector(vectors: DataFrame, queries: DataFrame, most: int = CANDIDATES) ->
 
     vectors (doc_id, vector), queries (query_id, vector), arrays of doubles.
     """
-    size = 1 << 20
+    size = 1 << 16
     if queries.count() > size:
         raise ValueError(f"more than {size} query vectors at once; ask in parts")
     pairs = vectors.crossJoin(F.broadcast(queries.select("query_id", F.col("vector").alias("_q"))))

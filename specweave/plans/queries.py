@@ -212,13 +212,29 @@ def retrieve_context(spark, sf_dir):
     return retrieval.retrieve(fused, retrieval.exact_hits(targets, bound, b), edges, chunks)
 
 
-@query()
+@query("""
+WITH RECURSIVE l AS (SELECT doc_id, unnest(x) AS t, generate_subscripts(x, 1) - 1 AS line FROM (
+  SELECT doc_id, CASE WHEN ends_with(text, chr(10)) THEN string_split(text, chr(10))[:-2] ELSE string_split(text, chr(10)) END AS x FROM documents WHERE length(text) > 1800)),
+c AS (SELECT doc_id, line, t, unnest(generate_series(0, CAST(floor(greatest(length(t) - 1, 0) / 1800) AS BIGINT))) AS n FROM l),
+p AS (SELECT doc_id, line, substr(t, n * 1800 + 1, 1800) AS piece, row_number() OVER (PARTITION BY doc_id ORDER BY line, n) AS i FROM c),
+w AS (SELECT doc_id, i, line AS first, line AS last, piece AS text, 0 AS win FROM p WHERE i = 1
+  UNION ALL SELECT p.doc_id, p.i, CASE WHEN w.text <> '' AND length(w.text) + length(p.piece) + 1 > 1800 THEN p.line ELSE w.first END, p.line,
+    CASE WHEN w.text <> '' AND length(w.text) + length(p.piece) + 1 > 1800 THEN p.piece ELSE w.text || CASE WHEN w.text <> '' THEN chr(10) ELSE '' END || p.piece END,
+    w.win + CASE WHEN w.text <> '' AND length(w.text) + length(p.piece) + 1 > 1800 THEN 1 ELSE 0 END FROM w JOIN p ON p.doc_id = w.doc_id AND p.i = w.i + 1),
+done AS (SELECT CAST(doc_id AS VARCHAR) AS parent_id, win AS "window", CAST(first + 1 AS INT) AS start_line, CAST(last + 1 AS INT) AS end_line, text FROM w QUALIFY i = max(i) OVER (PARTITION BY doc_id, win))
+SELECT *, sha256(concat_ws(':', parent_id, 'window', "window", start_line, end_line, text)) AS id FROM done WHERE text <> ''""")
 def chunk_windows(spark, sf_dir):
     d = t(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("id"), F.lit(1).alias("start_line"), "text")
     return retrieval.windows_of(d)
 
 
-@query()
+@query(r"""
+WITH RECURSIVE s AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: x <> '') AS x FROM documents),
+p AS (SELECT doc_id, unnest(x) AS t, generate_subscripts(x, 1) AS i, array_to_string(x[:2], chr(10)) AS header FROM s),
+w AS (SELECT doc_id, i, trim(t, E' \t\n\r') AS cur, 0 AS ordinal FROM p WHERE i = 1
+  UNION ALL SELECT p.doc_id, p.i, CASE WHEN w.cur <> '' AND length(trim(w.cur || chr(10) || p.t, E' \t\n\r')) > 5000 THEN trim(p.header || chr(10) || p.t, E' \t\n\r') ELSE trim(w.cur || chr(10) || p.t, E' \t\n\r') END,
+    w.ordinal + CASE WHEN w.cur <> '' AND length(trim(w.cur || chr(10) || p.t, E' \t\n\r')) > 5000 THEN 1 ELSE 0 END FROM w JOIN p ON p.doc_id = w.doc_id AND p.i = w.i + 1)
+SELECT doc_id, ordinal, substr(cur, 1, 5000) AS chunk FROM (SELECT * FROM w QUALIFY i = max(i) OVER (PARTITION BY doc_id, ordinal)) WHERE cur <> ''""")
 def section_chunks(spark, sf_dir):
     chunks = retrieval.section_chunks(F.filter(F.split("text", "\n"), lambda s: s != ""))
     return t(spark, sf_dir, "documents").select("doc_id", F.posexplode(chunks).alias("ordinal", "chunk"))
@@ -548,9 +564,10 @@ s AS (SELECT a.name, b.text AS candidate, round(len(list_intersect(a.w, b.w)) /
 SELECT name, max(struct_pack(score := score, candidate := candidate)).score AS score, max(struct_pack(score := score, candidate := candidate)).candidate AS candidate FROM s GROUP BY name""")
 def token_jaccard_align(spark, sf_dir):
     p = t(spark, sf_dir, "part")
-    names = p.select(F.col("p_name").alias("name")).distinct()
-    texts = t(spark, sf_dir, "benchmark").select(F.col("text").alias("candidate")).union(p.select(F.concat_ws(" ", "p_type", "p_name"))).distinct()
-    scored = names.crossJoin(F.broadcast(texts)).select("name", "candidate", F.round(similarity.text_similarity("name", "candidate"), 6).alias("score"))  # both sides are distinct names: a few hundred
+    names = p.select(F.col("p_name").alias("regional_id"), F.col("p_name").alias("name"))
+    texts = t(spark, sf_dir, "benchmark").select("text").union(p.select(F.concat_ws(" ", "p_type", "p_name"))).select(F.col("text").alias("candidate_id"), F.col("text").alias("name"))
+    pairs = align.entity_pairs(names, texts)
+    scored = pairs.select(F.col("regional_id").alias("name"), F.col("candidate_id").alias("candidate"), F.round(similarity.text_similarity("regional_id", "candidate_id"), 6).alias("score"))
     return ranking.best_candidate(scored, ["name"], "score", "candidate")
 
 
