@@ -306,9 +306,9 @@ def _open_windows(length: int):
     return run
 
 
-def common_extension(prefixes: Prefixes, a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
-    """How many bytes from places a and b on agree, up to ``most``: a binary search over prefix hashes for all pairs at once."""
-    low, high = np.zeros(len(a), np.int64), np.full(len(a), most)
+def common_extension(prefixes: Prefixes, a: np.ndarray, b: np.ndarray, most: int, known: int = 0) -> np.ndarray:
+    """How many bytes from places a and b on agree, of which ``known`` do, up to ``most``: a binary search over prefix hashes for all pairs at once."""
+    low, high = np.full(len(a), known), np.full(len(a), most)
     while (high > low).any():
         middle = (low + high + 1) >> 1
         same = prefixes.raw(a, a + middle) == prefixes.raw(b, b + middle)
@@ -320,8 +320,10 @@ def suffix_sorted(prefixes: Prefixes, buffer: np.ndarray, at: np.ndarray, group:
     """The order of suffixes that begin at ``at`` by group, then by their first ``most`` bytes; equal ones stay in place.
 
     A bottom-up mergesort of all groups at once: on each level every suffix finds its rank in the run beside
-    its own by binary search, and each comparison is a common extension and the byte after it. group is in order.
+    its own by binary search. Suffixes that differ in their first eight bytes are compared as numbers; any others by
+    their common extension and the byte after it. group is in order, ``most`` at least eight.
     """
+    first = np.ndarray((max(0, len(buffer) - 7),), ">u8", buffer=np.ascontiguousarray(buffer), strides=(1,)).astype(np.uint64)[at]
     starts = _groups(group)
     sizes = np.diff(np.append(starts, len(group)))
     order = np.arange(len(at))
@@ -333,14 +335,19 @@ def suffix_sorted(prefixes: Prefixes, buffer: np.ndarray, at: np.ndarray, group:
         run = place // width
         beside = (run ^ 1) * width
         there = np.clip(size[here] - beside, 0, width)
-        own = at[order[here]]
+        own, begin, odd = order[here], base[here] + beside, (run & 1).astype(bool)
         low, high = np.zeros(len(here), np.int64), there.copy()
         while len(todo := np.flatnonzero(low < high)):
             middle = (low[todo] + high[todo]) >> 1
-            mine, other = own[todo], at[order[base[here[todo]] + beside[todo] + middle]]
-            agree = common_extension(prefixes, mine, other, most)
-            end = agree == most
-            after = np.where(end, run[todo] & 1, buffer[other + np.minimum(agree, most - 1)] < buffer[mine + np.minimum(agree, most - 1)]).astype(bool)
+            mine, other = own[todo], order[begin[todo] + middle]
+            x, y = first[mine], first[other]
+            after = y < x
+            tie = np.flatnonzero(x == y)
+            if len(tie):
+                a, b = at[mine[tie]], at[other[tie]]
+                agree = common_extension(prefixes, a, b, most, 8)
+                last = np.minimum(agree, most - 1)
+                after[tie] = np.where(agree == most, odd[todo[tie]], buffer[b + last] < buffer[a + last])
             low[todo], high[todo] = np.where(after, middle + 1, low[todo]), np.where(after, high[todo], middle)
         merged = order.copy()
         merged[base[here] + (run >> 1) * 2 * width + place % width + low] = order[here]
