@@ -173,8 +173,8 @@ def _groups(*keys: np.ndarray) -> np.ndarray:
 
 
 def _earliest(x: dict, *keys: str) -> tuple[dict, np.ndarray]:
-    """Sorted by keys, then document; for each row whether an earlier document has its keys."""
-    x = _take(x, np.lexsort((x["s"], x["doc"], *(x[k] for k in reversed(keys)))))
+    """Sorted by keys, then document, its text and place; for each row whether an earlier document has its keys."""
+    x = _take(x, np.lexsort((x["s"], x["h"], x["doc"], *(x[k] for k in reversed(keys)))))
     starts = _groups(*(x[k] for k in keys))
     least = np.repeat(x["doc"][starts], np.diff(np.append(starts, len(x["doc"]))))
     return x, x["doc"] > least
@@ -240,7 +240,10 @@ def _meet(blocks: int):
 
 
 def _met(batches, blocks: int):
-    """Runs of whole buckets: those that an earlier document has are settled, those that only share an anchor stay open."""
+    """Runs of whole buckets: those that an earlier document has are settled, those that only share an anchor stay open.
+
+    Of equal runs all in the earliest document stay open: its repeats lose as much as the first of them.
+    """
     held, done = [], []
     for batch in batches:
         for bucket, data in zip(batch.column("bucket").to_pylist(), batch.column("data").to_pylist(), strict=True):
@@ -263,7 +266,9 @@ def _met(batches, blocks: int):
             counts = np.diff(np.append(starts, len(first)))
             several = np.add.reduceat(first.astype(np.int64), starts) > 1
             mixed_docs = np.minimum.reduceat(x["doc"], starts) != np.maximum.reduceat(x["doc"], starts)
-            out += [_marked(_take(x, covered), SETTLED), _marked(_take(x, first & np.repeat(several & mixed_docs, counts)), OPEN)]
+            once = np.zeros(len(covered), bool)  # equal rows tell the same
+            once[_groups(x["m"], x["c"], x["doc"], x["h"], x["s"])] = True
+            out += [_marked(_take(x, covered), SETTLED), _marked(_take(x, ~covered & once & np.repeat(several & mixed_docs, counts)), OPEN)]
     out = [x for x in out if len(x["doc"])]
     yield _by_block(_joined([{k: x[k] for k in ("doc", "h", "s", "n", "m", "k")} for x in out]), blocks) if out else _NOTHING
 
@@ -283,7 +288,8 @@ def _told(told: pa.Table) -> dict[tuple[int, int], dict]:
 def _open_windows(length: int):
     """The text of each open run of a block's documents, by bucket of the anchor; the settled ones as they came.
 
-    Rows: doc_id, h, first window, anchor, text, bucket; or for settled runs of the block: data as text, no anchor.
+    Rows: doc_id, h, first windows, anchor, text, bucket; or for settled runs of the block: data as text, no anchor.
+    A run that its document repeats is one row with all its first windows.
     """
 
     def run(blobs: pa.Table, told: pa.Table) -> pa.Table:
@@ -293,14 +299,16 @@ def _open_windows(length: int):
                 if (x := known.get((doc, h))) is not None:
                     here = x["k"] == OPEN
                     settled.append(_take(x, ~here))
+                    copies: dict[tuple[int, bytes], list[int]] = {}
                     for s, n, m in zip(*(x[f][here].tolist() for f in ("s", "n", "m")), strict=True):
-                        rows.append((doc, h, s, m, text[s : s + n + length], m >> 40))
+                        copies.setdefault((m, text[s : s + n + length]), []).append(s)
+                    rows += [(doc, h, at, m, run, m >> 40) for (m, run), at in copies.items()]
         settled = [x for x in settled if len(x["doc"])]
         if settled:
             block = told.column("block")[0].as_py()
             rows.append((block, 0, None, None, _pack(_joined(settled), True, _TELL), block))
         columns = list(zip(*rows, strict=True)) if rows else [[]] * 6
-        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int32())
+        kinds = (pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.int64(), pa.binary(), pa.int32())
         return pa.table([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "h", "s", "m", "text", "bucket"])
 
     return run
@@ -372,9 +380,11 @@ def _sort_windows(length: int, blocks: int):
         if not held:
             yield _NOTHING
             return
-        t = pa.Table.from_batches(held).combine_chunks().sort_by([("m", "ascending"), ("doc_id", "ascending"), ("s", "ascending")])
+        t = pa.Table.from_batches(held).combine_chunks().sort_by([("m", "ascending"), ("doc_id", "ascending"), ("h", "ascending")])
         batch = t.combine_chunks().to_batches()[0]
-        anchors, ids, h, s = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("m", "doc_id", "h", "s"))
+        anchors, ids, h = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("m", "doc_id", "h"))
+        copies = batch.column("s").value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        s, first = batch.column("s").flatten().to_numpy(zero_copy_only=False), np.cumsum(copies) - copies
         buffer, offsets = flat(batch)
         out, lo = [], 0
         for hi in [*_groups(anchors)[1:].tolist(), len(anchors)]:  # some anchors at a time
@@ -396,17 +406,24 @@ def _sort_windows(length: int, blocks: int):
             for a in range(0, len(which), 1 << 15):
                 some = which[a : a + (1 << 15)]
                 some = some[(part[at[some][:, None] + span] == part[source[some][:, None] + span]).all(1)]
-                out.append({"doc": ids[own[some]], "h": h[own[some]].view(np.uint32).astype(np.uint64), "s": (s[own[some]] + off[some]).astype(np.uint64)})
+                out.append({"row": own[some], "off": off[some]})
             lo = hi
-        x = _joined(out) if out else {"doc": []}
-        if not len(x["doc"]):
+        x = _joined(out) if out else {"row": []}
+        if not len(x["row"]):
             yield _NOTHING
             return
+        x = _take(x, np.lexsort((x["off"], x["row"])))  # stretches of windows of each run, then at all places of the run
+        begin = np.flatnonzero(np.append(True, (np.diff(x["row"]) != 0) | (np.diff(x["off"]) > 1)))
+        n = x["off"][np.append(begin[1:], len(x["off"])) - 1] - x["off"][begin]
+        row, times = x["row"][begin], copies[x["row"][begin]]
+        place = np.repeat(first[row] - np.cumsum(times) + times, times) + np.arange(times.sum())
+        row, at, n = np.repeat(row, times), s[place] + np.repeat(x["off"][begin], times), np.repeat(n, times)
+        x = {"doc": ids[row], "h": h[row].view(np.uint32).astype(np.uint64), "s": at, "n": n}
         x = _take(x, np.lexsort((x["s"], x["h"], x["doc"])))
-        new = np.append(True, (np.diff(x["doc"]) != 0) | (np.diff(x["h"].astype(np.int64)) != 0) | (np.diff(x["s"].astype(np.int64)) > 1))
-        begin = np.flatnonzero(new)
-        end = np.append(begin[1:], len(new)) - 1
-        yield _by_block(_take(x, begin) | {"n": x["s"][end] - x["s"][begin], "m": np.zeros(len(begin), np.uint64), "k": np.zeros(len(begin), np.uint8)}, blocks)
+        begin = np.flatnonzero(np.append(True, (np.diff(x["doc"]) != 0) | (np.diff(x["h"].astype(np.int64)) != 0) | (x["s"][1:] > (x["s"] + x["n"])[:-1] + 1)))
+        n = np.maximum.reduceat(x["s"] + x["n"], begin) - x["s"][begin]
+        x = _take(x, begin) | {"n": n.astype(np.uint64), "m": np.zeros(len(begin), np.uint64), "k": np.zeros(len(begin), np.uint8)}
+        yield _by_block(x | {"s": x["s"].astype(np.uint64)}, blocks)
 
     return run
 
@@ -467,7 +484,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
     blocks, n = in_blocks(own, deal=_dealt)
     sent = some.mapInArrow(_send(length, anchor, buckets), "bucket int, data binary")
     met = sent.repartition(buckets, "bucket").mapInArrow(_meet(n), "block int, data binary")
-    opened = blocks.groupBy("block").cogroup(met.groupBy("block")).applyInArrow(_open_windows(length), "doc_id long, h int, s long, m long, text binary, bucket int")
+    opened = blocks.groupBy("block").cogroup(met.groupBy("block")).applyInArrow(_open_windows(length), "doc_id long, h int, s array<long>, m long, text binary, bucket int")
     found = opened.repartition(buckets, "bucket").mapInArrow(_sort_windows(length, n), "block int, data binary")
     kind = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
     out = blocks.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(_kept(length, with_text), kind)

@@ -330,6 +330,22 @@ def test_repeats_equal_brute_force(spark, small):
     assert [bytes(r.kept) for r in kept] == [b"a" * 60, b"bc"]
 
 
+def test_documents_that_repeat_their_own_blocks(spark):
+    rng = random.Random(55)
+    text = lambda n: "".join(rng.choice(string.ascii_letters) for _ in range(n))
+    rows = []
+    for k in range(40):
+        shared, block = text(rng.randint(50, 130)), [text(rng.randint(3, 40)) for _ in range(4)]
+        rows.append((3 * k, block[0] + shared + block[1]))
+        rows.append((3 * k + 1, (block[2] + shared + block[3]) * rng.randint(2, 6)))
+        if k % 4 == 0:  # the doc_id again, with another text that holds the block; and an equal row
+            rows += [(3 * k + 1, "+" * 70 + (block[2] + shared + block[3]) * 2), rows[-1]]
+        if k % 5 == 0:  # a later document has the block too
+            rows.append((3 * k + 2, (block[2] + shared + block[3]) * 3))
+    got = sorted(map(tuple, suffix_dedup.remove_repeats(docs(spark, rows)).collect()), key=str)
+    assert got == brute_repeats(rows, 50)
+
+
 # --- 6 nearest ----------------------------------------------------------------------------------------------
 
 
