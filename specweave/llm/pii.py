@@ -89,19 +89,26 @@ _SHY_DOT = rf"(?:{_OPEN}(?:{_DOT_WORD}|\.){_CLOSE}|\s{{1,3}}dot\s{{1,3}})"
 _BRACKETED = re.compile(rf"[\[({{<]\s{{0,3}}(?:{_AT_WORD}|@|{_DOT_WORD}|\.)\s{{0,3}}[\])}}>]", re.I)
 _LOOSE_AT = re.compile(r"\s@|@\s")
 _FIGURE = re.compile(r"[0-9][OolI]|[OolI][0-9]")
-_SPACES = str.maketrans(dict.fromkeys("-,.;:", " "))
+_SIGN_WORD = re.compile(rf"\s(?:{_DOT_WORD}|ät|arroba|arobase)\s", re.I)
+_WORD = re.compile(r"\w+")
 _LATIN_ALIKE = re.compile("[\xa0\xad\xb2\xb3\xb9]")
 
 
 def disguised(text: str) -> bool:
-    """Whether some rule for written-out signs or digits may apply: cheap, and true too often rather than too rarely."""
+    """Whether some rule for written-out signs or digits may apply: cheap, and true too often rather than too rarely.
+
+    No rule rewrites a text for which this is false: each needs a bracketed sign, a loose @ or dot, a word for
+    one between spaces, a letter beside a figure, or two digit words, alike or not, each a whole word.
+    """
     if any(c in text for c in "[({<") and _BRACKETED.search(text):
         return True
-    if "dot" in text or "Dot" in text or "DOT" in text or "@" in text and _LOOSE_AT.search(text):
+    if " . " in text or _SIGN_WORD.search(text) or "@" in text and _LOOSE_AT.search(text):
         return True
     if _DIGIT.search(text) and _FIGURE.search(text):
         return True
-    return len(_WORDS.keys() & set(text.lower().translate(_SPACES).split())) > 1
+    words = _WORD.findall(text.lower())
+    known = _WORDS.keys() & set(words)
+    return len(known) > 1 or any(words.count(w) > 1 for w in known)
 
 
 @cache
@@ -161,6 +168,22 @@ _RUN_PART = re.compile(rf"plus|double|triple|{_DOT_WORD}|{_ONE}|[0-9]+", re.I)
 _OCTETS = re.compile(r"(?<=[0-9])\s{1,3}(?:dot|punkt|point|punto)\s{1,3}(?=[0-9])", re.I)
 _MIXED = re.compile(r"(?<![A-Za-z0-9])[0-9OolI]*[0-9][0-9OolI]*(?![A-Za-z0-9])")
 _RULES_AT = re.compile(rf"(?<=[A-Za-z0-9]){_OPEN}(?:{_AT_WORD}|@){_CLOSE}(?=[A-Za-z0-9])|(?<=[A-Za-z0-9])\s{{1,3}}at\s{{1,3}}(?=[A-Za-z0-9-]{{1,63}}{_SHY_DOT}[A-Za-z0-9])", re.I)
+# Words that stand for nothing else where a domain follows; "at" does only before a disguised dot. "point" is an
+# ordinary word after "at this", so there it needs a top-level domain after it.
+_LABEL, _END = "[A-Za-z0-9-]{1,63}", r"(?![A-Za-z0-9-])"
+_FIRM_AT = r"\s{1,3}(?:ät|arroba|arobase)\s{1,3}"
+_BARE_DOT = rf"\s{{1,3}}{_DOT_WORD}\s{{1,3}}"
+_ANY_DOT = rf"(?:{_SHY_DOT}|{_BARE_DOT}|\.| \. )"
+_TOP = rf"(?:com|org|net|edu|gov|info|biz|eu|fr|ch|de|uk){_END}"
+_WORD_AT = re.compile(
+    rf"(?<=[A-Za-z0-9]){_FIRM_AT}(?={_LABEL}{_ANY_DOT}[A-Za-z0-9])"
+    rf"|(?<=[A-Za-z0-9])\s{{1,3}}at\s{{1,3}}(?={_LABEL}(?:\s{{1,3}}(?:punkt|punto)\s{{1,3}}[A-Za-z0-9]|(?:\s{{1,3}}point\s{{1,3}}{_LABEL}){{0,4}}\s{{1,3}}point\s{{1,3}}{_TOP}))",
+    re.I,
+)
+_NAME = "[A-Za-z0-9._%+-]"
+_WORD_LOCAL = re.compile(rf"(?<!{_NAME}){_NAME}{{1,64}}(?:{_BARE_DOT}{_NAME}{{1,64}}){{1,8}}(?={_FIRM_AT}{_LABEL}{_ANY_DOT}[A-Za-z0-9])", re.I)
+_WORD_DOMAIN = re.compile(rf"(?<=[A-Za-z0-9])@{_LABEL}(?:(?:{_SHY_DOT}|{_BARE_DOT}){_LABEL})+", re.I)
+_SEPARATOR = re.compile(rf"{_SHY_DOT}|{_BARE_DOT}", re.I)
 _SPACED_AT = re.compile(r"(?<=[A-Za-z0-9])\s{0,3}@\s{0,3}(?=[A-Za-z0-9])")
 _RULES_DOT = re.compile(rf"(?<=[A-Za-z0-9]){_SHY_DOT}(?=[A-Za-z0-9])|(?<=[A-Za-z0-9]) \. (?=[A-Za-z0-9])", re.I)
 
@@ -204,9 +227,13 @@ def normalise(text: str) -> Rewriting:
         r.apply(_MIXED, lambda m: m.group().translate(_FIGURES) if sum(map(str.isdigit, m.group())) * 2 > len(m.group()) >= 3 else None)
         r.apply(_DIGIT_RUN, _digits)
         r.apply(_OCTETS, lambda m: ".")
+        if _SIGN_WORD.search(r.text):
+            r.apply(_WORD_LOCAL, lambda m: _SEPARATOR.sub(".", m.group()))
+            r.apply(_WORD_AT, lambda m: "@")
         r.apply(_RULES_AT, lambda m: "@")
-        r.apply(_RULES_DOT, lambda m: ".")
         r.apply(_SPACED_AT, lambda m: "@")
+        r.apply(_WORD_DOMAIN, lambda m: _SEPARATOR.sub(".", m.group()))
+        r.apply(_RULES_DOT, lambda m: ".")
     return r
 
 

@@ -140,6 +140,39 @@ def test_disguises_map_back(text, kind, found):
     assert [(pii.KINDS[k], text[s:e]) for s, k, e in added] == [(kind, found)]
 
 
+@pytest.mark.parametrize(
+    ("text", "kind", "found"),
+    [
+        ("ip 192 punkt 168 punkt 1 punkt 20 ok", "ip", "192 punkt 168 punkt 1 punkt 20"), ("192 Point 168 POINT 1 point 20", "ip", "192 Point 168 POINT 1 point 20"), ("192 punto 168 punto 1 punto 20", "ip", "192 punto 168 punto 1 punto 20"),
+        ("192 dOt 168 dOt 1 dOt 20", "ip", "192 dOt 168 dOt 1 dOt 20"), ("x john.smith@example . com", "email", "john.smith@example . com"),
+        ("call plus four four four four four four four four four four now", "phone", "plus four four four four four four four four four four"),
+        ("(plus acht acht acht acht acht acht acht acht acht acht)", "phone", "plus acht acht acht acht acht acht acht acht acht acht"),
+        ("(null 1 2 3 4 5 6 7 8 9 1 2 3 4 null)", None, None), ("(four 539 1488 0343 646 seven)", "card", "four 539 1488 0343 646 seven"), ("1O0.0.0.1", "ip", "1O0.0.0.1"), ("a@ b.org", "email", "a@ b.org"),
+        ("de ana arroba ejemplo punto com", "email", "ana arroba ejemplo punto com"), ("ana punto ruiz arroba mail punto ejemplo punto com", "email", "ana punto ruiz arroba mail punto ejemplo punto com"),
+        ("jean arobase exemple point fr", "email", "jean arobase exemple point fr"), ("jean arobase exemple.fr", "email", "jean arobase exemple.fr"), ("jean at exemple point co point fr ici", "email", "jean at exemple point co point fr"),
+        ("max ät beispiel punkt de", "email", "max ät beispiel punkt de"), ("max at beispiel punkt de", "email", "max at beispiel punkt de"), ("max@beispiel punkt de", "email", "max@beispiel punkt de"),
+        ("ana [arroba] ejemplo punto com", "email", "ana [arroba] ejemplo punto com"), ("ana@mail dot ejemplo punto com", "email", "ana@mail dot ejemplo punto com"),
+    ],
+)
+def test_each_rule_alone_passes_the_gate(text, kind, found):
+    base, added = pii.pii_spans(text)
+    assert [(pii.KINDS[k], text[s:e]) for s, k, e in added if (k, s, e) not in base] == ([(kind, found)] if kind else [])
+
+
+def test_no_rule_rewrites_what_the_gate_stops(monkeypatch):
+    rng = random.Random(22)
+    pieces = ["four", "Oh", "acht", "plus", "double", "dot", "Punkt", "punto", "point", "DOT", "at", "ät", "arroba", "arobase", "@", ".", " . ", "[", "(", ")", "]", "192", "1O", "l", "x", "ejemplo", "com", "-", ",", "/", "_", "é"]
+    texts = ["".join(rng.choice(pieces) + rng.choice(["", " ", " ", "  ", "\n"]) for _ in range(rng.randint(1, 7))) for _ in range(20_000)]
+    stopped = [t for t in texts if not pii.disguised(t)]
+    monkeypatch.setattr(pii, "disguised", lambda text: True)
+    assert len(stopped) > 1000 and not [t for t in stopped if pii.normalise(t).text != t]
+
+
+def test_ordinary_uses_of_sign_words_add_nothing():
+    for text in ("look at this point we see", "at some point he left", "media arroba de trigo", "en este punto ana@ejemplo.com", "contact point bob@example.com point it out", "joe@x.com punto y aparte", "am Punkt 3", "3 punto 14"):
+        assert not pii.pii_spans(text)[1], text
+
+
 def test_clean_texts_have_nothing_added():
     for text in ("We met at noon. The dot com era began at home.", "un deux trois", "room 101 at 5", "a (at) b", "10O1", "", "The at of dot."):
         assert pii.pii_spans(text) == ([], [])
