@@ -16,7 +16,7 @@ from specweave.llm.decontamination import drop_leaks
 from specweave.llm.mixing import mix
 from specweave.llm.pii import mask_pii
 from specweave.llm.quality import keep_good
-from specweave.llm.simhash import near_duplicates
+from specweave.llm.simhash import keep_first
 from specweave.plans.lineage import checkpoint_folder
 
 
@@ -26,11 +26,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest doc_id; rows without doc_id stay."""
-    groups = near_duplicates(docs.filter("doc_id is not null"))
-    stay = groups.filter("doc_id = component_id").select("doc_id").distinct()
-    named = docs.join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.select(docs.columns).unionByName(docs.filter("doc_id is null"))
+    """Of each group of near-duplicates the row with the smallest doc_id; rows without doc_id stay."""
+    return keep_first(docs.filter("doc_id is not null")).unionByName(docs.filter("doc_id is null"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -95,6 +95,21 @@ def _signed(n: int) -> int:
     return n - (1 << 64) if n >> 63 else n
 
 
+def keep_first(docs: DataFrame) -> DataFrame:
+    """Of each component of fingerprints the row with the smallest doc_id, of equal ones the least by hashes of text and row.
+
+    Rows are judged one by one: those that repeat a doc_id with unrelated texts each stay. No null doc_id.
+    """
+    hashed = [c for c, kind in docs.dtypes if "map<" not in kind]
+    keyed = docs.select("*", F.struct(F.col("doc_id").alias("i"), F.hash("text").alias("t"), F.xxhash64(*[f"`{c}`" for c in hashed]).alias("r")).alias("_near_key"))
+    prints = cut(fingerprints(keyed.select(F.col("_near_key").alias("doc_id"), "text")))
+    links = fingerprint_links(prints.select("fp", F.col("fp").alias("rep")).distinct())
+    found = components(links)
+    roots = prints.join(found, prints.fp == found.node, "left").select("doc_id", F.coalesce("component", "fp").alias("root"))
+    first = roots.groupBy("root").agg(F.min("doc_id").alias("_near_key")).select("_near_key")
+    return keyed.join(first, "_near_key", "left_semi").dropDuplicates(["_near_key"]).select(*[f"`{c}`" for c in docs.columns])
+
+
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, most_bits: int = MOST_BITS, list_limit: int = LIST_LIMIT) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id of every row of ``docs`` (doc_id, text).
 

@@ -50,6 +50,17 @@ def test_pipeline_stages(spark, small, tmp_path):
         before = {r.doc_id: r for r in after}
 
 
+def test_near_dedup_judges_rows_that_repeat_a_doc_id(spark):
+    say = lambda w: " ".join(f"{w}{i}" for i in range(40))
+    rows = [(1, say("a"), "x"), (2, say("b"), "x"), (3, say("b"), "x"), (3, say("c"), "x"), (3, say("d"), "y"), (3, say("d"), "x"), (3, say("d"), "x"), (9, say("c"), "x"), (9, say("e"), "x"), (None, say("a"), "x")]
+    for order in (rows, rows[::-1]):
+        got = corpus_pipeline.near_dedup(spark, spark.createDataFrame(order, "doc_id long, text string, source string").repartition(3), "").collect()
+        assert sorted((r.doc_id or 0, r.text[0]) for r in got) == [(0, "a"), (1, "a"), (2, "b"), (3, "c"), (3, "d"), (9, "e")]
+        chosen = [r.source for r in got if r.text[0] == "d"]
+        assert order is rows or chosen == last
+        last = chosen
+
+
 def test_run_is_the_stages(spark, small):
     first = sorted(map(tuple, corpus_pipeline.run(spark, small).collect()), key=str)
     assert first and first == sorted(map(tuple, corpus_pipeline.run(spark, small).collect()), key=str)
