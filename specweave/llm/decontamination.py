@@ -14,8 +14,8 @@ from .common import chunks, small_batches
 #: Characters of a gram. Eight bytes are one machine word, so grams are compared as they are.
 Q = 8
 #: Edits allowed per byte of an item.
-EDIT_RATE = 0.08
-#: Items that are shorter than this when normalised prove nothing and are not looked for.
+EDIT_RATE = 0.1
+#: Items that are shorter than this when normalised are looked for as they are, at word borders.
 LEAST_ITEM = 24
 #: Hits of grams that are counted at once.
 HITS = 1 << 19
@@ -52,6 +52,8 @@ class ItemIndex:
     place: np.ndarray
     seen: np.ndarray
     band: int
+    least: int
+    tiny: dict[int, tuple[np.ndarray, np.ndarray]]
 
     @property
     def shift(self) -> np.uint64:
@@ -63,27 +65,36 @@ def build_index(rows, edit_rate: float = EDIT_RATE, least: int = LEAST_ITEM) ->
 
     k is edit_rate m, or less where that count would fall under one. Each item's grams that
     most other items share are left out, up to half of that count, and the count is
-    lowered by as many: no occurrence is lost.
+    lowered by as many: no occurrence is lost. Items under ``least`` bytes have no edits, those
+    too short for a gram are kept by their length, as words. Items without letters and digits are left out.
     """
     ids, items = [], []
     for i, text in rows:
-        if len(data := normalised(text)) >= least:
+        if data := normalised(text):
             ids.append(i)
             items.append(data)
     if not items:
         return None
     m = np.array([len(x) for x in items])
-    budget = np.minimum((m * edit_rate).astype(int), (m - Q) // Q)
-    need = m + 1 - Q - budget * Q
+    n_grams = np.maximum(0, m - Q + 1)
+    budget = np.where(m < least, 0, np.clip((m * edit_rate).astype(int), 0, np.maximum(0, m - Q) // Q))
+    need = np.maximum(1, m + 1 - Q - budget * Q)
+    tiny = {}
+    for size in range(1, Q):
+        own = np.flatnonzero(m == size)
+        if len(own):
+            as_word = np.array([int.from_bytes(items[i], "little") for i in own], np.uint64)
+            order = np.argsort(as_word, kind="stable")
+            tiny[size] = as_word[order], own[order]
     word = np.concatenate([grams(x) for x in items])
-    item = np.repeat(np.arange(len(items)), m - Q + 1)
-    place = np.concatenate([np.arange(n) for n in m - Q + 1])
+    item = np.repeat(np.arange(len(items)), n_grams)
+    place = np.concatenate([np.arange(n) for n in n_grams])
     pairs = np.unique(np.rec.fromarrays([word, item]))
     shared, many = np.unique(pairs.f0, return_counts=True)
     common = many[np.searchsorted(shared, word)]
     order = np.lexsort((place, -common, item))
     rank = np.empty(len(order), int)
-    rank[order] = np.arange(len(order)) - np.repeat(np.cumsum(m - Q + 1) - (m - Q + 1), m - Q + 1)
+    rank[order] = np.arange(len(order)) - np.repeat(np.cumsum(n_grams) - n_grams, n_grams)
     out = (common > 1) & (rank < (need // 2)[item])
     need = need - np.bincount(item[out], minlength=len(items))
     word, item, place = word[~out], item[~out], place[~out]
@@ -93,7 +104,7 @@ def build_index(rows, edit_rate: float = EDIT_RATE, least: int = LEAST_ITEM) ->
     bits = max(20, int(len(words) * 64).bit_length())
     seen = np.zeros(1 << bits, bool)
     seen[(words * _MIX) >> np.uint64(64 - bits)] = True
-    return ItemIndex(ids, items, budget, need, [np.unique(grams(x)) for x in items], words, np.append(first, len(word)), item, place, seen, int(budget.max()) + 1)
+    return ItemIndex(ids, items, budget, need, [np.unique(grams(x)) for x in items], words, np.append(first, len(word)), item, place, seen, int(budget.max()) + 1, least, tiny)
 
 
 def candidate_bands(index: ItemIndex, texts: list[bytes]):
@@ -160,16 +171,46 @@ def shared_grams(own: np.ndarray, text: bytes) -> int:
     return int((own[np.minimum(np.searchsorted(own, word), len(own) - 1)] == word).sum())
 
 
+def bordered(text: bytes, a: int, b: int) -> bool:
+    """Whether text[a:b] starts and ends no ASCII word in its middle; other scripts may write words without spaces."""
+    plain = lambda i: 0 <= i < len(text) and text[i] < 128 and text[i] != 32
+    return not (plain(a - 1) and plain(a)) and not (plain(b - 1) and plain(b))
+
+
+def find_bordered(item: bytes, text: bytes, a: int, b: int) -> int:
+    at = text.find(item, a, b)
+    while at >= 0 and not bordered(text, at, at + len(item)):
+        at = text.find(item, at + 1, b)
+    return at
+
+
+def tiny_hits(index: ItemIndex, texts: list[bytes]):
+    """(text, item, place) of the items too short for a gram, in order of the place."""
+    for t, text in enumerate(texts if index.tiny else []):
+        word = grams(text + b"\0" * (Q - 1))
+        for size, (known, own) in index.tiny.items():
+            low = word & np.uint64((1 << 8 * size) - 1)
+            first, last = np.searchsorted(known, low), np.searchsorted(known, low, side="right")
+            for at in np.flatnonzero(last > first).tolist():
+                if bordered(text, at, at + size):
+                    yield from ((t, i, at) for i in own[first[at] : last[at]].tolist())
+
+
 def leaks(index: ItemIndex, texts: list[bytes]) -> dict[tuple[int, int], tuple[int, int, int]]:
     """(text, item) -> (edits, start, end) in normalised bytes: the fewest edits, then the first place."""
     found: dict[tuple[int, int], tuple[int, int, int]] = {}
+    for t, i, at in tiny_hits(index, texts):
+        found.setdefault((t, i), (0, at, at + len(index.items[i])))
     for t, i, low in candidate_bands(index, texts):
         item, text, k = index.items[i], texts[t], int(index.budget[i])
         width = 2 * index.band + 2 * k
         a, b = max(0, low - k), min(len(text), low + width + len(item))
-        at = text.find(item, a, b)
+        short = len(item) < index.least
+        at = find_bordered(item, text, a, b) if short else text.find(item, a, b)
         if at >= 0:
             hit = (0, at, at + len(item))
+        elif short:
+            continue
         elif shared_grams(index.own[i], text[a:b]) < len(item) + 1 - Q - k * Q:
             continue
         else:
@@ -223,7 +264,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, edit_rate: float = EDIT_RA
     docs (doc_id, text), benchmark (item_id, text). Texts are compared in lower case and
     without punctuation; edits counts UTF-8 bytes, start and end are code points of the
     document. An item occurs where edit_rate of its bytes at most are edited. Null and
-    empty texts leak nothing, items under 24 normalised bytes are not looked for, and
+    empty texts leak nothing, items under 24 normalised bytes are found as they are at word borders, and
     repeated rows of documents or items are each reported. Without documents, items or occurrences
     there are no rows. Other columns are not looked at.
     """

@@ -90,6 +90,22 @@ def test_leaks_equal_brute_force(spark):
     assert none.count() == 0 and decontamination.find_leaks(d, spark.createDataFrame([], "item_id long, text string")).count() == 0
 
 
+def test_a_word_in_ten_replaced_and_short_items(spark):
+    item = words(60, 5)
+    chars = list(item)
+    for p in range(5, len(chars), 11):
+        chars[p] = "q"
+    assert 0.085 * len(item) < sum(a != b for a, b in zip(chars, item, strict=True)) <= 0.1 * len(item)
+    items = [(1, item), (2, "Paris!"), (3, "the long road"), (4, "no"), (5, "?!"), (6, "東京"), (7, "seven b"), (8, "12345678"), (9, "no")]
+    rows = [(1, "x " + "".join(chars) + " y"), (2, "in Paris, they"), (3, "The long\troad."), (4, "comparison nothing parisian along the long roads"), (5, "No; 私は東京に住む"), (6, "seven-b 12345678"), (7, "seven bb 123456789"), (8, ""), (9, "paris")]
+    for some in (items, items[1:2], items[4:5], items[3:4]):
+        named = {i for i, _ in some}
+        b = spark.createDataFrame(some, "item_id long, text string")
+        got = sorted((r.doc_id, r.item_id) for r in decontamination.find_leaks(docs(spark, rows), b).collect())
+        assert got == [g for g in [(1, 1), (2, 2), (3, 3), (5, 4), (5, 6), (5, 9), (6, 7), (6, 8), (9, 2)] if g[1] in named]
+        assert {r.doc_id for r in decontamination.drop_leaks(docs(spark, rows), b).collect()} == {r[0] for r in rows} - {d for d, _ in got}
+
+
 # --- 2 personal data --------------------------------------------------------------------------------
 
 BASE = {
