@@ -98,6 +98,9 @@ def usable(vectors: DataFrame) -> DataFrame:
     sizes = rows.groupBy(F.size("vector").alias("size")).count().orderBy(F.desc("count"), "size").limit(1).collect()
     return rows.filter(F.size("vector") == (sizes[0]["size"] if sizes else 0))
 
+#: How far a product of unit vectors may be from the cosine in double precision, with room to spare.
+ROUNDING = 1e-9
+
 
 def nearest(vectors: DataFrame, k: int = 5, every: int = 50, trees: int = TREES, leaf: int = LEAF, share: float = SHARE, sample: int = SAMPLE) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` nearest found of each query in ``vectors`` (vec_id, embedding).
@@ -168,8 +171,11 @@ def nearest(vectors: DataFrame, k: int = 5, every: int = 50, trees: int = TREES,
             for at, who in by_leaf.items():
                 a, b = np.searchsorted(leaves, [at, at + 1])
                 scores = queries[who] @ (vectors[a:b] / norms[a:b, None]).T
-                best = np.argsort(-scores, axis=1, kind="stable")[:, : k + 1]
-                for i, order in zip(who, best, strict=True):
+                if b - a > k + 1:  # all that may tie with the last of the best, as the products are rounded
+                    near = scores >= np.partition(scores, -(k + 1), axis=1)[:, -(k + 1), None] - ROUNDING
+                else:
+                    near = np.ones(scores.shape, bool)
+                for i, order in zip(who, map(np.flatnonzero, near), strict=True):
                     q, own = queries[i], found.setdefault(i, [])
                     for e in (order + a).tolist():
                         score = float(q @ vectors[e] / (np.sqrt(q @ q) * np.sqrt(vectors[e] @ vectors[e])))

@@ -436,6 +436,14 @@ def test_recall_and_ties(spark):
     assert nearest.nearest(df.limit(0)).count() == 0
 
 
+def test_parallel_vectors_tie_by_id(spark):
+    rng = np.random.default_rng(66)
+    way = rng.standard_normal(8)
+    rows = [(0, (way + 0.1).tolist())] + [(i, (way * 2.0 ** (i % 37 - 18)).tolist()) for i in range(1, 38)] + [(i, (-way + rng.standard_normal(8) / 9).tolist()) for i in range(38, 50)]
+    got = nearest.nearest(spark.createDataFrame(rows[::-1], "vec_id long, embedding array<double>").repartition(3)).orderBy("rank").collect()
+    assert [(r.query_id, r.vec_id) for r in got] == [(0, i) for i in range(1, 6)]
+
+
 # --- 7 SimHash ------------------------------------------------------------------------------------------------
 
 
