@@ -4,21 +4,29 @@ A legal conversation is an optional system message, then user and assistant in t
 beginning with user and ending with assistant. Each message may keep its role, be given another, or be
 merged with the message before it; an empty message may be inserted. Every choice has
 a cost, and dynamic programming over the states of the automaton finds the cheapest
-sequence. A step of the programme is a matrix over states under (min, +), which is
-associative: conversations are cut into segments by a range sort, segments are
-summed up as matrices, and once the states at which a segment is entered and left are known,
-each one is repaired on its own. One conversation may so be of any length.
+sequence. Conversations are dealt to compressed blocks by their id and repaired there, so
+texts are shuffled once. Of a long one no single task gets all: a step of the programme is
+a matrix over states under (min, +), which is associative, so long conversations are cut
+into segments by a range sort, segments are summed up as matrices, and once the states at
+which a segment is entered and left are known, each one is repaired on its own. Both ways
+give the same rows.
 """
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema, to_arrow_type
+from pyspark.sql.types import StructType
 
 from specweave.plans.lineage import cut
 
+from .blocks import in_blocks
 from .common import small_batches
 
 ROLES = ("system", "user", "assistant")
@@ -34,6 +42,12 @@ MERGE, RELABEL, INSERT, UNKNOWN = 1, 3, 2, 1
 #: Costs are whole numbers, so that ties are ties; times this, a cost leaves room to prefer fewer changes.
 _NONE = 1 << 40
 
+#: Conversations of more messages or bytes are cut into segments; others are repaired in one piece.
+LONG_MESSAGES = 512
+LONG_BYTES = 1 << 20
+#: So many long conversations at most are broadcast by id, to tell their rows from the others.
+FEW = 50_000
+
 TEMPLATE = "<|im_start|>{role}\n{text}<|im_end|>\n"
 
 
@@ -61,6 +75,9 @@ def step_options(role: str | None) -> list[tuple[int, int, int, int, tuple[int,
 OPTIONS = {role: step_options(role) for role in (*ROLES, None)}
 #: Cost to end in each state: an open question is answered by an empty message.
 FINAL = (_NONE, INSERT * 2, INSERT, 0)
+#: The roles of those empty messages, and what stands between merged texts.
+CLOSING = {SYSTEM: (1, 2), USER: (2,)}
+SEPARATOR = "\n\n"
 
 
 def known_role(role: str | None) -> str | None:
@@ -151,7 +168,53 @@ def _segments(batches):
         yield name, held
 
 
-def repair(turns: DataFrame, parts: int | None = None) -> DataFrame:
+@lru_cache(maxsize=1 << 14)
+def whole_plan(roles: tuple[str | None, ...]) -> tuple[list[tuple[int, tuple[int, ...]]], int, int]:
+    """What repaired() gives for a whole conversation, the state it ends in, and its cost."""
+    costs, back = walked(list(roles), [0, _NONE, _NONE, _NONE])
+    total, last = min((costs[s] + FINAL[s], s) for s in range(4))
+    plan, s = [], last
+    for how in reversed(back):
+        s, _, given, inserted = how[s]
+        plan.append((given, inserted))
+    return plan[::-1], last, total
+
+
+def _in_one_piece(turns: DataFrame, conv: pa.DataType, turn: pa.DataType, kind: str) -> DataFrame:
+    """Repaired conversations that are short enough for one task each, a row for each message."""
+    own = turns.select("conv_id", "turn", "role", "text", F.xxhash64("role", "text").alias("tie"))
+    blocks, _ = in_blocks(own, deal=lambda _, n: F.pmod(F.xxhash64("conv_id"), F.lit(n)).cast("int"))
+    schema = to_arrow_schema(StructType.fromDDL(kind))
+
+    def run(blobs: pa.Table) -> pa.Table:
+        t = pa.concat_tables([pa.ipc.open_stream(data.as_buffer()).read_all() for data in blobs.column("data")])
+        order = pc.sort_indices(t, [(c, "ascending") for c in ("conv_id", "turn", "tie", "role", "text")], null_placement="at_start")
+        t = t.take(order)
+        names, turns, roles, texts = (t.column(c).to_pylist() for c in ("conv_id", "turn", "role", "text"))
+        known = [known_role(r) for r in roles]
+        out, a = [], 0
+        for b in range(1, len(names) + 1):
+            if b < len(names) and names[b] == names[a]:
+                continue
+            plan, last, total = whole_plan(tuple(known[a:b]))
+            made: list[list] = []
+            for i, (given, inserted) in enumerate(plan, a):
+                made += [[None, ROLES[r], [""], ["insert"]] for r in inserted]
+                if given < 0:
+                    made[-1][2].append(texts[i] or "")
+                    made[-1][3].append("merge")
+                else:
+                    made.append([turns[i], ROLES[given], [texts[i] or ""], ["keep" if known[i] == ROLES[given] else "relabel"]])
+            made += [[None, ROLES[r], [""], ["insert"]] for r in CLOSING.get(last, ())]
+            out += [(names[a], m, at, role, SEPARATOR.join(text), ",".join(action), total) for m, (at, role, text, action) in enumerate(made)]
+            a = b
+        columns = list(zip(*out, strict=True)) if out else [[]] * len(schema)
+        return pa.table([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+    return blocks.groupBy("block").applyInArrow(run, kind)
+
+
+def repair(turns: DataFrame, parts: int | None = None, long_messages: int = LONG_MESSAGES, long_bytes: int = LONG_BYTES) -> DataFrame:
     """(conv_id, message, turn, role, text, action, rendered, cost): the repaired conversations, a row for each message.
 
     turns (conv_id, turn, role, text). Messages go by turn, nulls first; ties by a hash of
@@ -164,6 +227,28 @@ def repair(turns: DataFrame, parts: int | None = None) -> DataFrame:
     conversation of its own. Repeated rows are repeated messages. Other columns are not looked at.
     """
     small_batches(turns.sparkSession)
+    name, at = (turns.schema[c].dataType for c in ("conv_id", "turn"))
+    kind = f"conv_id {name.simpleString()}, message long, turn {at.simpleString()}, role string, text string, action string, cost long"
+    sizes = turns.groupBy("conv_id").agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes"))
+    long = cut(sizes.filter((F.col("n") > long_messages) | (F.col("bytes") > long_bytes)).select(F.col("conv_id").alias("long_id")))
+    n_long = long.count()
+    if not n_long:
+        return _rendered(_in_one_piece(turns, to_arrow_type(name), to_arrow_type(at), kind))
+    known = F.broadcast(long) if n_long <= FEW else long  # ids only, and counted
+    same = turns.conv_id.eqNullSafe(F.col("long_id"))
+    short = _in_one_piece(turns.join(known, same, "left_anti"), to_arrow_type(name), to_arrow_type(at), kind)
+    return _rendered(short.unionByName(_in_segments(turns.join(known, same, "left_semi"), parts)))
+
+
+def _rendered(messages: DataFrame) -> DataFrame:
+    before, after = TEMPLATE.split("{text}")
+    start, role_end = before.split("{role}")
+    rendered = F.concat(F.lit(start), F.col("role"), F.lit(role_end), F.col("text"), F.lit(after))
+    return messages.select("conv_id", "message", "turn", "role", "text", "action", rendered.alias("rendered"), "cost")
+
+
+def _in_segments(turns: DataFrame, parts: int | None) -> DataFrame:
+    """Repaired conversations of any length, cut wherever a range sort cuts them."""
     ordered = _ranged(turns, parts)
     kind = turns.schema["conv_id"].dataType.simpleString()
     turn_kind = turns.schema["turn"].dataType.simpleString()
@@ -210,15 +295,11 @@ def _with_known(ordered: DataFrame, known: DataFrame, names: list[str]) -> DataF
 
 
 def conv_type(df: DataFrame) -> pa.DataType:
-    from pyspark.sql.pandas.types import to_arrow_type
-
     return to_arrow_type(df.schema["conv_id"].dataType)
 
 
 def _written(ordered: DataFrame, known: DataFrame, kind: str, turn_kind: str) -> DataFrame:
     """The messages of each segment, numbered; a merge at a segment's start goes to the last message before."""
-    from pyspark.sql.pandas.types import to_arrow_type
-
     conv, turn = conv_type(ordered), to_arrow_type(ordered.schema["turn"].dataType)
 
     def pieces(batches):
@@ -231,7 +312,7 @@ def _written(ordered: DataFrame, known: DataFrame, kind: str, turn_kind: str) ->
                 action = "merge" if given < 0 else "keep" if known_role(role) == ROLES[given] else "relabel"
                 out.append((given >= 0, at, ROLES[given] if given >= 0 else None, text or "", action))
             if last:
-                out += [(True, None, ROLES[r], "", "insert") for r in {SYSTEM: (1, 2), USER: (2,)}.get(leave, ())]
+                out += [(True, None, ROLES[r], "", "insert") for r in CLOSING.get(leave, ())]
             n = len(out)
             columns = list(zip(*out, strict=True))
             arrays = [pa.array([name] * n, conv), pa.array([part] * n, pa.int32()), pa.array(range(n), pa.int64()), pa.array([cost] * n, pa.int64()), *(pa.array(c, t) for c, t in zip(columns, (pa.bool_(), turn, pa.string(), pa.string(), pa.string()), strict=True))]
@@ -241,8 +322,6 @@ def _written(ordered: DataFrame, known: DataFrame, kind: str, turn_kind: str) ->
     made = cut(rows.mapInArrow(pieces, f"conv_id {kind}, part int, nth long, cost long, opens boolean, turn {turn_kind}, role string, text string, action string"))
     # numbers: messages of earlier segments, then those opened so far in this one
     opened = made.groupBy("conv_id", "part").agg(F.count_if("opens").alias("n"))
-    from pyspark.sql import Window
-
     before = Window.partitionBy("conv_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = opened.select(F.col("conv_id").alias("c"), F.col("part").alias("p"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
     inside = Window.partitionBy("conv_id", "part").orderBy("nth").rowsBetween(Window.unboundedPreceding, 0)
@@ -252,11 +331,8 @@ def _written(ordered: DataFrame, known: DataFrame, kind: str, turn_kind: str) ->
     piece = F.struct("part", "nth", "turn", "role", "text", "action")
     merged = numbered.groupBy("conv_id", "message").agg(F.first("cost").alias("cost"), F.sort_array(F.collect_list(piece)).alias("pieces"))
     first = F.element_at("pieces", 1)
-    text = F.array_join(F.transform("pieces", lambda x: x["text"]), "\n\n")
-    out = merged.select("conv_id", "message", first["turn"].alias("turn"), first["role"].alias("role"), text.alias("text"), F.array_join(F.transform("pieces", lambda x: x["action"]), ",").alias("action"), "cost")
-    before_text, after_text = TEMPLATE.split("{text}")
-    rendered = F.concat(F.lit(before_text.split("{role}")[0]), F.col("role"), F.lit(before_text.split("{role}")[1]), F.col("text"), F.lit(after_text))
-    return out.select("conv_id", "message", "turn", "role", "text", "action", rendered.alias("rendered"), "cost")
+    text = F.array_join(F.transform("pieces", lambda x: x["text"]), SEPARATOR)
+    return merged.select("conv_id", "message", first["turn"].alias("turn"), first["role"].alias("role"), text.alias("text"), F.array_join(F.transform("pieces", lambda x: x["action"]), ",").alias("action"), "cost")
 
 
 def _known_segments(batches):
