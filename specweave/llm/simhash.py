@@ -61,9 +61,10 @@ def fingerprint_links(classes: DataFrame, most_bits: int = MOST_BITS, list_limit
     Two fingerprints that differ in k bits share at least 8 - k of their 8 positional
     bytes. A list for one byte of one position would hold 1/256 of the corpus, so lists are
     keyed by positional bytes taken together: the bytes in 2 k groups of equal width, any
-    k groups at once; a pair within k bits shares one of these lists at least. Where
-    a pair meets, its shared positional bytes are tallied, pairs with at least 8 - k are
-    retained, and the differing bits are counted. Lists over ``list_limit`` are not
+    k groups at once; a pair within k bits shares one of these lists at least. In a list
+    each of the other bytes is posted by its position, pairs meet under every such byte that they share, these
+    meetings are tallied on top of the bytes of the list, pairs that reach 8 - k are retained,
+    and their differing bits are counted. Lists over ``list_limit`` are not
     paired: there every member posts itself under each value of its other bits that one
     flip can reach. Two members within 2 bits meet under such a value, and any two that
     meet are within 2 bits, so linking all of them to the least one is exact, and linear.
@@ -76,11 +77,15 @@ def fingerprint_links(classes: DataFrame, most_bits: int = MOST_BITS, list_limit
     postings = classes.filter("rep is not null").select("fp", "rep", F.explode(F.array(*keys)).alias("list")).select("fp", "rep", "list.*")
     sizes = cut(postings.groupBy("part", "value").agg(F.count("*").alias("n")).filter("n > 1"))
     small = postings.join(sizes.filter(F.col("n") <= list_limit).select("part", "value"), ["part", "value"])
-    x, y = small.alias("x"), small.alias("y")
-    differ = F.col("x.fp").bitwiseXOR(F.col("y.fp"))
-    tally = sum((F.shiftrightunsigned(differ, 8 * j).bitwiseAND(F.lit(255)) == 0).cast("int") for j in range(8))
-    met = (F.col("x.part") == F.col("y.part")) & (F.col("x.value") == F.col("y.value")) & (F.col("x.fp") < F.col("y.fp"))
-    pairs = x.join(y, met & (tally >= 8 - most_bits) & (F.bit_count(differ) <= most_bits)).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
+    other = [[j for j in range(8) if j // 2 not in pair] for pair in chosen]
+    byte = lambda j: F.shiftrightunsigned("fp", 8 * j).bitwiseAND(F.lit(255))
+    posted = F.element_at(F.array(*[F.array(*[F.lit(j * 256) + byte(j) for j in places]) for places in other]), F.col("part") + 1)
+    bytes_at = small.select("part", "value", "fp", "rep", F.explode(posted).alias("byte"))
+    x, y = bytes_at.alias("x"), bytes_at.alias("y")
+    met = (F.col("x.part") == F.col("y.part")) & (F.col("x.value") == F.col("y.value")) & (F.col("x.byte") == F.col("y.byte")) & (F.col("x.fp") < F.col("y.fp"))
+    meetings = x.join(y, met).groupBy(F.col("x.part"), F.col("x.fp"), F.col("x.rep").alias("a"), F.col("y.fp").alias("other"), F.col("y.rep").alias("b"))
+    tallied = meetings.agg((F.count("*") + 4).alias("tally")).filter(F.col("tally") >= 8 - most_bits)
+    pairs = tallied.filter(F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))) <= most_bits).select("a", "b")
     large = postings.join(sizes.filter(F.col("n") > list_limit).select("part", "value"), ["part", "value"])
     rest = [[16 * g + i for g in range(4) if g not in pair for i in range(16)] for pair in chosen]
     flips = F.array(*[F.array(*[F.lit(_signed(1 << i)) for i in bits]) for bits in rest])

@@ -326,8 +326,8 @@ def test_repair_is_cheapest_wherever_it_is_cut(spark):
     rows += [(77, 0, "user", "a"), (77, 0, "user", "a"), (77, None, "system", "s")]
     rows += [(88, i, rng.choice(["user", "assistant"]), f"m{i}") for i in range(3000)]
     turns = clash(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
-    found = [sorted(map(tuple, chat.repair(turns, parts).drop("rendered").collect()), key=str) for parts in (1, 5, 17)]
-    assert found[0] == found[1] == found[2]
+    found = [sorted(map(tuple, chat.repair(turns, parts, longest).drop("rendered").collect()), key=str) for parts, longest in ((1, 0), (5, 0), (17, 0), (3, 4), (None, 512))]
+    assert all(f == found[0] for f in found)
     by_conv = {}
     for conv, message, turn, role, text, action, cost in found[0]:
         by_conv.setdefault(conv, []).append((message, role, text, action, cost))
@@ -444,6 +444,27 @@ def test_parallel_vectors_tie_by_id(spark):
     assert [(r.query_id, r.vec_id) for r in got] == [(0, i) for i in range(1, 6)]
 
 
+def test_structured_vectors_need_few_leaves(spark):
+    rng = np.random.default_rng(67)
+    v = np.repeat(rng.standard_normal((120, 24)), 50, 0) + rng.standard_normal((6000, 24)) / 4
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<float>")
+    asked = []
+    plain = nearest.leaves_for
+
+    def noted(entries, forest, *rest):
+        asked.append((plain(entries, forest, *rest), len(forest.planes) << forest.depth))
+        return asked[-1][0]
+
+    nearest.leaves_for = noted
+    try:
+        got = nearest.nearest(df, leaf=64).collect()
+    finally:
+        nearest.leaves_for = plain
+    unit = nearest._unit(v.astype(np.float32).astype(float))
+    hits = sum(len({r.vec_id for r in got if r.query_id == q} & set(np.argsort(-(unit @ unit[q]))[1:6].tolist())) for q in range(0, 6000, 50))
+    assert hits >= 0.9 * 5 * 120 and asked[0][0] < asked[0][1] / 8
+
+
 # --- 7 SimHash ------------------------------------------------------------------------------------------------
 
 
