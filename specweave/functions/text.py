@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from http import HTTPStatus
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -89,10 +91,11 @@ def humanized(x) -> Column:
 
 
 def bare_type(x) -> Column:
-    """A CLR type without global::, ?, [], generic wrapper and namespace."""
-    t = F.regexp_replace(_c(x), r"^global::|\?$|\[\]$", "")
-    inner = F.regexp_extract(t, r"<([^<>]*)>", 1)
-    return F.substring_index(F.when(inner != "", inner).otherwise(t), ".", -1)
+    """A CLR type's innermost name, in lower case: without global::, ?, generic wrapper (its first argument counts), [] and namespace."""
+    t = F.regexp_replace(F.trim(F.replace(_c(x), F.lit("global::"), F.lit(""))), r"\?+$", "")
+    inner = F.trim(F.split_part(F.regexp_extract(t, r"<([^<>]+)>$", 1), F.lit(","), F.lit(1)))
+    bare = F.regexp_replace(F.when(t.rlike(r"<[^<>]+>$"), inner).otherwise(t), r"\[\]$", "")
+    return F.lower(F.regexp_replace(F.substring_index(bare, ".", -1), "[^A-Za-z0-9_]", ""))
 
 
 # What types of two systems are called in common.
@@ -140,7 +143,7 @@ def schema_keywords(rule, value, values) -> Column:
     lookup = F.create_map(*[F.lit(x) for kv in names.items() for x in kv])
     n = F.size(vs)
     number = lambda s: F.when(F.try_to_number(s, F.lit("S999999999999999")).isNotNull(), s).otherwise(F.regexp_replace(s, r"\.0+$", ""))
-    low = F.regexp_extract(F.coalesce(F.array_join(F.slice(vs, 2, 100), ","), F.lit("")), r"(?i)minimumlength=(\d+)", 1)
+    low = F.regexp_extract(F.coalesce(F.array_join(F.slice(vs, F.lit(2), F.greatest(n, F.lit(1))), ","), F.lit("")), r"(?i)minimumlength=(\d+)", 1)
     empty = F.create_map().cast("map<string,string>")
     return (
         F.when(F.map_contains_key(lookup, r) & v.isNotNull(), F.create_map(F.try_element_at(lookup, r), v.cast("string")))
@@ -197,6 +200,22 @@ def status_class(x) -> Column:
     return F.when(h == 2, "Successful response").when(h == 4, "Client error response").when(h >= 5, "Server error response").otherwise("Response")
 
 
+def status_phrase(x) -> Column:
+    """The standard phrase of a status code, or that it is a custom one."""
+    names = F.create_map(*[F.lit(v) for s in HTTPStatus for v in (int(s), s.phrase)])
+    return F.coalesce(F.try_element_at(names, _c(x).cast("int")), F.lit("Custom status"))
+
+
+def preview(x, most: int = 1_800) -> tuple[Column, Column]:
+    """The first ``most`` characters of a text, and whether it has more."""
+    return F.substring(_c(x), 1, most), F.length(_c(x)) > most
+
+
+def embedding_text(path, symbol, text) -> Column:
+    """What is embedded for a piece of code: where it lies, what it is called, and itself."""
+    return F.concat_ws("\n", *[F.coalesce(_c(c), F.lit("")) for c in (path, symbol, text)])
+
+
 def redacted(x) -> Column:
     """Secrets out of a text, line numbers as before: keys in PEM as a mark and their line breaks, tokens, and lines that assign a secret."""
     text = _c(x)

@@ -87,6 +87,23 @@ def usage_totals(calls: DataFrame, run: str, order: str, *columns: str) -> DataF
     return out
 
 
+def gap_counts(entities: DataFrame, attributes: DataFrame, endpoints: DataFrame, awaiting: str = "Awaiting API Analyzer") -> DataFrame:
+    """One row: what still lacks a suggestion (none or a dash) or awaits analysis.
+
+    entities (suggestion, domain), attributes (suggestion), endpoints (suggestion, domain, capability).
+    """
+    none = F.coalesce("suggestion", F.lit("—")) == "—"
+    waits = lambda *cs: F.count_if(reduce(Column.__or__, [F.coalesce(F.col(c) == awaiting, F.lit(False)) for c in cs]))
+    one = entities.agg(F.count_if(none).alias("entities_without_suggestion"), waits("domain").alias("entities_awaiting"))
+    two = attributes.agg(F.count_if(none).alias("attributes_without_suggestion"))
+    return one.crossJoin(two).crossJoin(endpoints.agg(F.count_if(none).alias("endpoints_without_suggestion"), waits("domain", "capability").alias("endpoints_awaiting")))  # one row each
+
+
+def list_totals(sources: DataFrame, *lists: str) -> DataFrame:
+    """One row: sources, and how many elements their lists have in all."""
+    return sources.agg(F.count("*").alias("sources"), *[F.coalesce(F.sum(F.size(F.coalesce(c, F.expr("array()")))), F.lit(0)).alias(c) for c in lists])
+
+
 def domain_of(own: Column, n_linked: Column, linked: Column) -> Column:
     """An entity's domain: its own, else the one its endpoints share, else that there are several, or none."""
     return F.coalesce(own, F.when(n_linked == 1, linked).when(n_linked > 1, "Multiple analyzed domains").otherwise("Awaiting API Analyzer"))

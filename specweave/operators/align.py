@@ -24,23 +24,23 @@ from specweave.functions.text import route_domain, terms
 
 from .ranking import best_candidate, greedy_pairs
 
-#: Pairs of entities that are scored at once without blocking.
-MOST_PAIRS = 50_000_000
+#: Entities of a catalog that may go to every task.
+SMALL = 100_000
 
 
 def entity_pairs(regional: DataFrame, candidates: DataFrame, blocked: bool = False) -> DataFrame:
     """(regional_id, candidate_id): all pairs of two catalogs, or with ``blocked`` those that share a word of the name.
 
-    All pairs is the semantics; catalogs are small, and their product is checked before it is made.
-    Blocking loses pairs that only the letter sequence makes similar, so it is left to the caller.
+    All pairs is the semantics; the smaller catalog goes to every task if it is small, as counted, else the product is
+    made in parts. Blocking loses pairs that only the letter sequence makes similar, so it is left to the caller.
     """
     a, b = regional.select("regional_id", F.col("name").alias("_a")).distinct(), candidates.select("candidate_id", F.col("name").alias("_b")).distinct()
     if blocked:
         x = a.select("regional_id", F.explode(terms("_a", False)).alias("_w"))
         return x.join(b.select("candidate_id", F.explode(terms("_b", False)).alias("_w")), "_w").select("regional_id", "candidate_id").distinct()
-    if (n := a.count() * b.count()) > MOST_PAIRS:
-        raise ValueError(f"{n} pairs of entities; use blocked=True")
-    return a.select("regional_id").crossJoin(b.select("candidate_id"))
+    x, y = a.select("regional_id"), b.select("candidate_id")
+    n, m = x.count(), y.count()
+    return x.crossJoin(F.broadcast(y) if m <= min(n, SMALL) else y) if m <= n else (F.broadcast(x) if n <= SMALL else x).crossJoin(y)
 
 
 def score_attributes(pairs: DataFrame, regional: DataFrame, candidates: DataFrame) -> DataFrame:

@@ -101,6 +101,40 @@ def portfolio(operations: DataFrame, entities: DataFrame) -> tuple[DataFrame, Da
     return ops, ents
 
 
+def normalized(model: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """Models of many systems under comparison names, source names beside them, references by name and no internal ids.
+
+    model, all keyed by (region, system): operations (id, name, method, route, request_entity_id), parameters (operation_id, name, location,
+    required, type), responses (operation_id, status, entity_id), entities (id, name, original_name, base_entity_id), attributes (entity_id,
+    name, original_name, type, required), enums (id, name, value), relationships (kind, source, target), diagnostics (severity, code,
+    message). Names that a reference doesn't lead to are null, relationships' Unknown source and Unknown target.
+    """
+    at = ["region", "system"]
+    called = model["entities"].select(*at, "id", "name").unionByName(model["enums"].select(*at, "id", "name")).unionByName(model["operations"].select(*at, "id", "name"))
+    called = called.groupBy(*at, "id").agg(F.min("name").alias("name"))
+    types = called.join(model["operations"].select(*at, "id"), [*at, "id"], "left_anti")
+
+    def named(df: DataFrame, column: str, alias: str, names: DataFrame, default: str | None = None) -> DataFrame:
+        found = df.join(names.select(*at, F.col("id").alias(column), F.col("name").alias(alias)), [*at, column], "left")
+        return found.withColumn(alias, F.coalesce(alias, F.lit(default))) if default else found
+
+    ops = named(model["operations"], "request_entity_id", "request_model", types)
+    of = model["operations"].select(*at, F.col("id").alias("operation_id"), F.upper("method").alias("method"), portfolio_route("route").alias("route"))
+    ents = named(model["entities"], "base_entity_id", "inherits_from", types)
+    owner = model["entities"].select(*at, F.col("id").alias("entity_id"), snake_identifier("name").alias("entity"))
+    edges = named(named(model["relationships"], "source", "source_name", called, "Unknown source"), "target", "target_name", called, "Unknown target")
+    return {
+        "operations": ops.select(*at, snake_identifier("name").alias("name"), F.col("name").alias("source_name"), F.upper("method").alias("method"), portfolio_route("route").alias("route"), F.col("route").alias("source_route"), "request_model"),
+        "parameters": model["parameters"].join(of, [*at, "operation_id"]).select(*at, "method", "route", snake_identifier("name").alias("name"), F.col("name").alias("source_name"), "location", "required", "type"),
+        "responses": named(model["responses"].join(of, [*at, "operation_id"]), "entity_id", "response_model", types).select(*at, "method", "route", "status", "response_model"),
+        "entities": ents.select(*at, snake_identifier("name").alias("name"), F.col("original_name").alias("source_name"), "inherits_from"),
+        "fields": model["attributes"].join(owner, [*at, "entity_id"]).select(*at, "entity", snake_identifier("name").alias("name"), F.col("original_name").alias("source_name"), "type", "required"),
+        "enums": model["enums"].select(*at, snake_identifier("name").alias("name"), F.col("name").alias("source_name"), snake_identifier("value").alias("value"), F.col("value").alias("source_value")),
+        "relationships": edges.select(*at, F.col("kind").alias("relationship"), F.col("source_name").alias("source"), F.col("target_name").alias("target")),
+        "diagnostics": model["diagnostics"].select(*at, "severity", "code", "message"),
+    }
+
+
 def supporting_sources(evidence: DataFrame, sources: DataFrame, lineage: DataFrame) -> DataFrame:
     """(subject_id, source, location): where each subject was seen, once; of several lineages of a pair the last counts."""
     from specweave.functions.text import location

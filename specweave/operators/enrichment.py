@@ -70,6 +70,55 @@ def report(results: DataFrame, key: str, confidence: str) -> DataFrame:
     return bands(results, confidence, key)
 
 
+def report_counts(discovered: DataFrame, enriched: DataFrame, contexts: DataFrame) -> DataFrame:
+    """(kind, discovered, enriched, missing, domains_classified, capabilities_classified, truncated): how far an analysis got, by kind.
+
+    discovered (kind, id), enriched (kind, id, domain, capability), contexts (kind, id, truncated).
+    """
+    found = enriched.groupBy("kind", "id").agg(F.max("domain").alias("domain"), F.max("capability").alias("capability"), F.lit(True).alias("_e"))
+    cut = contexts.groupBy("kind", "id").agg(F.max("truncated").alias("truncated"))
+    rows = discovered.select("kind", "id").distinct().join(found, ["kind", "id"], "left").join(cut, ["kind", "id"], "left")
+    named = lambda c: F.count_if(F.col("_e") & F.col(c).isNotNull() & (F.col(c) != "UNCLASSIFIED"))
+    return rows.groupBy("kind").agg(
+        F.count("*").alias("discovered"), F.count_if("_e").alias("enriched"), F.count_if(F.col("_e").isNull()).alias("missing"),
+        named("domain").alias("domains_classified"), named("capability").alias("capabilities_classified"), F.count_if("truncated").alias("truncated"),
+    )
+
+
+def restored_proposals(entities: DataFrame, attributes: DataFrame, proposals: DataFrame, proposed: DataFrame) -> DataFrame:
+    """(entity_id, attribute_id, original_name, suggested_name, error): proposed names beside the authoritative ones.
+
+    entities (entity_id, name), attributes (entity_id, attribute_id, name), proposals (entity_id, suggested_name), proposed (entity_id, attribute_id,
+    suggested_name). Originals come from the model whatever a proposal says they are. A proposal must name every attribute of its
+    entity once and no other: each that it misses, repeats or makes up is an error. Entities without a proposal have no rows.
+    """
+    none = F.lit(None).cast("string")
+    asked = entities.join(proposals.groupBy("entity_id").agg(F.count("*").alias("n"), F.min("suggested_name").alias("suggested_name")), "entity_id")
+    own = asked.select("entity_id", none.alias("attribute_id"), F.col("name").alias("original_name"), "suggested_name", F.when(F.col("n") > 1, "repeated").alias("error"))
+    made_up = proposals.join(entities, "entity_id", "left_anti").select("entity_id", none.alias("attribute_id"), none.alias("original_name"), "suggested_name", F.lit("unknown").alias("error"))
+    expected = attributes.join(asked.select("entity_id"), "entity_id", "left_semi").select("entity_id", "attribute_id", F.col("name").alias("original_name"))
+    given = proposed.join(asked.select("entity_id"), "entity_id", "left_semi").groupBy("entity_id", "attribute_id").agg(F.count("*").alias("n"), F.min("suggested_name").alias("suggested_name"))
+    both = expected.join(given, ["entity_id", "attribute_id"], "full_outer")
+    error = F.when(F.col("n").isNull(), "missing").when(F.col("original_name").isNull(), "unknown").when(F.col("n") > 1, "repeated")
+    return own.unionByName(made_up).unionByName(both.select("entity_id", "attribute_id", "original_name", "suggested_name", error.alias("error")))
+
+
+def inspect(targets: DataFrame, snippets: DataFrame, answer: Callable[[str], dict], schema: str) -> DataFrame:
+    """(target_id, *schema, shown, error): what ``answer`` says of each target or question, from retrieved snippets alone.
+
+    targets (target_id, question), snippets (target_id, place, doc_id, text) as retrieval shows them; schema has citations
+    array<string>. An answer that cites what it wasn't shown, or was shown nothing, is an error and its text goes.
+    """
+    asked = contexts(targets, snippets.select("target_id", "place", "doc_id", "text"), "target_id", ["place"])
+    shown = snippets.groupBy("target_id").agg(F.sort_array(F.collect_set(F.col("doc_id").cast("string"))).alias("shown"))
+    said = enrich(asked, "target_id", answer, schema).join(shown, "target_id", "left")
+    cites = F.size(F.array_except(F.coalesce("citations", F.array().cast("array<string>")), F.coalesce("shown", F.array().cast("array<string>"))))
+    error = F.when(F.col("error").isNotNull(), F.col("error")).when(F.col("shown").isNull(), "nothing retrieved").when(cites > 0, "cites what was not shown")
+    names = [c for c in said.columns if c not in ("target_id", "shown", "error")]
+    said = said.withColumn("error", error)
+    return said.select("target_id", *[F.when(F.col("error").isNull(), F.col(c)).alias(c) for c in names], "shown", "error")
+
+
 def reconcile_responses(expected: DataFrame, supplied: DataFrame, keys: list[str], place: str) -> DataFrame:
     """Every expected response with the first supplied one; what was not asked for goes."""
     w = Window.partitionBy(*keys).orderBy(place)
@@ -77,12 +126,18 @@ def reconcile_responses(expected: DataFrame, supplied: DataFrame, keys: list[str
     return expected.join(first, keys, "left")
 
 
-def gaps(targets: DataFrame, claims: DataFrame, results: DataFrame, key: str) -> DataFrame:
-    """(key, gap): targets without evidence, claims without citation, results that failed or are missing."""
+def stop_reason(results: DataFrame, gaps_found: DataFrame, exhausted: bool) -> DataFrame:
+    """One row, stop_reason: why an analysis ended; a spent budget before failures, these before gaps."""
+    n = results.agg(F.count_if(F.col("error").isNotNull()).alias("failed")).crossJoin(gaps_found.agg(F.count("*").alias("gaps")))  # one row each
+    return n.select(F.when(F.lit(exhausted), "budget exhausted").when(F.col("failed") > 0, "analysis failed").when(F.col("gaps") > 0, "gaps remain").otherwise("complete").alias("stop_reason"))
+
+
+def gaps(targets: DataFrame, claims: DataFrame, results: DataFrame, key: str, contexts: DataFrame | None = None) -> DataFrame:
+    """(key, gap): targets without evidence, claims without citation, results that failed or are missing, contexts (key, truncated) that were cut."""
     none = lambda df, text: df.select(key).distinct().withColumn("gap", F.lit(text))
     without = targets.join(claims.select(key).distinct(), key, "left_anti")
     missing = targets.join(results.select(key).distinct(), key, "left_anti")
-    return none(without, "no claims").unionByName(none(claims.filter(F.size("citations") == 0), "no citation")).unionByName(none(results.filter("error is not null"), "analysis failed")).unionByName(none(missing, "not analyzed"))
+    return none(without, "no claims").unionByName(none(claims.filter(F.size("citations") == 0), "no citation")).unionByName(none(results.filter("error is not null"), "analysis failed")).unionByName(none(missing, "not analyzed")).unionByName(none(contexts.filter("truncated") if contexts is not None else targets.limit(0), "context cut"))
 
 
 def evidence_map(**tables: DataFrame) -> DataFrame:

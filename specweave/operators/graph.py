@@ -2,27 +2,35 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from itertools import count
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from specweave.plans.lineage import cut
 
+#: Levels of a closure that are kept as tables of their own.
+MOST_LEVELS = 16
+
 
-def closure(seeds: DataFrame, edges: DataFrame, max_rounds: int = 100) -> DataFrame:
+def closure(seeds: DataFrame, edges: DataFrame) -> DataFrame:
     """(root, node, depth): what each root reaches over ``edges`` (source, target), itself included, at its least depth.
 
-    seeds (root, node). Breadth first, a round for each level, so cycles end by themselves.
+    seeds (root, node). Breadth first, a round for each level, so cycles end by themselves. Each level is stored once.
     """
     frontier = cut(seeds.select("root", "node").distinct().withColumn("depth", F.lit(0)))
-    seen = frontier
+    seen, levels = frontier, [frontier]
     steps = cut(edges.select(F.col("source").alias("node"), F.col("target").alias("next")).distinct())
-    for depth in range(1, max_rounds + 1):
+    for depth in count(1):
         found = frontier.join(steps, "node").select("root", F.col("next").alias("node")).distinct()
         frontier = cut(found.join(seen, ["root", "node"], "left_anti").withColumn("depth", F.lit(depth)))
         if frontier.isEmpty():
             return seen
-        seen = cut(seen.unionByName(frontier))
-    raise RuntimeError(f"the graph is deeper than {max_rounds}")
+        levels.append(frontier)
+        if len(levels) > MOST_LEVELS:  # of a deep graph few tables, so that a round's plan stays small
+            levels = [cut(reduce(DataFrame.unionByName, levels))]
+        seen = reduce(DataFrame.unionByName, levels)
 
 
 def contract_scope(entities: DataFrame, attributes: DataFrame, edges: DataFrame, operations: DataFrame, hinted: DataFrame | None = None) -> DataFrame:

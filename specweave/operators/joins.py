@@ -176,32 +176,43 @@ def merge_lists(*lists: str) -> Column:
     return F.array_sort(reduce(F.array_union, [F.coalesce(F.col(c), F.array().cast("array<string>")) for c in lists]))
 
 
-def propagate_pairs(seeds: DataFrame, left: DataFrame, right: DataFrame, least: float = 0.5, max_rounds: int = 50) -> DataFrame:
-    """(left_id, right_id, overlap): entity pairs that matched pairs lead to, round by round until none is new.
+def propagate_pairs(seeds: DataFrame, left: DataFrame, right: DataFrame, least: float = 0.5, envelope: str | None = "data") -> DataFrame:
+    """(left_id, right_id, overlap, outer_id): entity pairs that matched pairs lead to, round by round until none is new.
 
     seeds (left_id, right_id); left and right (id, name_key, attribute_key, reference_id), a row
     for each attribute. A pair of equal name keys is settled and leads nowhere; one of different names is
     accepted if the attribute keys overlap by ``least`` (Jaccard), and then the references of its
-    attributes of equal key are pairs to look at. The frontier is stored in shared
+    attributes of equal key are pairs to look at. A left entity with an attribute ``envelope`` that refers to an entity may
+    stand for that one: the better of both overlaps counts, its own on a tie; outer_id then names the wrapper. The frontier is stored in shared
     storage each round.
     """
     from specweave.plans.lineage import cut
 
     names = lambda t, side: t.select(F.col("id").alias(f"{side}_id"), F.col("name_key").alias(f"{side}_name")).distinct()
-    keys = lambda t, side: t.filter("attribute_key is not null").groupBy(F.col("id").alias(f"{side}_id")).agg(F.collect_set("attribute_key").alias(f"{side}_keys"))
+    keys = lambda t, side: t.groupBy(F.col("id").alias(f"{side}_id")).agg(F.collect_set("attribute_key").alias(f"{side}_keys"))
+    own = cut(names(left, "left").join(keys(left, "left"), "left_id"))
+    inside = own.select(F.col("left_id").alias("inner_id"), F.col("left_keys").alias("inner_keys"))
+    first = Window.partitionBy("left_id").orderBy("inner_id")
+    wraps = left.filter(F.col("attribute_key") == F.lit(envelope)).select(F.col("id").alias("left_id"), F.col("reference_id").alias("inner_id")).join(inside, "inner_id")
+    wraps = cut(wraps.withColumn("_n", F.row_number().over(first)).filter("_n = 1").drop("_n"))
+    other = cut(names(right, "right").join(keys(right, "right"), "right_id"))
+    a = left.select(F.col("id").alias("left_id"), "attribute_key", F.col("reference_id").alias("l")).filter("l is not null and attribute_key is not null")
+    b = right.select(F.col("id").alias("right_id"), "attribute_key", F.col("reference_id").alias("r")).filter("r is not null")
+
+    def shared(c: str) -> Column:
+        both = F.size(F.array_union(c, "right_keys"))
+        return F.when(both > 0, F.size(F.array_intersect(c, "right_keys")) / both).otherwise(0.0)
+
     frontier = cut(seeds.filter("left_id is not null and right_id is not null").select("left_id", "right_id").distinct())
     seen, accepted = frontier, None
-    for _ in range(max_rounds):
-        pairs = frontier.join(names(left, "left"), "left_id").join(names(right, "right"), "right_id").filter("left_name != right_name")
-        pairs = pairs.join(keys(left, "left"), "left_id").join(keys(right, "right"), "right_id")
-        overlap = F.size(F.array_intersect("left_keys", "right_keys")) / F.size(F.array_union("left_keys", "right_keys"))
-        new = cut(pairs.select("left_id", "right_id", overlap.alias("overlap")).filter(F.col("overlap") >= least))
+    while True:
+        pairs = frontier.join(own, "left_id").join(other, "right_id").filter("left_name != right_name").join(wraps, "left_id", "left")
+        mine, theirs = shared("left_keys"), F.coalesce(F.when(F.col("inner_id").isNotNull(), shared("inner_keys")), F.lit(-1.0))
+        pairs = pairs.select(F.when(theirs > mine, F.col("inner_id")).otherwise(F.col("left_id")).alias("best"), "right_id", F.greatest(mine, theirs).alias("overlap"), F.when(theirs > mine, F.col("left_id")).alias("outer_id"))
+        new = cut(pairs.filter(F.col("overlap") >= least).withColumnRenamed("best", "left_id"))
         accepted = new if accepted is None else accepted.unionByName(new)
-        a = left.select(F.col("id").alias("left_id"), "attribute_key", F.col("reference_id").alias("l")).filter("l is not null")
-        b = right.select(F.col("id").alias("right_id"), "attribute_key", F.col("reference_id").alias("r")).filter("r is not null")
         found = new.join(a, "left_id").join(b, ["right_id", "attribute_key"]).select(F.col("l").alias("left_id"), F.col("r").alias("right_id")).distinct()
         frontier = cut(found.join(seen, ["left_id", "right_id"], "left_anti"))
         if frontier.isEmpty():
-            return accepted
+            return accepted.distinct()
         seen = cut(seen.unionByName(frontier))
-    raise RuntimeError(f"pairs still spread after {max_rounds} rounds")

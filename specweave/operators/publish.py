@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from specweave.functions.text import published_type
+from specweave.functions.ids import digest, joined_id
+from specweave.functions.text import comparison_key, published_type
+
+from .joins import keep_first
 
 SELECTIONS = ("Canonical baseline", "Reference", "Generated", "Manual")
 STATUSES = ("Full match", "Partial match", "Not matched")
@@ -67,6 +70,148 @@ def absent_attributes(baseline: DataFrame, regional: DataFrame, keys: list[str])
     return regional.join(baseline.select(*keys).distinct(), keys, "left_anti")
 
 
+def review_nodes(matches: DataFrame, children: DataFrame, statuses: list[str]) -> DataFrame:
+    """(parent_id, regional_id, name, status, level): matches and their children of some statuses, in one flat list.
+
+    matches (regional_id, name, status), children (parent_id, regional_id, name, status). A child counts by its own status.
+    """
+    top = matches.select(F.col("regional_id").alias("parent_id"), "regional_id", "name", "status", F.lit("parent").alias("level"))
+    below = children.join(matches.select(F.col("regional_id").alias("parent_id")), "parent_id", "left_semi")
+    rows = top.unionByName(below.select("parent_id", "regional_id", "name", "status", F.lit("child").alias("level")))
+    return rows.filter(F.col("status").isin(*statuses))
+
+
+def approve_nodes(decisions: DataFrame, nodes: DataFrame, reason: str) -> DataFrame:
+    """Decisions with all ``nodes`` (regional_id, name) approved at once; the others as they are.
+
+    decisions (regional_id, status, proposed_status, selection, reference_id, manual_name, reason, approved). A reference that isn't
+    there becomes a manual candidate, one without a name takes the regional one; ``reason`` is given where one is required
+    and none was said.
+    """
+    said = lambda x: F.coalesce(F.trim(x), F.lit("")) != ""
+    d = decisions.join(nodes.select("regional_id", F.col("name").alias("_name"), F.lit(True).alias("_node")), "regional_id", "left")
+    node = F.coalesce("_node", F.lit(False))
+    lost = node & said(F.col("_name")) & (F.col("selection") == "Reference") & F.col("reference_id").isNull()
+    d = d.withColumn("selection", F.when(lost, "Manual").otherwise(F.col("selection")))
+    unnamed = node & said(F.col("_name")) & (F.col("selection") == "Manual") & ~said(F.col("manual_name"))
+    d = d.withColumn("manual_name", F.when(unnamed, F.col("_name")).otherwise(F.col("manual_name")))
+    status = F.coalesce("status", "proposed_status")
+    required = (status != "Full match") | ~status.eqNullSafe(F.col("proposed_status")) | F.col("selection").isin("Manual", "Generated")
+    d = d.withColumn("reason", F.when(node & required & ~said(F.col("reason")), F.lit(reason)).otherwise(F.col("reason")))
+    return d.withColumn("approved", node | F.coalesce("approved", F.lit(False))).drop("_name", "_node")
+
+
+def resolved(matches: DataFrame, decisions: DataFrame) -> DataFrame:
+    """Matches with what was decided of each: canonical name, standard, status and reason.
+
+    matches (regional_id, name, status, score, baseline_name, reference_name, generated_name), decisions (regional_id,
+    selection, manual_name, status, reason). The selected candidate gives the name; a manual one its own.
+    """
+    d = decisions.select("regional_id", "selection", "manual_name", F.col("status").alias("_status"), "reason")
+    rows = matches.withColumnRenamed("status", "proposed_status").join(d, "regional_id")
+    name = F.when(F.col("selection") == "Canonical baseline", F.col("baseline_name")).when(F.col("selection") == "Reference", F.col("reference_name"))
+    name = name.when(F.col("selection") == "Generated", F.col("generated_name")).otherwise(F.trim("manual_name"))
+    return rows.select("*", name.alias("canonical_name"), F.coalesce("_status", "proposed_status").alias("status")).withColumn("reason", F.trim("reason")).drop("_status", "manual_name")
+
+
+def approved_mappings(entities: DataFrame, attributes: DataFrame, domains: DataFrame, capabilities: DataFrame) -> DataFrame:
+    """(kind, regional, baseline, reference, canonical, status, proposed_status, score, selection, generated, reason): what everything became.
+
+    Tables of resolved(); attributes and capabilities with parent_id, the regional_id of their entity or domain. Children are called parent.child.
+    """
+    none = F.lit("")
+    facts = ["status", "proposed_status", "score", "selection"]
+
+    def plain(kind: str, df: DataFrame) -> DataFrame:
+        names = [F.coalesce(c, none).alias(a) for c, a in (("baseline_name", "baseline"), ("reference_name", "reference"))]
+        return df.select(F.lit(kind).alias("kind"), F.col("name").alias("regional"), *names, F.col("canonical_name").alias("canonical"), *facts, F.coalesce("generated_name", none).alias("generated"), "reason")
+
+    def below(kind: str, df: DataFrame, parents: DataFrame, whole_reference: bool) -> DataFrame:
+        p = parents.select(F.col("regional_id").alias("parent_id"), *[F.col(c).alias(f"_{c}") for c in ("name", "baseline_name", "reference_name", "canonical_name")])
+        path = lambda c: F.when(F.col(c).isNotNull(), F.concat(F.coalesce(f"_{c}", none), F.lit("."), F.col(c))).otherwise(none)
+        reference = path("reference_name") if whole_reference else F.coalesce("reference_name", none)
+        return df.join(p, "parent_id").select(F.lit(kind).alias("kind"), path("name").alias("regional"), path("baseline_name").alias("baseline"), reference.alias("reference"), path("canonical_name").alias("canonical"), *facts, F.coalesce("generated_name", none).alias("generated"), "reason")
+
+    return (
+        plain("Entity", entities).unionByName(below("Attribute", attributes, entities, True))
+        .unionByName(plain("Domain", domains)).unionByName(below("Capability", capabilities, domains, False))
+    )
+
+
+def canonical_rows(region: str, entities: DataFrame, attributes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Approved entities (id, name, ...) and attributes (id, entity_id, name, type, ...) of resolved() with canonical identities.
+
+    attributes also have parent_id, regional_type, reference_type, manual_type and required: the reference's type counts where it was
+    selected, else a reviewer's, else the regional one.
+    """
+    own = joined_id("canonical-entity", F.lit(region), "canonical_name")
+    ents = entities.select(own.alias("id"), F.col("canonical_name").alias("name"), F.col("selection").alias("standard"), "status", "proposed_status", "score", "reason", "regional_id")
+    a = attributes.join(ents.select(F.col("regional_id").alias("parent_id"), F.col("id").alias("entity_id")), "parent_id")
+    picked = F.when((F.col("selection") == "Reference") & F.col("reference_type").isNotNull(), F.col("reference_type")).otherwise(F.coalesce("manual_type", "regional_type"))
+    child = joined_id("canonical-attribute", "entity_id", "canonical_name", "regional_type")
+    return ents, a.select(child.alias("id"), "entity_id", F.col("canonical_name").alias("name"), picked.alias("type"), "required", F.col("selection").alias("standard"), "status", "reason")
+
+
+def endpoint_entities(endpoints: DataFrame, usage: DataFrame) -> DataFrame:
+    """Endpoints (api, method, route, ...) with entities: who uses them how, by usage and name; empty without any.
+
+    usage (api, method, route, entity, usage); a null usage is Contract.
+    """
+    at = ["api", "method", "route"]
+    used = usage.withColumn("usage", F.coalesce("usage", F.lit("Contract"))).groupBy(*at).agg(F.sort_array(F.collect_list(F.struct("usage", "entity"))).alias("entities"))
+    return endpoints.join(used, at, "left").withColumn("entities", F.coalesce("entities", F.expr("cast(array() as array<struct<usage:string,entity:string>>)")))
+
+
+def merge_endpoints(baseline: DataFrame, regional: DataFrame, baseline_region: str, region: str) -> DataFrame:
+    """Endpoints (region, api, operation, method, route, ...) of a baseline, then of a region, once by these five; a missing region is its side's."""
+    side = lambda df, name, n: df.withColumn("region", F.coalesce("region", F.lit(name))).withColumn("_side", F.lit(n))
+    rows = side(baseline, baseline_region, 0).unionByName(side(regional, region, 1))
+    five = ["region", "api", "operation", "method", "route"]
+    rest = [c for c in rows.columns if c not in (*five, "_side")]
+    return keep_first(rows, five, "_side", *rest).drop("_side")
+
+
+def merge_attributes(baseline: DataFrame, regional: DataFrame) -> DataFrame:
+    """Attributes (entity, name, type) of a baseline, and those of a region that it lacks by entity and name, however they are spelled."""
+    keyed = lambda df: df.withColumn("_e", comparison_key("entity")).withColumn("_n", comparison_key("name"))
+    more = keyed(regional).join(keyed(baseline).select("_e", "_n").distinct(), ["_e", "_n"], "left_anti")
+    return baseline.select("entity", "name", "type").unionByName(keep_first(more, ["_e", "_n"], "entity", "name", "type").select("entity", "name", "type"))
+
+
+def default_review(entities: DataFrame, attributes: DataFrame, mappings: DataFrame) -> DataFrame:
+    """(kind, key, action): everything a final review decides on, to be used as it is unless a reviewer says otherwise.
+
+    entities (id), attributes (id), mappings (kind, canonical). Domains and capabilities go by their canonical name, once.
+    """
+    use = F.lit("Use canonical").alias("action")
+    of = lambda df, kind: df.select(F.lit(kind).alias("kind"), F.col("id").alias("key"), use)
+    names = mappings.filter("kind in ('Domain', 'Capability')").select(F.when(F.col("kind") == "Domain", "domains").otherwise("capabilities").alias("kind"), F.col("canonical").alias("key"), use)
+    return of(entities, "entities").unionByName(of(attributes, "attributes")).unionByName(names).distinct()
+
+
+def canonical_summary(entities: DataFrame, attributes: DataFrame, endpoints: DataFrame) -> DataFrame:
+    """One row of counts: entities, attributes, endpoints (domain, capability), different domains, and capabilities within their domain."""
+    n = lambda df, name: df.agg(F.count("*").alias(name))
+    known = endpoints.agg(F.count("*").alias("endpoints"), F.count_distinct("domain").alias("domains"), F.count_distinct("domain", "capability").alias("capabilities"))
+    return n(entities, "entities").crossJoin(n(attributes, "attributes")).crossJoin(known)  # one row each
+
+
+def input_digest(inputs: dict[str, DataFrame], settings: dict[str, str]) -> DataFrame:
+    """One row, digest: the identity of an alignment's inputs, whatever the order of their rows.
+
+    Rows become JSON with sorted names and are added up by their hashes per table, so nothing is collected.
+    """
+    sums = None
+    for name in sorted(inputs):
+        df = inputs[name]
+        h = F.sha2(F.to_json(F.struct(*sorted(df.columns)), {"ignoreNullFields": "false"}).cast("binary"), 256)
+        part = lambda a: F.sum(F.conv(F.substring(h, a, 12), 16, 10).cast("decimal(20,0)")).cast("string")  # noqa: B023, E731
+        one = df.agg(F.concat_ws(":", F.count("*").cast("string"), *[F.coalesce(part(a), F.lit("0")) for a in (1, 13, 25, 37, 49)]).alias("line")).select(F.concat(F.lit(f"{name}="), "line").alias("line"))
+        sums = one if sums is None else sums.unionByName(one)
+    fixed = "".join(f"\n{k}={settings[k]}" for k in sorted(settings))
+    return sums.agg(digest(F.concat(F.array_join(F.sort_array(F.collect_list("line")), "\n"), F.lit(fixed))).alias("digest"))  # a line for each table
+
+
 def latest(drafts: DataFrame, by: list[str], order: str) -> DataFrame:
     """The last draft of each key: what an upsert leaves."""
     cols = [c for c in drafts.columns if c not in by]

@@ -2,17 +2,24 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from functools import reduce
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from specweave.functions.ids import digest
-from specweave.functions.text import terms
+from specweave.functions.text import candidate_symbols, terms
+from specweave.plans.lineage import cut
 
 from .graph import expand
 from .ranking import top_k, within_characters
 
 WINDOW, SECTION = 1_800, 5_000
 CANDIDATES, RANK_BASE = 40, 60
+#: Words of queries, and query vectors, that are sent to every task at once.
+FEW_TERMS, QUERY_PAGE = 200_000, 1 << 14
 
 
 def check_bounds(limit: int, characters: int, query: str | None = None) -> None:
@@ -77,21 +84,27 @@ def windows_of(chunks: DataFrame, size: int = WINDOW) -> DataFrame:
     return out.withColumn("id", digest(name))
 
 
-def lexical(docs: DataFrame, queries: DataFrame, most: int = CANDIDATES) -> DataFrame:
-    """(query_id, doc_id, score, rank): the documents that share the rarest words with each query.
+def lexical_scores(docs: DataFrame, queries: DataFrame) -> DataFrame:
+    """(query_id, doc_id, score): every document that shares a word with a query, by the rarity of what they share.
 
     docs (doc_id, text), queries (query_id, text). A shared word counts ln(1 + N / df); scores are rounded to six
-    places, so that their order does not hang on the order of summation; ties by doc_id. Only the queries' words
-    are joined: documents are filtered to these before anything is shuffled.
+    places, so that their order does not hang on the order of summation. Documents are read and split into words
+    once: of these the queries' words alone are stored. Where the queries' words are few, as counted, they go to every task, so no
+    word of a document is shuffled before scores are added up.
     """
+    asked = cut(queries.select("query_id", F.explode(terms("text")).alias("term")))
+    n_asked, total = asked.count(), docs.count()
+    few = F.broadcast if n_asked <= FEW_TERMS else lambda t: t
     words = docs.select("doc_id", F.explode(terms("text")).alias("term"))
-    asked = queries.select("query_id", F.explode(terms("text")).alias("term"))
-    total = docs.agg(F.count("*").cast("double").alias("n"))
-    wanted = words.join(asked.select("term").distinct(), "term", "left_semi")
-    df = wanted.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(total))  # total has one row
-    weights = asked.join(df, "term").select("query_id", "term", F.log(1 + F.col("n") / F.col("df")).alias("w"))
-    scored = wanted.join(weights, "term").groupBy("query_id", "doc_id").agg(F.round(F.sum("w"), 6).alias("score"))
-    return top_k(scored, ["query_id"], [F.desc("score"), "doc_id"], most)
+    wanted = cut(words.join(few(asked.select("term").distinct()), "term", "left_semi"))
+    df = wanted.groupBy("term").agg(F.count("*").alias("df"))
+    weights = asked.join(df, "term").select("query_id", "term", F.log(1 + F.lit(float(total)) / F.col("df")).alias("w"))
+    return wanted.join(few(weights), "term").groupBy("query_id", "doc_id").agg(F.round(F.sum("w"), 6).alias("score"))
+
+
+def lexical(docs: DataFrame, queries: DataFrame, most: int = CANDIDATES) -> DataFrame:
+    """(query_id, doc_id, score, rank): the documents that share the rarest words with each query; ties by doc_id."""
+    return top_k(lexical_scores(docs, queries), ["query_id"], [F.desc("score"), "doc_id"], most)
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -104,16 +117,18 @@ def usable_vector(v: Column, size: int) -> Column:
 
 
 def by_vector(vectors: DataFrame, queries: DataFrame, most: int = CANDIDATES) -> DataFrame:
-    """(query_id, doc_id, score, rank) by exact cosine. queries are a bounded set and go to every task.
+    """(query_id, doc_id, score, rank) by exact cosine. Queries go to every task, a page of them at a time.
 
     vectors (doc_id, vector), queries (query_id, vector), arrays of doubles.
     """
-    size = 1 << 16
-    if queries.count() > size:
-        raise ValueError(f"more than {size} query vectors at once; ask in parts")
-    pairs = vectors.crossJoin(F.broadcast(queries.select("query_id", F.col("vector").alias("_q"))))
-    scored = pairs.select("query_id", "doc_id", F.round(cosine(F.col("vector"), F.col("_q")), 6).alias("score"))
-    return top_k(scored, ["query_id"], [F.desc("score"), "doc_id"], most)
+    pages = max(1, -(-queries.count() // QUERY_PAGE))
+    found = []
+    for page in range(pages):
+        own = queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(pages)) == page) if pages > 1 else queries
+        pairs = vectors.crossJoin(F.broadcast(own.select("query_id", F.col("vector").alias("_q"))))
+        scored = pairs.select("query_id", "doc_id", F.round(cosine(F.col("vector"), F.col("_q")), 6).alias("score"))
+        found.append(top_k(scored, ["query_id"], [F.desc("score"), "doc_id"], most))
+    return reduce(DataFrame.unionByName, found)
 
 
 def fuse(*ranked: DataFrame, base: int = RANK_BASE) -> DataFrame:
@@ -162,6 +177,108 @@ def retrieve(fused: DataFrame, exact: DataFrame, edges: DataFrame, chunks: DataF
     return out.select("query_id", "place", "doc_id", F.round("score", 6).alias("relevance"), F.col("shown").alias("text"), "truncated")
 
 
+def reference_query(scored: DataFrame, vector: DataFrame, exact: DataFrame, chunks: DataFrame, *, limit: int = 8, characters: int = 20_000, base: int = RANK_BASE) -> DataFrame:
+    """(query_id, place, doc_id, relevance, reason, text, truncated): a reference standard's chunks for each query.
+
+    Words count by their rarity as they are, vectors add a reciprocal rank, and a chunk that bears the query as
+    its name scores 100 less a thousandth for each place before it. Neither neighbours nor equal texts are looked at.
+    scored (query_id, doc_id, score) as of lexical_scores(), vector and exact (query_id, doc_id, rank), chunks (doc_id, text, truncated).
+    """
+    check_bounds(limit, characters)
+    words = scored.select("query_id", "doc_id", "score", F.lit("lexical").alias("method"))
+    near = vector.select("query_id", "doc_id", (1.0 / (F.lit(base) + F.col("rank"))).alias("score"), F.lit("vector").alias("method"))
+    both = words.unionByName(near).groupBy("query_id", "doc_id").agg(F.sum("score").alias("score"), F.array_join(F.sort_array(F.collect_set("method")), "+").alias("reason"))
+    named = exact.select("query_id", "doc_id", (F.lit(100.0) - F.col("rank") / 1000).alias("score"), F.lit("exact-subject").alias("reason"))
+    hits = named.unionByName(both.join(named.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_anti"))
+    first = top_k(hits, ["query_id"], [F.desc("score"), "doc_id"], limit, "_n").drop("_n")  # before texts are joined
+    shown = within_characters(first.join(chunks.withColumnRenamed("truncated", "_cut"), "doc_id"), ["query_id"], [F.desc("score"), F.col("doc_id")], "text", limit, characters)
+    return shown.select("query_id", "place", "doc_id", F.round("score", 6).alias("relevance"), "reason", F.col("shown").alias("text"), (F.col("_cut") | F.col("truncated")).alias("truncated"))
+
+
+def alias_hits(chunks: DataFrame, queries: DataFrame) -> DataFrame:
+    """(query_id, doc_id, rank): chunks (doc_id, place, aliases) one of whose names is the whole query, in order of their place."""
+    names = chunks.select("doc_id", "place", F.explode(F.array_distinct(F.transform("aliases", F.lower))).alias("_alias"))
+    hit = queries.select("query_id", F.lower("text").alias("_alias")).join(names, "_alias")
+    return hit.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("place", "doc_id")) - 1).select("query_id", "doc_id", "rank")
+
+
+# What retrieval asks for before the names of a target.
+ASKED = {
+    "endpoint": "endpoint domain capability business purpose implementation authorization",
+    "entity": "model DTO business meaning validation mapping request response",
+    "enum": "enum business meaning state status values",
+    "follow-up": "implementation call path service handler repository authorization",
+}
+
+
+def query_text(kind: str, *names: Column, most: int = 2_000) -> Column:
+    """What is asked for a target: fixed words of its kind, then its names; arrays of names in their order, nulls left out."""
+    return F.substring(F.concat_ws(" ", F.lit(ASKED[kind]), *names), 1, most)
+
+
+def add_context(hits: DataFrame, existing: DataFrame, *, most: int = 4, characters: int = 12_000) -> DataFrame:
+    """(target_id, place, path, start_line, end_line, text): retrieved snippets that a target's context gets besides those it has.
+
+    hits (target_id, rank, path, start_line, end_line, text): the first ``most`` count. Those at a place that the context
+    has (existing: target_id, path, start_line, end_line) go; characters limits the rest, the last one is cut and marked.
+    """
+    at = ["target_id", "path", "start_line", "end_line"]
+    first = top_k(hits, ["target_id"], [F.col("rank")], most, "_n").join(existing.select(*at).distinct(), at, "left_anti")
+    out = within_characters(first, ["target_id"], [F.col("rank")], "text", most, characters)
+    text = F.when(F.col("truncated"), F.concat("shown", F.lit("\n[retrieval truncated]"))).otherwise(F.col("shown"))
+    return out.select("target_id", "place", "path", "start_line", "end_line", text.alias("text"))
+
+
+def needs_follow_up(results: DataFrame, contexts: DataFrame, auto: float = 0.90, review: float = 0.70) -> DataFrame:
+    """(target_id, confidence, symbols): targets that are asked about once more, and what is looked for.
+
+    results (target_id, name, confidences, requested), contexts (target_id, text). The least confidence counts. Symbols are those
+    that the result asks for, or below ``review`` without any those that the context names; a target without symbols is not asked about.
+    """
+    least = results.withColumn("confidence", F.array_min("confidences")).join(contexts, "target_id", "left")
+    own = F.filter(F.coalesce("requested", F.array().cast("array<string>")), lambda s: s.rlike(r"^[A-Za-z_][A-Za-z0-9_]{0,159}$"))
+    symbols = F.when((F.size(own) == 0) & (F.col("confidence") < review), candidate_symbols(F.coalesce("text", F.lit("")))).otherwise(own)
+    return least.select("target_id", "name", "confidence", symbols.alias("symbols")).filter((F.col("confidence") < auto) & (F.size("symbols") > 0))
+
+
+def follow_up(asked: DataFrame, hits: DataFrame, existing: DataFrame, scanned: DataFrame) -> DataFrame:
+    """(target_id, path, start_line, end_line, text, how): what a second look at targets (target_id) finds.
+
+    hits and existing as add_context() takes them; 20 hits that the context doesn't have (how: index), else what a scan
+    for the symbols found in files that it doesn't have (scanned: target_id, path, start_line, end_line, text; how: scan).
+    """
+    at = ["target_id", "path", "start_line", "end_line"]
+    top = top_k(hits, ["target_id"], [F.col("rank")], 20, "_n").join(asked.select("target_id"), "target_id", "left_semi")
+    new = top.join(existing.select(*at).distinct(), at, "left_anti").select(*at, "text", F.lit("index").alias("how"))
+    rest = scanned.join(asked.select("target_id"), "target_id", "left_semi").join(new.select("target_id").distinct(), "target_id", "left_anti")
+    rest = rest.join(existing.select("target_id", "path").distinct(), ["target_id", "path"], "left_anti")
+    return new.unionByName(rest.select(*at, "text", F.lit("scan").alias("how")))
+
+
+def outcome(confidence: Column, auto: float = 0.90, review: float = 0.70) -> Column:
+    """What a target's confidence makes of its result."""
+    return F.when(confidence >= auto, "auto_accept_candidate").when(confidence >= review, "review").otherwise("needs_more_context")
+
+
+def embedded(chunks: DataFrame, embed: Callable[[list[str]], list[list[float]]], batch: int = 32) -> DataFrame:
+    """(id, document, vector) of chunks (id, document): the embedder is asked for ``batch`` documents at a time."""
+    kind = chunks.schema["id"].dataType.simpleString()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            for a in range(0, len(rows), batch):
+                part = rows.iloc[a : a + batch]
+                yield part.assign(vector=embed(part["document"].tolist()))
+
+    return chunks.select("id", "document").mapInPandas(run, f"id {kind}, document string, vector array<double>")
+
+
+def index_stats(chunks: DataFrame) -> DataFrame:
+    """One row of counts of chunks (kind, document): all, by kind, and documents."""
+    n = lambda k: F.count_if(F.col("kind") == k)
+    return chunks.agg(F.count("*").alias("chunks"), n("endpoint").alias("endpoint_chunks"), n("entity").alias("entity_chunks"), F.count_distinct("document").alias("documents"))
+
+
 def fingerprint(files: DataFrame, settings: dict[str, str], path: str = "path", sha: str = "sha256") -> DataFrame:
     """One row: the digest of all files and settings; over sorted digests, so one task sees one line a file."""
     line = F.concat_ws("=", F.col(path), F.col(sha))

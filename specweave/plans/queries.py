@@ -2,38 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from functools import wraps
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from specweave.functions import ids, similarity, text
 from specweave.operators import aggregates, align, catalog, enrichment, graph, joins, publish, quality, ranking, retrieval, setops
-from specweave.plans.lineage import ready
+from specweave.plans.registry import ORACLE_SQL, QUERIES, query, t
 from specweave.sources import openapi
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        @wraps(f)
-        def run(spark, sf_dir):
-            ready(spark)
-            return f(spark, sf_dir)
-
-        QUERIES[f.__name__] = run
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+__all__ = ["ORACLE_SQL", "QUERIES"]
 
 
 def terms_sql(x: str, word: str = "[a-z0-9_]+") -> str:
@@ -348,15 +325,6 @@ def name_lookup(spark, sf_dir):
     return joins.named(t(spark, sf_dir, "nation").select("n_nationkey"), c, "n_nationkey", "c_name")
 
 
-@query()
-def propagate_pairs(spark, sf_dir):
-    """Pairs of parts that brand pairs lead to: names differ, sizes overlap."""
-    p = t(spark, sf_dir, "part")
-    of = lambda side: p.select(F.col("p_brand").alias("id"), F.concat(F.lit(side), text.comparison_key("p_brand")).alias("name_key"), F.col("p_size").cast("string").alias("attribute_key"), F.col("p_brand").alias("reference_id")).distinct()
-    seeds = p.select(F.col("p_brand").alias("left_id"), F.col("p_brand").alias("right_id")).distinct()
-    return joins.propagate_pairs(seeds, of("l"), of("r")).select("left_id", "right_id", F.round("overlap", 6).alias("overlap"))
-
-
 # --- aggregates, catalogs, reviews ------------------------------------------------------------------
 
 
@@ -812,3 +780,6 @@ def reconcile_responses(spark, sf_dir):
     expected = li.filter("l_linenumber <= 3").select(*keys).distinct()
     supplied = li.select(*keys, "l_quantity", F.struct("l_shipdate", "l_quantity").alias("place"))
     return enrichment.reconcile_responses(expected, supplied, keys, "place")
+
+
+from specweave.plans import review_queries  # noqa: E402, F401 - registers its own

@@ -63,9 +63,14 @@ def resolve(doc: dict, node, seen: tuple = ()):
     return node if isinstance(node, dict) else {}, name, None
 
 
-def flattened(doc: dict, node: dict, seen: tuple = ()) -> tuple[dict, list[str], list[str]]:
-    """Properties and required names of a schema with those of its allOf parts; problems on the way."""
-    properties, required, problems = dict(node.get("properties") or {}), list(node.get("required") or []), []
+def flattened(doc: dict, node: dict, standard: bool = False, seen: tuple = ()) -> tuple[dict, list[str], list[str]]:
+    """Properties and required names of a schema with those of its allOf parts; problems on the way.
+
+    Later parts win over earlier ones; the schema's own properties win over all parts, but in a reference standard
+    the parts win over them.
+    """
+    own = dict(node.get("properties") or {})
+    properties, required, problems = dict(own) if standard else {}, list(node.get("required") or []), []
     for part in node.get("allOf") or []:
         ref = part.get("$ref") if isinstance(part, dict) else None
         if ref in seen and ref is not None:
@@ -75,13 +80,45 @@ def flattened(doc: dict, node: dict, seen: tuple = ()) -> tuple[dict, list[str],
         if problem:
             problems.append(problem)
             continue
-        p, r, more = flattened(doc, inner, (*seen, ref) if ref else seen)
-        properties, required, problems = p | properties, required + r, problems + more
-    return properties, required, problems
+        p, r, more = flattened(doc, inner, standard, (*seen, ref) if ref else seen)
+        properties, required, problems = properties | p, required + r, problems + more
+    return properties if standard else properties | own, required, problems
 
 
-def facts(document: str, text: str) -> list[tuple]:
-    """What one document says, a row for each fact; a document that can't be read is one diagnostic."""
+def comments(node: dict) -> list[str]:
+    """What a node says in its comment, note and further description members, by name, each text once; then its external documentation."""
+    said, tidy = [], lambda v: " ".join(str(v).split()) if v is not None else ""
+    description = tidy(node.get("description"))
+    for key in sorted(node):
+        if key in ("description", "externalDocs") or not any(word in key.casefold() for word in ("comment", "note", "description")):
+            continue
+        value = node[key]
+        if isinstance(value, (dict, list)):
+            short = len(json.dumps(value, sort_keys=True)) <= 4_000
+            text = json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False) if short else ""
+        else:
+            text = tidy(value)
+        if text and text != description and text not in said:
+            said.append(text)
+    if isinstance(outside := node.get("externalDocs"), dict):
+        if parts := [p for p in (tidy(outside.get("description")), tidy(outside.get("url"))) if p]:
+            said.append("External documentation: " + " — ".join(parts))
+    return said
+
+
+def media_of(content, standard: bool) -> list[tuple[str, dict]]:
+    """The media types whose schemas count: JSON, or in a reference standard all of them by name."""
+    content = content if isinstance(content, dict) else {}
+    names = sorted(content) if standard else [n for n in ("application/json",) if n in content]
+    return [(n, content[n] if isinstance(content[n], dict) else {}) for n in names]
+
+
+def facts(document: str, text: str, standard: bool = False) -> list[tuple]:
+    """What one document says, a row for each fact; a document that can't be read is one diagnostic.
+
+    Of a reference standard (standard) every media type counts, parts win over own properties, and comments are facts;
+    of an application's description JSON bodies and numeric statuses count.
+    """
     out: list[tuple] = []
     add = lambda fact, owner, name, at="", detail=None, required=None, position=0, pointer="": out.append((document, fact, owner, name, at, None if detail is None else json.dumps(detail, sort_keys=True), required, position, pointer))
     try:
@@ -104,6 +141,10 @@ def facts(document: str, text: str) -> list[tuple]:
 
     done: set[str] = set()
 
+    def remarks(owner: str, name: str, node: dict, pointer: str) -> None:
+        for i, said in enumerate(comments(node) if standard else []):
+            add("comment", owner, name, detail=said, position=i, pointer=pointer)
+
     def entity(name: str, node: dict, pointer: str) -> None:
         if name in done:
             return
@@ -112,15 +153,17 @@ def facts(document: str, text: str) -> list[tuple]:
             for i, value in enumerate(node["enum"]):
                 add("enum", name, str(value), detail=value, position=i, pointer=pointer)
             return
-        properties, required, problems = flattened(doc, node)
+        properties, required, problems = flattened(doc, node, standard)
         add("entity", "", name, detail=node.get("description"), pointer=pointer)
-        for problem in problems:
+        remarks("", name, node, pointer)
+        for problem in dict.fromkeys(problems):
             add("diagnostic", name, "REFERENCE", detail=problem, pointer=pointer)
         for i, (key, value) in enumerate(properties.items()):
             where = f"{pointer}/properties/{key.replace('~', '~0').replace('/', '~1')}"
             value = value if isinstance(value, dict) else {}
             add("attribute", name, key, detail=schema_of(value, name, f"{name}.{key}", where), required=key in required, position=i, pointer=where)
             inner, _, _ = resolve(doc, value)
+            remarks(name, key, inner, where)
             for keyword in (*CONSTRAINTS, "example"):
                 if keyword in inner and len(json.dumps(inner[keyword])) <= 4_000:
                     add("validation", name, key, at=keyword, detail=inner[keyword], pointer=where)
@@ -137,6 +180,7 @@ def facts(document: str, text: str) -> list[tuple]:
                 continue
             owner, where = f"{method.upper()} {route}", f"/paths/{route.replace('~', '~0').replace('/', '~1')}/{method}"
             add("operation", route, op.get("operationId") or owner, at=method.upper(), detail={"summary": op.get("summary"), "description": op.get("description"), "tags": op.get("tags") or []}, pointer=where)
+            remarks(owner, owner, op, where)
             merged = {}
             for p in [*(item.get("parameters") or []), *(op.get("parameters") or [])]:
                 p, _, _ = resolve(doc, p)
@@ -145,24 +189,26 @@ def facts(document: str, text: str) -> list[tuple]:
             for i, ((place, name), p) in enumerate(merged.items()):
                 add("parameter", owner, name, at=place or "", detail=schema_of(p.get("schema") or {}, owner, "", where), required=bool(p.get("required")) or place == "path", position=i, pointer=where)
             body, _, _ = resolve(doc, op.get("requestBody") or {})
-            for media in list((body.get("content") or {}).values())[:1]:
-                add("request", owner, "body", detail=schema_of((media or {}).get("schema") or {}, owner, f"{op.get('operationId') or owner}.request", where), required=bool(body.get("required")), pointer=where)
+            for kind, media in media_of(body.get("content"), standard):
+                add("request", owner, "body", at=kind, detail=schema_of(media.get("schema") or {}, owner, f"{op.get('operationId') or owner}.request", where), required=bool(body.get("required")), pointer=where)
             for i, (status, r) in enumerate((op.get("responses") or {}).items()):
+                if not (standard or str(status).isdigit()):
+                    continue
                 r, _, _ = resolve(doc, r)
-                media = list((r.get("content") or {}).values())[:1]
-                kind = schema_of((media[0] or {}).get("schema") or {}, owner, f"{op.get('operationId') or owner}.{status}", where) if media else None
-                add("response", owner, str(status), detail=kind, position=i, pointer=where)
+                for kind, media in media_of(r.get("content"), standard) or [("", None)]:
+                    detail = None if media is None else schema_of(media.get("schema") or {}, owner, f"{op.get('operationId') or owner}.{status}", where)
+                    add("response", owner, str(status), at=kind, detail=detail, position=i, pointer=where)
     return out
 
 
-def scan(documents: DataFrame) -> DataFrame:
-    """All facts of ``documents`` (document, text). References and allOf are trees within a document, so each is one Python call."""
+def scan(documents: DataFrame, standard: bool = False) -> DataFrame:
+    """All facts of ``documents`` (document, text), or of reference standards. References and allOf are trees within a document, so each is one Python call."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [c.split()[0] for c in FACTS.split(", ")]
         for batch in batches:
             for d, t in zip(batch["document"], batch["text"], strict=True):
-                yield pd.DataFrame(facts(d, t or ""), columns=names).astype({"required": "object"})
+                yield pd.DataFrame(facts(d, t or "", standard), columns=names).astype({"required": "object"})
 
     return documents.select("document", "text").mapInPandas(run, FACTS)
 
@@ -176,12 +222,13 @@ def tables(found: DataFrame) -> dict[str, DataFrame]:
     return {
         "operations": of("operation").select(discovery_id("operation", "document", "at", "owner").alias("id"), "document", F.col("at").alias("method"), F.col("owner").alias("route"), "name", F.get_json_object("detail", "$.summary").alias("summary"), "pointer"),
         "parameters": typed(of("parameter")).select("document", "owner", "name", F.col("at").alias("location"), "required", "kind", "t.collection", "position"),
-        "requests": typed(of("request")).select("document", "owner", F.col("t.reference").alias("entity"), "required"),
-        "responses": typed(of("response")).select("document", "owner", F.col("name").alias("status"), F.col("t.reference").alias("entity"), "t.collection"),
+        "requests": typed(of("request")).select("document", "owner", F.col("at").alias("media"), F.col("t.reference").alias("entity"), "required"),
+        "responses": typed(of("response")).select("document", "owner", F.col("name").alias("status"), F.col("at").alias("media"), F.col("t.reference").alias("entity"), "t.collection"),
         "entities": of("entity").select(entity("name").alias("id"), "document", "name", F.try_variant_get(F.try_parse_json("detail"), "$", "string").alias("description"), "pointer"),
         "attributes": typed(of("attribute")).select(discovery_id("attribute", "document", "owner", "name").alias("id"), entity("owner").alias("entity_id"), "document", "owner", "name", "kind", F.col("t.reference").alias("reference"), "t.nullable", "t.collection", "required", "position", "pointer"),
         "enums": of("enum").select("document", F.col("owner").alias("name"), F.col("name").alias("value"), "position"),
         "validations": of("validation").select("document", "owner", "name", F.col("at").alias("rule"), F.try_parse_json("detail").alias("argument")),
+        "comments": of("comment").select("document", "owner", "name", "position", F.try_variant_get(F.try_parse_json("detail"), "$", "string").alias("text")),
         "diagnostics": of("diagnostic").select("document", "owner", F.col("name").alias("code"), F.col("detail").alias("message"), "pointer"),
     }
 

@@ -27,7 +27,7 @@ def wanted(path: Column) -> Column:
     """Whether a path below the root is read: its suffix is known, no folder of it is left out, it isn't generated or a secret."""
     p, name = F.lower(path), F.lower(F.element_at(F.split(path, "/"), -1))
     suffix = lambda names: p.rlike("(" + "|".join(s.replace(".", r"\.") for s in names) + ")$")
-    return suffix(SUFFIXES) & ~suffix(GENERATED) & ~name.isin(*SECRETS) & ~F.arrays_overlap(F.split(path, "/"), F.array(*map(F.lit, FOLDERS)))
+    return suffix(SUFFIXES) & ~suffix(GENERATED) & ~name.isin(*SECRETS) & ~F.arrays_overlap(F.split(p, "/"), F.array(*map(F.lit, FOLDERS)))
 
 
 def scan(spark: SparkSession, root: str, **caps) -> tuple[DataFrame, DataFrame]:

@@ -57,7 +57,9 @@ def test_types(spark):
         assert one(spark, text.common_type("c0"), given) == want
     for given, want in (("System.Guid", "uuid"), ("DateTimeOffset", "date-time"), ("long", "integer"), ("decimal", "number"), ("Foo", "unknown")):
         assert one(spark, text.clr_kind("c0"), given) == want
-    assert one(spark, text.bare_type("c0"), "global::A.B.List<C.D>") == "D"
+    assert one(spark, text.bare_type("c0"), "global::A.B.List<C.D>") == "d"
+    for given, bare in (("Foo[]?", "foo"), ("List<Foo?>", "foo"), ("Dictionary<A, B>", "a"), ("List<global::X.Y_z[]>", "y_z"), ("N.Q??", "q"), ("Map<List<A>, B>", "maplistab")):
+        assert one(spark, text.bare_type("c0"), given) == bare
 
 
 def test_redaction_keeps_lines(spark):
