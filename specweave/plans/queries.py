@@ -174,7 +174,18 @@ def neighbor_expand(spark, sf_dir):
     return out.select("query", F.split_part("node", F.lit(":"), F.lit(2)).cast("long").alias("node"), F.round("score", 6).alias("score"))
 
 
-@query()
+@query(f"""
+WITH {_LEXICAL}, fused AS (SELECT item_id, doc_id, 1.0::DOUBLE / (60 + rank) AS score FROM lexical),
+bound AS (SELECT DISTINCT item_id, doc_id FROM (SELECT doc_id, unnest(regexp_split_to_array(text, '\n\n')) AS text FROM documents) JOIN benchmark USING (text)),
+named AS (SELECT a.item_id, t.item_id AS target FROM benchmark a JOIN benchmark t ON lower(a.text) = lower(t.text)),
+exact AS (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY place, doc_id) - 1 AS rank FROM (SELECT n.item_id, doc_id, min((target, doc_id)) AS place FROM named n JOIN bound b ON b.item_id = target GROUP BY ALL)),
+scores AS (SELECT item_id, doc_id, 10.0::DOUBLE - rank / 1000 AS s, true AS hit FROM exact UNION ALL SELECT item_id, doc_id, score, false FROM fused WHERE (item_id, doc_id) NOT IN (SELECT (item_id, doc_id) FROM exact)),
+seeds AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY s DESC, doc_id) AS n, max(hit) OVER (PARTITION BY item_id) AS any_hit FROM scores QUALIFY hit OR (NOT any_hit AND n <= 3)),
+edges AS (SELECT doc_id AS a, lead(doc_id) OVER (PARTITION BY source ORDER BY doc_id) AS b FROM documents QUALIFY b IS NOT NULL),
+raised AS (SELECT item_id, doc_id, max(s) AS s FROM (SELECT item_id, doc_id, s FROM scores UNION ALL SELECT item_id, b, 1.0 FROM seeds JOIN edges ON a = doc_id UNION ALL SELECT item_id, a, 1.0 FROM seeds JOIN edges ON b = doc_id) GROUP BY ALL),
+once AS (SELECT item_id, doc_id, s, text FROM raised JOIN documents USING (doc_id) QUALIFY row_number() OVER (PARTITION BY item_id, sha256(text) ORDER BY s DESC, doc_id) = 1),
+placed AS (SELECT *, row_number() OVER w AS place, coalesce(sum(length(text)) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used FROM once WINDOW w AS (PARTITION BY item_id ORDER BY s DESC, doc_id))
+SELECT item_id AS query_id, place, doc_id, round(s, 6) AS relevance, substr(text, 1, CAST(12000 - used AS INT)) AS text, length(text) > 12000 - used AS truncated FROM placed WHERE place <= 8 AND used < 12000""")
 def retrieve_context(spark, sf_dir):
     """Hybrid retrieval end to end: exact hits, fused ranks, neighbours, identity dedup and the character budget."""
     d = t(spark, sf_dir, "documents")
@@ -237,14 +248,14 @@ def index_fingerprint(spark, sf_dir):
 
 
 @query("""
-WITH l AS (SELECT c_custkey AS id, c_mktsegment AS kind, CASE WHEN c_nationkey > 6 THEN 'yes' ELSE 'no' END AS required FROM customer WHERE c_nationkey < 13),
+WITH l AS (SELECT CASE WHEN c_nationkey < 13 THEN c_custkey ELSE -c_custkey END AS id, c_mktsegment AS kind, CASE WHEN c_nationkey > 6 THEN 'yes' ELSE 'no' END AS required FROM customer),
 r AS (SELECT user_id AS id, CASE WHEN count(*) % 2 = 0 THEN 'BUILDING' ELSE 'MACHINERY' END AS kind, CASE WHEN count(*) > 60 THEN 'yes' ELSE 'no' END AS required FROM events GROUP BY user_id)
 SELECT coalesce(l.id, r.id) AS id, l.kind AS left_kind, l.required AS left_required, r.kind AS right_kind, r.required AS right_required,
   CASE WHEN r.id IS NULL THEN 'CODE_ONLY' WHEN l.id IS NULL THEN 'SPEC_ONLY' ELSE 'MATCHED' END AS outcome,
   CASE WHEN r.id IS NULL OR l.id IS NULL THEN '' ELSE concat_ws(',', CASE WHEN l.kind IS DISTINCT FROM r.kind THEN 'kind' END, CASE WHEN l.required IS DISTINCT FROM r.required THEN 'required' END) END AS conflicts
 FROM l FULL JOIN r ON l.id = r.id""")
 def reconcile_outer(spark, sf_dir):
-    c = t(spark, sf_dir, "customer").filter("c_nationkey < 13").select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("kind"), F.when(F.col("c_nationkey") > 6, "yes").otherwise("no").alias("required"))
+    c = t(spark, sf_dir, "customer").select(F.when(F.col("c_nationkey") < 13, F.col("c_custkey")).otherwise(-F.col("c_custkey")).alias("id"), F.col("c_mktsegment").alias("kind"), F.when(F.col("c_nationkey") > 6, "yes").otherwise("no").alias("required"))
     e = t(spark, sf_dir, "events").groupBy(F.col("user_id").alias("id")).agg(F.when(F.count("*") % 2 == 0, "BUILDING").otherwise("MACHINERY").alias("kind"), F.when(F.count("*") > 60, "yes").otherwise("no").alias("required"))
     return joins.reconcile(c, e, ["id"], ["kind", "required"]).withColumn("conflicts", F.array_join("conflicts", ","))
 
@@ -319,9 +330,9 @@ def entity_usages(spark, sf_dir):
 
 
 @query("""
-SELECT n_nationkey, coalesce(last(c_name ORDER BY c_name), 'Unknown') AS c_name FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey AND c_acctbal > 9000 GROUP BY n_nationkey""")
+SELECT n_nationkey, coalesce(last(c_name ORDER BY c_name), 'Unknown') AS c_name FROM nation LEFT JOIN customer ON CASE WHEN c_acctbal > 9000 THEN c_nationkey ELSE 100 + c_nationkey END = n_nationkey GROUP BY n_nationkey""")
 def name_lookup(spark, sf_dir):
-    c = t(spark, sf_dir, "customer").filter("c_acctbal > 9000").select(F.col("c_nationkey").alias("n_nationkey"), "c_name")
+    c = t(spark, sf_dir, "customer").select(F.when(F.col("c_acctbal") > 9000, F.col("c_nationkey")).otherwise(F.col("c_nationkey") + 100).alias("n_nationkey"), "c_name")
     return joins.named(t(spark, sf_dir, "nation").select("n_nationkey"), c, "n_nationkey", "c_name")
 
 
@@ -380,13 +391,14 @@ def confidence_bands(spark, sf_dir):
 
 
 @query("""
-WITH o AS (SELECT doc_id, sha256(text) AS h FROM documents WHERE lang <> 'fr'), n AS (SELECT doc_id, sha256(CASE WHEN lang = 'de' THEN upper(source) ELSE text END) AS h FROM documents WHERE lang <> 'es')
+WITH o AS (SELECT CASE WHEN lang = 'fr' THEN -doc_id ELSE doc_id END AS doc_id, sha256(text) AS h FROM documents), n AS (SELECT CASE WHEN lang = 'es' THEN -doc_id ELSE doc_id END AS doc_id, sha256(CASE WHEN lang = 'de' THEN upper(source) ELSE text END) AS h FROM documents)
 SELECT coalesce(o.doc_id, n.doc_id) AS doc_id, CASE WHEN o.doc_id IS NULL THEN 'added' WHEN n.doc_id IS NULL THEN 'removed' ELSE 'changed' END AS change
 FROM o FULL JOIN n ON o.doc_id = n.doc_id WHERE o.h IS DISTINCT FROM n.h""")
 def snapshot_diff(spark, sf_dir):
     d = t(spark, sf_dir, "documents")
-    old = d.filter("lang <> 'fr'").select("doc_id", ids.digest("text").alias("h"))
-    new = d.filter("lang <> 'es'").select("doc_id", ids.digest(F.when(F.col("lang") == "de", F.upper("source")).otherwise(F.col("text"))).alias("h"))
+    moved = lambda lang: F.when(F.col("lang") == lang, -F.col("doc_id")).otherwise(F.col("doc_id")).alias("doc_id")
+    old = d.select(moved("fr"), ids.digest("text").alias("h"))
+    new = d.select(moved("es"), ids.digest(F.when(F.col("lang") == "de", F.upper("source")).otherwise(F.col("text"))).alias("h"))
     return setops.snapshot_diff(old, new, "doc_id", "h")
 
 
@@ -409,14 +421,14 @@ def catalog_rows(spark, sf_dir):
 
 
 @query("""
-WITH d AS (SELECT CAST(n_regionkey AS VARCHAR) AS entity_id, c_mktsegment AS domain FROM nation JOIN customer ON c_nationkey = n_nationkey WHERE c_acctbal > 9900)
+WITH d AS (SELECT CAST(n_regionkey AS VARCHAR) AS entity_id, CASE WHEN c_acctbal > 9900 THEN c_mktsegment END AS domain FROM nation JOIN customer ON c_nationkey = n_nationkey)
 SELECT r_name AS entity_id, CASE WHEN r_regionkey = 0 THEN 'Own' WHEN count(DISTINCT domain) = 1 THEN min(domain) WHEN count(DISTINCT domain) > 1 THEN 'Multiple analyzed domains' ELSE 'Awaiting API Analyzer' END AS domain
 FROM region LEFT JOIN d ON entity_id = CAST(r_regionkey AS VARCHAR) GROUP BY r_name, r_regionkey""")
 def entity_domains(spark, sf_dir):
     r, n, c = (t(spark, sf_dir, x) for x in ("region", "nation", "customer"))
-    rows = n.join(c, n.n_nationkey == c.c_nationkey).filter("c_acctbal > 9900").join(r, n.n_regionkey == r.r_regionkey)
+    rows = n.join(c, n.n_nationkey == c.c_nationkey).join(r, n.n_regionkey == r.r_regionkey)
     own = r.select(F.col("r_name").alias("entity_id"), F.when(F.col("r_regionkey") == 0, "Own").alias("domain"))
-    return catalog.entity_domains(own, rows.select(F.col("r_name").alias("entity_id"), F.col("c_custkey").alias("operation")), rows.select(F.col("c_custkey").alias("operation"), F.col("c_mktsegment").alias("domain")))
+    return catalog.entity_domains(own, rows.select(F.col("r_name").alias("entity_id"), F.col("c_custkey").alias("operation")), rows.select(F.col("c_custkey").alias("operation"), F.when(F.col("c_acctbal") > 9900, F.col("c_mktsegment")).otherwise(catalog.AWAITING).alias("domain")))
 
 
 @query("""
@@ -505,11 +517,11 @@ def reachable_closure(spark, sf_dir):
     return graph.closure(seeds, edges).groupBy("root", "depth").agg(F.count("*").alias("n"))
 
 
-@query("SELECT 'n' || c_nationkey AS source, 'c' || c_custkey AS target FROM customer WHERE c_acctbal <= 0")
+@query("SELECT 'n' || c_nationkey AS source, CASE WHEN c_acctbal > 0 THEN 'c' ELSE 'lost' END || c_custkey AS target FROM customer WHERE c_acctbal <= 0")
 def dangling_edges(spark, sf_dir):
     c = t(spark, sf_dir, "customer")
-    edges = c.select(F.concat(F.lit("n"), "c_nationkey").alias("source"), F.concat(F.lit("c"), "c_custkey").alias("target"))
-    nodes = c.filter("c_acctbal > 0").select(F.concat(F.lit("c"), "c_custkey").alias("id")).union(c.select(F.concat(F.lit("n"), "c_nationkey")))
+    edges = c.select(F.concat(F.lit("n"), "c_nationkey").alias("source"), F.concat(F.when(F.col("c_acctbal") > 0, "c").otherwise("lost"), "c_custkey").alias("target"))
+    nodes = c.select(F.concat(F.lit("c"), "c_custkey").alias("id")).union(c.select(F.concat(F.lit("n"), "c_nationkey")))
     return graph.dangling(edges, nodes, "id")
 
 
@@ -633,22 +645,22 @@ def latest_draft(spark, sf_dir):
 
 
 @query("""
-WITH a AS (SELECT n_name AS k, list(DISTINCT c_mktsegment) AS l, min(c_custkey) AS v FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_acctbal > 9000 GROUP BY n_name),
+WITH a AS (SELECT n_name || CASE WHEN c_acctbal > 9000 THEN '' ELSE ' low' END AS k, list(DISTINCT c_mktsegment) AS l, min(c_custkey) AS v FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL),
 b AS (SELECT n_name AS k, list(DISTINCT s_name) AS l, min(s_suppkey) AS v FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY n_name)
 SELECT coalesce(a.k, b.k) AS k, array_to_string(list_sort(list_distinct(list_concat(coalesce(a.l, []), coalesce(b.l, [])))), ',') AS l, coalesce(a.v, b.v) AS v FROM a FULL JOIN b ON a.k = b.k""")
 def merge_baseline(spark, sf_dir):
     n, c, s = (t(spark, sf_dir, x) for x in ("nation", "customer", "supplier"))
-    a = c.filter("c_acctbal > 9000").join(n, c.c_nationkey == n.n_nationkey).groupBy(F.col("n_name").alias("k")).agg(F.collect_set("c_mktsegment").alias("l"), F.min("c_custkey").alias("v"))
+    a = c.join(n, c.c_nationkey == n.n_nationkey).groupBy(F.concat("n_name", F.when(F.col("c_acctbal") > 9000, "").otherwise(" low")).alias("k")).agg(F.collect_set("c_mktsegment").alias("l"), F.min("c_custkey").alias("v"))
     b = s.join(n, s.s_nationkey == n.n_nationkey).groupBy(F.col("n_name").alias("k")).agg(F.collect_set("s_name").alias("l"), F.min("s_suppkey").alias("v"))
     return publish.merge_baseline(a, b, "k", ["l"], ["v"]).withColumn("l", F.array_join("l", ","))
 
 
 @query("""
-WITH r AS (SELECT o_custkey AS id, count(*) AS n FROM orders GROUP BY o_custkey), e AS (SELECT c_custkey AS id FROM customer WHERE c_nationkey < 20)
+WITH r AS (SELECT o_custkey AS id, count(*) AS n FROM orders GROUP BY o_custkey), e AS (SELECT CASE WHEN c_nationkey < 20 THEN c_custkey ELSE -c_custkey END AS id FROM customer)
 SELECT coalesce(e.id, r.id) AS id, CASE WHEN r.id IS NULL THEN 'missing' WHEN e.id IS NULL THEN 'unknown' ELSE 'repeated' END AS error FROM e FULL JOIN r ON e.id = r.id WHERE r.id IS NULL OR e.id IS NULL OR n > 1""")
 def echo_errors(spark, sf_dir):
     c, o = t(spark, sf_dir, "customer"), t(spark, sf_dir, "orders")
-    return quality.echo_errors(c.filter("c_nationkey < 20").select(F.col("c_custkey").alias("id")), o.select(F.col("o_custkey").alias("id")), ["id"])
+    return quality.echo_errors(c.select(F.when(F.col("c_nationkey") < 20, F.col("c_custkey")).otherwise(-F.col("c_custkey")).alias("id")), o.select(F.col("o_custkey").alias("id")), ["id"])
 
 
 @query("""
@@ -766,18 +778,18 @@ def hierarchy_edges(spark, sf_dir):
 
 
 @query("""
-SELECT c_custkey AS id FROM customer WHERE c_nationkey IN (SELECT s_nationkey FROM supplier WHERE s_acctbal > 5000)""")
+SELECT c_custkey AS id FROM customer WHERE c_nationkey IN (SELECT CASE WHEN s_acctbal > 5000 THEN s_nationkey ELSE 100 + s_nationkey END FROM supplier)""")
 def retained_children(spark, sf_dir):
-    s = t(spark, sf_dir, "supplier").filter("s_acctbal > 5000")
+    s = t(spark, sf_dir, "supplier").select(F.when(F.col("s_acctbal") > 5000, F.col("s_nationkey")).otherwise(F.col("s_nationkey") + 100).alias("s_nationkey"))
     return graph.retained(t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("n")), "n", s, "s_nationkey").select("id")
 
 
 @query("""
-SELECT l_orderkey, CAST(l_linenumber AS INT) AS l_linenumber, first(l_quantity ORDER BY l_shipdate, l_quantity) AS l_quantity FROM lineitem WHERE l_linenumber <= 3 GROUP BY ALL""")
+SELECT l_orderkey, CAST(CASE WHEN l_linenumber <= 3 THEN l_linenumber ELSE 100 + l_linenumber END AS INT) AS l_linenumber, CASE WHEN l_linenumber <= 3 THEN first(l_quantity ORDER BY l_shipdate, l_quantity) END AS l_quantity FROM lineitem GROUP BY l_orderkey, lineitem.l_linenumber""")
 def reconcile_responses(spark, sf_dir):
     li = t(spark, sf_dir, "lineitem")
     keys = ["l_orderkey", "l_linenumber"]
-    expected = li.filter("l_linenumber <= 3").select(*keys).distinct()
+    expected = li.select("l_orderkey", F.when(F.col("l_linenumber") <= 3, F.col("l_linenumber")).otherwise(F.col("l_linenumber") + 100).cast("int").alias("l_linenumber")).distinct()
     supplied = li.select(*keys, "l_quantity", F.struct("l_shipdate", "l_quantity").alias("place"))
     return enrichment.reconcile_responses(expected, supplied, keys, "place")
 
