@@ -6,15 +6,18 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Used only where the session names no folder, as in local tests.
+#: Used only where the session names no folder and runs on one machine, as in local tests.
 LOCAL_CHECKPOINTS = "/tmp/checkpoints"
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The shared folder for checkpoints: the session's own setting if it has one."""
+    """The shared folder for checkpoints: the session's own setting. On a cluster without one this is an error, as executors share no local folder."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or LOCAL_CHECKPOINTS)
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(folder or LOCAL_CHECKPOINTS)
     return sc.getCheckpointDir()
 
 
