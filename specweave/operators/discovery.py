@@ -10,6 +10,7 @@ from specweave.functions.text import clr_kind, compact_name, plain_route, route_
 from specweave.plans.lineage import cut
 
 from .aggregates import merge_edges
+from .graph import closure
 from .joins import claim_routes, keep_last, merge_lists, propagate_pairs
 from .ranking import unique_by_id
 
@@ -68,6 +69,48 @@ def from_extraction(raw: DataFrame) -> dict[str, DataFrame]:
     return {name: _once(df) for name, df in out.items()}
 
 
+def type_closure(types: DataFrame, roots: DataFrame) -> DataFrame:
+    """(region, system, full_name, depth): the types that ``roots`` (region, system, full_name) lead to over bases and property types, themselves included.
+
+    types (region, system, full_name, base, properties): properties holds the names of types, of elements where they are collections. Only types of
+    the same system count.
+    """
+    scope = ["region", "system"]
+    known = types.select(*scope, "full_name")
+    steps = types.select(*scope, "full_name", F.explode(F.array_distinct(F.concat(F.array("base"), F.coalesce("properties", F.array().cast("array<string>"))))).alias("to")).filter("`to` is not null")
+    steps = steps.join(known.withColumnRenamed("full_name", "to"), [*scope, "to"], "left_semi")
+    node = lambda c: F.to_json(F.struct(*scope, F.col(c).alias("full_name")))
+    start = roots.join(known, [*scope, "full_name"], "left_semi").select(F.lit("types").alias("root"), node("full_name").alias("node")).distinct()
+    found = closure(start, steps.select(node("full_name").alias("source"), node("to").alias("target")))
+    return found.select(F.from_json("node", "region string, system string, full_name string").alias("t"), "depth").select("t.*", "depth")
+
+
+def flow_edges(operations: DataFrame, flows: DataFrame, entities: DataFrame) -> DataFrame:
+    """(region, system, kind, source, target): what the trail from a command to its backends links: models mapped on models, operations to related models.
+
+    operations (region, system, id, request_type, response_types), flows (region, system, operation_id, mappings, related): mappings are
+    (from, to) type names, related ones (type, role); entities (region, system, full_name, id). Types that aren't entities link nothing;
+    nor do related ones that the operation's own contract names.
+    """
+    scope = ["region", "system"]
+    of = lambda c, alias: entities.select(*scope, F.col("full_name").alias(c), F.col("id").alias(alias))
+    maps = flows.select(*scope, F.explode("mappings").alias("m")).select(*scope, F.col("m.from").alias("_a"), F.col("m.to").alias("_b"))
+    maps = maps.join(of("_a", "source"), [*scope, "_a"]).join(of("_b", "target"), [*scope, "_b"]).select(*scope, F.lit("MAPS_TO").alias("kind"), "source", "target")
+    related = flows.select(*scope, "operation_id", F.explode("related").alias("r")).select(*scope, "operation_id", F.col("r.type").alias("_t"))
+    empty = F.array().cast("array<string>")
+    own = operations.select(*scope, F.col("id").alias("operation_id"), F.explode(F.concat(F.array("request_type"), F.coalesce("response_types", empty))).alias("_t"))
+    related = related.join(own.distinct(), [*scope, "operation_id", "_t"], "left_anti").join(of("_t", "target"), [*scope, "_t"])
+    return maps.unionByName(related.select(*scope, F.lit("REFERENCES").alias("kind"), F.col("operation_id").alias("source"), "target")).distinct()
+
+
+def merge_config(sources: DataFrame, diagnostics: DataFrame, config_sources: DataFrame, config_diagnostics: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """A model's sources and diagnostics with those of configuration files, ids once; the model's own count."""
+    def both(own: DataFrame, more: DataFrame) -> DataFrame:
+        return own.unionByName(more.select(*own.columns).join(own.select("id").distinct(), "id", "left_anti").dropDuplicates(["id"]))
+
+    return both(sources, config_sources), both(diagnostics, config_diagnostics)
+
+
 def summary(model: dict[str, DataFrame]) -> DataFrame:
     """(region, system, operations, entities, enums, relationships, diagnostics): how many of each."""
     rows = None

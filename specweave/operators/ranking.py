@@ -70,10 +70,11 @@ def next_version(versions: DataFrame, by: list[str]) -> DataFrame:
     return versions.groupBy(*by).agg((F.coalesce(F.max("version"), F.lit(0)) + 1).alias("next_version"))
 
 
-def unique_by_id(df: DataFrame, key: str, ordinal: str) -> DataFrame:
-    """Of rows that repeat a key the first one's values at the last one's place."""
+def unique_by_id(df: DataFrame, key: str, ordinal: str, last: bool = False) -> DataFrame:
+    """Of rows that repeat a key the first one's values at the last one's place; with ``last`` the last one's at the first one's."""
     own = [c for c in df.columns if c not in (key, ordinal)]
-    out = df.groupBy(key).agg(F.min_by(F.struct(*own), ordinal).alias("_v"), F.max(ordinal).alias(ordinal))
+    value, place = (F.max_by, F.min) if last else (F.min_by, F.max)
+    out = df.groupBy(key).agg(value(F.struct(*own), ordinal).alias("_v"), place(ordinal).alias(ordinal))
     return out.select(key, ordinal, "_v.*")
 
 

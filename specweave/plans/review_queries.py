@@ -9,7 +9,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from specweave.functions import similarity, text
-from specweave.operators import aggregates, artifacts, catalog, enrichment, joins, publish, quality, ranking, retrieval, setops, sinks
+from specweave.operators import aggregates, artifacts, catalog, discovery, enrichment, joins, publish, quality, ranking, retrieval, setops, sinks
 from specweave.plans.queries import _LEXICAL, _VECTORS, _by_vector, terms_sql
 from specweave.plans.registry import query, t
 from specweave.sources import config, openapi, repository
@@ -812,3 +812,97 @@ def published_document(spark, sf_dir):
     paths = ents.select("*", F.concat(F.lit("/"), F.lower("entity")).alias("route"))
     method = F.map_keys(F.col("d.paths")[F.col("route")])[0]
     return paths.select("entity", "name", F.col("p.type").alias("type"), F.array_contains("required", F.col("name")).alias("required"), "route", method.alias("method"), F.col("d.paths")[F.col("route")][method]["responses"]["200"]["description"].alias("said"))
+
+
+@query("""
+WITH RECURSIVE t AS (SELECT DISTINCT r_name AS region, n_name AS full_name, n_nationkey AS k FROM nation JOIN region ON n_regionkey = r_regionkey),
+e AS (SELECT a.region, a.full_name AS s, b.full_name AS t FROM t a JOIN t b ON a.region = b.region AND (b.k = a.k + 5 OR (a.k % 2 = 0 AND b.k = a.k + 10))),
+w(region, n, d) AS (SELECT region, full_name, 0 FROM t WHERE k < 4 UNION SELECT w.region, e.t, d + 1 FROM w JOIN e ON e.region = w.region AND e.s = w.n)
+SELECT region, 'Sys' AS system, n AS full_name, min(d) AS depth FROM w GROUP BY ALL""")
+def type_closure(spark, sf_dir):
+    n, r, k = t(spark, sf_dir, "nation"), t(spark, sf_dir, "region"), F.col("n_nationkey")
+    rows = n.join(r, n.n_regionkey == r.r_regionkey)
+    at = [F.col("r_name").alias("region"), F.lit("Sys").alias("system")]
+    named = rows.select(*at, k.alias("k"), F.col("n_name").alias("full_name"))
+    by_key = lambda d, alias: named.select("region", (F.col("k") - d).alias("k"), F.col("full_name").alias(alias))
+    types = named.join(by_key(5, "base"), ["region", "k"], "left").join(by_key(10, "far"), ["region", "k"], "left")
+    types = types.select("region", "system", "full_name", "base", F.when(F.col("k") % 2 == 0, F.array("far", F.lit("gone"))).alias("properties"))
+    return discovery.type_closure(types, named.filter("k < 4").select("region", "system", "full_name"))
+
+
+@query("""
+WITH e AS (SELECT DISTINCT r_name AS region, 'T' || n_nationkey AS full_name, 'e' || n_nationkey AS id FROM nation JOIN region ON n_regionkey = r_regionkey),
+s AS (SELECT r_name AS region, s_suppkey AS k, s_nationkey AS n FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)
+SELECT DISTINCT s.region, 'Sys' AS system, 'MAPS_TO' AS kind, a.id AS source, b.id AS target FROM s JOIN e a ON a.region = s.region AND a.full_name = 'T' || n JOIN e b ON b.region = s.region AND b.full_name = 'T' || (n + 5 * (k % 3))
+UNION ALL SELECT DISTINCT s.region, 'Sys', 'REFERENCES', 'o' || k, b.id FROM s JOIN e b ON b.region = s.region AND b.full_name = 'T' || (n + 5 * (k % 4)) WHERE k % 4 > 1""")
+def flow_edges(spark, sf_dir):
+    n, r, s = (t(spark, sf_dir, x) for x in ("nation", "region", "supplier"))
+    at = [F.col("r_name").alias("region"), F.lit("Sys").alias("system")]
+    rows = n.join(r, n.n_regionkey == r.r_regionkey)
+    made = s.join(rows, s.s_nationkey == rows.n_nationkey)
+    key = lambda d: F.concat(F.lit("T"), F.col("s_nationkey") + d)
+    k = F.col("s_suppkey")
+    op = F.concat(F.lit("o"), "s_suppkey").alias("id")
+    operations = made.select(*at, op, key(0).alias("request_type"), F.array(key(5)).alias("response_types"))
+    mappings = F.array(F.struct(key(0).alias("from"), key(k % 3 * 5).alias("to")), F.struct(F.lit("Lost").alias("from"), key(0).alias("to")))
+    related = F.array(F.struct(key(k % 4 * 5).alias("type"), F.lit("reads").alias("role")))
+    flows = made.select(*at, op.alias("operation_id"), mappings.alias("mappings"), related.alias("related"))
+    return discovery.flow_edges(operations, flows, rows.select(*at, F.concat(F.lit("T"), "n_nationkey").alias("full_name"), F.concat(F.lit("e"), "n_nationkey").alias("id")))
+
+
+@query("""
+WITH o AS (SELECT doc_id AS id, source AS v FROM documents), m AS (SELECT doc_id AS id, 'config' AS v FROM labels UNION SELECT -doc_id, 'config' FROM labels)
+SELECT 'source' AS part, * FROM o UNION ALL SELECT 'source', * FROM m WHERE id NOT IN (SELECT id FROM o) UNION ALL SELECT 'diagnostic', id, v FROM m""")
+def merge_config(spark, sf_dir):
+    own = t(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("v"))
+    lab = t(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), F.lit("config").alias("v"))
+    more = lab.unionByName(lab.withColumn("id", -F.col("id")))
+    sources, diagnostics = discovery.merge_config(own, own.limit(0), more, more)
+    return sources.select(F.lit("source").alias("part"), "*").unionByName(diagnostics.select(F.lit("diagnostic").alias("part"), "*"))
+
+
+@query("SELECT user_id, min(event_id) AS event_id, last(event_type ORDER BY event_id) AS event_type, last(value ORDER BY event_id) AS value FROM events GROUP BY user_id")
+def last_by_id(spark, sf_dir):
+    return ranking.unique_by_id(t(spark, sf_dir, "events").select("user_id", "event_id", "event_type", "value"), "user_id", "event_id", last=True)
+
+
+@query("""
+WITH s AS (SELECT o_custkey AS k, o_orderkey AS span_id, o_orderdate AS a, 30 + o_orderkey % 90 AS n, o_orderstatus = 'F' AS owned, o_orderpriority LIKE '1%' AS named, o_orderpriority LIKE '%L%' AS qualified FROM orders),
+p AS (SELECT o_orderkey AS point_id, s.* FROM orders JOIN s ON o_custkey = k AND o_orderdate BETWEEN a AND a + to_days(CAST(n AS INT))),
+q AS (SELECT *, max(owned AND named) OVER w AS x, max(owned) OVER w AS y FROM p WINDOW w AS (PARTITION BY point_id)),
+r AS (SELECT * FROM q WHERE CASE WHEN x THEN owned AND named WHEN y THEN owned ELSE true END),
+u AS (SELECT *, max(qualified) OVER (PARTITION BY point_id) AS z FROM r), v AS (SELECT * FROM u WHERE qualified OR NOT z),
+l AS (SELECT *, rank() OVER (PARTITION BY point_id ORDER BY n) AS rk FROM v)
+SELECT point_id, span_id, count(*) OVER (PARTITION BY point_id) > 1 AS ambiguous FROM l WHERE rk = 1""")
+def chunk_binding(spark, sf_dir):
+    """The span that a place belongs to: named and owned ones first, then owned ones, then any; qualified ones first among these; then the smallest."""
+    o = t(spark, sf_dir, "orders")
+    day = F.unix_micros(F.col("o_orderdate").cast("timestamp"))
+    rest = [(F.col("o_orderstatus") == "F").alias("owned"), F.col("o_orderpriority").startswith("1").alias("named"), F.col("o_orderpriority").contains("L").alias("qualified")]
+    spans = o.select(F.col("o_custkey").alias("k"), F.col("o_orderkey").alias("span_id"), day.alias("start"), (day + (F.col("o_orderkey") % 90 + 30) * 86_400_000_000).alias("end"), *rest)
+    points = o.select(F.col("o_custkey").alias("k"), F.col("o_orderkey").alias("point_id"), day.alias("at"))
+    owned, named = F.col("owned"), F.col("named")
+    return joins.containing_spans(points, spans, ["k"], [owned & named, owned, F.col("qualified")]).select("point_id", "span_id", "ambiguous")
+
+
+@query(r"""
+WITH a AS (SELECT regexp_replace(lower(p_name), '[^a-z0-9]', '', 'g') AS entity, 'a' || p_size AS name, p_type AS type, p_retailprice > 1000 AS required FROM part)
+SELECT entity, name, lower(type) AS type_key, bool_and(required) AS required_in_all, count(*) AS n_sources FROM a GROUP BY ALL""")
+def merged_attributes(spark, sf_dir):
+    p = t(spark, sf_dir, "part").withColumn("source_key", F.concat_ws("/", "p_brand", "p_name"))
+    sources = p.select("source_key", F.col("p_brand").alias("api"), F.col("p_name").alias("approved_name")).distinct()
+    attributes = p.select("source_key", F.col("p_partkey").cast("string").alias("attribute_id"), F.concat(F.lit("a"), "p_size").alias("approved_name"), F.col("p_type").alias("type"), (F.col("p_retailprice") > 1000).alias("required"))
+    entities, _ = catalog.review("eu", sources, attributes)
+    rows = entities.select(text.comparison_key("name").alias("entity"), F.explode("attributes").alias("a"))
+    return rows.select("entity", F.col("a.name").alias("name"), F.col("a.type_key").alias("type_key"), F.col("a.required_in_all").alias("required_in_all"), F.col("a.n_sources").alias("n_sources"))
+
+
+@query("""
+WITH f AS (SELECT DISTINCT p_brand AS api, p_name AS model, CASE WHEN p_size % 2 = 0 THEN 'List[' || p_type || ']' ELSE p_type END || CASE WHEN p_size > 25 THEN '?' ELSE '' END AS shown, 'f' || p_size AS field FROM part),
+m AS (SELECT api, model, model || '(' || string_agg(field || ':' || shown, ',' ORDER BY field, shown) || ')' AS x FROM f GROUP BY api, model)
+SELECT api, string_agg(x, ';' ORDER BY model) AS tree FROM m GROUP BY api""")
+def model_tree(spark, sf_dir):
+    p, n = t(spark, sf_dir, "part"), F.col("p_size")
+    rows = p.select(F.col("p_brand").alias("api"), F.col("p_name").alias("model"), F.concat(F.lit("f"), n).alias("field"), F.col("p_type").alias("type"), (n % 2 == 0).alias("collection"), (n > 25).alias("nullable")).distinct()
+    shown = F.transform("children", lambda m: F.concat(m["model"], F.lit("("), F.array_join(F.transform(m["children"], lambda x: F.concat(x["field"], F.lit(":"), x["type"])), ","), F.lit(")")))
+    return catalog.model_tree(rows).select("api", F.array_join(shown, ";").alias("tree"))
