@@ -52,9 +52,9 @@ def merge_edges(edges: DataFrame) -> DataFrame:
 
 
 def bands(rows: DataFrame, confidence: str, key: str, auto: float = 0.90, review: float = 0.70) -> DataFrame:
-    """(band, n, keys): what is accepted, what is to be reviewed, what needs more context; keys in order."""
+    """(key, band): what is accepted, what is to be reviewed, what needs more context; a row for each key, so a band may have any number."""
     band = F.when(F.col(confidence) >= auto, "auto").when(F.col(confidence) >= review, "review").otherwise("needsMoreContext")
-    return rows.groupBy(band.alias("band")).agg(F.count("*").alias("n"), F.sort_array(F.collect_list(key)).alias("keys"))
+    return rows.select(key, band.alias("band"))
 
 
 def naming_conflicts(rows: DataFrame, scope: str, original: str, effective: str) -> DataFrame:

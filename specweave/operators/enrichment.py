@@ -8,8 +8,6 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .aggregates import bands
-
 # Business domains and their capabilities.
 TAXONOMY = {
     "Policy": ("Quote Management", "Policy Issuance", "Policy Inquiry", "Policy Change", "Renewal", "Cancellation"),
@@ -62,14 +60,6 @@ def enrich(asked: DataFrame, key: str, answer: Callable[[str], dict], schema: st
     return asked.select(key, "context").mapInPandas(run, f"{key} {kind}, {schema}, error string")
 
 
-def least_confidence(*columns: str):
-    return F.least(*columns)
-
-
-def report(results: DataFrame, key: str, confidence: str) -> DataFrame:
-    return bands(results, confidence, key)
-
-
 def report_counts(discovered: DataFrame, enriched: DataFrame, contexts: DataFrame) -> DataFrame:
     """(kind, discovered, enriched, missing, domains_classified, capabilities_classified, truncated): how far an analysis got, by kind.
 

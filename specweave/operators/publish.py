@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from specweave.functions.ids import digest, joined_id
+from specweave.functions.ids import digest, joined_id, rows_digest
 from specweave.functions.text import comparison_key, published_type
 
 from .joins import keep_first
@@ -204,9 +204,8 @@ def input_digest(inputs: dict[str, DataFrame], settings: dict[str, str]) -> Data
     sums = None
     for name in sorted(inputs):
         df = inputs[name]
-        h = F.sha2(F.to_json(F.struct(*sorted(df.columns)), {"ignoreNullFields": "false"}).cast("binary"), 256)
-        part = lambda a: F.sum(F.conv(F.substring(h, a, 12), 16, 10).cast("decimal(20,0)")).cast("string")  # noqa: B023, E731
-        one = df.agg(F.concat_ws(":", F.count("*").cast("string"), *[F.coalesce(part(a), F.lit("0")) for a in (1, 13, 25, 37, 49)]).alias("line")).select(F.concat(F.lit(f"{name}="), "line").alias("line"))
+        row = F.to_json(F.struct(*sorted(df.columns)), {"ignoreNullFields": "false"})
+        one = df.agg(F.concat(F.lit(f"{name}="), rows_digest(row)).alias("line"))
         sums = one if sums is None else sums.unionByName(one)
     fixed = "".join(f"\n{k}={settings[k]}" for k in sorted(settings))
     return sums.agg(digest(F.concat(F.array_join(F.sort_array(F.collect_list("line")), "\n"), F.lit(fixed))).alias("digest"))  # a line for each table

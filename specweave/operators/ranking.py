@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from specweave.plans.lineage import cut
+
 
 def top_k(df: DataFrame, by: list, order: list, k: int, name: str = "rank") -> DataFrame:
     """The first ``k`` rows of each group, numbered from 0; order must be total."""
@@ -56,14 +58,18 @@ def admitted(calls: DataFrame, by: list, order: list, estimate: str, *, run_toke
 def first_files(files: DataFrame, most_files: int = 5_000, most_bytes: int = 1_000_000, most_total: int = 30_000_000) -> DataFrame:
     """Files (path, length) of a scan with reason: null if read, else why not. Files too large by themselves use nothing up.
 
-    The running total over all paths is taken in one task: a scan is bounded by its own caps.
+    Running totals go by path over a range sort: within each part, on top of what the parts before it hold.
     """
     fits = F.col("length") <= most_bytes
-    w = Window.orderBy("path").rowsBetween(Window.unboundedPreceding, 0)
     size = F.when(fits, F.col("length")).otherwise(0)
-    out = files.withColumn("_n", F.sum(fits.cast("int")).over(w)).withColumn("_total", F.sum(size).over(w))
+    placed = cut(files.repartitionByRange("path").withColumn("_part", F.spark_partition_id()))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each part
+    sums = placed.groupBy("_part").agg(F.sum(fits.cast("int")).alias("_a"), F.sum(size).alias("_b"))
+    sums = sums.select("_part", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(c) for c in ("_a", "_b")])
+    w = Window.partitionBy("_part").orderBy("path").rowsBetween(Window.unboundedPreceding, 0)
+    out = placed.join(F.broadcast(sums), "_part").withColumn("_n", F.col("_a") + F.sum(fits.cast("int")).over(w)).withColumn("_total", F.col("_b") + F.sum(size).over(w))
     reason = F.when(~fits, "file too large").when(F.col("_n") > most_files, "too many files").when(F.col("_total") > most_total, "scan too large")
-    return out.withColumn("reason", reason).drop("_n", "_total")
+    return out.withColumn("reason", reason).drop("_n", "_total", "_part", "_a", "_b")
 
 
 def next_version(versions: DataFrame, by: list[str]) -> DataFrame:

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from specweave.functions.ids import digest
+from specweave.functions.ids import digest, rows_digest
 from specweave.functions.text import candidate_symbols, terms
 from specweave.plans.lineage import cut
 
@@ -280,11 +280,9 @@ def index_stats(chunks: DataFrame) -> DataFrame:
 
 
 def fingerprint(files: DataFrame, settings: dict[str, str], path: str = "path", sha: str = "sha256") -> DataFrame:
-    """One row: the digest of all files and settings; over sorted digests, so one task sees one line a file."""
-    line = F.concat_ws("=", F.col(path), F.col(sha))
-    all_files = F.array_join(F.sort_array(F.collect_list(line)), "\n")
-    fixed = "\n".join(f"{k}={settings[k]}" for k in sorted(settings))
-    return files.agg(digest(F.concat(all_files, F.lit("\n" + fixed))).alias("fingerprint"))
+    """One row: the digest of all files and settings, whatever the order of the files."""
+    fixed = "".join(f"\n{k}={settings[k]}" for k in sorted(settings))
+    return files.agg(digest(F.concat(rows_digest(F.concat_ws("=", F.col(path), F.col(sha))), F.lit(fixed))).alias("fingerprint"))
 
 
 def pooled(windows: DataFrame) -> DataFrame:

@@ -237,8 +237,11 @@ def pooled_embedding(spark, sf_dir):
     return retrieval.pooled(v).select(F.col("owner").alias("label"), F.posexplode("vector").alias("i", "x")).withColumn("x", F.round("x", 6))
 
 
-@query(r"""
-SELECT sha256(string_agg(CAST(doc_id AS VARCHAR) || '=' || sha256(text), chr(10) ORDER BY CAST(doc_id AS VARCHAR) || '=' || sha256(text)) || chr(10) || 'embedder=local' || chr(10) || 'version=1') AS fingerprint FROM documents""")
+_PIECES = ", ".join(f"CAST(coalesce(sum(CAST('0x' || substr(h, {a}, 12) AS UBIGINT)), 0) AS VARCHAR)" for a in (1, 13, 25, 37, 49))
+
+
+@query(f"""
+SELECT sha256(concat_ws(':', CAST(count(*) AS VARCHAR), {_PIECES}) || chr(10) || 'embedder=local' || chr(10) || 'version=1') AS fingerprint FROM (SELECT sha256(CAST(doc_id AS VARCHAR) || '=' || sha256(text)) AS h FROM documents)""")
 def index_fingerprint(spark, sf_dir):
     d = t(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("path"), ids.digest("text").alias("sha256"))
     return retrieval.fingerprint(d, {"version": "1", "embedder": "local"})
@@ -383,11 +386,11 @@ _CONFIDENCE = "least(CASE WHEN quality = 1 THEN 0.95 ELSE 0.75 END, CASE WHEN to
 
 @query(f"""
 WITH c AS (SELECT doc_id, {_CONFIDENCE} AS confidence FROM labels)
-SELECT CASE WHEN confidence >= 0.9 THEN 'auto' WHEN confidence >= 0.7 THEN 'review' ELSE 'needsMoreContext' END AS band, count(*) AS n, string_agg(doc_id, ',' ORDER BY doc_id) AS keys FROM c GROUP BY band""")
+SELECT doc_id, CASE WHEN confidence >= 0.9 THEN 'auto' WHEN confidence >= 0.7 THEN 'review' ELSE 'needsMoreContext' END AS band FROM c""")
 def confidence_bands(spark, sf_dir):
     own = F.when(F.col("quality") == 1, 0.95).otherwise(0.75).alias("a"), F.when(F.col("toxic") == 1, 0.60).otherwise(0.99).alias("b")
-    rows = t(spark, sf_dir, "labels").select("doc_id", *own).select("doc_id", enrichment.least_confidence("a", "b").alias("confidence"))
-    return enrichment.report(rows, "doc_id", "confidence").withColumn("keys", F.array_join(F.transform("keys", lambda x: x.cast("string")), ","))
+    rows = t(spark, sf_dir, "labels").select("doc_id", *own).select("doc_id", F.least("a", "b").alias("confidence"))
+    return aggregates.bands(rows, "confidence", "doc_id")
 
 
 @query("""
