@@ -24,8 +24,9 @@ from specweave.plans.lineage import cut
 from .blocks import batches_of
 from .common import chunks
 
-#: Parts of the model, and blocks that ask one copy of a part; there are as many copies as that takes.
+#: Parts of the model at least, entries of a part, and blocks that ask one copy of it; there are as many parts and copies as that takes.
 SHARDS = 24
+SHARD_ROWS = 200_000
 BLOCKS_A_COPY = 64
 #: Bytes of text whose n-grams are taken at once.
 STEP_BYTES = 1 << 20
@@ -187,14 +188,6 @@ def smooth(counts: DataFrame, order: int, modified: bool = True) -> DataFrame:
     return cut(out.groupBy("key", "gram").agg(F.max("p").alias("p"), F.max("g").alias("g")))
 
 
-def _codes(grams: list[str], n: int) -> np.ndarray:
-    points = np.frombuffer("".join(grams).encode("utf-32-le", "surrogatepass"), "<u4").reshape(-1, n).astype(np.uint64) if grams and n else np.zeros((len(grams), 0), np.uint64)
-    codes = points[:, 0].copy() if n else np.zeros(len(grams), np.uint64)
-    for j in range(1, n):
-        codes = codes * _MULT + points[:, j]
-    return codes
-
-
 class Table:
     """A share of the model: for n-grams of each length, sorted hashes with p and g for each key."""
 
@@ -260,30 +253,57 @@ def in_shards(model: DataFrame, shards: int, copies: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            grams = batch.column("gram").to_pylist()
+            grams, lengths = batch.column("gram"), pc.utf8_length(batch.column("gram")).to_numpy()
+            there = {c: batch.column(c).is_valid().to_numpy(zero_copy_only=False) for c in ("p", "g")}
             rows, where, use = [], [], []
-            for i, gram in enumerate(grams):
-                for which, pair in enumerate((gram[-3:-1] if len(gram) > 2 else "", gram[-2:] if len(gram) > 1 else "")):
-                    if batch.column(3 - 1 + which)[i].is_valid:
-                        to = shard_of(np.array([[*map(ord, pair), 0]], np.uint64), shards).tolist() if pair else range(shards)
-                        to = [k + shards * copy for k in to for copy in range(copies)]
-                        where += to
-                        rows += [i] * len(to)
-                        use += [which] * len(to)
+            for n in np.unique(lengths).tolist():
+                own = np.flatnonzero(lengths == n)
+                points = _points(grams.take(pa.array(own)).to_pylist(), n)
+                for c, least in (("p", 3), ("g", 2)):  # p is asked for under the two characters before the last, g under the last two
+                    some = there[c][own]
+                    row = own[some]
+                    if n >= least:
+                        at = shard_of(points[some] if c == "p" else np.pad(points[some], ((0, 0), (0, 1))), shards)
+                    else:
+                        row, at = np.repeat(row, shards), np.tile(np.arange(shards), len(row))
+                    rows.append(np.repeat(row, copies))
+                    where.append(np.repeat(at, copies) + shards * np.tile(np.arange(copies), len(at)))
+                    use.append(np.full(len(row) * copies, c == "g"))
+            rows, where, use = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (rows, where, use))
             t = batch.take(pa.array(rows, pa.int64()))
-            use = np.array(use, bool)
-            p, g = (pc.if_else(pa.array(mask), t.column(c), pa.scalar(None, pa.float64())) for c, mask in (("p", ~use), ("g", use)))
+            p, g = (pc.if_else(pa.array(mask.astype(bool)), t.column(c), pa.scalar(None, pa.float64())) for c, mask in (("p", use == 0), ("g", use != 0)))
             yield pa.RecordBatch.from_arrays([pa.array(where, pa.int32()), t.column("key"), t.column("gram"), p, g], ["shard", "key", "gram", "p", "g"])
 
     return model.select("key", "gram", "p", "g").mapInArrow(run, "shard int, key string, gram string, p double, g double")
 
 
+def _points(grams: list[str], n: int) -> np.ndarray:
+    """Strings of n characters as a matrix of code points."""
+    return np.frombuffer("".join(grams).encode("utf-32-le", "surrogatepass"), "<u4").reshape(len(grams), n).astype(np.uint64)
+
+
+def _codes(grams: list[str], n: int) -> np.ndarray:
+    return hashed(_points(grams, n))
+
+
+def packed_points(points: np.ndarray) -> bytes:
+    """A matrix of code points, byte place by byte place, compressed: mostly zeros."""
+    planes = np.ascontiguousarray(points.astype("<u4").view(np.uint8).reshape(len(points), -1).T)
+    return len(points).to_bytes(4, "little") + pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
+
+
+def unpacked_points(data: bytes, order: int) -> np.ndarray:
+    n = int.from_bytes(data[:4], "little")
+    planes = pa.decompress(data[4:], 4 * order * n, codec="zstd", asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(4 * order, n).T).view("<u4")
+
+
 def _distinct(points: list[np.ndarray]) -> np.ndarray:
     both = np.concatenate(points)
     return both[np.unique(hashed(both), return_index=True)[1]]
 
 
-def score(blocks: DataFrame, n_blocks: int, model: DataFrame, keys: list[str], order: int, symbols: Callable[[], np.ndarray], own_key: bool, finish: Callable, kind: str, shards: int = SHARDS) -> DataFrame:
+def score(blocks: DataFrame, n_blocks: int, model: DataFrame, keys: list[str], order: int, symbols: Callable[[], np.ndarray], own_key: bool, finish: Callable, kind: str) -> DataFrame:
     """finish(batch, n, sums) for some rows at a time: their characters and the log probabilities of their texts.
 
     With ``own_key`` each text is measured by the model of its row's key, and sums has one
@@ -291,6 +311,7 @@ def score(blocks: DataFrame, n_blocks: int, model: DataFrame, keys: list[str], o
     """
 
     copies = -(-n_blocks // BLOCKS_A_COPY)
+    shards = max(SHARDS, -(-model.count() // SHARD_ROWS))
 
     def ask(blobs: pa.Table) -> pa.Table:
         block = blobs.column("block")[0].as_py()
@@ -307,8 +328,7 @@ def score(blocks: DataFrame, n_blocks: int, model: DataFrame, keys: list[str], o
             points = _distinct(parts)
             shard = shard_of(points, shards)
             for k in np.unique(shard).tolist():
-                some = np.ascontiguousarray(points[shard == k].T.astype("<u4"))
-                rows.append((block, k + shards * (block % copies), key, some.tobytes()))
+                rows.append((block, k + shards * (block % copies), key, packed_points(points[shard == k])))
         columns = list(zip(*rows, strict=True)) if rows else [[]] * 4
         return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int32(), pa.string(), pa.binary()), strict=True)], names=["block", "shard", "key", "data"])
 
@@ -317,7 +337,7 @@ def score(blocks: DataFrame, n_blocks: int, model: DataFrame, keys: list[str], o
         if asked.num_rows:
             lookup = Table(rows, keys, order)
             for block, key, data in zip(*(asked.column(c).to_pylist() for c in ("block", "key", "data")), strict=True):
-                points = np.frombuffer(data, "<u4").reshape(order, -1).T
+                points = unpacked_points(data, order)
                 logs = lookup.log_p(points)
                 if own_key:
                     logs = logs[:, [keys.index(key)]]
