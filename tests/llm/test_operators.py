@@ -287,6 +287,41 @@ def test_quality_keeps_the_trusted_kind(spark):
     assert quality.judge(docs(spark, []), labels).count() == 0
 
 
+def test_limits_equal_the_definition(spark):
+    """Perplexities by the other half's model, limits by language and length, and what is kept, with dictionaries."""
+    rng = random.Random(33)
+    rows = [(i, words(rng.choice([2, 9, 40]), i, "abcd" if i % 2 else "cdef"), ["en", "fr"][i % 2] if i % 9 else None, None) for i in range(120)]
+    rows += [(200 + i, words(30, i, "xyz!"), "en", None) for i in range(5)] + [(300, "abc dea", "it", None), (301, "", "en", None), (302, None, None, None)]
+    good = {i for i in range(120) if i % 4}
+    got = {r.doc_id: r for r in quality.judge(docs(spark, rows), spark.createDataFrame([(i, 1) for i in good], "doc_id long, quality int"), order=3, quantile=0.9).collect()}
+    halves = {r.doc_id: int(r.h) for r in docs(spark, rows).select("doc_id", quality.half(F.col("doc_id")).alias("h")).collect()}
+    symbols = kneser_ney.characters()
+    models = {}
+    for h in (0, 1):
+        texts = {lang: [r[1] for r in rows if r[0] in good and halves[r[0]] == h and (lang == "*" or r[2] == lang)] for lang in ("en", "fr", "*")}
+        models |= {(lang, h): brute_kneser_ney(own, 3, symbols, True) for lang, own in texts.items()}
+    loss, limits = {}, {}
+    for i, text, lang, _ in rows:
+        name = lang if lang in ("en", "fr") else "*"
+        if text:
+            s = "  " + "".join(chr(symbols[ord(c)]) for c in text)
+            p = models[name, 1 - halves[i]]
+            loss[i] = -sum(np.log(p(s[j : j + 3])) for j in range(len(text))) / len(text)
+            if i in good:
+                limits.setdefault((name, int(np.floor(np.log(len(text)) / np.log(4) + 1e-9))), []).append(loss[i])
+    limits = {k: np.ceil(sorted(v)[int(np.ceil(0.9 * len(v))) - 1] * 1000) / 1000 for k, v in limits.items()}
+    for i, text, lang, _ in rows:
+        name = lang if lang in ("en", "fr") else "*"
+        assert got[i].model == name
+        if not text:
+            assert not got[i].kept and got[i].perplexity is None
+            continue
+        most = limits.get((name, int(np.floor(np.log(len(text)) / np.log(4) + 1e-9))), max(v for (n, _), v in limits.items() if n == name))
+        assert abs(np.log(got[i].perplexity) - loss[i]) < 1e-4 and abs(np.log(got[i].threshold) - most) < 1.1e-3
+        assert got[i].kept == (loss[i] <= most) or abs(loss[i] - most) < 1.1e-3
+    assert not any(got[200 + i].kept for i in range(5))
+
+
 def test_languages_held_out(spark, small):
     d = spark.read.parquet(f"{small}/documents.parquet")
     got = language_id.identify(d).join(d.select("doc_id", "lang"), "doc_id").collect()
@@ -372,8 +407,9 @@ def test_repeats_equal_brute_force(spark, small):
     vocabulary = [words(1, i, "abcdé", 14) for i in range(12)]
     random_rows = [(rng.choice([i, i, i // 2, None]), rng.choice([" ".join(rng.choice(vocabulary) for _ in range(rng.randint(0, 40))), "ab" * rng.randint(0, 200), None])) for i in range(200)]
     for rows in (table, random_rows, [(2, "x" * 20_000), (1, "x" * 60), (3, "x" * 49)], [(1, None)]):
-        got = sorted(map(tuple, suffix_dedup.remove_repeats(clash(docs(spark, rows))).collect()), key=str)
-        assert got == brute_repeats(rows, 50)
+        for wide in (suffix_dedup.WIDE_RUNS, 1):  # few runs under an anchor are sorted together, or every window apart
+            got = sorted(map(tuple, suffix_dedup.remove_repeats(clash(docs(spark, rows)), wide=wide).collect()), key=str)
+            assert got == brute_repeats(rows, 50)
     assert suffix_dedup.remove_repeats(docs(spark, [])).count() == 0
     kept = suffix_dedup.remove_repeats(docs(spark, [(1, "a" * 60), (2, "b" + "a" * 60 + "c")]), with_text=True).orderBy("doc_id").collect()
     assert [bytes(r.kept) for r in kept] == [b"a" * 60, b"bc"]
@@ -391,8 +427,9 @@ def test_documents_that_repeat_their_own_blocks(spark):
             rows += [(3 * k + 1, "+" * 70 + (block[2] + shared + block[3]) * 2), rows[-1]]
         if k % 5 == 0:  # a later document has the block too
             rows.append((3 * k + 2, (block[2] + shared + block[3]) * 3))
-    got = sorted(map(tuple, suffix_dedup.remove_repeats(docs(spark, rows)).collect()), key=str)
-    assert got == brute_repeats(rows, 50)
+    for wide in (suffix_dedup.WIDE_RUNS, 1):
+        got = sorted(map(tuple, suffix_dedup.remove_repeats(docs(spark, rows), wide=wide).collect()), key=str)
+        assert got == brute_repeats(rows, 50)
 
 
 # --- 6 nearest ----------------------------------------------------------------------------------------------
