@@ -58,7 +58,8 @@ def portfolio_route(x) -> Column:
 def terms(x, underscore: bool = True) -> Column:
     """The different words of a text and of its camel-case parts, in lower case."""
     text = F.coalesce(_c(x), F.lit(""))
-    both = F.lower(F.concat(text, F.lit(" "), F.regexp_replace(text, "([a-z0-9])([A-Z])", "$1 $2")))
+    split = F.concat(text, F.lit(" "), F.regexp_replace(text, "([a-z0-9])([A-Z])", "$1 $2"))
+    both = F.lower(F.when(text.rlike("[a-z0-9][A-Z]"), split).otherwise(text))  # most texts have no such parts
     return F.array_distinct(F.regexp_extract_all(both, F.lit("[a-z0-9_]+" if underscore else "[a-z0-9]+"), 0))
 
 

@@ -243,3 +243,33 @@ def test_tree_and_graph_text(spark):
     t = spark.createDataFrame([("s1", "t", "Retained"), ("s2", "t", "Merged")], "source string, target string, action string")
     lines = [x.line for x in sinks.lineage_graph(t).collect()]
     assert lines[0] == "graph LR" and len(lines) == 6 and sum("merged" in x for x in lines) == 1
+
+
+def test_closure_of_a_long_chain(spark):
+    from specweave.operators import graph
+
+    edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(40, 3)], "source long, target long")
+    found = graph.closure(spark.createDataFrame([(0, 0), (1, 39)], "root long, node long"), edges)
+    assert {(r.root, r.node): r.depth for r in found.collect()} == {(0, i): i for i in range(41)} | {(1, 39): 0, (1, 40): 1} | {(1, i): i - 1 for i in range(3, 39)}
+
+
+def test_vector_queries_in_pages_and_products_in_parts(spark, monkeypatch):
+    from specweave.operators import align, retrieval
+
+    v = spark.createDataFrame([(i, [float(i % 7) + 0.1, float(i % 5) - 2.0]) for i in range(60)], "doc_id long, vector array<double>")
+    q = v.filter("doc_id < 20").withColumnRenamed("doc_id", "query_id")
+    whole = sorted(map(tuple, retrieval.by_vector(v, q, 3).collect()))
+    monkeypatch.setattr(retrieval, "QUERY_PAGE", 7)
+    assert sorted(map(tuple, retrieval.by_vector(v, q, 3).collect())) == whole and len(whole) == 60
+    a, b = spark.createDataFrame([("a", "x"), ("b", "y")], "regional_id string, name string"), spark.createDataFrame([("c", "x"), ("d", "z"), ("e", "y")], "candidate_id string, name string")
+    pairs = {tuple(r) for r in align.entity_pairs(a, b).collect()}
+    monkeypatch.setattr(align, "SMALL", 0)
+    assert {tuple(r) for r in align.entity_pairs(a, b).collect()} == pairs and len(pairs) == 6
+
+
+def test_follow_ups_ask_only_for_names(spark):
+    from specweave.operators import retrieval
+
+    results = spark.createDataFrame([(1, "n", [0.95, 0.91], ["A"]), (2, "n", [0.8], ["no name", "Own"]), (3, "n", [0.6], None), (4, "n", [0.8], None)], "target_id long, name string, confidences array<double>, requested array<string>")
+    contexts = spark.createDataFrame([(3, "QuoteService and PolicyHandler"), (4, "QuoteService")], "target_id long, text string")
+    assert {r.target_id: r.symbols for r in retrieval.needs_follow_up(results, contexts).collect()} == {2: ["Own"], 3: ["QuoteService", "PolicyHandler"]}
