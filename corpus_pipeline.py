@@ -49,6 +49,7 @@ STAGES = [("quality", quality), ("near_dedup", near_dedup), ("decontamination",
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage. What a stage returned is deleted once the next one has been written; the last one reads the fourth's."""
     folder = f"{checkpoint_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
@@ -56,8 +57,16 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         if k < len(STAGES) - 1:
             docs.write.parquet(f"{folder}/{k}-{name}")
             docs = spark.read.parquet(f"{folder}/{k}-{name}")
+            if k:
+                _delete(spark, f"{folder}/{k - 1}-{STAGES[k - 1][0]}")
     return docs
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 #: The language model, the fingerprints and the alignments are beyond SQL; tests hold run() against plain Python.
 ORACLE_SQL = None
