@@ -161,6 +161,45 @@ def openapi_inventory(spark, sf_dir):
     return openapi.schema_names(docs).join(bad, "document").select("document", F.array_join("names", ",").alias("names"), "problems")
 
 
+@query(f"SELECT n AS document, 1 AS paths, 3 AS schemas, NULL AS error {_EACH} UNION ALL SELECT n || '-', NULL, NULL, 'no OpenAPI 3 document' {_EACH} UNION ALL SELECT n || '+', NULL, NULL, 'no JSON' {_EACH}")
+def openapi_summaries(spark, sf_dir):
+    docs = _nation_documents(spark, sf_dir)
+    older = docs.select(F.concat("document", F.lit("-")).alias("document"), F.replace("text", F.lit('"3.0.3"'), F.lit('"2.0"')).alias("text"))
+    return openapi.summaries(docs.unionByName(older).unionByName(docs.select(F.concat("document", F.lit("+")).alias("document"), F.substring("text", 1, 99).alias("text"))))
+
+
+@query(f"""
+SELECT n AS document, part, replace(replace(row, '@', n), '%', r) AS row {_EACH}, (VALUES ('endpoints', 'op@ POST /n/{{id}} 2 requests 4 responses'),
+  ('models', 'Base|Base of @|in %|id uuid,name string'), ('models', 'Child|-|External documentation: more — http://%|size boolean,id uuid,name integer'), ('models', 'Lost|-||'),
+  ('rules', 'Base.name example "@"'), ('rules', 'Base.name maxLength 25'), ('rules', 'Base.name pattern "^@"'),
+  ('lineage', 'endpoint POST /n/{{id}}'), ('lineage', 'model Base'), ('lineage', 'model Child'), ('lineage', 'model Lost'), ('lineage', 'field Base.id'), ('lineage', 'field Base.name'), ('lineage', 'field Child.id'), ('lineage', 'field Child.name'), ('lineage', 'field Child.size')) v(part, row)""")
+def standard_artifacts(spark, sf_dir):
+    """What a reference standard is published as, a line of text for each row."""
+    found = openapi.artifacts(openapi.tables(openapi.scan(_nation_documents(spark, sf_dir), True)))
+    n = lambda c: F.size(F.coalesce(c, F.expr("array()"))).cast("string")
+    fields = F.array_join(F.transform(F.coalesce("fields", F.array().cast(found["models"].schema["fields"].dataType)), lambda f: F.concat(f["name"], F.lit(" "), f["type"])), ",")
+    shown = {
+        "endpoints": F.concat_ws(" ", "name", "method", "route", n("requests"), F.lit("requests"), n("responses"), F.lit("responses")),
+        "models": F.concat_ws("|", "name", F.coalesce("description", F.lit("-")), F.array_join(F.coalesce("comments", F.array().cast("array<string>")), ","), fields),
+        "rules": F.concat_ws(" ", F.concat_ws(".", "owner", "name"), "rule", "argument"), "lineage": F.concat_ws(" ", "kind", "subject"),
+    }
+    out = None
+    for part, row in shown.items():
+        one = found[part].select("document", F.lit(part).alias("part"), row.alias("row"))
+        out = one if out is None else out.unionByName(one)
+    return out.unionByName(found["relationships"].select("document", F.lit("relationships").alias("part"), F.col("via").alias("row")))
+
+
+@query(r"""
+SELECT doc_id, CASE WHEN doc_id % 5 > 0 THEN text END AS text, CASE WHEN doc_id % 5 = 0 THEN sha256('\xFF'::BLOB || encode(text)) WHEN doc_id % 7 = 0 THEN sha256(chr(65279) || text) ELSE sha256(text) END AS sha256 FROM documents""")
+def decoded_files(spark, sf_dir):
+    """Every fifth file is no UTF-8, every seventh of the others has a byte order mark."""
+    d, k = t(spark, sf_dir, "documents"), F.col("doc_id")
+    mark = F.when(k % 5 == 0, F.unhex(F.lit("FF"))).when(k % 7 == 0, F.unhex(F.lit("EFBBBF"))).otherwise(F.unhex(F.lit("")))
+    files = d.select("doc_id", F.concat(mark, F.col("text").cast("binary")).alias("content"))
+    return files.select("doc_id", repository.decoded("content").alias("text"), F.sha2("content", 256).alias("sha256"))
+
+
 @query("""
 SELECT 's' || s_suppkey || '/host.json' AS path, '2.' || s_nationkey AS host_version, CASE WHEN s_suppkey % 3 > 0 THEN 'A,FUNCTIONS_WORKER_RUNTIME' ELSE '' END AS keys, CASE WHEN s_suppkey % 3 > 0 THEN 'dotnet' END AS runtime, NULL::VARCHAR AS code FROM supplier WHERE s_suppkey % 5 > 0
 UNION ALL SELECT 's' || s_suppkey || '/host.json', NULL, '', NULL, 'YAML002' FROM supplier WHERE s_suppkey % 5 = 0""")

@@ -239,6 +239,38 @@ def schema_names(documents: DataFrame) -> DataFrame:
     return documents.select("document", F.sort_array(F.coalesce(keys, F.array().cast("array<string>"))).alias("names"))
 
 
+def summaries(documents: DataFrame) -> DataFrame:
+    """(document, paths, schemas, error): how much a JSON document declares, or why it isn't taken: too large, or no OpenAPI 3. Stays in the JVM."""
+    n = lambda path: F.coalesce(F.size(F.json_object_keys(F.get_json_object("text", path))), F.lit(0))
+    fine = F.coalesce(F.get_json_object("text", "$.openapi").startswith("3."), F.lit(False))
+    error = F.when(F.octet_length("text") > MOST_BYTES, "document too large").when(F.try_parse_json("text").isNull(), "no JSON").when(~fine, "no OpenAPI 3 document")
+    return documents.select("document", F.when(error.isNull(), n("$.paths")).alias("paths"), F.when(error.isNull(), n("$.components.schemas")).alias("schemas"), error.alias("error"))
+
+
+def artifacts(found: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """The readable artifacts of reference standards (tables() of their facts) by name, none of which shows an identity: endpoints, models, relationships, rules and lineage."""
+    listed = lambda df, by, cols, name: df.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct(*cols))).alias(name))
+    owner = F.concat_ws(" ", "method", "route")
+    ops = found["operations"].withColumn("owner", owner)
+    ops = ops.join(listed(found["requests"], ["document", "owner"], ["media", "entity", "required"], "requests"), ["document", "owner"], "left")
+    ops = ops.join(listed(found["responses"], ["document", "owner"], ["status", "media", "entity", "collection"], "responses"), ["document", "owner"], "left")
+    said = listed(found["comments"].filter("owner = ''"), ["document", "name"], ["position", "text"], "comments")
+    fields = listed(found["attributes"], ["document", "owner"], ["position", "name", F.coalesce("reference", "kind").alias("type"), "collection", "required"], "fields").withColumnRenamed("owner", "name")
+    models = found["entities"].join(said, ["document", "name"], "left").join(fields, ["document", "name"], "left")
+    models = models.withColumn("comments", F.transform("comments", lambda c: c["text"]))
+    how = F.when(F.col("collection"), "contains many").otherwise("contains")
+    refers = found["attributes"].filter("reference is not null").select("document", F.col("owner").alias("from"), how.alias("relationship"), F.col("name").alias("via"), F.col("reference").alias("to"))
+    rules = found["validations"].select("document", "owner", "name", "rule", F.to_json("argument").alias("argument"))
+    values = found["enums"].groupBy("document", F.col("name").alias("owner")).agg(F.to_json(F.transform(F.sort_array(F.collect_list(F.struct("position", "value"))), lambda v: v["value"])).alias("argument"))
+    places = [found[t].select("document", name.alias("subject"), F.lit(kind).alias("kind"), "pointer") for t, name, kind in (("operations", owner, "endpoint"), ("entities", F.col("name"), "model"), ("attributes", F.concat_ws(".", "owner", "name"), "field"))]
+    return {
+        "endpoints": ops.select("document", "name", "method", "route", "summary", "requests", "responses"),
+        "models": models.select("document", "name", "description", "comments", "fields"), "relationships": refers,
+        "rules": rules.unionByName(values.select("document", "owner", F.lit("").alias("name"), F.lit("enum").alias("rule"), "argument")),
+        "lineage": places[0].unionByName(places[1]).unionByName(places[2]),
+    }
+
+
 def constraints(rows: DataFrame, key: str, text: str, names=CONSTRAINTS, most: int = 4_000) -> DataFrame:
     """(key, rule, argument): the constraint keywords among the members of a JSON object column; arguments as JSON text."""
     parsed = F.from_json(text, "map<string,string>")

@@ -30,6 +30,11 @@ def wanted(path: Column) -> Column:
     return suffix(SUFFIXES) & ~suffix(GENERATED) & ~name.isin(*SECRETS) & ~F.arrays_overlap(F.split(p, "/"), F.array(*map(F.lit, FOLDERS)))
 
 
+def decoded(content: str) -> Column:
+    """Bytes as the text they are in UTF-8, without a byte order mark; null if they are none."""
+    return F.regexp_replace(F.try_validate_utf8(F.col(content).cast("string")), "^\uFEFF", "")
+
+
 def scan(spark: SparkSession, root: str, **caps) -> tuple[DataFrame, DataFrame]:
     """(files, gaps) below ``root``: path, sha256 of the raw bytes, text with secrets redacted; and what was not read, with its reason.
 
@@ -41,8 +46,7 @@ def scan(spark: SparkSession, root: str, **caps) -> tuple[DataFrame, DataFrame]:
     found = raw.select(path.alias("path"), "length", "content").filter(wanted(F.col("path")))
     judged = first_files(found.select("path", "length"), **caps)
     kept = found.select("path", "content").join(judged.filter("reason is null").select("path"), "path")
-    text = F.try_validate_utf8(F.col("content").cast("string"))
-    read = kept.select("path", F.sha2("content", 256).alias("sha256"), F.regexp_replace(text, "^﻿", "").alias("text"))
+    read = kept.select("path", F.sha2("content", 256).alias("sha256"), decoded("content").alias("text"))
     files = read.filter("text is not null").select("path", "sha256", redacted("text").alias("text"))
     gaps = judged.filter("reason is not null").select("path", "reason").unionByName(read.filter("text is null").select("path", F.lit("not UTF-8").alias("reason")))
     return files, gaps
