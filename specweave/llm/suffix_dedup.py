@@ -8,7 +8,9 @@ would move every byte many times over, so they are dealt out by their anchor, th
 smallest hash of any 24 bytes among their first 50: suffixes that agree in 50 bytes share it.
 Consecutive suffixes with one anchor form a run. A run that is met by an equal one in an
 earlier document, as inside any long passage, is settled as a whole; the suffixes of runs that differ
-under a shared anchor, at the edges of what is repeated, are sorted one by one.
+under a shared anchor, at the edges of what is repeated, are sorted one by one. Where very many
+runs differ under one anchor, as around a line that everybody quotes, their suffixes are dealt
+out once more, by the hash of their first 50 bytes.
 """
 
 from __future__ import annotations
@@ -31,14 +33,18 @@ ANCHOR = 24
 #: Bytes of text whose runs are combined before they are sent on, and that make a bucket.
 COMBINE_BYTES = 3 << 20
 BUCKET_BYTES = 12 << 20
+#: Anchors are sorted where these bits of them say.
+SPREAD = (1 << 24) - 1
+#: Different runs under one anchor that are sorted in one place; of more, each suffix goes its own way.
+WIDE_RUNS = 2048
 #: Bytes of text that are hashed at once.
 HASH_BYTES = 256 << 10
 
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
 _TABLE = np.random.default_rng(50).integers(0, 1 << 63, 256, dtype=np.uint64) * _U(2) + _U(1)
-#: What a document is told of a run (first window s, n after it, anchor m): to remove it, or to send its text.
-SETTLED, OPEN = 0, 1
+#: What a document is told of a run (first window s, n after it, anchor m): to remove it, to send its text, or to send each of its windows.
+SETTLED, OPEN, WIDE = 0, 1, 2
 
 
 @cache
@@ -235,11 +241,11 @@ def _send(length: int, anchor: int, buckets: int):
     return run
 
 
-def _meet(blocks: int):
-    return lambda batches: _met(batches, blocks)
+def _meet(blocks: int, wide: int):
+    return lambda batches: _met(batches, blocks, wide)
 
 
-def _met(batches, blocks: int):
+def _met(batches, blocks: int, wide: int):
     """Runs of whole buckets: those that an earlier document has are settled, those that only share an anchor stay open.
 
     Of equal runs all in the earliest document stay open: its repeats lose as much as the first of them.
@@ -264,11 +270,13 @@ def _met(batches, blocks: int):
             first[_groups(x["m"], x["c"])] = True
             starts = _groups(x["m"])
             counts = np.diff(np.append(starts, len(first)))
-            several = np.add.reduceat(first.astype(np.int64), starts) > 1
+            contents = np.add.reduceat(first.astype(np.int64), starts)
             mixed_docs = np.minimum.reduceat(x["doc"], starts) != np.maximum.reduceat(x["doc"], starts)
             once = np.zeros(len(covered), bool)  # equal rows tell the same
             once[_groups(x["m"], x["c"], x["doc"], x["h"], x["s"])] = True
-            out += [_marked(_take(x, covered), SETTLED), _marked(_take(x, ~covered & once & np.repeat(several & mixed_docs, counts)), OPEN)]
+            out.append(_marked(_take(x, covered), SETTLED))
+            for kind, some in ((OPEN, (contents > 1) & (contents <= wide)), (WIDE, contents > wide)):
+                out.append(_marked(_take(x, ~covered & once & np.repeat(some & mixed_docs, counts)), kind))
     out = [x for x in out if len(x["doc"])]
     yield _by_block(_joined([{k: x[k] for k in ("doc", "h", "s", "n", "m", "k")} for x in out]), blocks) if out else _NOTHING
 
@@ -286,23 +294,31 @@ def _told(told: pa.Table) -> dict[tuple[int, int], dict]:
 
 
 def _open_windows(length: int):
-    """The text of each open run of a block's documents, by bucket of the anchor; the settled ones as they came.
+    """The text of each open run of a block's documents, by bits of the anchor; the settled ones as they came.
 
     Rows: doc_id, h, first windows, anchor, text, bucket; or for settled runs of the block: data as text, no anchor.
-    A run that its document repeats is one row with all its first windows.
+    A run that its document repeats is one row with all its first windows. A wide run is a row for each of its
+    windows, under the window's own hash as anchor; of equal ones in a block those of later documents are settled at once.
     """
 
     def run(blobs: pa.Table, told: pa.Table) -> pa.Table:
-        known, rows, settled = _told(told), [], []
+        known, rows, settled, wide = _told(told), [], [], []
         for batch in batches_of(blobs, BATCH_BYTES):
             for doc, h, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "h", "text")), strict=True):
                 if (x := known.get((doc, h))) is not None:
                     here = x["k"] == OPEN
-                    settled.append(_take(x, ~here))
+                    settled.append(_take(x, x["k"] == SETTLED))
+                    apart = x["k"] == WIDE
+                    if apart.any():
+                        wide.append((doc, h, *_each_window(text, x["s"][apart].astype(np.int64), x["n"][apart].astype(np.int64), length)))
                     copies: dict[tuple[int, bytes], list[int]] = {}
                     for s, n, m in zip(*(x[f][here].tolist() for f in ("s", "n", "m")), strict=True):
                         copies.setdefault((m, text[s : s + n + length]), []).append(s)
-                    rows += [(doc, h, at, m, run, m >> 40) for (m, run), at in copies.items()]
+                    rows += [(doc, h, at, m, run, m & SPREAD) for (m, run), at in copies.items()]
+        if wide:
+            more, covered = _first_windows(wide)
+            rows += more
+            settled.append(covered)
         settled = [x for x in settled if len(x["doc"])]
         if settled:
             block = told.column("block")[0].as_py()
@@ -314,6 +330,39 @@ def _open_windows(length: int):
     return run
 
 
+def _each_window(text: bytes, starts: np.ndarray, after: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """The windows of some runs of a text, each place once: where they start, and their bytes."""
+    at = np.unique(np.repeat(starts, after + 1) + _within(after + 1))
+    return at, np.frombuffer(text, np.uint8)[at[:, None] + np.arange(length)]
+
+
+def _within(counts: np.ndarray) -> np.ndarray:
+    """0, 1, ... for each count."""
+    return np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+
+
+def _first_windows(wide: list[tuple]) -> tuple[list[tuple], dict]:
+    """Windows of a block, as (doc, h, places, bytes) of each document: a row for each different one with its earliest document's places; the others as settled."""
+    sizes = np.array([len(at) for _, _, at, _ in wide])
+    doc, h = (np.repeat(np.array([w[i] for w in wide], np.int64), sizes) for i in (0, 1))
+    at, windows = np.concatenate([w[2] for w in wide]), np.concatenate([w[3] for w in wide])
+    names = np.ascontiguousarray(windows).view(f"V{windows.shape[1]}").ravel()
+    _, which = np.unique(names, return_inverse=True)
+    order = np.lexsort((at, h, doc, which))
+    which, doc, h, at, windows = which[order], doc[order], h[order], at[order], windows[order]
+    starts = _groups(which)
+    later = doc > np.repeat(doc[starts], np.diff(np.append(starts, len(which))))
+    x = {"doc": doc, "h": h.astype(np.int32).view(np.uint32).astype(np.uint64), "s": at.astype(np.uint64), "n": np.zeros(len(at), np.uint64), "m": np.zeros(len(at), np.uint64)}
+    covered = _marked(_take(x, later), SETTLED)
+    which, doc, h, at, windows = which[~later], doc[~later], h[~later], at[~later], windows[~later]
+    flat_windows = np.ascontiguousarray(windows).ravel()
+    hashes = Prefixes(flat_windows).of(*(np.arange(len(which) + 1)[i : len(which) + i] * windows.shape[1] for i in (0, 1)))
+    hashes = (hashes & _U((1 << 63) - 1)).astype(np.int64)
+    bounds = np.append(_groups(which, doc, h), len(which))
+    rows = [(int(doc[a]), int(h[a]), at[a:b].tolist(), int(hashes[a]), windows[a].tobytes(), int(hashes[a]) & SPREAD) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+    return rows, covered
+
+
 def common_extension(prefixes: Prefixes, a: np.ndarray, b: np.ndarray, most: int, known: int = 0) -> np.ndarray:
     """How many bytes from places a and b on agree, of which ``known`` do, up to ``most``: a binary search over prefix hashes for all pairs at once."""
     low, high = np.full(len(a), known), np.full(len(a), most)
@@ -467,7 +516,7 @@ def _kept(length: int, with_text: bool):
     return run
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, with_text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, with_text: bool = False, wide: int = WIDE_RUNS) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row of ``docs`` (doc_id, text); kept with ``with_text``.
 
     Every byte goes that is covered by a string of ``length`` bytes which also starts in a
@@ -483,7 +532,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
     some = own.filter(F.col("doc_id").isNotNull() & (F.octet_length("text") >= length))
     blocks, n = in_blocks(own, deal=_dealt)
     sent = some.mapInArrow(_send(length, anchor, buckets), "bucket int, data binary")
-    met = sent.repartition(buckets, "bucket").mapInArrow(_meet(n), "block int, data binary")
+    met = sent.repartition(buckets, "bucket").mapInArrow(_meet(n, wide), "block int, data binary")
     opened = blocks.groupBy("block").cogroup(met.groupBy("block")).applyInArrow(_open_windows(length), "doc_id long, h int, s array<long>, m long, text binary, bucket int")
     found = opened.repartition(buckets, "bucket").mapInArrow(_sort_windows(length, n), "block int, data binary")
     kind = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
