@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from array import array
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -19,8 +21,9 @@ EDIT_RATE = 0.1
 LEAST_ITEM = 24
 #: Hits of grams that are counted at once.
 HITS = 1 << 19
-#: Bytes of items that are searched for in one pass over the documents.
-BLOCK_BYTES = 8 << 20
+#: Bytes of items in one index, which takes some 40 times as much, and indexes that one pass over the documents searches for.
+BLOCK_BYTES = 3 << 19
+BLOCKS_A_PASS = 4
 
 _PLAIN = bytes(b if b > 127 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -45,7 +48,6 @@ class ItemIndex:
     items: list[bytes]
     budget: np.ndarray
     need: np.ndarray
-    own: list[np.ndarray]
     words: np.ndarray
     first: np.ndarray
     item: np.ndarray
@@ -57,7 +59,12 @@ class ItemIndex:
 
     @property
     def shift(self) -> np.uint64:
-        return np.uint64(64 - (len(self.seen).bit_length() - 1))
+        return np.uint64(64 - (len(self.seen) * 8).bit_length() + 1)
+
+    def may_have(self, word: np.ndarray) -> np.ndarray:
+        """Where grams may be ones of an item: their bit is set."""
+        h = (word * _MIX) >> self.shift
+        return np.flatnonzero((self.seen[h >> np.uint64(3)] >> (h & np.uint64(7)).astype(np.uint8)) & np.uint8(1))
 
 
 def build_index(rows, edit_rate: float = EDIT_RATE, least: int = LEAST_ITEM) -> ItemIndex | None:
@@ -87,10 +94,12 @@ def build_index(rows, edit_rate: float = EDIT_RATE, least: int = LEAST_ITEM) ->
             order = np.argsort(as_word, kind="stable")
             tiny[size] = as_word[order], own[order]
     word = np.concatenate([grams(x) for x in items])
-    item = np.repeat(np.arange(len(items)), n_grams)
-    place = np.concatenate([np.arange(n) for n in n_grams])
-    pairs = np.unique(np.rec.fromarrays([word, item]))
-    shared, many = np.unique(pairs.f0, return_counts=True)
+    item = np.repeat(np.arange(len(items), dtype=np.int32), n_grams)
+    place = np.concatenate([np.arange(n, dtype=np.int32) for n in n_grams])
+    order = np.lexsort((item, word))
+    first_of_item = np.ones(len(order), bool)
+    first_of_item[1:] = (word[order[1:]] != word[order[:-1]]) | (item[order[1:]] != item[order[:-1]])
+    shared, many = np.unique(word[order[first_of_item]], return_counts=True)
     common = many[np.searchsorted(shared, word)]
     order = np.lexsort((place, -common, item))
     rank = np.empty(len(order), int)
@@ -102,9 +111,10 @@ def build_index(rows, edit_rate: float = EDIT_RATE, least: int = LEAST_ITEM) ->
     word, item, place = word[order], item[order], place[order]
     words, first = np.unique(word, return_index=True)
     bits = max(20, int(len(words) * 64).bit_length())
-    seen = np.zeros(1 << bits, bool)
-    seen[(words * _MIX) >> np.uint64(64 - bits)] = True
-    return ItemIndex(ids, items, budget, need, [np.unique(grams(x)) for x in items], words, np.append(first, len(word)), item, place, seen, int(budget.max()) + 1, least, tiny)
+    seen = np.zeros(1 << (bits - 3), np.uint8)
+    h = (words * _MIX) >> np.uint64(64 - bits)
+    np.bitwise_or.at(seen, h >> np.uint64(3), np.uint8(1) << (h & np.uint64(7)).astype(np.uint8))
+    return ItemIndex(ids, items, budget, need, words, np.append(first, len(word)).astype(np.int32), item, place, seen, int(budget.max()) + 1, least, tiny)
 
 
 def candidate_bands(index: ItemIndex, texts: list[bytes]):
@@ -112,12 +122,12 @@ def candidate_bands(index: ItemIndex, texts: list[bytes]):
     data = (b"\0" * Q).join(texts) + b"\0" * Q
     starts = np.cumsum([0, *(len(t) + Q for t in texts)])
     word = grams(data)
-    at = np.flatnonzero(index.seen[(word * _MIX) >> index.shift])
+    at = index.may_have(word)
     word = word[at]
     which = np.minimum(np.searchsorted(index.words, word), len(index.words) - 1)
     good = index.words[which] == word
     at, which = at[good], which[good]
-    counts = index.first[which + 1] - index.first[which]
+    counts = (index.first[which + 1] - index.first[which]).astype(np.int64)
     shift = int(max(map(len, index.items))) + 1
     found, tally, done = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], np.cumsum(counts)
     lo = 0
@@ -165,9 +175,14 @@ def banded(item: bytes, text: bytes, low: int, width: int, most: int) -> tuple[i
     return int(cost[best]), len(item) + low + best
 
 
-def shared_grams(own: np.ndarray, text: bytes) -> int:
+@lru_cache(maxsize=1 << 12)
+def own_grams(item: bytes) -> np.ndarray:
+    return np.unique(grams(item))
+
+
+def shared_grams(item: bytes, text: bytes) -> int:
     """How many of a stretch's grams are among an item's: with the common ones, which the bands leave out."""
-    word = grams(text)
+    own, word = own_grams(item), grams(text)
     return int((own[np.minimum(np.searchsorted(own, word), len(own) - 1)] == word).sum())
 
 
@@ -211,7 +226,7 @@ def leaks(index: ItemIndex, texts: list[bytes]) -> dict[tuple[int, int], tuple[i
             hit = (0, at, at + len(item))
         elif short:
             continue
-        elif shared_grams(index.own[i], text[a:b]) < len(item) + 1 - Q - k * Q:
+        elif shared_grams(item, text[a:b]) < len(item) + 1 - Q - k * Q:
             continue
         else:
             edits, end = banded(item, text, low - k, width, k)
@@ -224,9 +239,9 @@ def leaks(index: ItemIndex, texts: list[bytes]) -> dict[tuple[int, int], tuple[i
     return found
 
 
-def source_offsets(text: str) -> tuple[list[int], list[int]]:
+def source_offsets(text: str) -> tuple[array, array]:
     """For each byte of the normalised text, where the character it comes from starts and ends."""
-    starts, ends, gap = [], [], -1
+    starts, ends, gap = array("q"), array("q"), -1
     for n, ch in enumerate(text):
         for b in ch.lower().encode().translate(_PLAIN):
             if b == 32:
@@ -241,21 +256,18 @@ def source_offsets(text: str) -> tuple[list[int], list[int]]:
     return starts, ends
 
 
-def item_blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES, edit_rate: float = EDIT_RATE):
-    """The benchmark as indexes of bounded size: items are dealt to as many blocks as their bytes ask for."""
+def passes(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES, edit_rate: float = EDIT_RATE):
+    """The benchmark as broadcast indexes of bounded size, some at a time: items are dealt to as many blocks as their bytes ask for."""
     rows = benchmark.select("item_id", "text").filter("text is not null").distinct()
     size = rows.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
-    blocks = max(1, -(-int(size) // block_bytes))
+    blocks, held = max(1, -(-int(size) // block_bytes)), []
     for b in range(blocks):
         part = rows.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b) if blocks > 1 else rows
         if index := build_index([(r.item_id, r.text) for r in part.orderBy("item_id", "text").collect()], edit_rate):
-            yield index
-
-
-def _searched(shared, batches, column: str):
-    for batch in chunks(batches, column=column):
-        source = batch.column(column).to_pylist()
-        yield batch, source, leaks(shared.value, [normalised(t) for t in source])
+            held.append(benchmark.sparkSession.sparkContext.broadcast(index))
+        if held and (len(held) == BLOCKS_A_PASS or b == blocks - 1):
+            yield held
+            held = []
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, edit_rate: float = EDIT_RATE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -272,22 +284,22 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, edit_rate: float = EDIT_RA
     small_batches(spark)
     own, theirs = docs.schema["doc_id"].dataType.simpleString(), benchmark.schema["item_id"].dataType.simpleString()
     kind = f"doc_id {own}, item_id {theirs}, edits int, start int, end int"
-    out = spark.createDataFrame([], kind)
-    for index in item_blocks(benchmark, block_bytes, edit_rate):
-        shared = spark.sparkContext.broadcast(index)  # one block of items: bounded by block_bytes
+    schema, out = _arrow(spark, kind), spark.createDataFrame([], kind)
+    for indexes in passes(benchmark, block_bytes, edit_rate):
 
-        def run(batches, shared=shared):
-            for batch, source, found in _searched(shared, batches, "text"):
-                ids = batch.column("doc_id").to_pylist()
+        def run(batches, indexes=indexes):
+            for batch in chunks(batches):
+                ids, source = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
+                plain = [normalised(t) for t in source]
                 rows, last = [], None
-                for (t, i), (edits, a, b) in sorted(found.items()):
+                hits = sorted((t, n, i, *hit) for n, shared in enumerate(indexes) for (t, i), hit in leaks(shared.value, plain).items())
+                for t, n, i, edits, a, b in hits:
                     if t != last:
                         last, (starts, ends) = t, source_offsets(source[t])
-                    rows.append((ids[t], shared.value.ids[i], edits, starts[a], ends[b - 1] if b > a else starts[a]))
+                    rows.append((ids[t], indexes[n].value.ids[i], edits, starts[a], ends[b - 1] if b > a else starts[a]))
                 columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
                 yield pa.RecordBatch.from_arrays([*(pa.array(c, f.type) for c, f in zip(columns, schema, strict=True))], schema=schema)
 
-        schema = _arrow(spark, kind)
         out = out.union(docs.select("doc_id", "text").filter("text is not null").mapInArrow(run, kind))
     return out
 
@@ -302,13 +314,14 @@ def _arrow(spark, kind: str) -> pa.Schema:
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, edit_rate: float = EDIT_RATE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``docs`` without the rows whose text holds a benchmark item; the rest as it is, null texts included."""
     small_batches(docs.sparkSession)
-    for index in item_blocks(benchmark, block_bytes, edit_rate):
-        shared = docs.sparkSession.sparkContext.broadcast(index)
-
-        def run(batches, shared=shared):
-            for batch, source, found in _searched(shared, batches, "text"):
-                bad = {t for t, _ in found}
-                yield batch.filter(pa.array([t not in bad for t in range(len(source))], pa.bool_()))
+    for indexes in passes(benchmark, block_bytes, edit_rate):
+
+        def run(batches, indexes=indexes):
+            for batch in chunks(batches):
+                for shared in indexes:
+                    bad = {t for t, _ in leaks(shared.value, [normalised(t) for t in batch.column("text").to_pylist()])}
+                    batch = batch.filter(pa.array([t not in bad for t in range(batch.num_rows)], pa.bool_()))
+                yield batch
 
         docs = docs.mapInArrow(run, docs.schema)
     return docs
