@@ -36,7 +36,8 @@ def match_summary(matches: DataFrame, status: str = "status") -> DataFrame:
 
 def document_frequency(docs: DataFrame, key: str, words: Column) -> DataFrame:
     """(term, df): in how many documents each term occurs. words: an array column without repeats."""
-    return docs.select(F.explode(words).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    each = docs.select(F.explode_outer(words).alias("term"))  # outer: a plain one is preceded by a filter that takes the words again
+    return each.filter("term is not null").groupBy("term").agg(F.count("*").alias("df"))
 
 
 def retain_first(members: DataFrame, group: list[str], order: list, merged: str = "Merged duplicate") -> DataFrame:

@@ -89,14 +89,14 @@ def lexical_scores(docs: DataFrame, queries: DataFrame) -> DataFrame:
 
     docs (doc_id, text), queries (query_id, text). A shared word counts ln(1 + N / df); scores are rounded to six
     places, so that their order does not hang on the order of summation. Documents are read and split into words
-    once: of these the queries' words alone are stored. Where the queries' words are few, as counted, they go to every task, so no
-    word of a document is shuffled before scores are added up.
+    once: of these the queries' words alone are dealt by document, in one exchange that counting and scoring share. Where the queries' words are few, as
+    counted, they go to every task, so scores are added up where a document's words lie.
     """
     asked = cut(queries.select("query_id", F.explode(terms("text")).alias("term")))
     n_asked, total = asked.count(), docs.count()
     few = F.broadcast if n_asked <= FEW_TERMS else lambda t: t
-    words = docs.select("doc_id", F.explode(terms("text")).alias("term"))
-    wanted = cut(words.join(few(asked.select("term").distinct()), "term", "left_semi"))
+    words = docs.select("doc_id", F.explode_outer(terms("text")).alias("term"))  # outer: a plain one is preceded by a filter that splits texts again
+    wanted = words.join(few(asked.select("term").distinct()), "term", "left_semi").repartition("doc_id")
     df = wanted.groupBy("term").agg(F.count("*").alias("df"))
     weights = asked.join(df, "term").select("query_id", "term", F.log(1 + F.lit(float(total)) / F.col("df")).alias("w"))
     return wanted.join(few(weights), "term").groupBy("query_id", "doc_id").agg(F.round(F.sum("w"), 6).alias("score"))

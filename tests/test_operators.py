@@ -57,7 +57,10 @@ def test_pairs_propagate_through_references(spark):
     left = spark.createDataFrame([("A", "quote", "addr", "B"), ("A", "quote", "age", None), ("B", "address", "line", None)], s)
     right = spark.createDataFrame([("X", "quotemodel", "addr", "Y"), ("X", "quotemodel", "age", None), ("Y", "addressmodel", "line", None)], s)
     seeds = spark.createDataFrame([("A", "X")], "left_id string, right_id string")
-    assert rows(joins.propagate_pairs(seeds, left, right)) == [("A", "X", 1.0), ("B", "Y", 1.0)]
+    assert rows(joins.propagate_pairs(seeds, left, right).drop("outer_id")) == [("A", "X", 1.0), ("B", "Y", 1.0)]
+    wrapped = left.unionByName(spark.createDataFrame([("W", "envelope", "data", "A"), ("W", "envelope", "code", None)], s))
+    found = joins.propagate_pairs(spark.createDataFrame([("W", "X")], "left_id string, right_id string"), wrapped, right)
+    assert sorted((r.left_id, r.right_id, r.overlap, r.outer_id) for r in found.collect()) == [("A", "X", 1.0, "W"), ("B", "Y", 1.0, None)]
 
 
 def test_budgets(spark):
