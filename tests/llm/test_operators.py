@@ -634,3 +634,20 @@ def test_rules_and_aliases(spark):
     more = {r.page_id: r.verdict for r in url_filter.filter_urls(df, redirects=seen).collect()}
     assert more[14] == more[15] == "block" and more[5] == "allow"
     assert url_filter.filter_urls(df.limit(0)).count() == 0
+
+
+def test_texts_of_megabytes(spark):
+    """One text of some three million characters goes through every operator on texts, beside an ordinary one."""
+    own = words(700_000, 99)
+    assert len(own) > 3_000_000
+    item, late = "the quick brown item of a benchmark that nobody else would write down", " reach me at ann@example.org "
+    rows = [(1, own[:400] + " first", "en", "a"), (2, own + ". " + item + late, "en", "a"), (3, None, "fr", None)]
+    d = docs(spark, rows)
+    leaks = decontamination.find_leaks(d, spark.createDataFrame([(7, item)], "item_id long, text string")).collect()
+    assert [(r.doc_id, r.item_id, rows[1][1][r.start : r.end]) for r in leaks] == [(2, 7, item)]
+    assert {r.doc_id: r.n_email for r in pii.find_pii(d).collect()} == {1: 0, 2: 1, 3: 0}
+    removed = {r.doc_id: (r.n_bytes, r.n_removed) for r in suffix_dedup.remove_repeats(d).collect()}
+    assert removed[1] == (406, 0) and removed[2] == (len(rows[1][1]), next(n for n in range(400, 500) if rows[0][1][: n + 1] != own[: n + 1])) and removed[3] == (0, 0)
+    assert {r.doc_id: r.fingerprint for r in simhash.near_duplicates(d).collect()}[2] == f"{brute_simhash(rows[1][1]):016x}"
+    assert {r.doc_id: r.lang_pred for r in language_id.identify(d).collect()}[3] == "und"
+    assert {r.doc_id: r.size for r in mixing.mix_report(d).collect()}[2] == len(rows[1][1].split())
