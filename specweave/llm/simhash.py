@@ -106,7 +106,9 @@ def keep_first(docs: DataFrame) -> DataFrame:
     Rows are judged one by one: those that repeat a doc_id with unrelated texts each stay. No null doc_id.
     """
     hashed = [c for c, kind in docs.dtypes if "map<" not in kind]
-    keyed = docs.select("*", F.struct(F.col("doc_id").alias("i"), F.hash("text").alias("t"), F.xxhash64(*[f"`{c}`" for c in hashed]).alias("r")).alias("_near_key"))
+    key = F.struct(F.col("doc_id").alias("i"), F.hash("text").alias("t"), F.xxhash64(*[f"`{c}`" for c in hashed]).alias("r"))
+    # of the very type that comes back from workers: then the join and the dropping of equal rows share one shuffle of the rows
+    keyed = docs.select("*", key.cast(f"struct<i:{docs.schema['doc_id'].dataType.simpleString()},t:int,r:bigint>").alias("_near_key"))
     prints = cut(fingerprints(keyed.select(F.col("_near_key").alias("doc_id"), "text")))
     links = fingerprint_links(prints.select("fp", F.col("fp").alias("rep")).distinct())
     found = components(links)
