@@ -10,6 +10,7 @@ from .chat import repair
 from .common import table
 from .decontamination import find_leaks
 from .language_id import identify
+from .merkle import merkle_report
 from .mixing import mix_report
 from .nearest import nearest
 from .pii import find_pii
@@ -59,6 +60,10 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages"))
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle_report(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_pii": op2_pii,
@@ -70,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language": op8_language,
     "op9_mix": op9_mix,
     "op10_url_filter": op10_url_filter,
+    "op11_merkle": op11_merkle,
 }
 
 _OP9 = r"""
