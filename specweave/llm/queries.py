@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .chat import repair
 from .common import table
 from .decontamination import find_leaks
+from .fill_middle import fill_report
 from .language_id import identify
 from .merkle import merkle_report
 from .mixing import mix_report
@@ -64,6 +65,10 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle_report(table(spark, sf_dir, "documents"))
 
 
+def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_report(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_pii": op2_pii,
@@ -76,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_mix": op9_mix,
     "op10_url_filter": op10_url_filter,
     "op11_merkle": op11_merkle,
+    "op12_fill_middle": op12_fill_middle,
 }
 
 _OP9 = r"""
@@ -155,4 +161,28 @@ SELECT p.page_id, coalesce(r.host, '') AS host, coalesce(r.path, '') AS path, r.
 FROM pages p LEFT JOIN ruled r ON p.url = r.u
 """
 
-ORACLE_SQL: dict[str, str] = {"op9_mix": _OP9, "op10_url_filter": _OP10}
+_OP12 = r"""
+WITH cut AS (
+  SELECT doc_id, coalesce(text, '') AS text,
+         regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS tokens,
+         sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h
+  FROM documents),
+drawn AS (
+  SELECT *, len(tokens) AS n, CAST('0x' || h[1:8] AS BIGINT) % (len(tokens) + 1) AS u1, CAST('0x' || h[9:16] AS BIGINT) % (len(tokens) + 1) AS u2,
+         CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>')
+                   OR CAST('0x' || h[17:24] AS BIGINT) % 100 >= 50 THEN 'plain'
+              WHEN CAST('0x' || h[25:32] AS BIGINT) % 100 < 80 THEN 'spm' ELSE 'psm' END AS form
+  FROM cut),
+parts AS (
+  SELECT *, array_to_string(tokens[1:least(u1, u2)], '') AS p, array_to_string(tokens[least(u1, u2) + 1:greatest(u1, u2)], '') AS m,
+         array_to_string(tokens[greatest(u1, u2) + 1:], '') AS s
+  FROM drawn)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST(length(p) AS BIGINT) END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN CAST(length(m) AS BIGINT) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m
+                        ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+       sha256(p || m || s) AS restored_sha256
+FROM parts
+"""
+
+ORACLE_SQL: dict[str, str] = {"op12_fill_middle": _OP12, "op9_mix": _OP9, "op10_url_filter": _OP10}
