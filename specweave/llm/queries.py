@@ -19,6 +19,7 @@ from .quality import judge
 from .simhash import near_duplicates
 from .suffix_dedup import remove_repeats
 from .url_filter import filter_urls
+from .warc import warc_report
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,6 +70,10 @@ def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_report(table(spark, sf_dir, "documents"))
 
 
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_report(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_pii": op2_pii,
@@ -82,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_url_filter": op10_url_filter,
     "op11_merkle": op11_merkle,
     "op12_fill_middle": op12_fill_middle,
+    "op13_warc": op13_warc,
 }
 
 _OP9 = r"""
@@ -185,4 +191,13 @@ SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST
 FROM parts
 """
 
-ORACLE_SQL: dict[str, str] = {"op12_fill_middle": _OP12, "op9_mix": _OP9, "op10_url_filter": _OP10}
+_OP13 = r"""
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest, coalesce(html, '') AS html FROM pages),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY html) AS first_id, row_number() OVER (PARTITION BY html ORDER BY page_id) AS k FROM p)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 100 AND k > 1 THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 100 AND k > 1 THEN first_id END AS refers_to, TRUE AS intact
+FROM f
+"""
+
+ORACLE_SQL: dict[str, str] = {"op13_warc": _OP13, "op12_fill_middle": _OP12, "op9_mix": _OP9, "op10_url_filter": _OP10}
