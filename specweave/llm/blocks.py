@@ -45,7 +45,7 @@ def in_blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES, deal=None) -> tup
         order = np.argsort(blocks, kind="stable")
         t = t.select(names).take(pa.array(order)).combine_chunks()
         found, starts = np.unique(blocks[order], return_index=True)
-        data = [_compressed(t.slice(a, b - a)) for a, b in zip(starts, np.append(starts[1:], len(order)), strict=True)]
+        data = [compressed(t.slice(a, b - a)) for a, b in zip(starts, np.append(starts[1:], len(order)), strict=True)]
         return pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), pa.array(data, pa.binary())], ["block", "data"])
 
     block = F.coalesce((deal or block_of)(F.col("doc_id"), n), F.lit(0)).alias("_block")
@@ -56,7 +56,7 @@ def block_of(doc_id: Column, n: int) -> Column:
     return F.pmod(F.xxhash64(doc_id), F.lit(n)).cast("int")
 
 
-def _compressed(t: pa.Table) -> bytes:
+def compressed(t: pa.Table) -> bytes:
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, t.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=3))) as out:
         out.write_table(t)

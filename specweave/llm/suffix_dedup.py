@@ -7,10 +7,13 @@ the bytes are compared. Sorting the suffixes of a whole corpus in one place
 would move every byte many times over, so they are dealt out by their anchor, the
 smallest hash of any 24 bytes among their first 50: suffixes that agree in 50 bytes share it.
 Consecutive suffixes with one anchor form a run. A run that is met by an equal one in an
-earlier document, as inside any long passage, is settled as a whole; the suffixes of runs that differ
-under a shared anchor, at the edges of what is repeated, are sorted one by one. Where very many
+earlier document, as inside any long passage, is settled as a whole once its bytes are compared: the earlier
+document sends them, a stretch of runs at a time. The suffixes of runs that differ
+under a shared anchor, at the edges of what is repeated, are sorted one by one, as are those of runs
+whose hashes agree and whose bytes do not. Where very many
 runs differ under one anchor, as around a line that everybody quotes, their suffixes are dealt
-out once more, by the hash of their first 50 bytes.
+out once more, by the hash of their first 50 bytes. Hashes only say what to compare: nothing is
+removed whose bytes were not found equal, and unequal bytes under equal hashes cost time alone.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import batches_of, in_blocks
+from .blocks import compressed, batches_of, in_blocks
 from .common import BATCH_BYTES, chunks, flat, n_parts, small_batches
 
 LENGTH = 50
@@ -45,6 +48,10 @@ _BASE = 0x9E3779B97F4A7C15
 _TABLE = np.random.default_rng(50).integers(0, 1 << 63, 256, dtype=np.uint64) * _U(2) + _U(1)
 #: What a document is told of a run (first window s, n after it, anchor m): to remove it, to send its text, or to send each of its windows.
 SETTLED, OPEN, WIDE = 0, 1, 2
+#: Messages to a block: what its documents are told; runs that later documents claim to share with them; bytes that earlier documents sent for that.
+TOLD, CLAIMS, BYTES = 0, 1, 2
+#: Documents that one document sends its bytes of a run to; those compare them and send on their own.
+FAN_OUT = 64
 
 
 @cache
@@ -70,8 +77,8 @@ def mixed(h: np.ndarray) -> np.ndarray:
 class Prefixes:
     """Prefix polynomial hashes of a byte array, modulo 2^64 over a random value for each byte."""
 
-    def __init__(self, buffer: np.ndarray):
-        n = len(buffer)
+    def __init__(self, buffer: np.ndarray, bits: int = 64):
+        n, self.mask = len(buffer), _U((1 << bits) - 1)
         self.inverse = _powers(pow(_BASE, -1, 1 << 64), _grown(n))
         self.sums = np.zeros(n + 1, np.uint64)
         np.cumsum(_TABLE[buffer] * _powers(_BASE, _grown(n))[:n], out=self.sums[1:])
@@ -79,14 +86,14 @@ class Prefixes:
     def every(self, length: int) -> np.ndarray:
         """The hash of each stretch of this length."""
         n = max(0, len(self.sums) - length)
-        return mixed((self.sums[length:] - self.sums[:n]) * self.inverse[:n])
+        return mixed((self.sums[length:] - self.sums[:n]) * self.inverse[:n]) & self.mask
 
     def raw(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Equal for equal stretches of one length."""
-        return (self.sums[ends] - self.sums[starts]) * self.inverse[starts]
+        return (self.sums[ends] - self.sums[starts]) * self.inverse[starts] & self.mask
 
     def of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        return mixed((self.sums[ends] - self.sums[starts]) * self.inverse[starts] + (ends - starts).astype(np.uint64) * _U(_BASE))
+        return mixed((self.sums[ends] - self.sums[starts]) * self.inverse[starts] + (ends - starts).astype(np.uint64) * _U(_BASE)) & self.mask
 
 
 def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
@@ -96,12 +103,12 @@ def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(out[: len(out) - (width - s)], out[width - s :]) if width > s else out
 
 
-def anchored_runs(buffer: np.ndarray, offsets: np.ndarray, length: int = LENGTH, anchor: int = ANCHOR):
+def anchored_runs(buffer: np.ndarray, offsets: np.ndarray, length: int = LENGTH, anchor: int = ANCHOR, bits: int = 64):
     """(text index, first window, windows after it, anchor hash, content hash) of each run, in text order."""
     none = np.zeros(0, np.int64)
     if len(buffer) < length:
         return none, none, none, none.astype(np.uint64), none.astype(np.uint64)
-    prefixes = Prefixes(buffer)
+    prefixes = Prefixes(buffer, bits)
     least = sliding_min(prefixes.every(anchor), length - anchor + 1)
     lengths = np.diff(offsets)
     inside = np.zeros(len(buffer) + 1, np.int8)
@@ -133,10 +140,12 @@ def _unplanes(data: bytes, at: int, n: int, width: int) -> np.ndarray:
 
 
 _FIELDS = (("doc", 8), ("h", 4))
-#: Of an anchor's hash the bucket has the rest; with it, equal runs agree in 88 bits and those of the bucket.
-_ENTRY = (("m", 5), ("c", 6), ("s", 4), ("n", 4))
-_LOW = _U(40)
+#: Of an anchor's hash the bucket has the rest.
+_ENTRY = (("m", 5), ("c", 4), ("s", 4), ("n", 4))
+_LOW, _LOW_BITS = _U(40), _U((1 << 40) - 1)
 _TELL = (("s", 4), ("n", 4), ("m", 8), ("k", 1))
+#: A claim on a run (s, n) of this document by the run at s + shift of another (td, th); k is what becomes of both if bytes differ.
+_CLAIM = (("s", 4), ("n", 4), ("k", 1), ("td", 8), ("th", 4), ("shift", 4))
 
 
 def _pack(x: dict[str, np.ndarray], settled: bool, entry=_ENTRY) -> bytes:
@@ -194,24 +203,47 @@ def _dealt(doc_id, n: int):
     return F.pmod(doc_id, F.lit(n)).cast("int")
 
 
-def _by_block(x: dict, blocks: int) -> pa.RecordBatch:
-    """What documents are told, a row for each block that holds some of them: block, data."""
+def _by_block(x: dict, blocks: int, entry=_TELL) -> pa.RecordBatch:
+    """What documents are told, or claims on them, a row for each block that holds some of them: block, data, kind."""
     block = np.mod(x["doc"], blocks)
-    x = _take(x, np.lexsort((x["s"], x["h"], x["doc"], block)))
+    within = (x["s"], x["shift"], x["th"], x["td"]) if entry is _CLAIM else (x["s"],)
+    x = _take(x, np.lexsort((*within, x["h"], x["doc"], block)))
     block = np.sort(block)
     starts = np.append(_groups(block), len(block))
-    data = [_pack(_take(x, slice(a, b)), False, _TELL) for a, b in zip(starts[:-1], starts[1:], strict=True)]
-    return pa.RecordBatch.from_arrays([pa.array(block[starts[:-1]], pa.int32()), pa.array(data, pa.binary())], ["block", "data"])
+    data = [_pack(_take(x, slice(a, b)), False, entry) for a, b in zip(starts[:-1], starts[1:], strict=True)]
+    return _messages(block[starts[:-1]], data, CLAIMS if entry is _CLAIM else TOLD)
 
 
-_NOTHING = pa.RecordBatch.from_arrays([pa.array([], pa.int32()), pa.array([], pa.binary())], ["block", "data"])
+def _messages(block, data, kind: int) -> pa.RecordBatch:
+    arrays = [pa.array(block, pa.int32()), pa.array(data, pa.binary()), pa.array([kind] * len(data), pa.int32())]
+    return pa.RecordBatch.from_arrays(arrays, ["block", "data", "kind"])
 
 
-def _send(length: int, anchor: int, buckets: int):
-    """Texts to runs by bucket of their anchor. Of equal runs met here, all but the earliest are settled at once."""
+_NOTHING = _messages([], [], TOLD)
 
-    def flush(held):
-        x, covered = _earliest(_joined(held), "m", "c")
+
+def _same_bytes(buffer: np.ndarray, at: np.ndarray, other: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether the bytes from ``at`` and from ``other`` on agree; overlapping stretches of one distance are compared once, and judged together."""
+    order = np.lexsort((at, at - other))
+    a, d, end = at[order], (at - other)[order], (at + size)[order]
+    new = np.append(True, (d[1:] != d[:-1]) | (a[1:] > end[:-1])) if len(a) else np.zeros(0, bool)
+    starts = np.flatnonzero(new)
+    ends = np.maximum.reduceat(end, starts) if len(starts) else end
+    same = [np.array_equal(buffer[x:y], buffer[x - k : y - k]) for x, y, k in zip(a[starts].tolist(), ends.tolist(), d[starts].tolist(), strict=True)]
+    out = np.zeros(len(at), bool)
+    out[order] = np.array(same, bool)[np.cumsum(new) - 1] if len(same) else False
+    return out
+
+
+def _send(length: int, anchor: int, buckets: int, bits: int):
+    """Texts to runs by bucket of their anchor. Of equal runs met here, all but the earliest are settled at once, their bytes compared."""
+
+    def flush(held, buffers):
+        x, covered = _earliest(_joined(held), "m", "c", "n")
+        p, first = x.pop("p"), _groups(x["m"], x["c"], x["n"])
+        source = np.repeat(p[first], np.diff(np.append(first, len(p))))
+        which = np.flatnonzero(covered)
+        covered[which] = _same_bytes(np.concatenate(buffers), p[which], source[which], x["n"][which].astype(np.int64) + length)
         for settled, part in ((False, _take(x, ~covered)), (True, _take(x, covered))):
             bucket = (part["m"] >> _LOW) % _U(buckets)
             part = _take(part, np.lexsort((part["s"], part["h"], part["doc"], bucket)))
@@ -225,18 +257,19 @@ def _send(length: int, anchor: int, buckets: int):
         return pa.RecordBatch.from_arrays([pa.array([b for b, _ in rows], pa.int32()), pa.array([d for _, d in rows], pa.binary())], ["bucket", "data"])
 
     def run(batches):
-        held, size = [], 0
+        held, buffers, size = [], [], 0
         for batch in chunks(batches, HASH_BYTES):
             buffer, offsets = flat(batch)
-            which, s, n, m, c = anchored_runs(buffer, offsets, length, anchor)
+            which, s, n, m, c = anchored_runs(buffer, offsets, length, anchor, bits)
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
             h = batch.column("h").to_numpy(zero_copy_only=False).view(np.uint32)
             if len(which):
-                held.append({"doc": ids[which], "h": h[which].astype(np.uint64), "s": s.astype(np.uint64), "n": n.astype(np.uint64), "m": m, "c": c & _U((1 << 48) - 1)})
+                held.append({"doc": ids[which], "h": h[which].astype(np.uint64), "s": s.astype(np.uint64), "n": n.astype(np.uint64), "m": m, "c": c & _U((1 << 32) - 1), "p": size + offsets[which] + s})
+            buffers.append(buffer)
             if (size := size + len(buffer)) >= COMBINE_BYTES and held:
-                yield batch_of(flush(held))
-                held, size = [], 0
-        yield batch_of(flush(held) if held else [])
+                yield batch_of(flush(held, buffers))
+                held, buffers, size = [], [], 0
+        yield batch_of(flush(held, buffers) if held else [])
 
     return run
 
@@ -246,9 +279,9 @@ def _meet(blocks: int, wide: int):
 
 
 def _met(batches, blocks: int, wide: int):
-    """Runs of whole buckets: those that an earlier document has are settled, those that only share an anchor stay open.
+    """Runs of whole buckets: those that an earlier document seems to have are claimed from it, those that only share an anchor stay open.
 
-    Of equal runs all in the earliest document stay open: its repeats lose as much as the first of them.
+    Of the documents that have a run, each claims it from one before it, FAN_OUT of them from one. Of equal runs all in the earliest document stay open: its repeats lose as much as the first of them.
     """
     held, done = [], []
     for batch in batches:
@@ -265,27 +298,80 @@ def _met(batches, blocks: int, wide: int):
         counts = np.diff(np.append(starts, len(order)))
         x = _take(x, order[np.repeat(counts > 1, counts)])
         if len(x["m"]):
-            x, covered = _earliest(x, "m", "c")
+            x, covered = _earliest(x, "m", "c", "n")
             first = np.zeros(len(covered), bool)
-            first[_groups(x["m"], x["c"])] = True
+            first[_groups(x["m"], x["c"], x["n"])] = True
             starts = _groups(x["m"])
             counts = np.diff(np.append(starts, len(first)))
             contents = np.add.reduceat(first.astype(np.int64), starts)
             mixed_docs = np.minimum.reduceat(x["doc"], starts) != np.maximum.reduceat(x["doc"], starts)
             once = np.zeros(len(covered), bool)  # equal rows tell the same
-            once[_groups(x["m"], x["c"], x["doc"], x["h"], x["s"])] = True
-            out.append(_marked(_take(x, covered), SETTLED))
+            once[_groups(x["m"], x["c"], x["n"], x["doc"], x["h"], x["s"])] = True
+            # the first document's other runs of the same hashes are held against its first, unless all of them are open anyway
+            again = ~covered & once & ~first & np.repeat(mixed_docs & (contents == 1), counts)
+            claims = _claims(x, covered | again, np.repeat(np.where(contents > wide, WIDE, OPEN), counts))
+            if len(claims["doc"]):
+                yield _by_block(claims, blocks, _CLAIM)
             for kind, some in ((OPEN, (contents > 1) & (contents <= wide)), (WIDE, contents > wide)):
                 out.append(_marked(_take(x, ~covered & once & np.repeat(some & mixed_docs, counts)), kind))
     out = [x for x in out if len(x["doc"])]
     yield _by_block(_joined([{k: x[k] for k in ("doc", "h", "s", "n", "m", "k")} for x in out]), blocks) if out else _NOTHING
 
 
-def _told(told: pa.Table) -> dict[tuple[int, int], dict]:
-    """The runs of each document (doc_id, h) that the rows of its block tell of."""
-    if not told.num_rows:
-        return {}
-    x = _joined([_unpack(data, _TELL)[1] for data in told.column("data").to_pylist()])
+def _claims(x: dict, covered: np.ndarray, kind: np.ndarray) -> dict:
+    """For each such run, in order of _earliest: the place of an earlier document's run of the same hashes (of the first document, its first), as a claim on it."""
+    docs = _groups(x["m"], x["c"], x["n"], x["doc"])  # first row of each document that has a run
+    classes = _groups(x["m"], x["c"], x["n"])
+    sizes = np.diff(np.append(classes, len(covered)))
+    nth = np.zeros(len(covered), np.int64)
+    nth[docs] = 1
+    nth = np.cumsum(nth) - 1  # of all those documents
+    first = np.repeat(nth[classes], sizes)
+    source = docs[first + (nth - first) // FAN_OUT][covered]
+    shift = (x["s"][covered] - x["s"][source]) & _U(0xFFFFFFFF)
+    named = {"td": x["doc"][covered].view(np.uint64), "th": x["h"][covered], "shift": shift, "k": kind[covered].astype(np.uint8), "n": x["n"][covered]}
+    return {k: x[k][source] for k in ("doc", "h", "s")} | named
+
+
+def _answers(length: int, blocks: int):
+    """Claims on documents of a block to the bytes of the runs, in stretches, for the blocks that claim them: compressed tables of doc_id, h, s, data, source (its doc_id, h, s), runs (s, n, k). What the block is told stays."""
+
+    def run(blobs, got):
+        yields = [(got.column("block")[0].as_py(), d, TOLD) for d, k in zip(got.column("data").to_pylist(), got.column("kind").to_pylist(), strict=True) if k == TOLD] if got.num_rows else []
+        claimed = [_unpack(d, _CLAIM)[1] for d, k in zip(got.column("data").to_pylist(), got.column("kind").to_pylist(), strict=True) if k == CLAIMS] if got.num_rows else []
+        if claimed:
+            known, rows = _by_document(_joined(claimed)), {}
+            for batch in batches_of(blobs, BATCH_BYTES):
+                for doc, h, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "h", "text")), strict=True):
+                    if (x := known.pop((doc, h), None)) is not None:
+                        for block, row in _stretches(doc, h, text, x, length, blocks):
+                            rows.setdefault(block, []).append(row)
+            yields += [(block, compressed(pa.Table.from_pylist(some, _BYTES)), BYTES) for block, some in rows.items()]
+        return pa.Table.from_batches([_messages([b for b, _, _ in yields], [d for _, d, _ in yields], TOLD).set_column(2, "kind", pa.array([k for _, _, k in yields], pa.int32()))])
+
+    return run
+
+
+_RUNS = pa.list_(pa.int64())
+_BYTES = pa.schema([("doc", pa.int64()), ("h", pa.int32()), ("s", pa.int64()), ("data", pa.binary()), ("e", pa.int64()), ("eh", pa.int32()), ("es", pa.int64()), ("at", _RUNS), ("n", _RUNS), ("k", _RUNS)])
+
+
+def _stretches(doc: int, h: int, text: bytes, x: dict, length: int, blocks: int):
+    """The claims on one document as stretches of runs that follow each other in both documents."""
+    shift = x["shift"].astype(np.uint32).view(np.int32).astype(np.int64)
+    td, th, s, n = x["td"].view(np.int64), x["th"].astype(np.uint32).view(np.int32), x["s"].astype(np.int64), x["n"].astype(np.int64)
+    order = np.lexsort((s, shift, th, td))
+    td, th, s, n, shift, kind = td[order], th[order], s[order], n[order], shift[order], x["k"][order].astype(np.int64)
+    new = np.append(True, (td[1:] != td[:-1]) | (th[1:] != th[:-1]) | (shift[1:] != shift[:-1]) | (s[1:] > s[:-1] + n[:-1] + length))
+    bounds = np.append(np.flatnonzero(new), len(s)).tolist()
+    for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+        start, end = int(s[a]), int((s[a:b] + n[a:b]).max()) + length
+        own = int(shift[a])
+        yield int(td[a]) % blocks, {"doc": int(td[a]), "h": int(th[a]), "s": start + own, "data": text[start:end], "e": doc, "eh": h, "es": start, "at": (s[a:b] + own).tolist(), "n": n[a:b].tolist(), "k": kind[a:b].tolist()}
+
+
+def _by_document(x: dict) -> dict[tuple[int, int], dict]:
+    """Rows by (doc_id, h)."""
     x = _take(x, np.lexsort((x["s"], x["h"], x["doc"])))
     starts = _groups(x["doc"], x["h"])
     bounds = np.append(starts, len(x["doc"])).tolist()
@@ -293,18 +379,65 @@ def _told(told: pa.Table) -> dict[tuple[int, int], dict]:
     return {name: _take(x, slice(a, b)) for name, a, b in zip(names, bounds[:-1], bounds[1:], strict=True)}
 
 
-def _open_windows(length: int):
+def _told(told: pa.Table) -> dict[tuple[int, int], dict]:
+    """The runs of each document (doc_id, h) that the rows of its block tell of."""
+    told = told.filter(pc.equal(told.column("kind"), TOLD))
+    if not told.num_rows:
+        return {}
+    return _by_document(_joined([_unpack(data, _TELL)[1] for data in told.column("data").to_pylist()]))
+
+
+def _sent_bytes(got: pa.Table) -> dict[tuple[int, int], list[dict]]:
+    """The stretches that earlier documents sent, by the document (doc_id, h) that they are for."""
+    out: dict[tuple[int, int], list[dict]] = {}
+    for data in got.filter(pc.equal(got.column("kind"), BYTES)).column("data"):
+        for row in pa.ipc.open_stream(data.as_buffer()).read_all().to_pylist():
+            out.setdefault((row["doc"], row["h"]), []).append(row)
+    return out
+
+
+def _one(doc: int, h: int, s: int, n: int) -> dict:
+    """One settled run."""
+    return _marked({"doc": np.array([doc]), "h": np.array([h], np.int32).view(np.uint32).astype(np.uint64), **{k: np.array([v], np.uint64) for k, v in (("s", s), ("n", n), ("m", 0))}}, SETTLED)
+
+
+def _open_windows(length: int, anchor: int, buckets: int, blocks: int, bits: int):
     """The text of each open run of a block's documents, by bits of the anchor; the settled ones as they came.
 
     Rows: doc_id, h, first windows, anchor, text, bucket; or for settled runs of the block: data as text, no anchor.
-    A run that its document repeats is one row with all its first windows. A wide run is a row for each of its
+    A run that a document before has by its hashes is settled if the bytes that it sent are the same; else the runs of
+    both are open, or wide. A run that its document repeats is one row with all its first windows. A wide run is a row for each of its
     windows, under the window's own hash as anchor; of equal ones in a block those of later documents are settled at once.
     """
 
-    def run(blobs: pa.Table, told: pa.Table) -> pa.Table:
+    def unlike(row, at, own, other, kind, rows, wide):
+        """A run of two documents that only agrees in its hashes."""
+        m = int(anchored_runs(np.frombuffer(own, np.uint8), np.array([0, len(own)]), length, anchor, bits)[3][0])
+        m = (m & int(_LOW_BITS)) | ((m >> int(_LOW)) % buckets) << int(_LOW)
+        for doc, h, s, text in ((row["doc"], row["h"], at, own), (row["e"], row["eh"], row["es"] + at - row["s"], other)):
+            if kind == WIDE:
+                places, windows = _each_window(text, np.array([0]), np.array([len(text) - length]), length)
+                wide.append((doc, h, places + s, windows))
+            else:
+                m64 = int(np.uint64(m).view(np.int64))
+                rows.append((doc, h, [s], m64, text, m & SPREAD))
+
+    def run(blobs, told):
         known, rows, settled, wide = _told(told), [], [], []
+        sent = _sent_bytes(told)
         for batch in batches_of(blobs, BATCH_BYTES):
             for doc, h, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "h", "text")), strict=True):
+                for row in sent.pop((doc, h), ()):
+                    start, data = row["s"], row["data"]
+                    if text[start : start + len(data)] == data:
+                        settled += [_one(doc, h, start, len(data) - length)] if row["e"] != doc else []
+                        continue
+                    for at, n, kind in zip(row["at"], row["n"], row["k"], strict=True):
+                        own, other = text[at : at + n + length], data[at - start : at - start + n + length]
+                        if own == other:
+                            settled += [_one(doc, h, at, n)] if row["e"] != doc else []
+                        else:
+                            unlike(row, at, own, other, kind, rows, wide)
                 if (x := known.get((doc, h))) is not None:
                     here = x["k"] == OPEN
                     settled.append(_take(x, x["k"] == SETTLED))
@@ -318,7 +451,7 @@ def _open_windows(length: int):
         if wide:
             more, covered = _first_windows(wide)
             rows += more
-            settled.append(covered)
+            settled.append(_take(covered, np.mod(covered["doc"], blocks) == told.column("block")[0].as_py()))
         settled = [x for x in settled if len(x["doc"])]
         if settled:
             block = told.column("block")[0].as_py()
@@ -373,6 +506,26 @@ def common_extension(prefixes: Prefixes, a: np.ndarray, b: np.ndarray, most: int
     return low
 
 
+def exact_order(buffer: np.ndarray, at: np.ndarray, group: np.ndarray, most: int) -> np.ndarray:
+    """What suffix_sorted promises, by the bytes alone."""
+    words = np.zeros((len(at), -(-most // 8) * 8), np.uint8)
+    words[:, :most] = buffer[at[:, None] + np.arange(most)]
+    words = words.view(">u8")
+    return np.lexsort((*(words[:, k] for k in reversed(range(words.shape[1]))), group))
+
+
+def beside(buffer: np.ndarray, at: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each suffix but the first, whether its ``most`` bytes are those of the one before, and whether they are less."""
+    same, less = np.zeros(len(at), bool), np.zeros(len(at), bool)
+    for a in range(1, len(at), 1 << 15):
+        b = min(a + (1 << 15), len(at))
+        x, y = (buffer[at[i:j, None] + np.arange(most)] for i, j in ((a - 1, b - 1), (a, b)))
+        differ = x != y
+        first, row = differ.argmax(1), np.arange(b - a)
+        same[a:b], less[a:b] = ~differ.any(1), y[row, first] < x[row, first]
+    return same, less
+
+
 def suffix_sorted(prefixes: Prefixes, buffer: np.ndarray, at: np.ndarray, group: np.ndarray, most: int) -> np.ndarray:
     """The order of suffixes that begin at ``at`` by group, then by their first ``most`` bytes; equal ones stay in place.
 
@@ -412,17 +565,17 @@ def suffix_sorted(prefixes: Prefixes, buffer: np.ndarray, at: np.ndarray, group:
     return order
 
 
-def _sort_windows(length: int, blocks: int):
-    """Open runs of whole buckets: sort their windows as suffixes within each anchor, verify equal ones, and tell later documents.
+def _sort_windows(length: int, blocks: int, bits: int):
+    """Open runs of whole buckets: sort their windows as suffixes within each anchor, verify the order and equal ones by their bytes, and tell later documents.
 
-    Settled runs pass through.
+    Where bytes say otherwise than hashes did, bytes sort. Settled runs pass through.
     """
 
     def run(batches):
         held = []
         for batch in batches:
             settled = batch.filter(pc.is_null(batch.column("m")))
-            yield pa.RecordBatch.from_arrays([settled.column("doc_id").cast(pa.int32()), settled.column("text")], ["block", "data"])
+            yield _messages(settled.column("doc_id").cast(pa.int32()), settled.column("text").to_pylist(), TOLD)
             batch = batch.filter(pc.is_valid(batch.column("m")))
             if batch.num_rows:
                 held.append(batch)
@@ -442,20 +595,18 @@ def _sort_windows(length: int, blocks: int):
             part, bounds = buffer[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
             row, off = _windows(bounds, length)
             at = bounds[row] + off
-            prefixes = Prefixes(part)
-            order = suffix_sorted(prefixes, part, at, anchors[lo + row], length)
+            prefixes, group = Prefixes(part, bits), anchors[lo + row]
+            order = suffix_sorted(prefixes, part, at, group, length)
+            alike, less = beside(part, at[order], length)
+            if (less[1:] & (group[order[1:]] == group[order[:-1]])).any() or (np.bincount(order, minlength=len(order)) != 1).any():
+                order = exact_order(part, at, group, length)
+                alike, _ = beside(part, at[order], length)
+            alike[1:] &= group[order[1:]] == group[order[:-1]]
             at, off, own = at[order], off[order], lo + row[order]
-            alike = np.zeros(len(at), bool)
-            alike[1:] = (anchors[own[1:]] == anchors[own[:-1]]) & (common_extension(prefixes, at[1:], at[:-1], length) == length)
             begin = np.flatnonzero(~alike)
             counts = np.diff(np.append(begin, len(at)))
             which = np.flatnonzero(ids[own] > np.repeat(np.minimum.reduceat(ids[own], begin), counts))
-            source = np.repeat(at[begin], counts)
-            span = np.arange(length)
-            for a in range(0, len(which), 1 << 15):
-                some = which[a : a + (1 << 15)]
-                some = some[(part[at[some][:, None] + span] == part[source[some][:, None] + span]).all(1)]
-                out.append({"row": own[some], "off": off[some]})
+            out.append({"row": own[which], "off": off[which]})
             lo = hi
         x = _joined(out) if out else {"row": []}
         if not len(x["row"]):
@@ -496,7 +647,7 @@ def removed_ranges(starts: np.ndarray, after: np.ndarray, length: int) -> list[t
 
 
 def _kept(length: int, with_text: bool):
-    def run(blobs: pa.Table, told: pa.Table) -> pa.Table:
+    def run(blobs, told):
         known, rows, ids = _told(told), [], []
         for batch in batches_of(blobs, BATCH_BYTES):
             ids.append(batch.column("doc_id"))
@@ -516,14 +667,15 @@ def _kept(length: int, with_text: bool):
     return run
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, with_text: bool = False, wide: int = WIDE_RUNS) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, with_text: bool = False, wide: int = WIDE_RUNS, bits: int = 64) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row of ``docs`` (doc_id, text); kept with ``with_text``.
 
     Every byte goes that is covered by a string of ``length`` bytes which also starts in a
     document with a smaller doc_id; strings are judged on the input. kept holds the bytes that
     stay. A null text is empty and loses nothing, as does one shorter than ``length``. Rows that repeat a doc_id
     do not count against each other; a row with a null doc_id neither loses bytes nor
-    counts against others. Other columns are not looked at.
+    counts against others. Other columns are not looked at. ``wide`` and ``bits`` (of all hashes)
+    bear on time alone.
     """
     small_batches(docs.sparkSession)
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
@@ -531,10 +683,13 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
     buckets = n_parts(docs, "text", BUCKET_BYTES)
     some = own.filter(F.col("doc_id").isNotNull() & (F.octet_length("text") >= length))
     blocks, n = in_blocks(own, deal=_dealt)
-    sent = some.mapInArrow(_send(length, anchor, buckets), "bucket int, data binary")
-    met = sent.repartition(buckets, "bucket").mapInArrow(_meet(n, wide), "block int, data binary")
-    opened = blocks.groupBy("block").cogroup(met.groupBy("block")).applyInArrow(_open_windows(length), "doc_id long, h int, s array<long>, m long, text binary, bucket int")
-    found = opened.repartition(buckets, "bucket").mapInArrow(_sort_windows(length, n), "block int, data binary")
+    message = "block int, data binary, kind int"
+    sent = some.mapInArrow(_send(length, anchor, buckets, bits), "bucket int, data binary")
+    met = sent.repartition(buckets, "bucket").mapInArrow(_meet(n, wide), message)
+    answered = blocks.groupBy("block").cogroup(met.groupBy("block")).applyInArrow(_answers(length, n), message)
+    opening = _open_windows(length, anchor, buckets, n, bits)
+    opened = blocks.groupBy("block").cogroup(answered.groupBy("block")).applyInArrow(opening, "doc_id long, h int, s array<long>, m long, text binary, bucket int")
+    found = opened.repartition(buckets, "bucket").mapInArrow(_sort_windows(length, n, bits), message)
     kind = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
     out = blocks.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(_kept(length, with_text), kind)
     return out if with_text else out.drop("kept")

@@ -407,14 +407,38 @@ def test_repeats_equal_brute_force(spark, small):
     vocabulary = [words(1, i, "abcdé", 14) for i in range(12)]
     random_rows = [(rng.choice([i, i, i // 2, None]), rng.choice([" ".join(rng.choice(vocabulary) for _ in range(rng.randint(0, 40))), "ab" * rng.randint(0, 200), None])) for i in range(200)]
     for rows in (table, random_rows, [(2, "x" * 20_000), (1, "x" * 60), (3, "x" * 49)], [(1, None)]):
-        for wide in (suffix_dedup.WIDE_RUNS, 1):  # few runs under an anchor are sorted together, or every window apart
-            got = sorted(map(tuple, suffix_dedup.remove_repeats(clash(docs(spark, rows)), wide=wide).collect()), key=str)
+        for wide, bits in ((suffix_dedup.WIDE_RUNS, 64), (1, 64), (suffix_dedup.WIDE_RUNS, 8), (3, 8)):  # few runs under an anchor are sorted together, or every window apart; hashes that collide
+            got = sorted(map(tuple, suffix_dedup.remove_repeats(clash(docs(spark, rows)), wide=wide, bits=bits).collect()), key=str)
             assert got == brute_repeats(rows, 50)
     assert suffix_dedup.remove_repeats(docs(spark, [])).count() == 0
     kept = suffix_dedup.remove_repeats(docs(spark, [(1, "a" * 60), (2, "b" + "a" * 60 + "c")]), with_text=True).orderBy("doc_id").collect()
     assert [bytes(r.kept) for r in kept] == [b"a" * 60, b"bc"]
 
 
+def test_a_word_on_which_polynomial_hashes_vanish(spark):
+    rng = random.Random(7)
+    at = lambda t: suffix_dedup.Prefixes(np.frombuffer(t, np.uint8)).every(24)
+    x = min((bytes(rng.choice(b"klmnopqrst") for _ in range(24)) for _ in range(4000)), key=lambda t: at(t)[0])
+    thue = [bin(i).count("1") % 2 for i in range(1024)]
+    word = lambda flip: b"".join((b"aaa", b"bbb")[t ^ flip] + x for t in thue)
+    texts = [(1, (b"ccc" + x + word(1)).decode()), (2, (b"ccc" + x + word(0)).decode()), (3, (b"ccc" + x + word(0)).decode())]
+    for partitions in (1, 3):
+        got = sorted(map(tuple, suffix_dedup.remove_repeats(docs(spark, texts).repartition(partitions, "doc_id")).collect()), key=str)
+        assert got == brute_repeats(texts, 50)
+
+
+def test_repeats_whose_hashes_collide(spark):
+    rng = random.Random(8)
+    rows, seen = [], []
+    for i in range(150):
+        pieces = [rng.choice(seen) if seen and rng.random() < 0.5 else "".join(rng.choice("abcdef ") for _ in range(rng.randint(20, 120))) for _ in range(rng.randint(1, 5))]
+        seen += pieces
+        rows.append((i, "".join(pieces)))
+    for bits, wide in ((8, 2048), (4, 2048), (8, 2), (64, 2048)):
+        got = sorted(map(tuple, suffix_dedup.remove_repeats(docs(spark, rows).repartition(4), wide=wide, bits=bits).collect()), key=str)
+        assert got == brute_repeats(rows, 50)
+
+
 def test_documents_that_repeat_their_own_blocks(spark):
     rng = random.Random(55)
     text = lambda n: "".join(rng.choice(string.ascii_letters) for _ in range(n))
