@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from functools import cache
 from http import HTTPStatus
+from string import ascii_lowercase, ascii_uppercase
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -19,13 +21,34 @@ PRIVATE_KEY = r"-----BEGIN [^-]*PRIVATE KEY-----[\s\S]*?-----END [^-]*PRIVATE KE
 LINE_MARK, TOKEN_MARK, KEY_MARK = "// [REDACTED secret-bearing line]", "[REDACTED]", "[REDACTED PRIVATE KEY]"
 
 
+@cache
+def _folds() -> tuple[str, str, dict[str, str]]:
+    """What full case folding does that lower case does not: single characters, their folds, and characters that become several."""
+    single, several = {}, {}
+    for c in map(chr, range(0x80, 0x20000)):
+        if not 0xD800 <= ord(c) < 0xE000 and (fold := c.casefold()) != c:
+            (single if len(fold) == 1 else several)[c] = fold
+    return "".join(single), "".join(single.values()), several
+
+
+def casefold(x) -> Column:
+    """Full Unicode case folding, as for comparing without regard to case. Texts of Latin-1 characters need lower case alone, ß aside."""
+    text = F.replace(_c(x), F.lit("ß"), F.lit("ss"))
+    single, folds, several = _folds()
+    table = F.map_from_arrays(F.split(F.lit(" ".join(several)), " "), F.split(F.lit(" ".join(several.values())), " "))
+    one_by_one = F.array_join(F.transform(F.split(text, ""), lambda c: F.coalesce(F.try_element_at(table, c), c)), "")
+    longer = F.when(text.rlike("[" + "".join(several) + "]"), one_by_one).otherwise(text)
+    full = F.translate(longer, ascii_uppercase + single, ascii_lowercase + folds)
+    return F.when(text.rlike(r"[^\x00-\xFF]|\xB5"), full).otherwise(F.lower(text))
+
+
 def compact_name(x) -> Column:
     """Lower-case letters and digits only, one trailing dto taken off: how names of two sources are compared."""
     return F.regexp_replace(comparison_key(x), "dto$", "")
 
 
 def comparison_key(x) -> Column:
-    return F.regexp_replace(F.lower(_c(x)), "[^a-z0-9]", "")
+    return F.regexp_replace(casefold(x), "[^a-z0-9]", "")
 
 
 def plain_route(x) -> Column:
@@ -59,7 +82,7 @@ def terms(x, underscore: bool = True) -> Column:
     """The different words of a text and of its camel-case parts, in lower case."""
     text = F.coalesce(_c(x), F.lit(""))
     split = F.concat(text, F.lit(" "), F.regexp_replace(text, "([a-z0-9])([A-Z])", "$1 $2"))
-    both = F.lower(F.when(text.rlike("[a-z0-9][A-Z]"), split).otherwise(text))  # most texts have no such parts
+    both = casefold(F.when(text.rlike("[a-z0-9][A-Z]"), split).otherwise(text))  # most texts have no such parts
     return F.array_distinct(F.regexp_extract_all(both, F.lit("[a-z0-9_]+" if underscore else "[a-z0-9]+"), 0))
 
 

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from specweave.functions.text import casefold
 from specweave.plans.lineage import cut
 
 
@@ -90,23 +93,44 @@ def snippet(lines: str, hit: Column, before: int, after: int) -> Column:
     return F.array_join(F.slice(lines, start, F.least(hit + after, F.size(lines)) - start + 1), "\n")
 
 
+def _turn() -> Column:
+    """The order in which pairs are taken: by falling score, then names without regard to case, then ids."""
+    return F.struct((-F.col("score")).alias("s"), casefold("left_name").alias("l"), casefold("right_name").alias("r"), "left_id", "right_id")
+
+
 def greedy_pairs(scored: DataFrame, parent: list[str]) -> DataFrame:
-    """One-to-one assignment in each parent: pairs by falling score, then names, taken while both ends are free.
+    """One-to-one assignment in each parent: pairs by falling score, then names, then ids, taken while both ends are free.
 
-    scored (*parent, left_id, right_id, score, left_name, right_name). A parent's pairs are the product of
-    its fields and a candidate's, so they fit a task; nothing built in takes pairs in turn.
+    scored (*parent, left_id, right_id, score, left_name, right_name). Done in rounds over all parents at
+    once: a pair that comes first among those of its left and among those of its right end is taken in any case,
+    and whatever shares an end with it goes; so a parent of any size is many tasks. Pairs that repeat count once.
     """
-    kinds = ", ".join(f"{c} {scored.schema[c].dataType.simpleString()}" for c in [*parent, "left_id", "right_id", "score"])
-
-    def one(pairs: pd.DataFrame) -> pd.DataFrame:
-        pairs = pairs.assign(_l=pairs.left_name.str.casefold(), _r=pairs.right_name.str.casefold(), _s=-pairs.score)
-        pairs = pairs.sort_values(["_s", "_l", "_r", "left_id", "right_id"], kind="stable")
-        left, right, keep = set(), set(), []
-        for i, a, b in zip(pairs.index, pairs.left_id, pairs.right_id, strict=True):
-            if a not in left and b not in right:
-                left.add(a)
-                right.add(b)
-                keep.append(i)
-        return pairs.loc[keep, [*parent, "left_id", "right_id", "score"]]
-
-    return scored.groupBy(*parent).applyInPandas(one, kinds)
+    rows = scored.groupBy(*parent, "left_id", "right_id").agg(F.min(_turn()).alias("_t"))
+    ends, taken = cut(rows.select(*parent, F.col("left_id").alias("_l"), F.col("right_id").alias("_r"), "_t")), None
+    same = lambda a, b, columns: reduce(and_, [a[c].eqNullSafe(b[c]) for c in columns])
+    while not ends.isEmpty():
+        first = [ends.groupBy(*parent, e).agg(F.min("_t").alias("_t")) for e in ("_l", "_r")]
+        least = first[0].join(first[1], same(*first, [*parent, "_t"]), "left_semi").select(*parent, "_l", F.col("_t.right_id").alias("_r"), "_t")
+        least = cut(least)
+        taken = least if taken is None else taken.unionByName(least)
+        for e in ("_l", "_r"):
+            ends = ends.join(least, same(ends, least, [*parent, e]), "left_anti")
+        ends = cut(ends)
+    if taken is None:
+        return scored.select(*parent, "left_id", "right_id", "score").limit(0)
+    return taken.select(*parent, F.col("_l").alias("left_id"), F.col("_r").alias("right_id"), (-F.col("_t.s")).alias("score"))
+
+
+def greedy_lists(scored: DataFrame, parent: list[str]) -> DataFrame:
+    """What greedy_pairs gives, for many parents of few pairs each: a parent's pairs are one sorted array that is gone through once."""
+    rows = scored.groupBy(*parent).agg(F.sort_array(F.collect_set(_turn())).alias("_p"))
+    kinds = {c: scored.schema[c].dataType.simpleString() for c in ("left_id", "right_id", "score")}
+    state = F.struct(F.array().cast(f"array<{kinds['left_id']}>").alias("l"), F.array().cast(f"array<{kinds['right_id']}>").alias("r"), F.array().cast(f"array<{kinds['score']}>").alias("s"))
+
+    def take(held: Column, p: Column) -> Column:
+        more = F.struct(*[F.array_append(held[k], v).alias(k) for k, v in (("l", p["left_id"]), ("r", p["right_id"]), ("s", -p["s"]))])
+        return F.when(F.array_contains(held["l"], p["left_id"]) | F.array_contains(held["r"], p["right_id"]), held).otherwise(more)
+
+    kept = F.aggregate("_p", state, take)
+    rows = rows.select(*parent, kept.alias("_k")).select(*parent, F.inline(F.arrays_zip("_k.l", "_k.r", "_k.s")))
+    return rows.toDF(*parent, "left_id", "right_id", "score")

@@ -18,6 +18,8 @@ from .ranking import top_k, within_characters
 
 WINDOW, SECTION = 1_800, 5_000
 CANDIDATES, RANK_BASE = 40, 60
+#: Documents that are tried for a floor, for each that is asked for.
+TRIED = 4
 #: Words of queries, and query vectors, that are sent to every task at once.
 FEW_TERMS, QUERY_PAGE = 200_000, 1 << 14
 
@@ -102,9 +104,72 @@ def lexical_scores(docs: DataFrame, queries: DataFrame) -> DataFrame:
     return wanted.join(few(weights), "term").groupBy("query_id", "doc_id").agg(F.round(F.sum("w"), 6).alias("score"))
 
 
+class Lexicon:
+    """The words that queries share with documents, laid out so that a query looks only at documents that may be among its best.
+
+    docs (doc_id, text), queries (query_id, text). Kept in storage: wanted (doc_id, term), the queries' words alone of every
+    document, dealt by document; weights (term, df, w); asked (query_id, term).
+    """
+
+    def __init__(self, docs: DataFrame, queries: DataFrame):
+        self.asked = cut(queries.select("query_id", F.explode(terms("text")).alias("term")).distinct())
+        self.few = F.broadcast if self.asked.count() <= FEW_TERMS else lambda t: t
+        words = docs.select("doc_id", F.explode_outer(terms("text")).alias("term"))
+        wanted = words.join(self.few(self.asked.select("term").distinct()), "term", "left_semi")
+        self.wanted = cut(wanted.repartition("doc_id"))
+        w = F.log(1 + F.lit(float(docs.count())) / F.col("df"))
+        self.weights = cut(self.wanted.groupBy("term").agg(F.count("*").alias("df")).withColumn("w", w).withColumn("code", F.monotonically_increasing_id()))
+        self.weighed = self.asked.join(self.few(self.weights), "term")
+        self.by_query = self.weighed.groupBy("query_id").agg(F.collect_list("code").alias("asked_codes"))
+        self.by_document = cut(self.wanted.join(self.few(self.weights), "term").groupBy("doc_id").agg(F.collect_list("code").alias("codes")))
+
+    def scores(self, pairs: DataFrame) -> DataFrame:
+        """(query_id, doc_id, score) of some pairs (query_id, doc_id), those without a shared word left out."""
+        both = self.by_document.join(pairs, "doc_id").join(self.few(self.by_query), "query_id")
+        shared = both.select("query_id", "doc_id", F.explode(F.array_intersect("asked_codes", "codes")).alias("code"))
+        return shared.join(self.few(self.weights.select("code", "w")), "code").groupBy("query_id", "doc_id").agg(F.round(F.sum("w"), 6).alias("score"))
+
+    def floors(self, most: int) -> DataFrame:
+        """(query_id, floor): a score that at least ``most`` documents reach, of queries with so many: those that share its rarest words are tried."""
+        rarest = Window.partitionBy("query_id").orderBy(F.desc("w"), "term").rowsBetween(Window.unboundedPreceding, -1)
+        rare = self.weighed.withColumn("before", F.coalesce(F.sum("df").over(rarest), F.lit(0))).filter(F.col("before") < TRIED * most)
+        part = self.wanted.join(self.few(rare.select("query_id", "term", "w")), "term").groupBy("query_id", "doc_id").agg(F.sum("w").alias("part"))
+        tried = top_k(part, ["query_id"], [F.desc("part"), "doc_id"], TRIED * most).select("query_id", "doc_id")
+        best = top_k(self.scores(tried), ["query_id"], [F.desc("score"), "doc_id"], most)
+        return best.filter(F.col("rank") == most - 1).select("query_id", F.col("score").alias("floor"))
+
+    def candidates(self, most: int) -> DataFrame:
+        """(query_id, doc_id): every pair whose score may be among a query's ``most`` best, and few others.
+
+        A query's commonest words are left out as long as a document that had all of them and no other would stay
+        below the floor; a document is only met through the rest, and kept if its rest and all that was left out reach the floor.
+        """
+        common_first = Window.partitionBy("query_id").orderBy("w", "term").rowsBetween(Window.unboundedPreceding, 0)
+        rated = self.weighed.join(self.floors(most), "query_id", "left").withColumn("floor", F.coalesce("floor", F.lit(0.0)) - 1e-5)
+        rated = rated.withColumn("spare", F.sum("w").over(common_first)).withColumn("met", F.col("spare") >= F.col("floor"))
+        rated = rated.withColumn("left_out", F.coalesce(F.max(F.when(~F.col("met"), F.col("spare"))).over(Window.partitionBy("query_id")), F.lit(0.0)))
+        met = self.few(cut(rated.filter("met").select("query_id", "term", "w", "floor", "left_out")))
+        found = self.wanted.join(met, "term").groupBy("doc_id", "query_id").agg(F.sum("w").alias("part"), F.first("floor").alias("floor"), F.first("left_out").alias("left_out"))
+        return found.filter(F.col("part") + F.col("left_out") >= F.col("floor")).select("query_id", "doc_id")
+
+    def best(self, most: int = CANDIDATES) -> DataFrame:
+        """(query_id, doc_id, score, rank)."""
+        return top_k(self.scores(self.candidates(most)), ["query_id"], [F.desc("score"), "doc_id"], most)
+
+
 def lexical(docs: DataFrame, queries: DataFrame, most: int = CANDIDATES) -> DataFrame:
-    """(query_id, doc_id, score, rank): the documents that share the rarest words with each query; ties by doc_id."""
-    return top_k(lexical_scores(docs, queries), ["query_id"], [F.desc("score"), "doc_id"], most)
+    """(query_id, doc_id, score, rank): the documents that share the rarest words with each query; ties by doc_id.
+
+    The rows of lexical_scores() that are a query's ``most`` best, found without making the others (Lexicon).
+    """
+    return Lexicon(docs, queries).best(most)
+
+
+def lexical_beside(docs: DataFrame, queries: DataFrame, listed: DataFrame, most: int = CANDIDATES) -> DataFrame:
+    """(query_id, doc_id, score): the ``most`` best documents of each query and those of ``listed`` (query_id, doc_id), which is all that a sum with the list's own scores needs."""
+    lexicon = Lexicon(docs, queries)
+    pairs = lexicon.candidates(most).union(listed.select("query_id", "doc_id")).distinct()
+    return lexicon.scores(pairs)
 
 
 def cosine(a: Column, b: Column) -> Column:

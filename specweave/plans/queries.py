@@ -549,9 +549,54 @@ def token_jaccard_align(spark, sf_dir):
     p = t(spark, sf_dir, "part")
     names = p.select(F.col("p_name").alias("regional_id"), F.col("p_name").alias("name"))
     texts = t(spark, sf_dir, "benchmark").select("text").union(p.select(F.concat_ws(" ", "p_type", "p_name"))).select(F.col("text").alias("candidate_id"), F.col("text").alias("name"))
-    pairs = align.entity_pairs(names, texts)
-    scored = pairs.select(F.col("regional_id").alias("name"), F.col("candidate_id").alias("candidate"), F.round(similarity.text_similarity("regional_id", "candidate_id"), 6).alias("score"))
-    return ranking.best_candidate(scored, ["name"], "score", "candidate")
+    return align.best_by_words(names, texts).toDF("name", "candidate", "score")
+
+
+def _ratio_sql(pairs: str) -> str:
+    """CTEs that end in ratio (a, b, r): letter-sequence ratios of ``pairs`` (a, b), by halving stretches at their longest common block."""
+    block = """(SELECT max(row(k, -i, -j)) FROM (SELECT i, j, list_max(list_filter(range(1, least(ahi - i, bhi - j) + 1), lambda n: substr(a, i + 1, n) = substr(b, j + 1, n))) AS k
+      FROM unnest(range(alo, ahi)) x(i), unnest(range(blo, bhi)) y(j) WHERE a[i + 1] = b[j + 1]))"""
+    return f"""seg AS (
+  SELECT a, b, 0 AS alo, length(a) AS ahi, 0 AS blo, length(b) AS bhi FROM ({pairs}) UNION ALL
+  SELECT a, b, h.alo, h.ahi, h.blo, h.bhi FROM (SELECT a, b, unnest([{{'alo': alo, 'ahi': -m[2], 'blo': blo, 'bhi': -m[3]}}, {{'alo': m[1] - m[2], 'ahi': ahi, 'blo': m[1] - m[3], 'bhi': bhi}}]) AS h
+    FROM (SELECT *, {block} AS m FROM seg) WHERE m[1] IS NOT NULL) WHERE h.alo < h.ahi AND h.blo < h.bhi),
+ratio AS (SELECT a, b, 2.0::DOUBLE * coalesce(sum(m[1]), 0) / (length(a) + length(b)) AS r FROM (SELECT *, {block} AS m FROM seg) GROUP BY a, b)"""
+
+
+_KEYED = "regexp_replace(lower({0}), '[^a-z0-9]', '', 'g')"
+_SIDES = f"""n AS (SELECT DISTINCT p_name AS x FROM part), c AS (SELECT DISTINCT p_type AS y FROM part), nb AS (SELECT DISTINCT p_name AS x, p_brand AS br FROM part), cb AS (SELECT DISTINCT p_type AS y, p_brand AS br FROM part)"""
+
+
+def _words_sql(x: str, y: str) -> str:
+    a, b = terms_sql(x, "[a-z0-9]+"), terms_sql(y, "[a-z0-9]+")
+    return f"len(list_intersect({a}, {b}))::DOUBLE / len(list_distinct(list_concat({a}, {b})))"
+
+
+def _greedy_sql(edges: str, parent: str) -> str:
+    """CTEs that end in taken: ``edges`` ({parent}, l, r, s, place) gone through by place, one step for all parents at once."""
+    return f"""e AS ({edges}),
+walk AS (
+  SELECT {parent}, 0::BIGINT AS place, NULL::VARCHAR AS l, NULL::VARCHAR AS r, NULL::DOUBLE AS s, []::VARCHAR[] AS ul, []::VARCHAR[] AS ur FROM (SELECT DISTINCT {parent} FROM e) UNION ALL
+  SELECT {parent}, e.place, CASE WHEN free THEN e.l END, CASE WHEN free THEN e.r END, CASE WHEN free THEN e.s END, CASE WHEN free THEN list_append(ul, e.l) ELSE ul END, CASE WHEN free THEN list_append(ur, e.r) ELSE ur END
+  FROM (SELECT e.*, w.ul, w.ur, NOT list_contains(w.ul, e.l) AND NOT list_contains(w.ur, e.r) AS free FROM walk w JOIN e USING ({parent}) WHERE e.place = w.place + 1) e),
+taken AS (SELECT {parent}, l, r, s FROM walk WHERE l IS NOT NULL)"""
+
+
+_ALIGN_SQL = f"""
+WITH RECURSIVE {_SIDES},
+names AS (SELECT DISTINCT {_KEYED.format('x')} AS a, {_KEYED.format('y')} AS b FROM n, c UNION SELECT DISTINCT {_KEYED.format('p.br')}, {_KEYED.format('q.br')} FROM nb p, cb q),
+{_ratio_sql('SELECT * FROM names')},
+scored AS (SELECT x || chr(1) || y AS pair, x, y, nb.br AS bl, cb.br AS brr, round((greatest(r, {_words_sql('nb.br', 'cb.br')}) * 100) * 0.7 + 20.0, 1) AS s
+  FROM nb, cb JOIN ratio ON b = {_KEYED.format('cb.br')} WHERE a = {_KEYED.format('nb.br')}),
+{_greedy_sql("SELECT pair, bl AS l, brr AS r, s, row_number() OVER (PARTITION BY pair ORDER BY s DESC, lower(bl), lower(brr), bl, brr) AS place FROM scored", "pair")},
+sums AS (SELECT pair, sum(s) AS t, count(*) FILTER (s >= 85) AS f, count(*) FILTER (s >= 50) AS g FROM taken GROUP BY pair),
+full_score AS (
+  SELECT x, y, k, coalesce(f, 0) AS f, coalesce(g, 0) AS g, greatest(r, {_words_sql('x', 'y')}) * 100 * 0.5 + coalesce(t, 0.0) / k * 0.4 + {_words_sql('x', 'y')} * 100 * 0.1 AS score
+  FROM n JOIN (SELECT x, count(*) AS k FROM nb GROUP BY x) USING (x), c LEFT JOIN sums ON pair = x || chr(1) || y JOIN ratio ON b = {_KEYED.format('y')} WHERE a = {_KEYED.format('x')}),
+best AS (SELECT x AS regional_id, arg_max(struct_pack(y := y, score := score, k := k, f := f, g := g), struct_pack(score := score, y := y)) AS m FROM full_score GROUP BY x),
+aligned AS (SELECT regional_id, m.y AS candidate_id, round(m.score, 1) AS score,
+  CASE WHEN m.score >= 85 AND m.f = m.k THEN 'Full match' WHEN m.score >= 40 OR m.g > 0 THEN 'Partial match' ELSE 'Not matched' END AS status FROM best)
+"""
 
 
 def _catalogs(spark, sf_dir):
@@ -563,13 +608,14 @@ def _catalogs(spark, sf_dir):
     return *side("p_name", "regional", "p_brand"), *side("p_type", "candidate", "p_brand")
 
 
-@query()
+@query(_ALIGN_SQL + "SELECT * FROM aligned")
 def sequence_ratio_align(spark, sf_dir):
-    """Entities by name sequence, words and one-to-one attribute matches; difflib semantics, so no SQL."""
+    """Entities by name sequence, words and one-to-one attribute matches."""
     return align.align(*_catalogs(spark, sf_dir))
 
 
-@query()
+@query(_ALIGN_SQL + """SELECT count(*) AS total, count(*) FILTER (status = 'Full match') AS full_match, count(*) FILTER (status = 'Partial match') AS partial_match, count(*) FILTER (status = 'Not matched') AS not_matched,
+  round((count(*) FILTER (status = 'Full match') + 0.5 * count(*) FILTER (status = 'Partial match'))::DOUBLE / count(*) * 100, 1) AS matched_percent, round(count(*) FILTER (status = 'Not matched')::DOUBLE / count(*) * 100, 1) AS unmatched_percent FROM aligned""")
 def match_summary(spark, sf_dir):
     return aggregates.match_summary(align.align(*_catalogs(spark, sf_dir)))
 
@@ -586,7 +632,12 @@ def label_summary(spark, sf_dir):
     return aggregates.match_summary(t(spark, sf_dir, "labels").select(status.alias("status")))
 
 
-@query()
+@query(f"""
+WITH RECURSIVE nb AS (SELECT DISTINCT p_brand AS br, p_name AS x FROM part), cb AS (SELECT DISTINCT p_brand AS br, p_type AS y FROM part),
+{_ratio_sql(f"SELECT DISTINCT {_KEYED.format('x')} AS a, {_KEYED.format('y')} AS b FROM nb JOIN cb USING (br)")},
+scored AS (SELECT br, x, y, round(greatest(r, {_words_sql('x', 'y')}) * 100, 1) AS s FROM nb JOIN cb USING (br) JOIN ratio ON a = {_KEYED.format('x')} AND b = {_KEYED.format('y')}),
+{_greedy_sql("SELECT br, x AS l, y AS r, s, row_number() OVER (PARTITION BY br ORDER BY s DESC, lower(x), lower(y), x, y) AS place FROM scored", "br")}
+SELECT br AS brand, l AS left_id, r AS right_id, s AS score FROM taken""")
 def greedy_assign(spark, sf_dir):
     p = t(spark, sf_dir, "part")
     pairs = p.select(F.col("p_brand").alias("brand"), F.col("p_name").alias("left_id")).distinct().join(p.select(F.col("p_brand").alias("brand"), F.col("p_type").alias("right_id")).distinct(), "brand")

@@ -259,7 +259,7 @@ def reference_query(spark, sf_dir):
     vector = _by_vector(spark, sf_dir, e.select(F.col("item_id").alias("query_id"), F.col("embedding").cast("array<double>").alias("vector")))
     exact = retrieval.alias_hits(d.select("doc_id", F.col("doc_id").alias("place"), F.array(F.split("text", "\n")[0]).alias("aliases")), asked)
     chunks = d.select("doc_id", "text", F.lit(False).alias("truncated"))
-    out = retrieval.reference_query(retrieval.lexical_scores(d.select("doc_id", "text"), asked), vector, exact, chunks)
+    out = retrieval.reference_query(retrieval.lexical_beside(d.select("doc_id", "text"), asked, vector.union(exact.select(*vector.columns))), vector, exact, chunks)
     return out.select(F.col("query_id").alias("item_id"), "place", "doc_id", "relevance", "reason", F.sha2(F.col("text").cast("binary"), 256).alias("shown"), "truncated")
 
 

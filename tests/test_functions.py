@@ -94,3 +94,10 @@ def test_schema_keywords(spark):
     df = spark.createDataFrame([(r, v, vs) for r, v, vs, _ in cases], "r string, v string, vs array<string>")
     assert [x.k for x in df.select(text.schema_keywords("r", "v", "vs").alias("k")).collect()] == [c[3] for c in cases]
     assert one(spark, text.published_type("c0"), "List[Guid]") == "array" and one(spark, text.published_type("c0"), "Int32?") == "integer"
+
+
+def test_case_folding_of_every_character(spark):
+    characters = [chr(c) for c in range(1, 0x20000) if not 0xD800 <= c < 0xE000]
+    texts = spark.createDataFrame([(c,) for c in [*characters, "ΑΣ", "ὈΔΥΣΣΕΎΣ Straße", "İSTANBUL", "ﬁN", "ABCß", "ſo…ſ"]], "c string")
+    assert not [r.c for r in texts.select("c", text.casefold("c").alias("f")).collect() if r.f != r.c.casefold()]
+    assert spark.createDataFrame([(None,)], "c string").select(text.casefold("c").alias("f")).first().f is None

@@ -1,3 +1,5 @@
+import random
+
 from pyspark.sql import functions as F
 
 from specweave.operators import aggregates, align, catalog, enrichment, graph, joins, publish, quality, ranking, retrieval, setops, sinks
@@ -256,18 +258,76 @@ def test_closure_of_a_long_chain(spark):
     assert {(r.root, r.node): r.depth for r in found.collect()} == {(0, i): i for i in range(41)} | {(1, 39): 0, (1, 40): 1} | {(1, i): i - 1 for i in range(3, 39)}
 
 
-def test_vector_queries_in_pages_and_products_in_parts(spark, monkeypatch):
-    from specweave.operators import align, retrieval
+def test_vector_queries_in_pages(spark, monkeypatch):
+    from specweave.operators import retrieval
 
     v = spark.createDataFrame([(i, [float(i % 7) + 0.1, float(i % 5) - 2.0]) for i in range(60)], "doc_id long, vector array<double>")
     q = v.filter("doc_id < 20").withColumnRenamed("doc_id", "query_id")
     whole = sorted(map(tuple, retrieval.by_vector(v, q, 3).collect()))
     monkeypatch.setattr(retrieval, "QUERY_PAGE", 7)
     assert sorted(map(tuple, retrieval.by_vector(v, q, 3).collect())) == whole and len(whole) == 60
-    a, b = spark.createDataFrame([("a", "x"), ("b", "y")], "regional_id string, name string"), spark.createDataFrame([("c", "x"), ("d", "z"), ("e", "y")], "candidate_id string, name string")
-    pairs = {tuple(r) for r in align.entity_pairs(a, b).collect()}
-    monkeypatch.setattr(align, "SMALL", 0)
-    assert {tuple(r) for r in align.entity_pairs(a, b).collect()} == pairs and len(pairs) == 6
+
+
+def test_pruned_pairs_give_the_product_s_winners(spark, monkeypatch):
+    from specweave.operators import align, pairing
+
+    rng = random.Random(9)
+    vocabulary = "customer order quote policy address party risk premium claim vehicle cover agent".split()
+
+    def catalog(n, key, item):
+        entities, attributes = [], []
+        for i in range(n):
+            name = "".join(w.title() for w in rng.sample(vocabulary, rng.randint(1, 3))) if i % 17 else rng.choice(["--", "Straße", None])
+            entities.append((f"{key[0]}{i}", name, " ".join(rng.sample(vocabulary, rng.randint(0, 4))) or None))
+            for j in range(rng.choice([0, 1, 2, 4])):
+                attributes.append((f"{key[0]}{i}", f"{i}.{j}", rng.choice(vocabulary) + rng.choice(vocabulary).title(), rng.choice(["", None, rng.choice(vocabulary)]), rng.choice(["string", "int", "decimal", None])))
+        kinds = f"{key} string, name string, description string", f"{key} string, {item} string, name string, description string, type string"
+        return spark.createDataFrame(entities, kinds[0]), spark.createDataFrame(attributes, kinds[1])
+
+    (r, ra), (c, ca) = catalog(40, "regional_id", "left_id"), catalog(50, "candidate_id", "right_id")
+    monkeypatch.setattr(pairing, "PAGE", 16)
+    product = align._product(r, c)
+    want = align._shown(align._best(product, align.score_attributes(product, ra, ca), r, ra, c, ca, align.entity_score), r)
+    assert sorted(map(str, align.align(r, ra, c, ca).collect())) == sorted(map(str, want.collect()))
+    pairs = pairing.candidate_pairs(r, ra, c, ca, lambda p: align._best(p, align.score_attributes(p, ra, ca), r, ra, c, ca, align.entity_score))
+    assert pairs.count() < 0.5 * product.count()
+    assert align.align(r.limit(0), ra.limit(0), c, ca).count() == 0
+    assert {x.status for x in align.align(r, ra, c.limit(0), ca.limit(0)).collect()} == {"Not matched"}
+
+
+def test_bounded_lexical_search_equals_all_scores(spark, small, monkeypatch):
+    from specweave.operators import retrieval
+
+    docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text")
+    queries = spark.read.parquet(f"{small}/benchmark.parquet").select(F.col("item_id").alias("query_id"), "text")
+    odd = spark.createDataFrame([(-1, None), (-2, ""), (-3, "nowhere-to-be-found"), (-4, "the the the")], "query_id long, text string")
+    scores = retrieval.lexical_scores(docs, queries.union(odd))
+    for most in (1, 7, 40):
+        want = ranking.top_k(scores, ["query_id"], [F.desc("score"), "doc_id"], most)
+        assert rows(retrieval.lexical(docs, queries.union(odd), most)) == rows(want)
+    monkeypatch.setattr(retrieval, "FEW_TERMS", 1)
+    lexicon = retrieval.Lexicon(docs, queries.union(odd))
+    assert rows(lexicon.best(7)) == rows(ranking.top_k(scores, ["query_id"], [F.desc("score"), "doc_id"], 7))
+    listed = spark.createDataFrame([(0, 1), (3, 5)], "query_id long, doc_id long")
+    beside = {(r.query_id, r.doc_id): r.score for r in retrieval.lexical_beside(docs, queries, listed, 2).collect()}
+    every = {(r.query_id, r.doc_id): r.score for r in scores.collect()}
+    assert set(beside.items()) <= set(every.items()) and all(beside.get(tuple(p)) == every.get(tuple(p)) for p in listed.collect())
+    assert lexicon.candidates(7).count() < len(every)
+    assert retrieval.lexical(docs.limit(0), queries, 5).count() == 0 == retrieval.lexical(docs, queries.limit(0), 5).count()
+
+
+def test_greedy_in_rounds_and_in_lists_is_greedy_in_turn(spark):
+    rng = random.Random(1)
+    rows = [(p, f"l{i}", f"r{j}", float(rng.randint(1, 4)), rng.choice(["A", "a", "ß", "ss"]), rng.choice("xyz")) for p in (1, 2, None) for i in range(rng.randint(1, 8)) for j in range(rng.randint(1, 8)) if rng.random() < 0.8]
+    scored = spark.createDataFrame(rows, "p long, left_id string, right_id string, score double, left_name string, right_name string")
+    used, want = set(), []
+    for p, a, b, score, x, y in sorted(rows, key=lambda r: (-r[3], r[4].casefold(), r[5].casefold(), r[1], r[2])):
+        if not {(p, 0, a), (p, 1, b)} & used:
+            used |= {(p, 0, a), (p, 1, b)}
+            want.append((p, a, b, score))
+    for greedy in (ranking.greedy_pairs, ranking.greedy_lists):
+        assert sorted(map(str, map(tuple, greedy(scored, ["p"]).collect()))) == sorted(map(str, want))
+        assert greedy(scored.limit(0), ["p"]).count() == 0
 
 
 def test_follow_ups_ask_only_for_names(spark):
