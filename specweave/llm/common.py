@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 #: A word is a maximal run without ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
+#: What a row costs besides its text.
+ROW_BYTES = 64
 #: Bytes of text that a Python worker gets at once.
 BATCH_BYTES = 4 << 20
 
@@ -42,8 +44,8 @@ def ascii_lower(text: Column) -> Column:
 
 
 def n_parts(docs: DataFrame, column: str, bytes_each: int) -> int:
-    """How many parts hold ``bytes_each`` of a column, from its size over all rows."""
-    total = docs.agg(F.sum(F.octet_length(column)).alias("n")).first()["n"] or 0
+    """How many parts hold ``bytes_each`` of a column, from its size over all rows; each row counts as ROW_BYTES more, so empty ones fill parts too."""
+    total = docs.agg(F.sum(F.coalesce(F.octet_length(column), F.lit(0)) + ROW_BYTES).alias("n")).first()["n"] or 0
     return max(1, -(-int(total) // bytes_each))
 
 

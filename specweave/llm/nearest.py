@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import heapq
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -137,13 +138,12 @@ def _unit(v: np.ndarray) -> np.ndarray:
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """(vec_id, vector) of the rows that take part: of the commonest size, all components finite, not zero; floats stay floats."""
+    """(vec_id, vector) of the rows that take part: all components finite, not zero; floats stay floats."""
     kind = vectors.schema["embedding"].dataType
     own = "float" if isinstance(kind, ArrayType) and isinstance(kind.elementType, FloatType) else "double"
     fine = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists("vector", lambda x: x != 0)
-    rows = vectors.select("vec_id", F.col("embedding").cast(f"array<{own}>").alias("vector")).filter(F.col("vec_id").isNotNull() & F.col("vector").isNotNull()).filter(fine)
-    sizes = rows.groupBy(F.size("vector").alias("size")).count().orderBy(F.desc("count"), "size").limit(1).collect()
-    return rows.filter(F.size("vector") == (sizes[0]["size"] if sizes else 0))
+    rows = vectors.select("vec_id", F.col("embedding").cast(f"array<{own}>").alias("vector")).filter(F.col("vec_id").isNotNull() & F.col("vector").isNotNull())
+    return rows.filter(fine)
 
 
 def nearest(vectors: DataFrame, k: int = 5, every: int = 50, trees: int = TREES, leaf: int = LEAF, recall: float = RECALL, sample: int = SAMPLE) -> DataFrame:
@@ -154,14 +154,26 @@ def nearest(vectors: DataFrame, k: int = 5, every: int = 50, trees: int = TREES,
     to the smaller vec_id. Planes are fit on about ``sample`` vectors chosen by a hash of vec_id; every row is indexed.
     How many leaves a query visits is measured by probes: few where vectors have structure.
     Copies of one vector are one entry that carries its k + 1 smallest ids,
-    enough for any query, so they cannot fill a leaf. Null, zero, odd-sized vectors, those with
-    null or non-finite components and null vec_ids take no part; rows that repeat a vec_id count
-    once, with the vector of the least hash. Without queries or other rows there are no rows.
+    enough for any query, so they cannot fill a leaf. Vectors of different lengths are not compared: each length
+    is searched by a forest of its own. Null and zero vectors, those with null or non-finite components and null
+    vec_ids take no part; rows that repeat a vec_id count once, with the vector of the least hash. Without queries or other rows there are no rows.
     """
-    spark = vectors.sparkSession
-    small_batches(spark)
+    small_batches(vectors.sparkSession)
+    rows = usable(vectors)
+    lengths = sorted(r[0] for r in rows.select(F.size("vector")).distinct().collect())
+    if len(lengths) > 1:  # a vec_id counts once over all lengths
+        size = F.size("vector")
+        least = rows.groupBy("vec_id").agg(F.min(F.struct(F.xxhash64("vector"), F.hash("vector"), size.alias("size"))).alias("c")).select(F.col("vec_id").alias("i"), F.col("c.size").alias("s"))
+        rows = rows.join(least, (F.col("vec_id") == F.col("i")) & (size == F.col("s"))).drop("i", "s")
+    found = [_nearest(rows.filter(F.size("vector") == n) if len(lengths) > 1 else rows, k, every, trees, leaf, recall, sample) for n in lengths or [0]]
+    return reduce(DataFrame.unionByName, found)
+
+
+def _nearest(rows: DataFrame, k: int, every: int, trees: int, leaf: int, recall: float, sample: int) -> DataFrame:
+    """``nearest`` of usable vectors (vec_id, vector) of one length."""
+    spark = rows.sparkSession
     content = [F.xxhash64("vector").alias("h"), F.hash("vector").alias("h2")]
-    rows = usable(vectors).select("vec_id", *content, "vector")
+    rows = rows.select("vec_id", *content, "vector")
     chosen = rows.groupBy("vec_id").agg(F.min(F.struct("h", "h2")).alias("c")).select("vec_id", "c.*")
     slim, salt = cut(chosen), F.pmod(F.xxhash64("vec_id"), F.lit(64))
     own = slim

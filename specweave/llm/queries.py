@@ -125,14 +125,18 @@ FROM took
 
 _OP10 = r"""
 WITH RECURSIVE
-tags AS (
-  SELECT url, regexp_extract(coalesce(html, ''), '(?is)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*>', 0) AS tag,
-         regexp_extract(coalesce(html, ''), '(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*>', 0) AS meta
+marked AS (
+  SELECT url, unnest(string_split(regexp_replace(regexp_replace(coalesce(html, ''), '(?s)<!--.*?(-->|\z)', ' ', 'g'),
+           '(?is)<(?:script\b.*?</script|style\b.*?</style|textarea\b.*?</textarea|title\b.*?</title|template\b.*?</template|noscript\b.*?</noscript|xmp\b.*?</xmp)\s*>', ' ', 'g'), '<')) AS piece
   FROM pages WHERE url IS NOT NULL),
+parsed AS (
+  SELECT url, lower(substr(piece, 1, 4)) AS tag, list_transform(regexp_extract_all(substr(piece, 5), '[^\s"''>/=]+\s*=\s*(?:"[^"]*"|''[^'']*''|[^\s"''>]+)'),
+           lambda x: {'n': lower(trim(split_part(x, '=', 1))), 'v': trim(trim(substr(x, instr(x, '=') + 1)), '"''')}) AS atts
+  FROM marked WHERE lower(substr(piece, 1, 4)) IN ('link', 'meta') AND substr(piece, 5, 1) IN (' ', chr(9), chr(10), chr(13), '/')),
+named AS (SELECT url, tag, map_from_entries(list_transform(list_distinct(list_transform(atts, lambda x: x.n)), lambda n: row(n, list_filter(atts, lambda x: x.n = n)[1].v))) AS m FROM parsed),
 links AS (
-  SELECT url AS f, regexp_replace(regexp_replace(regexp_extract(tag, '(?is)\bhref\s*=\s*(?:"[^"]*"|''[^'']*''|[^\s>]*)', 0),
-           '(?is)^href\s*=\s*["'']?', ''), '["'']$', '') AS t FROM tags
-  UNION SELECT url, regexp_extract(meta, '(?is)\burl\s*=\s*["'']?([^"''>\s]+)', 1) FROM tags),
+  SELECT url AS f, m['href'] AS t FROM named WHERE tag = 'link' AND list_contains(regexp_split_to_array(lower(m['rel']), '\s+'), 'canonical')
+  UNION SELECT url, regexp_extract(m['content'], '(?i)url\s*=\s*["'']?([^"''\s]+)', 1) FROM named WHERE tag = 'meta' AND lower(trim(m['http-equiv'])) = 'refresh'),
 targets AS (
   SELECT f, CASE WHEN t LIKE '%://%' THEN t WHEN t LIKE '//%' THEN 'http:' || t
                  WHEN t LIKE '/%' THEN regexp_extract(f, '(?s)^.*?://[^/?#]*', 0) || t

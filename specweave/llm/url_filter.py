@@ -46,15 +46,39 @@ def alias_key(host: Column, path: Column, query: Column) -> Column:
     return F.when(host != "", F.concat(host, F.when(path == "", "/").otherwise(path), query))
 
 
+#: What a tag consists of: attributes, of which quoted values may hold >, and the > that ends it. No pattern repeats a group, so long tags take no stack.
+PARTS = r"""(?is)[^\s"'>/=]+\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'>]+)|>"""
+#: What is no markup: comments, and the text of elements that hold none.
+HIDDEN = r"(?is)<!--.*?(?:-->|$)|<(script|style|textarea|title|template|noscript|xmp)\b[^>]*>.*?(?:</\1\s*>|$)"
+
+
+def _tags(html: Column, name: str) -> Column:
+    """The attributes of every tag of a name, as an array of maps from lower-case name to value without quotes; the first of a name counts."""
+    pieces = F.filter(F.split(html, "<"), lambda p: p.rlike(rf"^(?i:{name})[\s/]"))
+
+    def attributes(piece: Column) -> Column:
+        parts = F.regexp_extract_all(piece, F.lit(PARTS), F.lit(0))
+        own = F.slice(parts, 1, F.greatest(F.array_position(parts, ">").cast("int") - 1, F.lit(0)))
+        pairs = F.transform(own, lambda x: F.struct(F.lower(F.trim(F.substring_index(x, "=", 1))).alias("n"), F.regexp_replace(x, r"""(?s)^[^=]*=\s*(?:"(.*)"|'(.*)'|(.*))$""", "$1$2$3").alias("v")))
+        names = F.transform(pairs, lambda x: x["n"])
+        first = F.filter(pairs, lambda x, i: F.array_position(names, x["n"]) == i + 1)
+        return F.map_from_entries(first)
+
+    return F.transform(pieces, attributes)
+
+
 def page_links(pages: DataFrame) -> DataFrame:
-    """(from_url, to_url) for each page's canonical link and its redirect by meta refresh."""
-    html = F.coalesce(F.col("html"), F.lit(""))
-    tag = F.regexp_extract(html, r"(?is)<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>", 0)
-    canonical = F.regexp_extract(tag, r"(?is)\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]*))", 0)
-    canonical = F.regexp_replace(canonical, r"(?is)^href\s*=\s*[\"']?|[\"']$", "")
-    meta = F.regexp_extract(html, r"(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>", 0)
-    refresh = F.regexp_extract(meta, r"(?is)\burl\s*=\s*[\"']?([^\"'>\s]+)", 1)
-    links = pages.select(F.col("url").alias("from_url"), F.explode(F.array(canonical, refresh)).alias("to_url"))
+    """(from_url, to_url) for each canonical link of a page and each redirect by meta refresh.
+
+    Comments and the text of scripts, styles and their like hold no tags. A link counts if canonical is
+    one of the words of its rel, whatever their case; quotes or none, every tag, attributes in any order.
+    """
+    html = F.regexp_replace(F.coalesce(F.col("html"), F.lit("")), HIDDEN, " ")
+    html = F.when(html.rlike(r"(?i)<(?:link|meta)[\s/]"), html).otherwise("")
+    canonical = F.filter(_tags(html, "link"), lambda m: F.array_contains(F.split(F.lower(F.coalesce(m["rel"], F.lit(""))), r"\s+"), "canonical"))
+    refresh = F.filter(_tags(html, "meta"), lambda m: F.lower(F.trim(F.coalesce(m["http-equiv"], F.lit("")))) == "refresh")
+    to = F.transform(refresh, lambda m: F.regexp_extract(F.coalesce(m["content"], F.lit("")), r"(?is)^\s*[\d.]*\s*[;,]?\s*url\s*=\s*[\"']?([^\"'\s]+)", 1))
+    links = pages.select(F.col("url").alias("from_url"), F.explode(F.concat(F.transform(canonical, lambda m: F.coalesce(m["href"], F.lit(""))), to)).alias("to_url"))
     links = links.filter("from_url is not null and trim(to_url) != ''").distinct()
     return links.select("from_url", F.trim(F.regexp_replace("to_url", "&amp;", "&")).alias("to_url"))
 

@@ -505,6 +505,15 @@ def test_parallel_vectors_tie_by_id(spark):
     assert [(r.query_id, r.vec_id) for r in got] == [(0, i) for i in range(1, 6)]
 
 
+def test_each_length_of_vectors_is_searched(spark):
+    rng = np.random.default_rng(67)
+    rows = [(i, rng.standard_normal(4 if i < 300 else 8).tolist()) for i in range(500)] + [(350, rng.standard_normal(4).tolist()), (600, [1.0]), (650, [])]
+    got = nearest.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), trees=8).collect()
+    found = {q: [r.vec_id for r in sorted(got, key=lambda r: r.rank) if r.query_id == q] for q in range(0, 700, 50)}
+    assert all(len(found[q]) == 5 and len(set(found[q])) == 5 for q in range(0, 500, 50)) and found[600] == found[650] == []
+    assert all((v < 300) == (q < 300) for q in range(0, 300, 50) for v in found[q] if v != 350)
+
+
 def test_structured_vectors_need_few_leaves(spark):
     rng = np.random.default_rng(67)
     v = np.repeat(rng.standard_normal((120, 24)), 50, 0) + rng.standard_normal((6000, 24)) / 4
@@ -660,6 +669,23 @@ def test_rules_and_aliases(spark):
     assert url_filter.filter_urls(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(
+    ("html", "links"),
+    [
+        ('<!-- <link rel="canonical" href="http://c.org/y"> -->', []), ('<!-- never closed <link rel="canonical" href="http://c.org/y">', []),
+        ('<link rel="alternate canonical" href="http://c.org/y">', ["http://c.org/y"]), ('<link data-rel="canonical" href="http://c.org/y">', []), ('<link rel=canonicals href=x>', []),
+        ('<LINK\nHREF=/y\tREL = Canonical />', ["/y"]), ("<link rel='canonical' title='a > b' href='/z'>", ["/z"]), ('<link rel="next" rel="canonical" href="/y">', []),
+        ('<link rel="stylesheet" href="/s"><link rel="canonical" href="/1"><p><link rel="CANONICAL" href="/2">', ["/1", "/2"]), ("<script>'<link rel=canonical href=/y>'</script>", []),
+        ('<title><link rel=canonical href=/y></title><link rel=canonical href=" /w ">', ["/w"]), ("<links rel=canonical href=/y><linkrel=canonical>", []), ("<link rel=canonical><link>", []),
+        ('<meta http-equiv=" Refresh " content="5; URL=\'http://d.org/?a=1&amp;b=2\'">', ["http://d.org/?a=1&b=2"]), ('<meta name="refresh" content="0; url=/y">', []), ('<meta content="0;url=/1" http-equiv=refresh><meta http-equiv=refresh content=30>', ["/1"]),
+        ('<link rel="canonical" ' + 'x="y" ' * 3000 + 'href="/far">' + "<" * 5000, ["/far"]), (None, []), ("", []),
+    ],
+)
+def test_links_of_html(spark, html, links):
+    got = url_filter.page_links(spark.createDataFrame([("http://a.org/x", html), (None, html)], "url string, html string"))
+    assert sorted(map(tuple, got.collect())) == [("http://a.org/x", t) for t in sorted(links)]
+
+
 def test_texts_of_megabytes(spark):
     """One text of some three million characters goes through every operator on texts, beside an ordinary one."""
     own = words(700_000, 99)
