@@ -337,6 +337,48 @@ def test_languages_held_out(spark, small):
     assert untaught.lang_pred == "und" and language_id.identify(docs(spark, [])).count() == 0
 
 
+def test_scores_and_rejections_equal_the_definition(spark):
+    rng = random.Random(88)
+    letters = {"en": "abcdet ", "fr": "cdeéàu ", "xx": "xyz "}
+    text = lambda lang: "".join(rng.choice(letters[lang]) for _ in range(rng.randint(5, 80)))
+    rows = [(i, text(lang), lang) for i, lang in enumerate(rng.choices(["en", "fr"], k=120))] + [(500, "zyx zyx", "xx"), (501, None, "en"), (502, "12", "fr"), (503, "qqq ñññ ωωω", None)]
+    rows += rows[:5]
+    df = docs(spark, rows)
+    marks = {(r.doc_id, r.text): (r.a, r.h) for r in df.select("doc_id", "text", (F.pmod(F.xxhash64(F.coalesce("text", F.lit(""))), F.lit(language_id.CALIBRATION)) == 0).alias("a"), language_id.held_out().alias("h")).collect()}
+    own = [(i, t, lang, *marks[i, t]) for i, t, lang in rows]
+    taught = {lang for _, t, lang, aside, out in own if lang and t is not None and not aside and not out}
+    train = {}
+    for _, t, lang, aside, out in own:
+        if lang and not out and not (aside and lang in taught):
+            train.setdefault(lang, []).append(t or "")
+    symbols = kneser_ney.letters()
+    models = {lang: brute_kneser_ney(ts, 3, symbols, False) for lang, ts in sorted(train.items()) if any(ts)}
+    want, losses = {}, {}
+    for i, t, lang, aside, out in own:
+        s = "  " + "".join(chr(symbols[ord(c)]) for c in t or "")
+        sums = {k: sum(np.log(p(s[j : j + 3])) for j in range(len(t or ""))) for k, p in models.items()}
+        best = max(sums, key=sums.get)
+        if not any(c.isalpha() for c in t or ""):
+            want[i] = ("und", 0.0, None)
+            continue
+        n, loss = len(t), -sums[best] / len(t)
+        want[i] = (best, 1 / sum(np.exp((v - sums[best]) * min(n, language_id.EVIDENCE) / n) for v in sums.values()), loss)
+        if best == lang and not out:
+            losses.setdefault((best, bool(aside and lang in taught)), []).append(loss)
+    limits = {}
+    for lang in models:
+        found = sorted(np.ceil(x * 1000) for x in losses.get((lang, True)) or losses.get((lang, False), []))
+        limits[lang] = found[int(np.ceil(0.9 * len(found))) - 1] / 1000 if found else -1
+    got = language_id.identify(df, order=3, quantile=0.9).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        lang, score, loss = want[r.doc_id]
+        assert r.lang_pred == lang and abs(r.score - score) < 1e-3, r
+        if loss is None or abs(loss - limits[lang]) > 2e-3:
+            assert r.rejected == (loss is None or loss > limits[lang]), r
+    assert {r.rejected for r in got} == {True, False}
+
+
 # --- 4 chat --------------------------------------------------------------------------------------------
 
 
