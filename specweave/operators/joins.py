@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, DateType, TimestampNTZType, TimestampType
+
+from specweave.plans.lineage import cut
 
 MATCHED, LEFT_ONLY, RIGHT_ONLY = "MATCHED", "CODE_ONLY", "SPEC_ONLY"
 
@@ -61,34 +65,38 @@ def claim_routes(specs: DataFrame, codes: DataFrame, scope: list[str]) -> DataFr
     """Spec operations with the code operation each is matched to, in the order that claiming depends on.
 
     specs and codes (*scope, id, method, route, key, segments), key being the normal route. Within a scope,
-    longer spec routes go first, then by route and method; an exact route matches whether claimed
-    or not, else exactly one unclaimed code route of the method that ends with the spec's. Returns
-    (*scope, spec_id, code_id, how): exact, suffix, ambiguous or none. Claiming is sequential, so a scope is one task.
+    longer spec routes go first, then by route, method and id; an exact route matches whether claimed
+    or not (of several the greatest id), else exactly one unclaimed code route of the method that ends with the spec's.
+    Returns (*scope, spec_id, code_id, how): exact, suffix, ambiguous or none. Done in rounds over all scopes at once: a
+    spec is decided as soon as it comes first among the undecided ones of each code operation that it may claim.
     """
-    import pandas as pd
-
-    kinds = ", ".join(f"{c} {specs.schema[c].dataType.simpleString()}" for c in scope)
-
-    def one(key, spec: pd.DataFrame, code: pd.DataFrame) -> pd.DataFrame:
-        exact = {(c.method, c.key): c.id for c in code.itertuples()}
-        tails: dict[tuple, list] = {}
-        for c in code.itertuples():
-            for n in range(1, len(c.segments) + 1):
-                tails.setdefault((c.method, tuple(c.segments[-n:])), []).append(c.id)
-        claimed, rows = set(), []
-        for s in sorted(spec.itertuples(), key=lambda s: (-len(s.segments), s.route, s.method)):
-            if (s.method, s.key) in exact:
-                found, how = [exact[s.method, s.key]], "exact"
-            else:
-                found, how = [i for i in tails.get((s.method, tuple(s.segments)), []) if i not in claimed], "suffix"
-            if len(found) == 1:
-                claimed.add(found[0])
-                rows.append((*key, s.id, found[0], how))
-            else:
-                rows.append((*key, s.id, None, "ambiguous" if found else "none"))
-        return pd.DataFrame(rows, columns=[*scope, "spec_id", "code_id", "how"])
-
-    return specs.groupBy(*scope).cogroup(codes.groupBy(*scope)).applyInPandas(one, f"{kinds}, spec_id string, code_id string, how string")
+    same = lambda x, y, columns: reduce(and_, [x[c].eqNullSafe(y[c]) for c in columns])
+    turn = F.struct((-F.size("segments")).alias("n"), "route", "method", F.col("id").alias("spec_id"))
+    spec = cut(specs.select(*scope, "method", "key", "segments", F.col("id").alias("spec_id"), turn.alias("_t")))
+    exact = codes.groupBy(*scope, "method", "key").agg(F.max("id").alias("code_id"))
+    matched = spec.join(exact, same(spec, exact, [*scope, "method", "key"])).select(*[spec[c] for c in (*scope, "spec_id", "_t")], "code_id")
+    rest = spec.join(matched.select("spec_id"), "spec_id", "left_anti")
+    pairs = suffix_join(rest.select(*scope, "method", "spec_id", "segments"), codes.select(*scope, "method", F.col("id").alias("code_id"), "segments"), [*scope, "method"])
+    pairs = pairs.select("spec_id", "code_id").join(rest.select("spec_id", "_t"), "spec_id")
+    # what an exact match claims is gone for the specs after it
+    gone = matched.groupBy("code_id").agg(F.min("_t").alias("_first"))
+    pairs = pairs.join(gone, "code_id", "left").filter(F.col("_first").isNull() | (F.col("_first") > F.col("_t"))).select("spec_id", "code_id", "_t")
+    pairs, decided = cut(pairs.distinct()), []
+    while not pairs.isEmpty():
+        first = pairs.groupBy("code_id").agg(F.min("_t").alias("_first"))
+        due = pairs.join(first, "code_id").groupBy("spec_id").agg(F.every(F.col("_t") == F.col("_first")).alias("due"), F.count("*").alias("n"), F.min("code_id").alias("code_id"))
+        due = cut(due.filter("due").select("spec_id", F.when(F.col("n") == 1, F.col("code_id")).alias("code_id")))
+        decided.append(due)
+        claimed = due.select(F.col("code_id").alias("c")).filter("c is not null")
+        pairs = cut(pairs.join(due.select("spec_id"), "spec_id", "left_anti").join(claimed, F.col("code_id") == F.col("c"), "left_anti"))
+    out = matched.select(*scope, "spec_id", "code_id", F.lit("exact").alias("how"))
+    other = rest.select(*scope, "spec_id")
+    if decided:
+        found = reduce(DataFrame.unionByName, decided).select("spec_id", "code_id", F.when(F.col("code_id").isNotNull(), "suffix").otherwise("ambiguous").alias("how"))
+        other = other.join(found, "spec_id", "left").withColumn("how", F.coalesce("how", F.lit("none")))
+    else:
+        other = other.withColumn("code_id", F.lit(None).cast(codes.schema["id"].dataType)).withColumn("how", F.lit("none"))
+    return out.unionByName(other.select(*scope, "spec_id", "code_id", "how"))
 
 
 def longest_prefix_join(items: DataFrame, owners: DataFrame) -> DataFrame:
@@ -105,13 +113,39 @@ def longest_prefix_join(items: DataFrame, owners: DataFrame) -> DataFrame:
     return items.join(best, ["item", "path"], "left")
 
 
+def _place(c: str, kind: DataType) -> Column:
+    """A point or end of a span as a whole number."""
+    if isinstance(kind, DateType):
+        return F.unix_date(c).cast("long")
+    if isinstance(kind, (TimestampType, TimestampNTZType)):
+        return F.unix_micros(F.col(c).cast("timestamp"))
+    return F.floor(c).cast("long")
+
+
+def spans_around(points: DataFrame, spans: DataFrame, on: list[str]) -> DataFrame:
+    """Every point with every span around it, ends included: points (*on, at, ...), spans (*on, start, end, ...).
+
+    An equi-join: a span is dealt to the one or two bins that it touches on the level at which bins are as long as it is
+    or up to twice that, a point to its bin on every level that spans have, at most 63. So a key with very many points and spans
+    is many tasks, and only spans of about the right length and place are looked at.
+    """
+    start, end, at = (_place(c, t.schema[c].dataType) for t, c in ((spans, "start"), (spans, "end"), (points, "at")))
+    level = F.when(end <= start, 0).otherwise(F.length(F.conv((end - start).cast("string"), 10, 2))).cast("int")
+    bin_of = lambda place, n: F.call_function("shiftright", place, n)
+    placed = spans.filter("start <= end").withColumn("_level", level)
+    levels = sorted(r[0] for r in placed.select("_level").distinct().collect())  # 63 at most
+    dealt = placed.withColumn("_bin", F.explode(F.array_distinct(F.array(bin_of(start, F.col("_level")), bin_of(end, F.col("_level"))))))
+    asked = points.withColumn("_level", F.explode(F.array(*map(F.lit, levels)).cast("array<int>"))).withColumn("_bin", bin_of(at, F.col("_level")))
+    return asked.join(dealt, [*on, "_level", "_bin"]).filter((F.col("start") <= F.col("at")) & (F.col("at") <= F.col("end"))).drop("_level", "_bin")
+
+
 def containing_spans(points: DataFrame, spans: DataFrame, on: list[str], prefer: list[Column] | None = None) -> DataFrame:
     """Each point with the smallest span around it; spans that tie are all kept.
 
-    points (*on, point_id, at), spans (*on, span_id, start, end): an equi-join on ``on`` with a range
-    condition. prefer: tests in order, of which the first that any span of a point passes restricts them.
+    points (*on, point_id, at), spans (*on, span_id, start, end), joined by spans_around().
+    prefer: tests in order, of which the first that any span of a point passes restricts them.
     """
-    pairs = points.join(spans, on).filter((F.col("start") <= F.col("at")) & (F.col("at") <= F.col("end")))
+    pairs = spans_around(points, spans, on)
     by_point = Window.partitionBy("point_id")
     for n, test in enumerate(prefer or []):
         pairs = pairs.withColumn(f"_t{n}", F.coalesce(test, F.lit(False)))
@@ -186,8 +220,6 @@ def propagate_pairs(seeds: DataFrame, left: DataFrame, right: DataFrame, least:
     stand for that one: the better of both overlaps counts, its own on a tie; outer_id then names the wrapper. The frontier is stored in shared
     storage each round.
     """
-    from specweave.plans.lineage import cut
-
     names = lambda t, side: t.select(F.col("id").alias(f"{side}_id"), F.col("name_key").alias(f"{side}_name")).distinct()
     keys = lambda t, side: t.groupBy(F.col("id").alias(f"{side}_id")).agg(F.collect_set("attribute_key").alias(f"{side}_keys"))
     own = cut(names(left, "left").join(keys(left, "left"), "left_id"))
@@ -215,4 +247,4 @@ def propagate_pairs(seeds: DataFrame, left: DataFrame, right: DataFrame, least:
         frontier = cut(found.join(seen, ["left_id", "right_id"], "left_anti"))
         if frontier.isEmpty():
             return accepted.distinct()
-        seen = cut(seen.unionByName(frontier))
+        seen = seen.unionByName(frontier)  # frontiers are stored already

@@ -14,6 +14,7 @@ __all__ = ["ORACLE_SQL", "QUERIES"]
 
 
 def terms_sql(x: str, word: str = "[a-z0-9_]+") -> str:
+    x = f"replace({x}, 'ß', 'ss')"  # case folding, as far as these tables have it
     return f"list_distinct(regexp_extract_all(lower({x} || ' ' || regexp_replace({x}, '([a-z0-9])([A-Z])', '\\1 \\2', 'g')), '{word}'))"
 
 
@@ -277,7 +278,25 @@ def suffix_join(spark, sf_dir):
     return joins.suffix_join(specs, codes, ["method"]).select("spec_id", "code_id", "candidates")
 
 
-@query()
+def _route_sql(route: str) -> str:
+    key = rf"CASE WHEN regexp_replace({route}, '/+$', '') = '' THEN '/' ELSE regexp_replace(lower(regexp_replace({route}, '/+$', '')), '\{{([^}}:]+):[^}}]+\}}', '{{\1}}', 'g') END"
+    return f"{key} AS key, list_transform(list_filter(string_split({key}, '/'), lambda x: x <> ''), lambda x: CASE WHEN x LIKE '{{%' THEN '{{}}' ELSE x END) AS seg"
+
+
+@query(rf"""
+WITH RECURSIVE p AS (SELECT page_id, regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1) AS host, regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+s AS (SELECT split_part(host, '.', -1) AS region, 'spec-' || page_id AS id, path AS route, {_route_sql('path')} FROM p),
+c AS (SELECT split_part(host, '.', -1) AS region, 'code-' || page_id AS id, {_route_sql("('/' || host || path)")} FROM p),
+e AS (SELECT region, key, max(id) AS id FROM c GROUP BY ALL),
+f AS (SELECT s.region, s.id, row_number() OVER (PARTITION BY s.region ORDER BY len(s.seg) DESC, s.route, s.id) AS place, any_value(e.id) AS hit,
+        list(c.id) FILTER (c.id IS NOT NULL) AS cands
+      FROM s LEFT JOIN e USING (region, key) LEFT JOIN c ON c.region = s.region AND len(s.seg) > 0 AND len(c.seg) >= len(s.seg) AND c.seg[len(c.seg) - len(s.seg) + 1:] = s.seg GROUP BY s.region, s.id, s.seg, s.route),
+walk AS (
+  SELECT DISTINCT region, 0::BIGINT AS place, NULL::VARCHAR AS spec_id, NULL::VARCHAR AS code_id, NULL::VARCHAR AS how, []::VARCHAR[] AS used FROM f UNION ALL
+  SELECT region, place, id, CASE WHEN hit IS NOT NULL THEN hit WHEN len(open) = 1 THEN open[1] END, CASE WHEN hit IS NOT NULL THEN 'exact' WHEN len(open) = 1 THEN 'suffix' WHEN len(open) > 1 THEN 'ambiguous' ELSE 'none' END,
+         CASE WHEN hit IS NOT NULL THEN list_append(used, hit) WHEN len(open) = 1 THEN list_append(used, open[1]) ELSE used END
+  FROM (SELECT f.*, used, list_filter(coalesce(cands, []), lambda x: NOT list_contains(used, x)) AS open FROM walk JOIN f USING (region) WHERE f.place = walk.place + 1))
+SELECT region, spec_id, code_id, how FROM walk WHERE spec_id IS NOT NULL""")
 def claim_routes(spark, sf_dir):
     """Order-dependent matching of spec routes to code routes, a scope for each top-level domain."""
     p = t(spark, sf_dir, "pages").select("page_id", F.regexp_extract("url", r"^(?s).*?://([^/?#]*)", 1).alias("host"), F.regexp_extract("url", r"^(?s).*?://[^/?#]*([^?#]*)", 1).alias("path"))

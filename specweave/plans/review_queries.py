@@ -12,7 +12,7 @@ from specweave.functions import similarity, text
 from specweave.operators import aggregates, artifacts, catalog, discovery, enrichment, joins, publish, quality, ranking, retrieval, setops, sinks
 from specweave.plans.queries import _LEXICAL, _VECTORS, _by_vector, terms_sql
 from specweave.plans.registry import query, t
-from specweave.sources import config, openapi, repository
+from specweave.sources import config, openapi, repository, yaml_lines
 
 # --- names and texts -----------------------------------------------------------------------------
 
@@ -200,6 +200,30 @@ def decoded_files(spark, sf_dir):
     return files.select("doc_id", repository.decoded("content").alias("text"), F.sha2("content", 256).alias("sha256"))
 
 
+def _yaml_files(spark, sf_dir):
+    """A configuration file for each customer; every seventh is broken, some describe builds."""
+    k = F.col("c_custkey")
+    head = F.concat(F.lit("# customer\nname: '"), "c_name", F.lit("'\naccount:\n  segment: "), "c_mktsegment", F.lit("  # as of today\nnations:\n- "), "c_nationkey", F.lit("\n- id: "), "c_nationkey", F.lit("\n  tags: [a, b]\n"))
+    build = F.concat(F.when(k % 3 == 0, "trigger:\n").otherwise(""), F.when(k % 4 == 0, F.concat(F.lit("jobs:\n- job: \"build # "), k, F.lit("\"\n  steps:\n  - script: |\n      make all\n      make "), k, F.lit("\n"))).otherwise(""))
+    text = F.concat(head, build, F.when(k % 7 == 0, "name: x\n  more: y\n").otherwise(""))
+    return config.config_files(t(spark, sf_dir, "customer").select(F.concat(F.lit("c"), k, F.lit("/azure.YML")).alias("path"), text.alias("text")))
+
+
+@query("""
+WITH f AS (SELECT 'c' || c_custkey || '/azure.YML' AS path, c_custkey AS k, c_name AS name, c_mktsegment AS seg, c_nationkey::VARCHAR AS n FROM customer WHERE c_custkey % 7 > 0)
+SELECT path, unnest(['name', 'account', 'account/segment', 'nations', 'nations/0', 'nations/1/id', 'nations/1/tags']) AS key, unnest([name, NULL, seg, NULL, n, n, '[a, b]']) AS value FROM f
+UNION ALL SELECT path, 'trigger', NULL FROM f WHERE k % 3 = 0
+UNION ALL SELECT path, unnest(['jobs', 'jobs/0/job', 'jobs/0/steps', 'jobs/0/steps/0/script']), unnest([NULL, 'build # ' || k, NULL, '|' || chr(10) || 'make all' || chr(10) || 'make ' || k]) FROM f WHERE k % 4 = 0""")
+def yaml_facts(spark, sf_dir):
+    return yaml_lines.yaml_facts(_yaml_files(spark, sf_dir))
+
+
+@query("""
+SELECT 'c' || c_custkey || '/azure.YML' AS path, c_custkey % 7 > 0 AND (c_custkey % 3 = 0 OR c_custkey % 4 = 0) AS pipeline, CASE WHEN c_custkey % 7 = 0 THEN 'YAML002' END AS code FROM customer""")
+def pipeline_files(spark, sf_dir):
+    return config.config_facts(_yaml_files(spark, sf_dir)).select("path", "pipeline", "code")
+
+
 @query("""
 SELECT 's' || s_suppkey || '/host.json' AS path, '2.' || s_nationkey AS host_version, CASE WHEN s_suppkey % 3 > 0 THEN 'A,FUNCTIONS_WORKER_RUNTIME' ELSE '' END AS keys, CASE WHEN s_suppkey % 3 > 0 THEN 'dotnet' END AS runtime, NULL::VARCHAR AS code FROM supplier WHERE s_suppkey % 5 > 0
 UNION ALL SELECT 's' || s_suppkey || '/host.json', NULL, '', NULL, 'YAML002' FROM supplier WHERE s_suppkey % 5 = 0""")
@@ -259,7 +283,7 @@ def reference_query(spark, sf_dir):
     vector = _by_vector(spark, sf_dir, e.select(F.col("item_id").alias("query_id"), F.col("embedding").cast("array<double>").alias("vector")))
     exact = retrieval.alias_hits(d.select("doc_id", F.col("doc_id").alias("place"), F.array(F.split("text", "\n")[0]).alias("aliases")), asked)
     chunks = d.select("doc_id", "text", F.lit(False).alias("truncated"))
-    out = retrieval.reference_query(retrieval.lexical_beside(d.select("doc_id", "text"), asked, vector.union(exact.select(*vector.columns))), vector, exact, chunks)
+    out = retrieval.reference_query(retrieval.lexical_beside(d.select("doc_id", "text"), asked, vector.select("query_id", "doc_id").union(exact.select("query_id", "doc_id"))), vector, exact, chunks)
     return out.select(F.col("query_id").alias("item_id"), "place", "doc_id", "relevance", "reason", F.sha2(F.col("text").cast("binary"), 256).alias("shown"), "truncated")
 
 

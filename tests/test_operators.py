@@ -1,4 +1,5 @@
 import random
+from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
@@ -295,6 +296,49 @@ def test_pruned_pairs_give_the_product_s_winners(spark, monkeypatch):
     assert {x.status for x in align.align(r, ra, c.limit(0), ca.limit(0)).collect()} == {"Not matched"}
 
 
+def test_claims_in_rounds_are_claims_in_turn(spark):
+    rng = random.Random(3)
+    words = ["a", "b", "{x}"]
+    route = lambda n: "/" + "/".join(rng.choice(words) for _ in range(n))
+    side = lambda pre, least, n: [(rng.choice("rs"), f"{pre}{i:03}", rng.choice(["GET", "PUT"]), route(rng.randint(least, 3))) for i in range(n)]
+    specs, codes = side("s", 0, 60), side("c", 1, 50)
+    segments = lambda r: ["{}" if x[0] == "{" else x for x in r.split("/") if x]
+    want = []
+    for region in "rs":
+        exact, used = {}, set()
+        for r, i, m, x in sorted(codes):
+            if r == region:
+                exact[m, x] = i
+        for r, i, m, x in sorted((s for s in specs if s[0] == region), key=lambda s: (-len(segments(s[3])), s[3], s[2], s[1])):
+            found = [exact[m, x]] if (m, x) in exact else [c for q, c, k, y in codes if q == r and k == m and c not in used and segments(x) and segments(y)[-len(segments(x)) :] == segments(x)]
+            how = "exact" if (m, x) in exact else ("none", "suffix", "ambiguous")[min(len(found), 2)]
+            if len(found) == 1:
+                used.add(found[0])
+            want.append((r, i, found[0] if len(found) == 1 else None, how))
+    kind = "region string, id string, method string, route string, key string, segments array<string>"
+    frame = lambda t: spark.createDataFrame([(*x, x[3], segments(x[3])) for x in t], kind)
+    assert rows(joins.claim_routes(frame(specs), frame(codes), ["region"])) == sorted(want, key=str)
+    assert {w[3] for w in want} == {"exact", "suffix", "ambiguous", "none"}
+    assert rows(joins.claim_routes(frame(specs), frame([]), ["region"])) == sorted([(r, i, None, "none") for r, i, _, _ in specs], key=str)
+    assert joins.claim_routes(frame([]), frame(codes), ["region"]).count() == 0
+
+
+def test_spans_by_bins_equal_the_range_condition(spark):
+    rng = random.Random(4)
+    points = [(rng.choice("ab"), i, rng.choice([None, *range(-50, 200)])) for i in range(150)]
+    spans = []
+    for i in range(120):
+        a = rng.randint(-60, 200)
+        spans.append((rng.choice("ab"), i, a, rng.choice([a, a + rng.randint(-3, 10), a + rng.randint(0, 300), None])))
+    for kind, of in (("long", lambda x: x), ("double", lambda x: None if x is None else x / 3), ("timestamp", lambda x: None if x is None else datetime(2020, 1, 1) + timedelta(seconds=x * 997))):
+        p = spark.createDataFrame([(k, i, of(x)) for k, i, x in points], f"k string, point_id long, at {kind}")
+        s = spark.createDataFrame([(k, i, of(a), of(b)) for k, i, a, b in spans], f"k string, span_id long, start {kind}, end {kind}")
+        got = {(r.point_id, r.span_id) for r in joins.spans_around(p, s, ["k"]).collect()}
+        assert got == {(i, j) for k, i, x in points for q, j, a, b in spans if k == q and None not in (x, a, b) and a <= x <= b}
+        assert joins.spans_around(p, s, ["k"]).count() == len(got)
+    assert joins.spans_around(p, s.limit(0), ["k"]).count() == 0
+
+
 def test_bounded_lexical_search_equals_all_scores(spark, small, monkeypatch):
     from specweave.operators import retrieval
 

@@ -72,6 +72,35 @@ def test_config_facts(spark):
     assert got["host.json"].host_version == "2.0" and got["x.json"].code == "YAML002" and got["y.json"].code == "YAML001"
 
 
+YAML = {
+    "# build\ntrigger: main\npool:\n  vmImage: 'ubuntu'  # image\njobs:\n- job: A\n  steps:\n  - script: echo \"a # b\"\n    displayName: 'It''s'\n  - run: |\n      line: one\n        - two\n\n      # text\n- job: B\n": [
+        ("trigger", "main"), ("pool", None), ("pool/vmImage", "ubuntu"), ("jobs", None), ("jobs/0/job", "A"), ("jobs/0/steps", None), ("jobs/0/steps/0/script", 'echo "a # b"'),
+        ("jobs/0/steps/0/displayName", "It's"), ("jobs/0/steps/1/run", "|\nline: one\n- two\n\n# text"), ("jobs/1/job", "B"),
+    ],
+    "- a\n- b: 1\n  c: 2\n-\n  d: 3\n- - x\n  - y\n": [("0", "a"), ("1/b", "1"), ("1/c", "2"), ("2/d", "3"), ("3/0", "x"), ("3/1", "y")],
+    "a: [1,\n  2]\nb: {x: 1}\n": [("a", "[1,\n2]"), ("b", "{x: 1}")], "a: \"x\n  y\"\n'c d': e\n": [("a", "x\ny"), ("c d", "e")],
+    "": [], "# only\n": [], "---\na: 1\n...\n": [("a", "1")], "u: http://x/y:z\nv: a:b\n": [("u", "http://x/y:z"), ("v", "a:b")], "a: some\n  more\nb: 2\n": [("a", "some"), ("b", "2")],
+    "trigger:\nname:   \n": [("trigger", None), ("name", None)], "hello\n": [("", "hello")], "a: >-\n  x\nb: c\n": [("a", ">-\nx"), ("b", "c")], "a: 1\r\nb:\r\n  c: 2\r\n": [("a", "1"), ("b", None), ("b/c", "2")],
+    "x: &a\n  k: !t v\ny:\n  <<: *a\n": [("x", None), ("x/k", "v"), ("y", None), ("y/<<", "*a")], "a:\n- b\nd: e\n": [("a", None), ("a/0", "b"), ("d", "e")],
+}
+BROKEN = ["a: 1\n  b: 2\n", "a:\n    b: 1\n  c: 2\n", "a: [1, 2\nb: 3\n", 'a: "x\nb: 1\n', "a: 1\n- b\n", "a:\n\tb: 1\n", "a: 1\nplain\n", "a: 1\n---\nb: 2\n", "a: ]\n"]
+
+
+def test_yaml_facts(spark):
+    from specweave.sources import yaml_lines
+
+    texts = spark.createDataFrame([(x,) for x in [*YAML, *BROKEN]], "text string")
+    got = {r.text: r.y for r in texts.select("text", yaml_lines.parsed(F.col("text")).alias("y")).collect()}
+    assert {x: [tuple(f) for f in got[x].facts] for x in YAML} == YAML and not any(got[x].wrong for x in YAML)
+    assert [x for x in BROKEN if not got[x].wrong] == []
+    files = spark.createDataFrame([("a/azure-pipelines.yml", next(iter(YAML))), ("b.yaml", BROKEN[0]), ("c.yml", None), ("d.yml", "a:\n  jobs: 1\n"), ("e.yml", "- jobs\n")], "path string, text string")
+    facts = {r.path: (r.pipeline, r.code) for r in config.config_facts(files).collect()}
+    assert facts == {"a/azure-pipelines.yml": (True, None), "b.yaml": (False, "YAML002"), "c.yml": (False, "YAML001"), "d.yml": (False, None), "e.yml": (False, None)}
+    assert [r.path for r in config.pipelines(files).collect()] == ["a/azure-pipelines.yml"]
+    long = "items:\n" + "".join(f"- name: n{i}\n  value: {i}\n" for i in range(1500))
+    assert yaml_lines.yaml_facts(spark.createDataFrame([("l.yml", long)], "path string, text string")).count() == 3001
+
+
 def test_zip_data_source(spark, tmp_path):
     p = tmp_path / "a.zip"
     p.write_bytes(archive(m__x="hello"))
