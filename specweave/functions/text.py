@@ -42,6 +42,26 @@ def casefold(x) -> Column:
     return F.when(text.rlike(r"[^\x00-\xFF]|\xB5"), full).otherwise(F.lower(text))
 
 
+def rounded(x, digits: int = 0) -> Column:
+    """A double rounded by its exact binary value, halves to the even digit: what a careful reader of all its decimals would write.
+
+    x times 10^digits is taken without error, as a product and what the product lost, so a value that only looks
+    like a half (2.675 is a little less) goes where it belongs. Beyond 2^51 in that unit the decimal notation decides.
+    """
+    value, scale = F.abs(_c(x)), float(10**digits)
+    split = lambda v: (v * 134217729.0) - ((v * 134217729.0) - v)  # noqa: E731  the upper half of a double's bits
+    high, low = split(value), value - split(value)
+    top = scale * 134217729.0 - (scale * 134217729.0 - scale)
+    product = value * scale
+    lost = ((high * top - product) + high * (scale - top) + low * top) + low * (scale - top)
+    whole = F.floor(product).cast("double")
+    over = (product - whole) - 0.5
+    up = (over > 0) | ((over == 0) & ((lost > 0) | ((lost == 0) & (whole % 2 == 1))))
+    exact = (whole + F.when(up, 1.0).otherwise(0.0)) / scale
+    sign = F.when(_c(x) < 0, -1.0).otherwise(1.0)
+    return F.when(F.isnan(_c(x)) | (value == float("inf")), _c(x)).when(product < float(1 << 51), exact * sign).otherwise(F.bround(_c(x), digits))
+
+
 def compact_name(x) -> Column:
     """Lower-case letters and digits only, one trailing dto taken off: how names of two sources are compared."""
     return F.regexp_replace(comparison_key(x), "dto$", "")

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from specweave.functions.text import rounded
+
 
 def counts(tables: dict[str, DataFrame]) -> DataFrame:
     """(name, n): rows of each table, in one pass over each."""
@@ -30,7 +32,7 @@ def match_summary(matches: DataFrame, status: str = "status") -> DataFrame:
     """One row: total, counts by status, matched_percent (a partial match counts half), unmatched_percent; zeros when empty."""
     n = lambda s: F.count_if(F.col(status) == s)
     one = matches.agg(F.count("*").alias("total"), n("Full match").alias("full_match"), n("Partial match").alias("partial_match"), n("Not matched").alias("not_matched"))
-    part = lambda x: F.round(F.coalesce(F.try_divide(x, F.col("total")) * 100, F.lit(0.0)), 1)
+    part = lambda x: rounded(F.coalesce(F.try_divide(x, F.col("total")) * 100, F.lit(0.0)), 1)
     return one.withColumn("matched_percent", part(F.col("full_match") + F.col("partial_match") * 0.5)).withColumn("unmatched_percent", part(F.col("not_matched").cast("double")))
 
 

@@ -20,7 +20,7 @@ from specweave.functions.similarity import (
     parent_status,
     text_similarity,
 )
-from specweave.functions.text import route_domain, terms
+from specweave.functions.text import rounded, route_domain, terms
 
 from .pairing import candidate_pairs
 from .ranking import best_candidate, greedy_lists
@@ -65,7 +65,7 @@ def score_attributes(pairs: DataFrame, regional: DataFrame, candidates: DataFram
     both = pairs.join(side(regional, "left"), "regional_id").join(side(candidates, "right"), "candidate_id")
     both = _names_compared(both, "left_name", "right_name")
     score = attribute_score(F.col("name_score"), compatible_types("left_type", "right_type"), text_similarity("left_description", "right_description"))
-    scored = both.withColumn("score", F.round(score, 1))
+    scored = both.withColumn("score", rounded(score, 1))
     taken = greedy_lists(scored, ["regional_id", "candidate_id"])
     return taken.withColumn("status", attribute_status(F.col("score")))
 
@@ -94,7 +94,7 @@ def align_domains(regional: DataFrame, regional_capabilities: DataFrame, candida
     side = lambda t, p: t.select(*[F.col(c).alias(c if c.endswith("_id") else f"{p}_{c}") for c in t.columns])
     both = pairs.join(side(regional_capabilities, "left"), "regional_id").join(side(candidate_capabilities, "right"), "candidate_id")
     score = capability_score(name_similarity("left_name", "right_name"), text_similarity("left_description", "right_description"))
-    taken = greedy_lists(both.withColumn("score", F.round(score, 1)), ["regional_id", "candidate_id"])
+    taken = greedy_lists(both.withColumn("score", rounded(score, 1)), ["regional_id", "candidate_id"])
     matched = taken.withColumn("status", F.when(F.col("score") >= 85, FULL).when(F.col("score") >= 45, PARTIAL).otherwise(NONE))
     best = _best(pairs, matched, regional, regional_capabilities, candidates, candidate_capabilities, lambda name, mean, _: domain_score(name, mean))
     return _shown(best, regional)
@@ -118,7 +118,7 @@ def _best(pairs: DataFrame, matched: DataFrame, regional: DataFrame, regional_ch
 def _shown(best: DataFrame, regional: DataFrame) -> DataFrame:
     """The best of every regional item, those without one as Not matched."""
     out = regional.select("regional_id").distinct().join(best, "regional_id", "left")
-    return out.select("regional_id", "candidate_id", F.round(F.coalesce("score", F.lit(0.0)), 1).alias("score"), F.coalesce("status", F.lit(NONE)).alias("status"))
+    return out.select("regional_id", "candidate_id", rounded(F.coalesce("score", F.lit(0.0)), 1).alias("score"), F.coalesce("status", F.lit(NONE)).alias("status"))
 
 
 def combine(baseline: DataFrame, reference: DataFrame) -> DataFrame:

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from specweave.functions import ids, similarity, text
 from specweave.operators import aggregates, align, catalog, enrichment, graph, joins, publish, quality, ranking, retrieval, setops
+from specweave.operators.vector_index import VectorIndex, build
+from specweave.operators.versions import VersionTable
+from specweave.plans.lineage import checkpoint_folder
 from specweave.plans.registry import ORACLE_SQL, QUERIES, query, t
 from specweave.sources import openapi
 
@@ -147,6 +152,34 @@ def vector_topk(spark, sf_dir):
     return _by_vector(spark, sf_dir, e.select(F.col("vec_id").alias("query_id"), F.col("embedding").cast("array<double>").alias("vector")))
 
 
+@query()
+def vector_index(spark, sf_dir):
+    """The queries of vector_topk against a stored index: cells as measured, so most of the same rows and no SQL."""
+    e = t(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector"))
+    path = f"{checkpoint_folder(spark)}/vectors-{uuid4().hex}"
+    build(e, path)
+    return VectorIndex(spark, path).search(e.filter("doc_id % 20 = 0").withColumnRenamed("doc_id", "query_id"))
+
+
+@query("""
+SELECT l_orderkey, l_linenumber, CAST(printf('%.1f', l_extendedprice * l_discount / 8) AS DOUBLE) AS one, CAST(printf('%.0f', l_quantity / 2) AS DOUBLE) AS none, CAST(printf('%.2f', l_extendedprice / 16) AS DOUBLE) AS two FROM lineitem""")
+def exact_rounding(spark, sf_dir):
+    r = text.rounded
+    return t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", r(F.col("l_extendedprice") * F.col("l_discount") / 8, 1).alias("one"), r(F.col("l_quantity") / 2, 0).alias("none"), r(F.col("l_extendedprice") / 16, 2).alias("two"))
+
+
+@query("""
+WITH a AS (SELECT o_custkey AS k, o_orderstatus AS s, count(*) AS n FROM orders GROUP BY ALL), b AS (SELECT k, s, n, rank() OVER (PARTITION BY k ORDER BY s) AS version FROM a)
+SELECT k, s, n, version FROM b""")
+def versioned_records(spark, sf_dir):
+    """Records of each customer, a commit for each order status: a customer's records are numbered in order of commits."""
+    o = t(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("k"), F.col("o_orderstatus").alias("s")).agg(F.count("*").alias("n"))
+    table = VersionTable(spark, f"{checkpoint_folder(spark)}/versions-{uuid4().hex}")
+    for status in sorted(r[0] for r in o.select("s").distinct().collect()):  # a handful
+        table.append(o.filter(F.col("s") == status), ["k"])
+    return table.read().select("k", "s", "n", F.col("version").cast("long").alias("version"))
+
+
 @query(f"""
 WITH {_LEXICAL}, {_VECTORS.format(asked='(SELECT v.* FROM v JOIN benchmark ON vec_id = item_id)')},
 lists AS (SELECT item_id, doc_id, rank, 'lexical' AS method FROM lexical UNION ALL SELECT query_id, doc_id, rank, 'vector' FROM vector)
@@ -605,7 +638,7 @@ _ALIGN_SQL = f"""
 WITH RECURSIVE {_SIDES},
 names AS (SELECT DISTINCT {_KEYED.format('x')} AS a, {_KEYED.format('y')} AS b FROM n, c UNION SELECT DISTINCT {_KEYED.format('p.br')}, {_KEYED.format('q.br')} FROM nb p, cb q),
 {_ratio_sql('SELECT * FROM names')},
-scored AS (SELECT x || chr(1) || y AS pair, x, y, nb.br AS bl, cb.br AS brr, round((greatest(r, {_words_sql('nb.br', 'cb.br')}) * 100) * 0.7 + 20.0, 1) AS s
+scored AS (SELECT x || chr(1) || y AS pair, x, y, nb.br AS bl, cb.br AS brr, CAST(printf('%.1f', (greatest(r, {_words_sql('nb.br', 'cb.br')}) * 100) * 0.7 + 20.0) AS DOUBLE) AS s
   FROM nb, cb JOIN ratio ON b = {_KEYED.format('cb.br')} WHERE a = {_KEYED.format('nb.br')}),
 {_greedy_sql("SELECT pair, bl AS l, brr AS r, s, row_number() OVER (PARTITION BY pair ORDER BY s DESC, lower(bl), lower(brr), bl, brr) AS place FROM scored", "pair")},
 sums AS (SELECT pair, sum(s) AS t, count(*) FILTER (s >= 85) AS f, count(*) FILTER (s >= 50) AS g FROM taken GROUP BY pair),
@@ -613,7 +646,7 @@ full_score AS (
   SELECT x, y, k, coalesce(f, 0) AS f, coalesce(g, 0) AS g, greatest(r, {_words_sql('x', 'y')}) * 100 * 0.5 + coalesce(t, 0.0) / k * 0.4 + {_words_sql('x', 'y')} * 100 * 0.1 AS score
   FROM n JOIN (SELECT x, count(*) AS k FROM nb GROUP BY x) USING (x), c LEFT JOIN sums ON pair = x || chr(1) || y JOIN ratio ON b = {_KEYED.format('y')} WHERE a = {_KEYED.format('x')}),
 best AS (SELECT x AS regional_id, arg_max(struct_pack(y := y, score := score, k := k, f := f, g := g), struct_pack(score := score, y := y)) AS m FROM full_score GROUP BY x),
-aligned AS (SELECT regional_id, m.y AS candidate_id, round(m.score, 1) AS score,
+aligned AS (SELECT regional_id, m.y AS candidate_id, CAST(printf('%.1f', m.score) AS DOUBLE) AS score,
   CASE WHEN m.score >= 85 AND m.f = m.k THEN 'Full match' WHEN m.score >= 40 OR m.g > 0 THEN 'Partial match' ELSE 'Not matched' END AS status FROM best)
 """
 

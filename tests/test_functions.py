@@ -101,3 +101,18 @@ def test_case_folding_of_every_character(spark):
     texts = spark.createDataFrame([(c,) for c in [*characters, "ΑΣ", "ὈΔΥΣΣΕΎΣ Straße", "İSTANBUL", "ﬁN", "ABCß", "ſo…ſ"]], "c string")
     assert not [r.c for r in texts.select("c", text.casefold("c").alias("f")).collect() if r.f != r.c.casefold()]
     assert spark.createDataFrame([(None,)], "c string").select(text.casefold("c").alias("f")).first().f is None
+
+
+def test_rounding_is_exact(spark):
+    import math
+    import random
+
+    rng = random.Random(1)
+    values = [0.25, 2.675, 0.5, 1.5, 2.5, -0.25, -0.04, 0.05, 0.15, 0.35, 1e300, 5e-324, 0.0, -0.0, 1e15 + 0.3, 4503599627370497.5, 2.0**52 + 1, float("inf")]
+    values += [rng.randint(0, 10**7) / rng.choice([2, 4, 8, 16, 20, 40, 100, 1000]) for _ in range(200_000)] + [rng.uniform(-1e6, 1e6) for _ in range(200_000)] + [math.ldexp(rng.getrandbits(53), rng.randint(-60, -5)) for _ in range(200_000)]
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    for digits in (0, 1, 2, 6):
+        for r in df.select("x", text.rounded("x", digits).alias("y")).toPandas().itertuples():
+            assert r.y == (r.x if math.isinf(r.x) else round(r.x, digits)) or abs(r.x) * 10**digits >= 2**51, r
+    odd = spark.createDataFrame([(None,), (float("nan"),)], "x double").select(text.rounded("x", 1).alias("y")).collect()
+    assert odd[0].y is None and math.isnan(odd[1].y)
