@@ -171,6 +171,40 @@ SELECT p.page_id, coalesce(r.host, '') AS host, coalesce(r.path, '') AS path, r.
 FROM pages p LEFT JOIN ruled r ON p.url = r.u
 """
 
+_OP11 = r"""
+WITH RECURSIVE made AS (
+  SELECT doc_id, lang, [doc_id::VARCHAR, source, lang, n_chars::VARCHAR] AS f, text,
+         xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+               lambda a, b: list_reduce(list_prepend(xor(a, b), range(8)), lambda u, v: CASE WHEN u % 2 = 1 THEN xor(u // 2, 3988292384) ELSE u // 2 END)), 4294967295) AS crc
+  FROM documents),
+fields AS (
+  SELECT *, array_to_string(list_transform(f, lambda v: coalesce(strlen(v)::VARCHAR || ':' || v, '-')), '') AS head, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low FROM made),
+leaves AS (
+  SELECT doc_id, dense_rank() OVER (ORDER BY encode(lang) NULLS FIRST) - 1 AS tree, sha256(head || coalesce(strlen(text)::VARCHAR || ':' || text, '-')) AS leaf,
+         CASE WHEN crc % 3 = 0 THEN sha256(head || coalesce(strlen(low)::VARCHAR || ':' || low, '-')) END AS forged, lang
+  FROM fields),
+placed AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place, count(*) OVER (PARTITION BY tree) AS n FROM leaves),
+nodes AS (
+  SELECT tree, 0 AS level, place, n, leaf AS digest FROM placed UNION ALL
+  SELECT tree, level + 1, place // 8, (n + 7) // 8, sha256(string_agg(digest, '' ORDER BY place)) FROM nodes WHERE n > 1 GROUP BY tree, level, place // 8, n),
+subroots AS (SELECT tree, digest, level AS h, count(*) OVER () AS trees FROM nodes WHERE n = 1),
+tops AS (
+  SELECT 0 AS level, tree AS place, trees AS n, digest FROM subroots UNION ALL
+  SELECT level + 1, place // 8, (n + 7) // 8, sha256(string_agg(digest, '' ORDER BY place)) FROM tops WHERE n > 1 GROUP BY level, place // 8, n),
+steps AS (
+  SELECT p.doc_id, p.leaf, x.level AS step, string_agg(x.digest, '' ORDER BY x.place) FILTER (x.place < p.place // (8 ** x.level)::BIGINT) AS l, string_agg(x.digest, '' ORDER BY x.place) FILTER (x.place > p.place // (8 ** x.level)::BIGINT) AS r
+  FROM placed p JOIN nodes x ON x.tree = p.tree AND x.n > 1 AND x.place // 8 = (p.place // (8 ** x.level)::BIGINT) // 8 GROUP BY ALL
+  UNION ALL
+  SELECT p.doc_id, p.leaf, 100 + x.level, string_agg(x.digest, '' ORDER BY x.place) FILTER (x.place < p.tree // (8 ** x.level)::BIGINT), string_agg(x.digest, '' ORDER BY x.place) FILTER (x.place > p.tree // (8 ** x.level)::BIGINT)
+  FROM placed p JOIN tops x ON x.n > 1 AND x.place // 8 = (p.tree // (8 ** x.level)::BIGINT) // 8 GROUP BY ALL),
+ways AS (SELECT doc_id, leaf, list(struct_pack(l := coalesce(l, ''), r := coalesce(r, '')) ORDER BY step) AS w FROM steps GROUP BY ALL),
+walk AS (
+  SELECT p.doc_id, p.leaf, tree, coalesce(w, []) AS w, 1 AS k, coalesce(forged, p.leaf) AS acc FROM placed p LEFT JOIN ways USING (doc_id, leaf) UNION ALL
+  SELECT doc_id, leaf, tree, w, k + 1, sha256(w[k].l || acc || w[k].r) FROM walk WHERE k <= len(w))
+SELECT doc_id, leaf, s.digest AS subroot, t.digest AS root, sha256(array_to_string(list_transform(w, lambda x: x.l || x.r), '')) AS proof_sha256, acc AS folded_root, acc = t.digest AS verified
+FROM walk JOIN subroots s USING (tree) CROSS JOIN (SELECT digest FROM tops WHERE n = 1) t WHERE k > len(w)
+"""
+
 _OP12 = r"""
 WITH cut AS (
   SELECT doc_id, coalesce(text, '') AS text,
@@ -204,4 +238,4 @@ SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
 FROM f
 """
 
-ORACLE_SQL: dict[str, str] = {"op13_warc": _OP13, "op12_fill_middle": _OP12, "op9_mix": _OP9, "op10_url_filter": _OP10}
+ORACLE_SQL: dict[str, str] = {"op11_merkle": _OP11, "op13_warc": _OP13, "op12_fill_middle": _OP12, "op9_mix": _OP9, "op10_url_filter": _OP10}
