@@ -800,18 +800,23 @@ def leaked_identifiers(spark, sf_dir):
 
 
 @query("""
-WITH RECURSIVE e AS (SELECT DISTINCT p_name AS source, p_brand AS target FROM part WHERE p_size > 25 UNION SELECT DISTINCT p_brand, p_type FROM part WHERE p_size < 10),
-m AS (SELECT DISTINCT p_type AS source, p_name AS target FROM part WHERE p_size = 17),
-known AS (SELECT DISTINCT p_name AS n FROM part UNION SELECT DISTINCT p_brand FROM part UNION SELECT DISTINCT p_type FROM part),
-step AS (SELECT * FROM e UNION SELECT * FROM m UNION SELECT target, source FROM m),
-r(n) AS (SELECT DISTINCT p_name FROM part WHERE p_size = 3 UNION SELECT target FROM r JOIN step ON source = n)
-SELECT n AS entity_id FROM r JOIN known USING (n)""")
+WITH RECURSIVE x AS (SELECT p_name AS n, p_brand || '/' || p_size % 5 AS b, p_type || '/' || p_size % 3 AS t, p_type || '/' || (p_size + 1) % 3 AS u, p_size AS z FROM part),
+known AS (SELECT n FROM x UNION SELECT b FROM x UNION SELECT t FROM x),
+m AS (SELECT DISTINCT CASE WHEN z = 17 THEN t ELSE t || '!' END AS source, n AS target FROM x),
+step AS (SELECT DISTINCT CASE WHEN z > 25 THEN n ELSE n || '!' END AS source, b AS target FROM x UNION SELECT CASE WHEN z < 10 THEN b ELSE b || '!' END, t FROM x UNION SELECT t, u FROM x WHERE t LIKE '%/1' UNION SELECT * FROM m UNION SELECT target, source FROM m),
+r(n) AS (SELECT CASE WHEN z = 3 THEN n ELSE n || '!' END FROM x UNION SELECT target FROM (SELECT * FROM r JOIN known USING (n)) JOIN step ON source = n)
+SELECT DISTINCT n AS entity_id FROM r JOIN known USING (n)""")
 def contract_scope(spark, sf_dir):
-    p = t(spark, sf_dir, "part")
-    entities = p.select(F.col("p_name").alias("entity_id")).union(p.select("p_brand")).union(p.select("p_type")).distinct().withColumn("base_entity_id", F.lit(None).cast("string"))
-    attributes = p.filter("p_size > 25").select(F.col("p_name").alias("entity_id"), F.col("p_brand").alias("reference_id")).union(p.filter("p_size < 10").select("p_brand", "p_type")).distinct()
-    edges = p.filter("p_size = 17").select(F.lit("MAPS_TO").alias("kind"), F.col("p_type").alias("source"), F.col("p_name").alias("target")).distinct()
-    operations = p.filter("p_size = 3").select(F.col("p_partkey").cast("string").alias("operation_id"), F.col("p_name").alias("entity_id"))
+    """Names, brands and types by size: references, bases and mappings, most of which lead nowhere, as their ends have other names."""
+    p, z = t(spark, sf_dir, "part"), F.col("p_size")
+    b, k, u = F.concat("p_brand", F.lit("/"), z % 5), F.concat("p_type", F.lit("/"), z % 3), F.concat("p_type", F.lit("/"), (z + 1) % 3)
+    only = lambda test, c: F.when(test, c).otherwise(F.concat(c, F.lit("!")))
+    rows = p.select("p_partkey", F.col("p_name").alias("n"), b.alias("b"), k.alias("k"), u.alias("u"), z.alias("z"))
+    none = F.lit(None).cast("string")
+    entities = rows.select(F.col("n").alias("entity_id"), none.alias("base_entity_id")).union(rows.select("b", none)).union(rows.select("k", F.when(F.col("k").endswith("/1"), F.col("u")))).distinct()
+    attributes = rows.select(only(F.col("z") > 25, F.col("n")).alias("entity_id"), F.col("b").alias("reference_id")).union(rows.select(only(F.col("z") < 10, F.col("b")), "k")).distinct()
+    edges = rows.select(F.lit("MAPS_TO").alias("kind"), only(F.col("z") == 17, F.col("k")).alias("source"), F.col("n").alias("target")).distinct()
+    operations = rows.select(F.col("p_partkey").cast("string").alias("operation_id"), only(F.col("z") == 3, F.col("n")).alias("entity_id"))
     return graph.contract_scope(entities, attributes, edges, operations)
 
 
@@ -826,12 +831,13 @@ def endpoint_domains(spark, sf_dir):
 
 
 @query("""
-WITH c AS (SELECT DISTINCT p_name, p_brand FROM part), m AS (SELECT DISTINCT p_name, p_brand FROM part WHERE p_size > 30)
+WITH c AS (SELECT DISTINCT p_name, p_brand FROM part), m AS (SELECT DISTINCT p_name, 'Brand#' || (p_size // 2) AS p_brand FROM part)
 SELECT p_name AS candidate_id, p_brand AS right_id FROM c WHERE p_name IN (SELECT p_name FROM m) AND (p_name, p_brand) NOT IN (SELECT (p_name, p_brand) FROM m)""")
 def unmatched_details(spark, sf_dir):
     p = t(spark, sf_dir, "part")
     pick = [F.col("p_name").alias("candidate_id"), F.col("p_brand").alias("right_id")]
-    return align.unmatched(p.filter("p_size > 30").select(*pick).distinct(), p.select(*pick).distinct())
+    half = F.concat(F.lit("Brand#"), F.floor(F.col("p_size") / 2))  # what a match uses: some of a name's brands
+    return align.unmatched(p.select(pick[0], half.alias("right_id")).distinct(), p.select(*pick).distinct())
 
 
 @query("""

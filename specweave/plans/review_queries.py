@@ -515,12 +515,12 @@ def merge_endpoints(spark, sf_dir):
 
 
 @query("""
-WITH b AS (SELECT DISTINCT p_brand AS entity, p_name AS name, 'b' AS type FROM part WHERE p_size % 2 = 0), r AS (SELECT DISTINCT lower(p_brand) AS entity, replace(upper(p_name), ' ', '_') AS name, 'r' AS type FROM part)
+WITH b AS (SELECT DISTINCT p_brand || CASE WHEN p_size % 2 = 0 THEN '' ELSE ' (old)' END AS entity, p_name AS name, 'b' AS type FROM part), r AS (SELECT DISTINCT lower(p_brand) AS entity, replace(upper(p_name), ' ', '_') AS name, 'r' AS type FROM part)
 SELECT * FROM b UNION ALL SELECT * FROM r WHERE NOT EXISTS (SELECT 1 FROM b WHERE lower(b.entity) = r.entity AND upper(replace(b.name, ' ', '_')) = r.name)""")
 def merge_attributes(spark, sf_dir):
-    """The regional side spells all of its names in another way, so only keys can tell what a baseline of even sizes has."""
+    """The regional side spells all of its names in another way, so only keys can tell what a baseline has; of odd sizes it has other entities."""
     p = t(spark, sf_dir, "part")
-    base = p.filter("p_size % 2 = 0").select(F.col("p_brand").alias("entity"), F.col("p_name").alias("name"), F.lit("b").alias("type")).distinct()
+    base = p.select(F.concat("p_brand", F.when(F.col("p_size") % 2 == 0, "").otherwise(" (old)")).alias("entity"), F.col("p_name").alias("name"), F.lit("b").alias("type")).distinct()
     return publish.merge_attributes(base, p.select(F.lower("p_brand").alias("entity"), F.replace(F.upper("p_name"), F.lit(" "), F.lit("_")).alias("name"), F.lit("r").alias("type")).distinct())
 
 
@@ -651,14 +651,14 @@ def propagate_pairs(spark, sf_dir):
 
 
 @query("""
-WITH RECURSIVE e AS (SELECT o_custkey % 20 AS id, 'E' || (o_custkey % 20) AS name FROM orders GROUP BY ALL), a AS (SELECT DISTINCT o_custkey % 20 AS s, o_orderkey % 20 AS t FROM orders WHERE o_custkey % 20 < 9 AND o_orderkey % 20 > 9),
+WITH RECURSIVE e AS (SELECT o_custkey % 20 AS id, 'E' || (o_custkey % 20) AS name FROM orders GROUP BY ALL), a AS (SELECT DISTINCT o_custkey % 9 AS s, 9 + o_orderkey % 11 AS t FROM orders),
 w(root, node, d) AS (SELECT id, id, 0 FROM e WHERE id % 3 = 0 UNION SELECT root, t, d + 1 FROM w JOIN a ON s = node JOIN e ON t = id),
 m AS (SELECT root, node, min(d) AS d FROM w GROUP BY root, node)
 SELECT root AS root_id, string_agg(d || ':' || name, ',' ORDER BY d, name) AS models, (SELECT count(*) FROM m x JOIN a ON s = x.node JOIN e ON t = e.id WHERE x.root = m.root) AS relations FROM m JOIN e ON node = id GROUP BY root""")
 def model_trees(spark, sf_dir):
     o, k = t(spark, sf_dir, "orders"), F.col("o_custkey") % 20
     entities = o.select(k.alias("id")).distinct().select("id", F.concat(F.lit("E"), "id").alias("name"), F.lit(None).cast("long").alias("base_entity_id"))
-    edges = o.filter((k < 9) & (F.col("o_orderkey") % 20 > 9)).select(k.alias("entity_id"), (F.col("o_orderkey") % 20).alias("reference_id")).distinct()
+    edges = o.select((F.col("o_custkey") % 9).alias("entity_id"), (F.col("o_orderkey") % 11 + 9).alias("reference_id")).distinct()
     attributes = edges.select("entity_id", F.concat(F.lit("f"), "reference_id").alias("name"), "reference_id", F.lit("x").alias("kind"), F.lit(False).alias("collection"), F.lit(False).alias("nullable"), F.lit(True).alias("required"), F.lit(0).alias("position"), F.concat(F.lit("a"), "entity_id", F.lit("."), "reference_id").alias("id"))
     model = {"entities": entities, "attributes": attributes, "enums": spark.createDataFrame([], "id long, name string, values array<string>"), "operations": entities.filter("id % 3 = 0").select(F.col("id").alias("request_entity_id")), "responses": entities.limit(0).select(F.col("id").alias("entity_id"))}
     found = artifacts.model_trees(model)

@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import io
+import os
 import zipfile
 from collections.abc import Iterator
+from urllib.parse import unquote
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.types import BooleanType
 
 from specweave.functions.text import redacted
 from specweave.operators.ranking import first_files
@@ -35,15 +38,29 @@ def decoded(content: str) -> Column:
     return F.regexp_replace(F.try_validate_utf8(F.col(content).cast("string")), "^\uFEFF", "")
 
 
+@F.pandas_udf(BooleanType())
+def _linked(path: pd.Series, root: pd.Series) -> pd.Series:
+    """Whether a local path is a link or lies below one, seen from its root."""
+    plain = lambda p: "/" + unquote(p.removeprefix("file:")).lstrip("/")
+
+    def below(p: str, r: str) -> bool:
+        top = os.path.normpath(plain(r))
+        return os.path.realpath(plain(p)) != os.path.join(os.path.realpath(top), os.path.relpath(os.path.normpath(plain(p)), top))
+
+    return pd.Series([below(p, r) for p, r in zip(path, root, strict=True)], dtype=bool)
+
+
 def scan(spark: SparkSession, root: str, **caps) -> tuple[DataFrame, DataFrame]:
     """(files, gaps) below ``root``: path, sha256 of the raw bytes, text with secrets redacted; and what was not read, with its reason.
 
-    Files over the caps and undecodable ones are gaps, not errors. Contents are read only of files that pass.
+    Files over the caps and undecodable ones are gaps, not errors; links are not followed. Contents are read only of files that pass.
     """
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     base = root.rstrip("/").split("://")[-1]
     path = F.regexp_replace(F.regexp_replace("path", "^[a-z]+:/*", "/"), "^" + _quoted(base) + "/", "")
-    found = raw.select(path.alias("path"), "length", "content").filter(wanted(F.col("path")))
+    # what lies behind a link is left out, as far as a file system has links
+    own = raw.filter(~_linked(F.col("path"), F.lit(root))) if root.split(":")[0] == "file" or "://" not in root else raw
+    found = own.select(path.alias("path"), "length", "content").filter(wanted(F.col("path")))
     judged = first_files(found.select("path", "length"), **caps)
     kept = found.select("path", "content").join(judged.filter("reason is null").select("path"), "path")
     read = kept.select("path", F.sha2("content", 256).alias("sha256"), decoded("content").alias("text"))

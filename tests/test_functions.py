@@ -116,3 +116,36 @@ def test_rounding_is_exact(spark):
             assert r.y == (r.x if math.isinf(r.x) else round(r.x, digits)) or abs(r.x) * 10**digits >= 2**51, r
     odd = spark.createDataFrame([(None,), (float("nan"),)], "x double").select(text.rounded("x", 1).alias("y")).collect()
     assert odd[0].y is None and math.isnan(odd[1].y)
+
+
+def test_token_counts_equal_a_plain_merge_loop(spark):
+    import random
+
+    from specweave.functions import tokens
+
+    rng = random.Random(4)
+    ranks = {bytes([b]): b for b in range(256)}
+    while len(ranks) < 900:
+        a, b = rng.choice(list(ranks)), rng.choice([x for x in ranks if x < b"\x80"])
+        if all(32 <= c < 127 for c in a + b) and len(a + b) < 8:
+            ranks.setdefault(a + b, len(ranks))
+
+    def plain(word):
+        parts = [bytes([c]) for c in word]
+        while True:
+            best = None
+            for i in range(len(parts) - 1):
+                rank = ranks.get(parts[i] + parts[i + 1])
+                if rank is not None and (best is None or rank < best[0]):
+                    best = rank, i
+            if best is None:
+                return 1 if word in ranks else len(parts)
+            parts = [*parts[: best[1]], parts[best[1]] + parts[best[1] + 1], *parts[best[1] + 2 :]]
+
+    import regex
+
+    texts = [(i, "".join(rng.choice("abcdefgh '.,1é\n ") for _ in range(rng.randint(0, 200)))) for i in range(150)] + [(900, None), (901, "It's 12345 tests\r\n\n  x")]
+    want = {i: sum(plain(w.encode()) for w in regex.findall(tokens.WORDS, t or "")) for i, t in texts}
+    table = spark.createDataFrame([(bytearray(k), v) for k, v in ranks.items()], "token binary, rank long")
+    got = tokens.token_counts(spark.createDataFrame(texts, "id long, text string"), "id", "text", table)
+    assert {r.id: r.tokens for r in got.collect()} == want

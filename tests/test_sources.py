@@ -60,6 +60,9 @@ def test_scan_of_a_tree(spark, tmp_path):
         p = tmp_path / name
         p.parent.mkdir(parents=True, exist_ok=True)
         p.write_bytes(data)
+    (tmp_path / "outside").mkdir()
+    (tmp_path / "a" / "link.cs").symlink_to(tmp_path / "a" / "x.cs")
+    (tmp_path / "linked").symlink_to(tmp_path / "a", target_is_directory=True)
     files, gaps = repository.scan(spark, str(tmp_path), most_bytes=50)
     assert [(r.path, r.text.split("\n")[1]) for r in files.collect()] == [("a/x.cs", "// [REDACTED secret-bearing line]")]
     assert sorted((r.path, r.reason) for r in gaps.collect()) == [("b/bad.json", "not UTF-8"), ("b/big.cs", "file too large")]
