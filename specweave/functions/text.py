@@ -177,25 +177,35 @@ def published_type(x) -> Column:
     )
 
 
+# Which argument of a rule becomes which keyword. Places count from 1, or from the end; OWN is the rule's single
+# argument, a name is an argument written name=figures. The last column says how many arguments the rule needs for that.
+OWN = 0
+KEYWORDS = (
+    ("maximum", "maximum", OWN, 0), ("maxItems", "maxItems", OWN, 0), ("maxLength", "maxLength", OWN, 0), ("minimum", "minimum", OWN, 0), ("minItems", "minItems", OWN, 0),
+    ("minLength", "minLength", OWN, 0), ("pattern", "pattern", OWN, 0), ("Range", "maximum", -1, 3), ("Range", "minimum", -2, 3), ("RegularExpression", "pattern", 1, 1),
+    ("StringLength", "maxLength", 1, 1), ("StringLength", "minLength", "minimumlength", 2),
+)
+
+
 def schema_keywords(rule, value, values) -> Column:
-    """A validation rule as a map of JSON schema keywords to JSON texts; empty for rules without a counterpart.
+    """A validation rule as a map of JSON schema keywords to JSON texts by KEYWORDS; empty for rules without a counterpart.
 
-    value is the rule's single argument, values its list of texts.
+    value is the rule's single argument, values its list of texts. Places from the end are bounds, written as whole numbers if they are.
     """
-    r, v, vs = F.lower(_c(rule)), _c(value), _c(values)
-    names = {"minimum": "minimum", "maximum": "maximum", "minlength": "minLength", "maxlength": "maxLength", "minitems": "minItems", "maxitems": "maxItems", "pattern": "pattern"}
-    lookup = F.create_map(*[F.lit(x) for kv in names.items() for x in kv])
-    n = F.size(vs)
-    number = lambda s: F.when(F.try_to_number(s, F.lit("S999999999999999")).isNotNull(), s).otherwise(F.regexp_replace(s, r"\.0+$", ""))
-    low = F.regexp_extract(F.coalesce(F.array_join(F.slice(vs, F.lit(2), F.greatest(n, F.lit(1))), ","), F.lit("")), r"(?i)minimumlength=(\d+)", 1)
-    empty = F.create_map().cast("map<string,string>")
-    return (
-        F.when(F.map_contains_key(lookup, r) & v.isNotNull(), F.create_map(F.try_element_at(lookup, r), v.cast("string")))
-        .when((r == "range") & (n >= 3), F.create_map(F.lit("minimum"), number(F.try_element_at(vs, F.lit(-2))), F.lit("maximum"), number(F.try_element_at(vs, F.lit(-1)))))
-        .when((r == "stringlength") & (n >= 1), F.map_concat(F.create_map(F.lit("maxLength"), F.try_element_at(vs, F.lit(1))), F.when(low != "", F.create_map(F.lit("minLength"), low)).otherwise(empty)))
-        .when((r == "regularexpression") & (n >= 1), F.create_map(F.lit("pattern"), F.try_element_at(vs, F.lit(1))))
-        .otherwise(empty)
-    )
+    given, own, arguments = F.lower(_c(rule)), _c(value).cast("string"), _c(values)
+    whole = lambda text: F.when(text.rlike(r"^[+-]?\d{1,15}$"), text).otherwise(F.regexp_replace(text, r"\.0+$", ""))
+
+    def argument(place) -> Column:
+        if isinstance(place, str):
+            named = F.filter(F.transform(F.slice(arguments, 2, F.greatest(F.size(arguments), F.lit(1))), lambda x: F.regexp_extract(x, rf"(?i){place}=(\d+)", 1)), lambda x: x != "")
+            return F.try_element_at(named, F.lit(1))
+        if place == OWN:
+            return own
+        text = F.try_element_at(arguments, F.lit(place))
+        return whole(text) if place < 0 else text
+
+    entries = [F.when((given == name.lower()) & (F.coalesce(F.size(arguments), F.lit(0)) >= least), F.struct(F.lit(keyword).alias("k"), argument(place).alias("v"))) for name, keyword, place, least in KEYWORDS]
+    return F.map_from_entries(F.filter(F.array(*entries), lambda e: e.isNotNull() & e["v"].isNotNull()))
 
 
 def openapi_kind(kind, form, has_enum) -> Column:
