@@ -73,8 +73,8 @@ def page_links(pages: DataFrame) -> DataFrame:
     Comments and the text of scripts, styles and their like hold no tags. A link counts if canonical is
     one of the words of its rel, whatever their case; quotes or none, every tag, attributes in any order.
     """
-    html = F.regexp_replace(F.coalesce(F.col("html"), F.lit("")), HIDDEN, " ")
-    html = F.when(html.rlike(r"(?i)<(?:link|meta)[\s/]"), html).otherwise("")
+    pages = pages.filter(F.col("html").rlike("(?i)canonical|refresh"))  # no other page has a link
+    html = F.regexp_replace(F.col("html"), HIDDEN, " ")
     canonical = F.filter(_tags(html, "link"), lambda m: F.array_contains(F.split(F.lower(F.coalesce(m["rel"], F.lit(""))), r"\s+"), "canonical"))
     refresh = F.filter(_tags(html, "meta"), lambda m: F.lower(F.trim(F.coalesce(m["http-equiv"], F.lit("")))) == "refresh")
     to = F.transform(refresh, lambda m: F.regexp_extract(F.coalesce(m["content"], F.lit("")), r"(?is)^\s*[\d.]*\s*[;,]?\s*url\s*=\s*[\"']?([^\"'\s]+)", 1))
