@@ -781,9 +781,24 @@ def constraint_harvest(spark, sf_dir):
 
 
 @query("""
-SELECT vec_id FROM embeddings WHERE embedding IS NULL OR len(embedding) <> 64 OR len(list_filter(embedding, lambda x: isnan(x) OR isinf(x))) > 0""")
+WITH v AS (SELECT vec_id, CASE vec_id % 7 WHEN 0 THEN embedding[1:len(embedding) - 1] WHEN 1 THEN list_append(embedding[1:len(embedding) - 1], 'nan'::FLOAT) WHEN 2 THEN NULL WHEN 3 THEN list_append(embedding[1:len(embedding) - 1], '-inf'::FLOAT) WHEN 4 THEN list_append(embedding[1:len(embedding) - 1], NULL) ELSE embedding END AS e FROM embeddings)
+SELECT vec_id FROM v WHERE e IS NULL OR len(e) <> 64 OR len(list_filter(e, lambda x: x IS NULL OR isnan(x) OR isinf(x))) > 0""")
 def bad_vectors(spark, sf_dir):
-    return quality.bad_vectors(t(spark, sf_dir, "embeddings"), "embedding", 64).select("vec_id")
+    """Of seven vectors five are spoilt: cut, not a number, null, infinite, with a null."""
+    k, e = F.col("vec_id") % 7, F.col("embedding")
+    last = lambda x: F.array_append(F.slice(e, F.lit(1), F.size(e) - 1), F.lit(x).cast("float"))
+    spoilt = F.when(k == 0, F.slice(e, F.lit(1), F.size(e) - 1)).when(k == 1, last(float("nan"))).when(k == 2, None).when(k == 3, last(float("-inf"))).when(k == 4, last(None)).otherwise(e)
+    return quality.bad_vectors(t(spark, sf_dir, "embeddings").select("vec_id", spoilt.alias("e")), "e", 64).select("vec_id")
+
+
+@query(r"""
+WITH f AS (SELECT page_id, regexp_extract(url, '(?s)^.*?://([^?#]*)', 1) || CASE page_id % 7 WHEN 0 THEN '/A.g.cs' WHEN 1 THEN '/B.cs' WHEN 2 THEN '/Bin/c.cs' WHEN 3 THEN '/Form.Designer.CS' WHEN 4 THEN '/obj/Debug/d.cs' WHEN 5 THEN '/binary/e.cs' ELSE '/x.generated.cs' END AS path FROM pages)
+SELECT page_id, page_id % 7 NOT IN (1, 5) OR list_has_any(string_split(lower(path), '/'), ['bin', 'obj']) AS generated FROM f""")
+def generated_files(spark, sf_dir):
+    k = F.col("page_id") % 7
+    ends = ["/A.g.cs", "/B.cs", "/Bin/c.cs", "/Form.Designer.CS", "/obj/Debug/d.cs", "/binary/e.cs", "/x.generated.cs"]
+    path = F.concat(F.regexp_extract("url", r"^(?s).*?://([^?#]*)", 1), F.element_at(F.array(*map(F.lit, ends)), (k + 1).cast("int")))
+    return t(spark, sf_dir, "pages").select("page_id", quality.generated_code(path).alias("generated"))
 
 
 @query("""
