@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import compressed, batches_of, in_blocks
+from .blocks import BLOCK_BYTES, batches_of, compressed, in_blocks
 from .common import BATCH_BYTES, chunks, flat, n_parts, small_batches
 
 LENGTH = 50
@@ -36,6 +36,8 @@ ANCHOR = 24
 #: Bytes of text whose runs are combined before they are sent on, and that make a bucket.
 COMBINE_BYTES = 3 << 20
 BUCKET_BYTES = 12 << 20
+#: Bytes of text in a block: half of what other operators take, as what a block is told and sends takes several times its texts.
+OWN_BLOCK_BYTES = BLOCK_BYTES // 2
 #: Anchors are sorted where these bits of them say.
 SPREAD = (1 << 24) - 1
 #: Different runs under one anchor that are sorted in one place; of more, each suffix goes its own way.
@@ -396,9 +398,11 @@ def _sent_bytes(got: pa.Table) -> dict[tuple[int, int], list[dict]]:
     return out
 
 
-def _one(doc: int, h: int, s: int, n: int) -> dict:
-    """One settled run."""
-    return _marked({"doc": np.array([doc]), "h": np.array([h], np.int32).view(np.uint32).astype(np.uint64), **{k: np.array([v], np.uint64) for k, v in (("s", s), ("n", n), ("m", 0))}}, SETTLED)
+def _settled(runs: list[tuple[int, int, int, int]]) -> dict:
+    """Settled runs (doc, h, s, n)."""
+    doc, h, s, n = np.array(runs, np.int64).reshape(-1, 4).T
+    x = {"doc": doc, "h": h.astype(np.int32).view(np.uint32).astype(np.uint64), "s": s.astype(np.uint64), "n": n.astype(np.uint64), "m": np.zeros(len(doc), np.uint64)}
+    return _marked(x, SETTLED)
 
 
 def _open_windows(length: int, anchor: int, buckets: int, blocks: int, bits: int):
@@ -423,19 +427,19 @@ def _open_windows(length: int, anchor: int, buckets: int, blocks: int, bits: int
                 rows.append((doc, h, [s], m64, text, m & SPREAD))
 
     def run(blobs, told):
-        known, rows, settled, wide = _told(told), [], [], []
+        known, rows, settled, alike, wide = _told(told), [], [], [], []
         sent = _sent_bytes(told)
         for batch in batches_of(blobs, BATCH_BYTES):
             for doc, h, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "h", "text")), strict=True):
                 for row in sent.pop((doc, h), ()):
                     start, data = row["s"], row["data"]
                     if text[start : start + len(data)] == data:
-                        settled += [_one(doc, h, start, len(data) - length)] if row["e"] != doc else []
+                        alike += [(doc, h, start, len(data) - length)] if row["e"] != doc else []
                         continue
                     for at, n, kind in zip(row["at"], row["n"], row["k"], strict=True):
                         own, other = text[at : at + n + length], data[at - start : at - start + n + length]
                         if own == other:
-                            settled += [_one(doc, h, at, n)] if row["e"] != doc else []
+                            alike += [(doc, h, at, n)] if row["e"] != doc else []
                         else:
                             unlike(row, at, own, other, kind, rows, wide)
                 if (x := known.get((doc, h))) is not None:
@@ -452,7 +456,7 @@ def _open_windows(length: int, anchor: int, buckets: int, blocks: int, bits: int
             more, covered = _first_windows(wide)
             rows += more
             settled.append(_take(covered, np.mod(covered["doc"], blocks) == told.column("block")[0].as_py()))
-        settled = [x for x in settled if len(x["doc"])]
+        settled = [x for x in (*settled, _settled(alike)) if len(x["doc"])]
         if settled:
             block = told.column("block")[0].as_py()
             rows.append((block, 0, None, None, _pack(_joined(settled), True, _TELL), block))
@@ -682,7 +686,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.hash(text).alias("h"), text.alias("text"))
     buckets = n_parts(docs, "text", BUCKET_BYTES)
     some = own.filter(F.col("doc_id").isNotNull() & (F.octet_length("text") >= length))
-    blocks, n = in_blocks(own, deal=_dealt)
+    blocks, n = in_blocks(own, OWN_BLOCK_BYTES, _dealt)
     message = "block int, data binary, kind int"
     sent = some.mapInArrow(_send(length, anchor, buckets, bits), "bucket int, data binary")
     met = sent.repartition(buckets, "bucket").mapInArrow(_meet(n, wide), message)

@@ -743,3 +743,15 @@ def test_texts_of_megabytes(spark):
     assert {r.doc_id: r.fingerprint for r in simhash.near_duplicates(d).collect()}[2] == f"{brute_simhash(rows[1][1]):016x}"
     assert {r.doc_id: r.lang_pred for r in language_id.identify(d).collect()}[3] == "und"
     assert {r.doc_id: r.size for r in mixing.mix_report(d).collect()}[2] == len(rows[1][1].split())
+
+
+def test_repeats_are_met_in_blocks_of_their_own_size(spark, monkeypatch):
+    from specweave.llm import blocks, suffix_dedup
+
+    assert suffix_dedup.OWN_BLOCK_BYTES < blocks.BLOCK_BYTES
+    rng = random.Random(8)
+    words = ["".join(rng.choices("abcdefgh", k=60)) for _ in range(12)]
+    docs = spark.createDataFrame([(i, " ".join(rng.choices(words, k=4)) + f" end {i}") for i in range(80)], "doc_id long, text string")
+    whole = sorted(map(tuple, suffix_dedup.remove_repeats(docs).collect()))
+    monkeypatch.setattr(suffix_dedup, "OWN_BLOCK_BYTES", 2_000)
+    assert sorted(map(tuple, suffix_dedup.remove_repeats(docs).collect())) == whole and any(r[2] for r in whole)
