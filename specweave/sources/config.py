@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .yaml_lines import parsed
+from .yaml_lines import parsed, spread
 
 
 # Names of configuration files, and folders that are not scanned for them.
@@ -31,7 +31,7 @@ def config_facts(files: DataFrame) -> DataFrame:
     no text, YAML002 where it does not parse as what its name says.
     """
     yaml = is_yaml(F.col("path"))
-    rows = files.select("path", "text", yaml.alias("yaml"), F.when(yaml, parsed(F.col("text"))).alias("y"))
+    rows = spread(files.select("path", "text")).select("path", "text", yaml.alias("yaml"), F.when(yaml, parsed(F.col("text"))).alias("y"))
     ok = F.when(F.col("yaml"), ~F.col("y.wrong")).otherwise(F.try_parse_json("text").isNotNull())
     get = lambda p: F.when(ok & ~F.col("yaml"), F.get_json_object("text", p))
     keys = F.sort_array(F.coalesce(F.when(ok & ~F.col("yaml"), F.json_object_keys(F.get_json_object("text", "$.Values"))), F.array().cast("array<string>")))

@@ -8,11 +8,11 @@ key with or without a value, a scalar), and a stack of open levels by indentatio
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from specweave.functions.text import let
+
 FACTS = "array<struct<path:string,value:string>>"
 _LEVEL = "struct<indent:int,kind:string,key:string,n:int,open:boolean>"
 #: Body of a line up to a comment; quoted strings hide #.
@@ -21,11 +21,6 @@ _PAIR = r"""^("[^"]*"|'[^']*'|[^\s\[\]{},#&*!|>%@`"'-][^#]*?|-[^\s#][^#]*?|<<) *
 _QUOTED = r"""(?:"(?:[^"\\]|\\.)*+"|'(?:[^']|'')*+')"""
 
 
-def let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use`` of a value that is computed once."""
-    return F.element_at(F.transform(F.array(value), use), 1)
-
-
 def _body(line: Column) -> Column:
     return F.rtrim(F.when(line.rlike(r"^\s*#"), "").when(F.contains(line, F.lit("#")), F.regexp_replace(line, _BODY, "$1")).otherwise(line))
 
@@ -40,14 +35,18 @@ def _lines(text: Column) -> Column:
             lead = F.length(F.regexp_extract(body, r"^ *(?:- +)*", 0))
             # brackets count only where a flow collection begins the value
             value = F.regexp_replace(F.substring(body, lead + 1, F.length(body)), r"^(?:[^\s\[\]{},#&*!|>%@`\"'-][^#]*?|\"[^\"]*\"|'[^']*') *: +", "")
-            plain = F.regexp_replace(value, _QUOTED, "")
-            count = lambda c: F.length(c) - F.length(F.regexp_replace(c, r"[\[{]", "")) - (F.length(c) - F.length(F.regexp_replace(c, r"[\]}]", "")))
-            depth = F.when(value.rlike(r"^[\[{]"), count(plain)).when(value.rlike(r"^[\]},%@`]"), -1).otherwise(0)  # no scalar begins with these
-            quote = F.when(value.rlike("^[\"']") & ~value.rlike("^" + _QUOTED), F.substring(value, F.lit(1), F.lit(1))).otherwise("")
-            return F.struct(
-                no.alias("no"), indent.alias("indent"), body.alias("body"), line.alias("raw"), lead.alias("lead"), body.rlike(r"(?:^|[:\-]) *(?:[&!]\S+ +)*[|>][+\-0-9]*$").alias("hangs"),
-                depth.alias("depth"), quote.alias("quote"), count(F.regexp_replace(body, _QUOTED, "")).alias("brackets"),
-            )
+            count = lambda c: F.when(c.rlike(r"[\[\]{}]"), F.length(F.regexp_replace(c, r"[\]}]", "")) - F.length(F.regexp_replace(c, r"[\[{]", ""))).otherwise(0)
+            bare = lambda c: F.when(c.rlike("[\"']"), F.regexp_replace(c, _QUOTED, "")).otherwise(c)
+
+            def valued(v: Column) -> Column:
+                depth = F.when(v.rlike(r"^[\[{]"), let(bare(v), count)).when(v.rlike(r"^[\]},%@`]"), -1).otherwise(0)  # no scalar begins with these
+                quote = F.when(v.rlike("^[\"']") & ~v.rlike("^" + _QUOTED), F.substring(v, F.lit(1), F.lit(1))).otherwise("")
+                return F.struct(
+                    no.alias("no"), indent.alias("indent"), body.alias("body"), line.alias("raw"), lead.alias("lead"), body.rlike(r"(?:^|[:\-]) *(?:[&!]\S+ +)*[|>][+\-0-9]*$").alias("hangs"),
+                    depth.alias("depth"), quote.alias("quote"), let(bare(body), count).alias("brackets"),
+                )
+
+            return let(value, valued)
 
         return let(_body(line), described)
 
@@ -77,17 +76,24 @@ def _continued(lines: Column) -> Column:
 
 def _tokens(line: Column, more: Column) -> Column:
     """A line as tokens (indent, kind, key, value): a dash for each item that begins on it, then its content. ``more`` is the text that goes on below."""
-    lead = F.regexp_extract(line["body"], r"^( *(?:- +)*(?:-$)?)", 1)
+    return let(F.regexp_extract(line["body"], r"^( *(?:- +)*(?:-$)?)", 1), lambda lead: _led(line, lead, more))
+
+
+def _led(line: Column, lead: Column, more: Column) -> Column:
+    """The tokens of a line that begins with ``lead``."""
     dash = lambda k: F.struct((k - 1).cast("int").alias("indent"), F.lit("dash").alias("kind"), F.lit(None).cast("string").alias("key"), F.lit(None).cast("string").alias("value"))
     dashes = F.transform(F.filter(F.sequence(F.lit(1), F.greatest(F.length(lead), F.lit(1))), lambda k: F.substring(lead, k, F.lit(1)) == "-"), dash)
 
     def content(c: Column) -> Column:
-        key, value = F.regexp_extract(c, _PAIR, 1), F.regexp_extract(c, _PAIR, 2)
-        pair = c.rlike(_PAIR)
-        text = F.when(more != "", F.concat_ws("\n", F.when(pair, value).otherwise(c), more)).otherwise(F.when(pair, value).otherwise(c))
-        text = F.regexp_replace(text, r"^(?:[&!][^\s,\[\]{}]*(?: +|$))+", "")  # anchors and tags
-        token = F.struct(F.length(lead).cast("int").alias("indent"), F.when(pair, "pair").otherwise("scalar").alias("kind"), F.when(pair, _unquoted(key)).alias("key"), F.when(text != "", _unquoted(text)).alias("value"))
-        return F.when(c == "", F.array().cast("array<struct<indent:int,kind:string,key:string,value:string>>")).otherwise(F.array(token))
+        def split(x: Column) -> Column:
+            value = F.when(x["pair"], F.regexp_extract(c, _PAIR, 2)).otherwise(c)
+            text = let(more, lambda m: F.when(m != "", F.concat_ws("\n", value, m)).otherwise(value))
+            text = F.regexp_replace(text, r"^(?:[&!][^\s,\[\]{}]*(?: +|$))+", "")  # anchors and tags
+            key = F.when(x["pair"], let(F.regexp_extract(c, _PAIR, 1), _unquoted))
+            token = lambda v: F.struct(F.length(lead).cast("int").alias("indent"), F.when(x["pair"], "pair").otherwise("scalar").alias("kind"), key.alias("key"), F.when(v != "", _unquoted(v)).alias("value"))
+            return F.array(let(text, token))
+
+        return F.when(c == "", F.array().cast("array<struct<indent:int,kind:string,key:string,value:string>>")).otherwise(let(F.struct(c.rlike(_PAIR).alias("pair")), split))
 
     return F.concat(dashes, let(F.substring(line["body"], F.length(lead) + 1, F.length(line["body"])), content))
 
@@ -163,7 +169,13 @@ def parsed(text: Column) -> Column:
     return let(let(_lines(text), lambda ls: F.struct(ls.alias("lines"), _continued(ls).alias("state"))), of)
 
 
+def spread(files: DataFrame) -> DataFrame:
+    """Files dealt to all cores: a table of short rows is read by a task or two, however long each row takes."""
+    return files.repartition(4 * files.sparkSession.sparkContext.defaultParallelism)
+
+
 def yaml_facts(files: DataFrame) -> DataFrame:
     """(path, key, value) of YAML files (path, text); nothing of those that are null or do not parse."""
-    rows = files.select("path", parsed(F.col("text")).alias("y")).filter("not y.wrong")
-    return rows.select("path", F.inline("y.facts")).toDF("path", "key", "value")
+    facts = let(parsed(F.col("text")), lambda y: F.when(~y["wrong"], y["facts"]))
+    rows = spread(files.select("path", "text")).select("path", F.inline_outer(facts)).toDF("path", "key", "value")  # outer: a plain one is preceded by a filter that parses again
+    return rows.filter("key is not null")

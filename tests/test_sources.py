@@ -119,3 +119,13 @@ def test_incremental_scan(spark, tmp_path):
     (tmp_path / "in" / "a.json").write_text(json.dumps(DOC))
     incremental.follow(incremental.arriving(spark, str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).filter(F.col("fact") == "operation").count() == 1
+
+
+def test_yaml_texts_are_dealt_to_tasks_and_parsed_once(spark):
+    from specweave.sources import yaml_lines
+
+    files = spark.createDataFrame([(f"{i}.yml", f"a: {i}\nb:\n- c: '{i}'\n") for i in range(400)], "path string, text string").coalesce(1)
+    for found in (yaml_lines.yaml_facts(files), config.config_facts(files)):
+        assert found.rdd.getNumPartitions() > 1
+        assert found._jdf.queryExecution().optimizedPlan().toString().count("aggregate(") <= 2  # the fold over lines and that over tokens
+    assert yaml_lines.yaml_facts(files).count() == 1200
