@@ -259,7 +259,7 @@ w AS (SELECT doc_id, i, trim(t, E' \t\n\r') AS cur, 0 AS ordinal FROM p WHERE i
 SELECT doc_id, ordinal, substr(cur, 1, 5000) AS chunk FROM (SELECT * FROM w QUALIFY i = max(i) OVER (PARTITION BY doc_id, ordinal)) WHERE cur <> ''""")
 def section_chunks(spark, sf_dir):
     chunks = retrieval.section_chunks(F.filter(F.split("text", "\n"), lambda s: s != ""))
-    return t(spark, sf_dir, "documents").select("doc_id", F.posexplode(chunks).alias("ordinal", "chunk"))
+    return t(spark, sf_dir, "documents").select("doc_id", F.posexplode_outer(chunks).alias("ordinal", "chunk")).filter("chunk is not null")  # outer: a plain one is preceded by a filter that packs again
 
 
 @query("""

@@ -166,6 +166,20 @@ def test_sections_repeat_their_header(spark):
     cases = [["h1", "h2", "aaaa", "bbbb", "cccc"], ["only"], ["x" * 30, "y"], []]
     df = spark.createDataFrame([(i, c) for i, c in enumerate(cases)], "i int, s array<string>").select("i", retrieval.section_chunks(F.col("s"), 12).alias("c"))
     assert {r.i: r.c for r in df.collect()} == {i: pack(c, 12) for i, c in enumerate(cases)}
+    rng = random.Random(3)
+    odd = [[rng.choice(["", " ", "a", " bb", "ccc ", "\t", "dd\nee", "x" * 9, "y" * 14, " z " * 6, "\x0b", "é" * 5]) for _ in range(rng.randrange(9))] for _ in range(300)]
+    chunks = spark.createDataFrame(list(enumerate(odd)), "i int, s array<string>").select("i", F.posexplode_outer(retrieval.section_chunks(F.filter("s", lambda s: s != ""), 12)))
+    got = {}
+    for r in sorted(chunks.filter("col is not null").collect()):
+        got.setdefault(r.i, []).append(r.col)
+    assert got == {i: c for i, x in enumerate(odd) if (c := pack([s for s in x if s], 12))}
+
+
+def test_texts_are_packed_once_and_by_what_sections_add(spark):
+    import __spark_entry__
+
+    plan = __spark_entry__.queries()["section_chunks"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("aggregate(") == 1 and plan.count("split(") == 1  # a chunk's header does not split the text again
 
 
 def test_retrieval_prefers_neighbours_to_fused_hits(spark):
