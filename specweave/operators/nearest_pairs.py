@@ -20,13 +20,13 @@ BLOCK, PAIRS = 2_048, 1 << 16
 MARGIN, UNIT = 1e-9, 10**6
 
 
-def _rows(column) -> pa.Array:
+def flat(column) -> pa.Array:
     return column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
 
 
 def matrix(column, width: int) -> tuple[np.ndarray, np.ndarray]:
     """(vectors, which are whole): those that are null, of another length or hold null are zeros."""
-    column = _rows(column)
+    column = flat(column)
     sizes = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     held = column.flatten()
     values = held.to_numpy(zero_copy_only=False).astype(np.float64)
@@ -132,9 +132,17 @@ class Best:
         may = key >= self.low[q]
         self.add(q[may], key[may], score[may], ids[v[may]])
 
+    def rows(self, names, kind: pa.DataType):
+        """Batches (query_id, doc_id, score) of what is kept; names are the ids of queries, ``kind`` is that of the others."""
+        self.settle()
+        for at in range(0, len(self.kept[0]) if self.kept else 0, PAIRS):
+            who, key, score, ids = (x[at : at + PAIRS] for x in self.kept)
+            own = flat(names.take(pa.array(who)))
+            yield pa.RecordBatch.from_arrays([own, pa.array(ids.tolist() if ids.dtype == object else ids, kind), pa.array(score, mask=np.isneginf(key))], ["query_id", "doc_id", "score"])
 
-def _ids(column) -> np.ndarray:
-    column = _rows(column)
+
+def doc_ids(column) -> np.ndarray:
+    column = flat(column)
     if pa.types.is_integer(column.type) and not column.null_count:
         return column.to_numpy(zero_copy_only=False)
     out = np.empty(len(column), object)
@@ -159,7 +167,7 @@ def candidates(vectors: DataFrame, page: pa.Table, query_id: str, most: int, cel
             groups.append((max(0, int(size)), which, Vectors(page.column("vector").take(pa.array(which)), max(0, int(size))), Best(len(which), most)))
         kind = None
         for batch in batches:
-            ids, kind = _ids(batch.column("doc_id")), batch.column("doc_id").type
+            ids, kind = doc_ids(batch.column("doc_id")), batch.column("doc_id").type
             cell = batch.column("cell").to_numpy() if cells is not None else np.zeros(batch.num_rows, np.int32)
             order = np.argsort(cell, kind="stable")
             bounds = np.append(np.flatnonzero(np.append(True, np.diff(cell[order]) != 0)), len(order)) if len(order) else [0]
@@ -171,11 +179,7 @@ def candidates(vectors: DataFrame, page: pa.Table, query_id: str, most: int, cel
                     for at in range(a, b if len(asked) else a, BLOCK):
                         best.meet(queries, asked, some, order[at : min(at + BLOCK, b)], ids)
         for _, which, _, best in groups:
-            best.settle()
-            for at in range(0, len(best.kept[0]) if best.kept else 0, PAIRS):
-                who, key, score, ids = (x[at : at + PAIRS] for x in best.kept)
-                names = page.column("query_id").take(pa.array(which[who])).combine_chunks()
-                yield pa.RecordBatch.from_arrays([names, pa.array(ids.tolist() if ids.dtype == object else ids, kind), pa.array(score, mask=np.isneginf(key))], ["query_id", "doc_id", "score"])
+            yield from best.rows(page.column("query_id").take(pa.array(which)), kind)
 
     doc_id = vectors.schema["doc_id"].dataType.simpleString()
     return vectors.mapInArrow(run, f"query_id {query_id}, doc_id {doc_id}, score double")

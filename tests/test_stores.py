@@ -6,7 +6,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from specweave.operators import retrieval, vector_index, versions
+from specweave.functions.text import terms
+from specweave.operators import retrieval, vector_index, versions, word_scores
 
 
 def exact(vectors, queries, most):
@@ -124,3 +125,30 @@ def test_a_search_of_the_index_forms_no_pairs(spark, tmp_path):
     found = got.collect()
     assert len(found) == 50 and all(cells[r.doc_id] in near[r.query_id // 400] for r in found)
     assert {(r.query_id, r.doc_id) for r in index.search(queries, 10, cells=len(index.centroids)).collect()} == exact(vectors, queries, 10)
+
+
+def test_words_in_bytes_are_the_terms_of_text(spark):
+    chars = [chr(c) for c in range(0x20000) if not 0xD800 <= c < 0xE000]
+    texts = [f"a{c}b {c}X1Y" for c in chars] + ["getQuoteById a_B", "", "  ", None, "xMLFile ßtraße STRAẞE ﬁxeD", "a1B2cD" * 400]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").repartition(4)
+    want = docs.select("doc_id", terms("text").alias("terms"))
+    every = sorted({w for r in want.collect() for w in r.terms} - {"b"})  # what is not asked for is left out
+    got = {r.doc_id: [every[c] for c in r.codes] for r in word_scores.asked_words(docs, every).collect()}
+    assert got == {r.doc_id: sorted(set(r.terms) - {"b"}) for r in want.collect()} and len(got) == len(texts)
+
+
+def test_documents_are_searched_by_words_without_forming_pairs(spark, small, monkeypatch):
+    docs = spark.read.parquet(f"{small}/documents.parquet").select(F.format_string("d%03d", "doc_id").alias("doc_id"), "text")
+    docs = docs.union(spark.createDataFrame([(f"e{i}", "Same words of many Copies") for i in range(90)] + [("n", None)], docs.schema))
+    queries = spark.read.parquet(f"{small}/benchmark.parquet").select(F.col("item_id").alias("query_id"), "text")
+    queries = queries.union(spark.createDataFrame([(-1, None), (-2, "copies of many same words"), (-3, "qzxunheard")], queries.schema))
+    monkeypatch.setattr(retrieval, "QUERY_PAGE", 17)
+    monkeypatch.setattr(word_scores, "CELLS", 17 * 60)
+    monkeypatch.setattr(word_scores, "POSTINGS", 900)
+    scores = retrieval.lexical_scores(docs, queries).cache()
+    for most in (1, 40, 500):
+        got = retrieval.lexical(docs, queries, most)
+        want = retrieval.top_k(scores, ["query_id"], [F.desc("score"), "doc_id"], most)
+        assert sorted(map(str, got.select(want.columns).collect())) == sorted(map(str, want.collect()))
+        assert "Join" not in plan_of(got) and "Generate" not in plan_of(got)
+    assert retrieval.lexical(docs, queries.filter("query_id = -3"), 5).count() == 0
