@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from specweave.functions import similarity, text
 from specweave.operators import aggregates, artifacts, catalog, discovery, enrichment, joins, publish, quality, ranking, retrieval, setops, sinks
+from specweave.plans.lineage import cut
 from specweave.plans.queries import _LEXICAL, _VECTORS, _by_vector, terms_sql
 from specweave.plans.registry import query, t
 from specweave.sources import config, openapi, repository, yaml_lines
@@ -280,8 +281,8 @@ def reference_query(spark, sf_dir):
     d, b = t(spark, sf_dir, "documents"), t(spark, sf_dir, "benchmark")
     asked = b.select(F.col("item_id").alias("query_id"), "text")
     e = t(spark, sf_dir, "embeddings").join(b, F.col("vec_id") == F.col("item_id"))
-    vector = _by_vector(spark, sf_dir, e.select(F.col("item_id").alias("query_id"), F.col("embedding").cast("array<double>").alias("vector")))
-    exact = retrieval.alias_hits(d.select("doc_id", F.col("doc_id").alias("place"), F.array(F.split("text", "\n")[0]).alias("aliases")), asked)
+    vector = cut(_by_vector(spark, sf_dir, e.select(F.col("item_id").alias("query_id"), F.col("embedding").cast("array<double>").alias("vector"))))  # used twice
+    exact = cut(retrieval.alias_hits(d.select("doc_id", F.col("doc_id").alias("place"), F.array(F.substring_index("text", "\n", 1)).alias("aliases")), asked))
     chunks = d.select("doc_id", "text", F.lit(False).alias("truncated"))
     out = retrieval.reference_query(retrieval.lexical_beside(d.select("doc_id", "text"), asked, vector.select("query_id", "doc_id").union(exact.select("query_id", "doc_id"))), vector, exact, chunks)
     return out.select(F.col("query_id").alias("item_id"), "place", "doc_id", "relevance", "reason", F.sha2(F.col("text").cast("binary"), 256).alias("shown"), "truncated")

@@ -152,3 +152,14 @@ def test_documents_are_searched_by_words_without_forming_pairs(spark, small, mon
         assert sorted(map(str, got.select(want.columns).collect())) == sorted(map(str, want.collect()))
         assert "Join" not in plan_of(got) and "Generate" not in plan_of(got)
     assert retrieval.lexical(docs, queries.filter("query_id = -3"), 5).count() == 0
+
+
+def test_texts_of_a_reference_stay_where_they_lie(spark):
+    docs = spark.createDataFrame([(i, f"Name {i}\n" + "word " * i) for i in range(40)], "doc_id long, text string").repartition(3)
+    asked = spark.createDataFrame([(1, "name 7"), (2, "word")], "query_id long, text string")
+    vector = spark.createDataFrame([(1, 3, 0), (2, 5, 0), (2, 0, 1)], "query_id long, doc_id long, rank int")
+    named = retrieval.alias_hits(docs.select("doc_id", F.col("doc_id").alias("place"), F.array(F.substring_index("text", "\n", 1)).alias("aliases")), asked)
+    scored = retrieval.lexical_beside(docs, asked, vector)
+    got = retrieval.reference_query(scored, vector, named, docs.withColumn("truncated", F.lit(False)), limit=2)
+    assert [(r.query_id, r.place, r.doc_id, r.reason) for r in got.orderBy("query_id", "place").collect()] == [(1, 1, 7, "exact-subject"), (1, 2, 3, "lexical+vector"), (2, 1, 5, "lexical+vector"), (2, 2, 1, "lexical")]
+    assert "BroadcastHashJoin" in plan_of(got) and "SortMergeJoin" not in plan_of(got)
