@@ -11,19 +11,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, n_parts
+from .common import chunks, held_bytes, parts_of
 
 #: Bytes of text in a block, and bytes that a task gathers before it sends them to blocks.
 BLOCK_BYTES = 16 << 20
 GATHER_BYTES = 24 << 20
 
 
-def in_blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES, deal=None) -> tuple[DataFrame, int]:
+def in_blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES, deal=None, total: int | None = None) -> tuple[DataFrame, int]:
     """(block, data): the rows of ``docs`` (doc_id, text, ...) in compressed batches, by doc_id; how many blocks, a prime.
 
-    deal(doc_id, n) is the block of a row; block_of unless given.
+    deal(doc_id, n) is the block of a row; block_of unless given. total is what held_bytes says of the texts, if that is known.
     """
-    n = n_parts(docs, "text", block_bytes)
+    n = parts_of(held_bytes(docs, "text") if total is None else total, block_bytes)
     while any(n % k == 0 for k in range(2, int(n**0.5) + 1)):
         n += 1
     names = docs.columns

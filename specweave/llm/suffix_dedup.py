@@ -27,14 +27,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import BLOCK_BYTES, batches_of, compressed, in_blocks
-from .common import BATCH_BYTES, chunks, flat, n_parts, small_batches
+from .blocks import BLOCK_BYTES, batches_of, in_blocks
+from .common import BATCH_BYTES, binary_rows, chunks, flat, held_bytes, parts_of, small_batches
 
 LENGTH = 50
 #: Bytes of an anchor. Any window holds LENGTH - ANCHOR + 1 of them.
 ANCHOR = 24
 #: Bytes of text whose runs are combined before they are sent on, and that make a bucket.
-COMBINE_BYTES = 3 << 20
+COMBINE_BYTES = 6 << 20
 BUCKET_BYTES = 12 << 20
 #: Bytes of text in a block: half of what other operators take, as what a block is told and sends takes several times its texts.
 OWN_BLOCK_BYTES = BLOCK_BYTES // 2
@@ -43,7 +43,9 @@ SPREAD = (1 << 24) - 1
 #: Different runs under one anchor that are sorted in one place; of more, each suffix goes its own way.
 WIDE_RUNS = 2048
 #: Bytes of text that are hashed at once.
-HASH_BYTES = 256 << 10
+HASH_BYTES = 64 << 10
+#: Bytes that documents of a block send to later ones before they are compressed.
+SEND_BYTES = 16 << 20
 
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
@@ -71,9 +73,12 @@ def _grown(n: int) -> int:
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
+    h = h.copy()
     for shift, factor in ((31, 0xBF58476D1CE4E5B9), (29, 0x94D049BB133111EB)):
-        h = (h ^ (h >> _U(shift))) * _U(factor)
-    return h ^ (h >> _U(32))
+        h ^= h >> _U(shift)
+        h *= _U(factor)
+    h ^= h >> _U(32)
+    return h
 
 
 class Prefixes:
@@ -108,41 +113,27 @@ def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
 def anchored_runs(buffer: np.ndarray, offsets: np.ndarray, length: int = LENGTH, anchor: int = ANCHOR, bits: int = 64):
     """(text index, first window, windows after it, anchor hash, content hash) of each run, in text order."""
     none = np.zeros(0, np.int64)
-    if len(buffer) < length:
+    lengths = np.diff(offsets)
+    long = lengths >= length
+    if not long.any():
         return none, none, none, none.astype(np.uint64), none.astype(np.uint64)
     prefixes = Prefixes(buffer, bits)
     least = sliding_min(prefixes.every(anchor), length - anchor + 1)
-    lengths = np.diff(offsets)
-    inside = np.zeros(len(buffer) + 1, np.int8)
-    long = lengths >= length
-    np.add.at(inside, offsets[:-1][long], 1)
-    np.add.at(inside, offsets[1:][long] - length + 1, -1)
-    inside = np.cumsum(inside[: len(least)], dtype=np.int8).astype(bool)
-    first = inside.copy()
-    first[1:] &= ~inside[:-1] | (least[1:] != least[:-1])
-    heads = offsets[:-1][long]
-    first[heads] = True
+    first = np.append(True, least[1:] != least[:-1])
+    first[offsets[:-1][long]] = True
     starts = np.flatnonzero(first)
-    seen = np.cumsum(inside)
-    last = np.append(starts[1:], len(least)) - 1
-    after = seen[last] - seen[starts]
     which = np.searchsorted(offsets, starts, side="right") - 1
+    ends = (offsets[1:] - length + 1)[which]  # of the windows of its text
+    inside = starts < ends
+    starts, which, ends = starts[inside], which[inside], ends[inside]
+    after = np.minimum(ends, np.append(starts[1:], len(least))) - starts - 1
     return which, starts - offsets[which], after, least[starts], prefixes.of(starts, starts + after + length)
 
 
-def _planes(a: np.ndarray, width: int) -> bytes:
-    """The low ``width`` bytes of each number, byte place by byte place, so that compression sees like with like."""
-    return np.ascontiguousarray(a.astype(f"<u{8 if width > 4 else 4}").view(np.uint8).reshape(len(a), -1)[:, :width].T).tobytes()
-
-
-def _unplanes(data: bytes, at: int, n: int, width: int) -> np.ndarray:
-    out = np.zeros((n, 8), np.uint8)
-    out[:, :width] = np.frombuffer(data, np.uint8, n * width, at).reshape(width, n).T
-    return out.view("<u8").reshape(n)
-
-
+#: Columns of runs and what is told of them; others have 32 bits.
+_KINDS = {"doc": np.int64, "td": np.int64, "m": np.uint64, "k": np.uint8}
 _FIELDS = (("doc", 8), ("h", 4))
-#: Of an anchor's hash the bucket has the rest.
+#: Of an anchor's hash the bucket has the rest; n has a bit more, whether the run is settled.
 _ENTRY = (("m", 5), ("c", 4), ("s", 4), ("n", 4))
 _LOW, _LOW_BITS = _U(40), _U((1 << 40) - 1)
 _TELL = (("s", 4), ("n", 4), ("m", 8), ("k", 1))
@@ -150,26 +141,55 @@ _TELL = (("s", 4), ("n", 4), ("m", 8), ("k", 1))
 _CLAIM = (("s", 4), ("n", 4), ("k", 1), ("td", 8), ("th", 4), ("shift", 4))
 
 
-def _pack(x: dict[str, np.ndarray], settled: bool, entry=_ENTRY) -> bytes:
-    """Runs sorted by document as bytes."""
-    new = np.flatnonzero(np.append(True, (x["doc"][1:] != x["doc"][:-1]) | (x["h"][1:] != x["h"][:-1])))
-    counts = np.diff(np.append(new, len(x["doc"])))
-    head = np.array([settled, len(new), len(x["doc"])], "<u4").tobytes()
-    parts = [_planes(x[f][new].view(np.uint64) if f == "doc" else x[f][new], w) for f, w in _FIELDS]
-    return b"".join([head, *parts, _planes(counts, 4), *(_planes(x[f], w) for f, w in entry)])
+def _places(at: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each item of parts of these sizes that begin at these places: its place, and the size of its part."""
+    return np.repeat(at - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum()), np.repeat(sizes, sizes)
+
 
+def _pack(x: dict[str, np.ndarray], bounds: np.ndarray, entry=_ENTRY) -> pa.Array:
+    """Rows as bytes, a message for each bounds[i]:bounds[i + 1], all made in one pass; rows of one document beside each other name it once.
 
-def _unpack(data: bytes, entry=_ENTRY) -> tuple[bool, dict[str, np.ndarray]]:
-    settled, n_docs, n = map(int, np.frombuffer(data, "<u4", 3))
-    at, heads, x = 12, {}, {}
-    for f, w in (*_FIELDS, ("count", 4)):
-        heads[f] = _unplanes(data, at, n_docs, w)
-        at += n_docs * w
-    for f, w in entry:
-        x[f] = _unplanes(data, at, n, w)
-        at += n * w
-    counts = heads["count"].astype(np.int64)
-    return bool(settled), x | {"doc": np.repeat(heads["doc"].view(np.int64), counts), "h": np.repeat(heads["h"], counts)}
+    Numbers of a message are laid down byte place by byte place, so that compression sees like with like.
+    """
+    sizes = np.diff(bounds)
+    if not len(sizes):
+        return pa.array([], pa.binary())
+    new = np.append(True, (x["doc"][1:] != x["doc"][:-1]) | (x["h"][1:] != x["h"][:-1]))
+    new[bounds[:-1]] = True
+    heads = np.flatnonzero(new)
+    docs = np.diff(np.searchsorted(heads, bounds))
+    counts = np.diff(np.append(heads, len(new)))
+    ends = np.cumsum(8 + docs * 16 + sizes * sum(w for _, w in entry))
+    at = ends - np.diff(ends, prepend=0)
+    out = np.empty(ends[-1], np.uint8)
+    out[at[:, None] + np.arange(8)] = np.stack([docs, sizes], 1).astype("<u4").view(np.uint8)
+    at = at + 8
+    for values, width, n in [*((x[f][heads], w, docs) for f, w in _FIELDS), (counts, 4, docs), *((x[f], w, sizes) for f, w in entry)]:
+        place, step = _places(at, n)
+        low = values.astype(f"<u{8 if width > 4 else 4}").view(np.uint8).reshape(len(values), -1)
+        for k in range(width):
+            out[place] = low[:, k]
+            place += step
+        at = at + n * width
+    return binary_rows(out, np.append(0, ends))
+
+
+def _unpack(data: pa.Array, entry=_ENTRY) -> tuple[dict[str, np.ndarray], np.ndarray]:
+    """The rows of such messages, and how many each message has."""
+    packed, offsets = flat(pa.RecordBatch.from_arrays([data], ["text"]))
+    at = offsets[:-1]
+    docs, sizes = packed[at[:, None] + np.arange(8)].view("<u4").astype(np.int64).T if len(at) else np.zeros((2, 0), np.int64)
+    at, x = at + 8, {}
+    for f, width, n in [*((f, w, docs) for f, w in _FIELDS), ("count", 4, docs), *((f, w, sizes) for f, w in entry)]:
+        place, step = _places(at, n)
+        kind = np.dtype(_KINDS.get(f, np.uint32))
+        out = np.zeros((len(place), kind.itemsize), np.uint8)
+        for k in range(width):
+            out[:, k] = packed[place]
+            place += step
+        x[f], at = out.view(kind.newbyteorder("<")).reshape(-1), at + n * width
+    counts = x.pop("count").astype(np.int64)
+    return x | {f: np.repeat(x[f], counts) for f, _ in _FIELDS}, sizes
 
 
 def _joined(many: list[dict]) -> dict[str, np.ndarray]:
@@ -189,14 +209,27 @@ def _groups(*keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
-def _earliest(x: dict, *keys: str) -> tuple[dict, np.ndarray]:
-    """Sorted by keys, then document, its text and place; for each row whether an earlier document has its keys."""
-    x = _take(x, np.lexsort((x["s"], x["h"], x["doc"], *(x[k] for k in reversed(keys)))))
-    starts = _groups(*(x[k] for k in keys))
+def _both(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Two columns of 32 bits as one."""
+    return a.astype(np.uint64) << _U(32) | b
+
+
+def _earliest(x: dict) -> tuple[dict, np.ndarray]:
+    """Runs sorted by anchor and content, then document, its text and place; for each whether an earlier document has its anchor and content."""
+    x = _take(x, np.lexsort((_both(x["h"], x["s"]), x["doc"], _both(x["c"], x["n"]), x["m"])))
+    starts = _groups(x["m"], x["c"], x["n"])
     least = np.repeat(x["doc"][starts], np.diff(np.append(starts, len(x["doc"]))))
     return x, x["doc"] > least
 
 
+def _shared(m: np.ndarray) -> np.ndarray:
+    """Which rows have an anchor that others have, by anchor."""
+    order = np.argsort(m)
+    starts = _groups(m[order])
+    counts = np.diff(np.append(starts, len(order)))
+    return order[np.repeat(counts > 1, counts)]
+
+
 def _marked(x: dict, kind: int) -> dict:
     return x | {"k": np.full(len(x["doc"]), kind, np.uint8)}
 
@@ -208,16 +241,15 @@ def _dealt(doc_id, n: int):
 def _by_block(x: dict, blocks: int, entry=_TELL) -> pa.RecordBatch:
     """What documents are told, or claims on them, a row for each block that holds some of them: block, data, kind."""
     block = np.mod(x["doc"], blocks)
-    within = (x["s"], x["shift"], x["th"], x["td"]) if entry is _CLAIM else (x["s"],)
-    x = _take(x, np.lexsort((*within, x["h"], x["doc"], block)))
-    block = np.sort(block)
-    starts = np.append(_groups(block), len(block))
-    data = [_pack(_take(x, slice(a, b)), False, entry) for a, b in zip(starts[:-1], starts[1:], strict=True)]
-    return _messages(block[starts[:-1]], data, CLAIMS if entry is _CLAIM else TOLD)
+    # rows of one document come together, in whatever order
+    order = np.argsort(block.astype(np.uint64) << _U(32) | mixed(x["doc"].astype(np.uint64) * _U(_BASE) + x["h"]) >> _U(32))
+    block = block[order]
+    bounds = np.append(_groups(block), len(block))
+    return _messages(block[bounds[:-1]], _pack(_take(x, order), bounds, entry), CLAIMS if entry is _CLAIM else TOLD)
 
 
 def _messages(block, data, kind: int) -> pa.RecordBatch:
-    arrays = [pa.array(block, pa.int32()), pa.array(data, pa.binary()), pa.array([kind] * len(data), pa.int32())]
+    arrays = [pa.array(block, pa.int32()), data if isinstance(data, pa.Array) else pa.array(data, pa.binary()), pa.array([kind] * len(data), pa.int32())]
     return pa.RecordBatch.from_arrays(arrays, ["block", "data", "kind"])
 
 
@@ -241,22 +273,21 @@ def _send(length: int, anchor: int, buckets: int, bits: int):
     """Texts to runs by bucket of their anchor. Of equal runs met here, all but the earliest are settled at once, their bytes compared."""
 
     def flush(held, buffers):
-        x, covered = _earliest(_joined(held), "m", "c", "n")
-        p, first = x.pop("p"), _groups(x["m"], x["c"], x["n"])
-        source = np.repeat(p[first], np.diff(np.append(first, len(p))))
-        which = np.flatnonzero(covered)
-        covered[which] = _same_bytes(np.concatenate(buffers), p[which], source[which], x["n"][which].astype(np.int64) + length)
-        for settled, part in ((False, _take(x, ~covered)), (True, _take(x, covered))):
-            bucket = (part["m"] >> _LOW) % _U(buckets)
-            part = _take(part, np.lexsort((part["s"], part["h"], part["doc"], bucket)))
-            bucket = np.sort(bucket)
-            starts = np.append(_groups(bucket), len(bucket)) if len(bucket) else [0]
-            for a, b in zip(starts[:-1], starts[1:], strict=True):
-                yield int(bucket[a]), _pack(_take(part, slice(a, b)), settled)
-
-    def batch_of(rows):
-        rows = list(rows)
-        return pa.RecordBatch.from_arrays([pa.array([b for b, _ in rows], pa.int32()), pa.array([d for _, d in rows], pa.binary())], ["bucket", "data"])
+        x = _joined(held)
+        p, settled = x.pop("p"), np.zeros(len(x["m"]), bool)
+        which = _shared(x["m"])
+        if len(which):
+            some, covered = _earliest({**_take(x, which), "row": which})
+            first = _groups(some["m"], some["c"], some["n"])
+            source = np.repeat(some["row"][first], np.diff(np.append(first, len(which))))[covered]
+            which = some["row"][covered]
+            settled[which] = _same_bytes(np.concatenate(buffers), p[which], p[source], x["n"][which].astype(np.int64) + length)
+        x["n"] = x["n"] << 1 | settled
+        bucket = (x["m"] >> _LOW) % _U(buckets)
+        order = np.argsort(bucket.astype(np.uint16 if buckets < 1 << 16 else np.uint32), kind="stable")  # text by text within a bucket
+        bucket = bucket[order]
+        bounds = np.append(_groups(bucket), len(bucket))
+        return pa.RecordBatch.from_arrays([pa.array(bucket[bounds[:-1]].astype(np.int32)), _pack(_take(x, order), bounds)], ["bucket", "data"])
 
     def run(batches):
         held, buffers, size = [], [], 0
@@ -266,58 +297,64 @@ def _send(length: int, anchor: int, buckets: int, bits: int):
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
             h = batch.column("h").to_numpy(zero_copy_only=False).view(np.uint32)
             if len(which):
-                held.append({"doc": ids[which], "h": h[which].astype(np.uint64), "s": s.astype(np.uint64), "n": n.astype(np.uint64), "m": m, "c": c & _U((1 << 32) - 1), "p": size + offsets[which] + s})
+                held.append({"doc": ids[which], "h": h[which], "s": s.astype(np.uint32), "n": n.astype(np.uint32), "m": m, "c": c.astype(np.uint32), "p": size + offsets[which] + s})
             buffers.append(buffer)
             if (size := size + len(buffer)) >= COMBINE_BYTES and held:
-                yield batch_of(flush(held, buffers))
+                yield flush(held, buffers)
                 held, buffers, size = [], [], 0
-        yield batch_of(flush(held, buffers) if held else [])
+        if held:
+            yield flush(held, buffers)
 
     return run
 
 
 def _meet(blocks: int, wide: int):
-    return lambda batches: _met(batches, blocks, wide)
+    """Runs of whole buckets, one bucket at a time."""
 
+    def run(batches):
+        held: dict[int, list[pa.Array]] = {}
+        for batch in batches:
+            own = batch.column("bucket").to_numpy()
+            for bucket in np.unique(own).tolist():
+                held.setdefault(bucket, []).append(batch.column("data").filter(pa.array(own == bucket)))
+        while held:
+            bucket, data = held.popitem()
+            x, _ = _unpack(pa.concat_arrays(data))
+            x["m"] |= _U(bucket) << _LOW
+            yield from _met(x, blocks, wide)
+        yield _NOTHING
 
-def _met(batches, blocks: int, wide: int):
-    """Runs of whole buckets: those that an earlier document seems to have are claimed from it, those that only share an anchor stay open.
+    return run
+
+
+def _met(x: dict, blocks: int, wide: int):
+    """Runs of a bucket: those that an earlier document seems to have are claimed from it, those that only share an anchor stay open.
 
     Of the documents that have a run, each claims it from one before it, FAN_OUT of them from one. Of equal runs all in the earliest document stay open: its repeats lose as much as the first of them.
     """
-    held, done = [], []
-    for batch in batches:
-        for bucket, data in zip(batch.column("bucket").to_pylist(), batch.column("data").to_pylist(), strict=True):
-            settled, x = _unpack(data)
-            x["m"] |= _U(bucket) << _LOW
-            (done if settled else held).append(x)
-    out = [_marked(_joined(done), SETTLED)] if done else []
-    if held:
-        x = _joined(held)
-        held.clear()
-        order = np.argsort(x["m"])
-        starts = _groups(x["m"][order])
-        counts = np.diff(np.append(starts, len(order)))
-        x = _take(x, order[np.repeat(counts > 1, counts)])
-        if len(x["m"]):
-            x, covered = _earliest(x, "m", "c", "n")
-            first = np.zeros(len(covered), bool)
-            first[_groups(x["m"], x["c"], x["n"])] = True
-            starts = _groups(x["m"])
-            counts = np.diff(np.append(starts, len(first)))
-            contents = np.add.reduceat(first.astype(np.int64), starts)
-            mixed_docs = np.minimum.reduceat(x["doc"], starts) != np.maximum.reduceat(x["doc"], starts)
-            once = np.zeros(len(covered), bool)  # equal rows tell the same
-            once[_groups(x["m"], x["c"], x["n"], x["doc"], x["h"], x["s"])] = True
-            # the first document's other runs of the same hashes are held against its first, unless all of them are open anyway
-            again = ~covered & once & ~first & np.repeat(mixed_docs & (contents == 1), counts)
-            claims = _claims(x, covered | again, np.repeat(np.where(contents > wide, WIDE, OPEN), counts))
-            if len(claims["doc"]):
-                yield _by_block(claims, blocks, _CLAIM)
-            for kind, some in ((OPEN, (contents > 1) & (contents <= wide)), (WIDE, contents > wide)):
-                out.append(_marked(_take(x, ~covered & once & np.repeat(some & mixed_docs, counts)), kind))
-    out = [x for x in out if len(x["doc"])]
-    yield _by_block(_joined([{k: x[k] for k in ("doc", "h", "s", "n", "m", "k")} for x in out]), blocks) if out else _NOTHING
+    settled = (x["n"] & 1).astype(bool)
+    x["n"] >>= 1
+    told = ("doc", "h", "s", "n", "m", "k")
+    out = [_marked({k: x[k][settled] for k in told[:-1]}, SETTLED)]
+    x = _take(x, ~settled) if settled.any() else x
+    x = _take(x, _shared(x["m"]))
+    if len(x["m"]):
+        x, covered = _earliest(x)
+        first = np.zeros(len(covered), bool)
+        first[_groups(x["m"], x["c"], x["n"])] = True
+        starts = _groups(x["m"])
+        counts = np.diff(np.append(starts, len(first)))
+        contents = np.add.reduceat(first.astype(np.int64), starts)
+        mixed_docs = np.minimum.reduceat(x["doc"], starts) != np.maximum.reduceat(x["doc"], starts)
+        once = np.zeros(len(covered), bool)  # equal rows tell the same
+        once[_groups(x["m"], x["c"], x["n"], x["doc"], x["h"], x["s"])] = True
+        # the first document's other runs of the same hashes are held against its first, unless all of them are open anyway
+        again = ~covered & once & ~first & np.repeat(mixed_docs & (contents == 1), counts)
+        claims = _claims(x, covered | again, np.repeat(np.where(contents > wide, WIDE, OPEN), counts))
+        yield _by_block(claims, blocks, _CLAIM)
+        for kind, some in ((OPEN, (contents > 1) & (contents <= wide)), (WIDE, contents > wide)):
+            out.append(_marked({k: v[~covered & once & np.repeat(some & mixed_docs, counts)] for k, v in x.items() if k in told}, kind))
+    yield _by_block(_joined(out), blocks)
 
 
 def _claims(x: dict, covered: np.ndarray, kind: np.ndarray) -> dict:
@@ -330,46 +367,97 @@ def _claims(x: dict, covered: np.ndarray, kind: np.ndarray) -> dict:
     nth = np.cumsum(nth) - 1  # of all those documents
     first = np.repeat(nth[classes], sizes)
     source = docs[first + (nth - first) // FAN_OUT][covered]
-    shift = (x["s"][covered] - x["s"][source]) & _U(0xFFFFFFFF)
-    named = {"td": x["doc"][covered].view(np.uint64), "th": x["h"][covered], "shift": shift, "k": kind[covered].astype(np.uint8), "n": x["n"][covered]}
+    shift = x["s"][covered] - x["s"][source]  # modulo 2^32
+    named = {"td": x["doc"][covered], "th": x["h"][covered], "shift": shift, "k": kind[covered].astype(np.uint8), "n": x["n"][covered]}
     return {k: x[k][source] for k in ("doc", "h", "s")} | named
 
 
+def _of_kind(got: pa.Table, kind: int) -> pa.Array:
+    """The messages of one kind."""
+    return got.filter(pc.equal(got.column("kind"), kind)).column("data").combine_chunks()
+
+
 def _answers(length: int, blocks: int):
-    """Claims on documents of a block to the bytes of the runs, in stretches, for the blocks that claim them: compressed tables of doc_id, h, s, data, source (its doc_id, h, s), runs (s, n, k). What the block is told stays."""
+    """Claims on documents of a block to the bytes of the runs, in stretches, for the blocks that claim them (see _sent). What the block is told stays."""
 
     def run(blobs, got):
-        yields = [(got.column("block")[0].as_py(), d, TOLD) for d, k in zip(got.column("data").to_pylist(), got.column("kind").to_pylist(), strict=True) if k == TOLD] if got.num_rows else []
-        claimed = [_unpack(d, _CLAIM)[1] for d, k in zip(got.column("data").to_pylist(), got.column("kind").to_pylist(), strict=True) if k == CLAIMS] if got.num_rows else []
-        if claimed:
-            known, rows = _by_document(_joined(claimed)), {}
+        claims, _ = _unpack(_of_kind(got, CLAIMS), _CLAIM)
+        out = [got.filter(pc.equal(got.column("kind"), TOLD)).select(["block", "data", "kind"])]
+        if len(claims["doc"]):
+            x, known = _stretches(claims, length)
+            target, starts, ends = np.mod(x["td"], blocks).tolist(), x["s"].tolist(), x["end"].tolist()
+            rows, held = {}, 0
             for batch in batches_of(blobs, BATCH_BYTES):
                 for doc, h, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "h", "text")), strict=True):
-                    if (x := known.pop((doc, h), None)) is not None:
-                        for block, row in _stretches(doc, h, text, x, length, blocks):
-                            rows.setdefault(block, []).append(row)
-            yields += [(block, compressed(pa.Table.from_pylist(some, _BYTES)), BYTES) for block, some in rows.items()]
-        return pa.Table.from_batches([_messages([b for b, _, _ in yields], [d for _, d, _ in yields], TOLD).set_column(2, "kind", pa.array([k for _, _, k in yields], pa.int32()))])
+                    for i in known.pop((doc, h), ()):
+                        rows.setdefault(target[i], []).append((i, text[starts[i] : ends[i]]))
+                        held += ends[i] - starts[i]
+                if held >= SEND_BYTES:
+                    out.append(pa.Table.from_batches([_messages(list(rows), [_sent(x, some) for some in rows.values()], BYTES)]))
+                    rows, held = {}, 0
+            out.append(pa.Table.from_batches([_messages(list(rows), [_sent(x, some) for some in rows.values()], BYTES)]))
+        return pa.concat_tables(t.cast(_NOTHING.schema) for t in out)
 
     return run
 
 
-_RUNS = pa.list_(pa.int64())
-_BYTES = pa.schema([("doc", pa.int64()), ("h", pa.int32()), ("s", pa.int64()), ("data", pa.binary()), ("e", pa.int64()), ("eh", pa.int32()), ("es", pa.int64()), ("at", _RUNS), ("n", _RUNS), ("k", _RUNS)])
+def _stretches(claims: dict, length: int) -> tuple[dict, dict[tuple[int, int], list[int]]]:
+    """The claims on a block as stretches (doc, h, s, end, and for whom) of runs that follow each other in both documents, with their runs; those of each document."""
+    parties = ("doc", "h", "td", "th", "shift")
+    key = np.zeros(len(claims["doc"]), np.uint64)
+    for f in parties:
+        key = mixed(key * _U(_BASE) + claims[f].astype(np.uint64))
+    # claims of one pair and shift come together, by place; where two pairs share these 32 bits, their stretches are shorter
+    c = _take(claims, np.argsort(_both(key >> _U(32), claims["s"])))
+    s, n = c["s"].astype(np.int64), c["n"].astype(np.int64)
+    new = np.append(True, s[1:] > (s + n)[:-1] + length)
+    for f in parties:
+        new[1:] |= c[f][1:] != c[f][:-1]
+    begin = np.flatnonzero(new)
+    bounds = np.append(begin, len(s))
+    gap = s - np.append(0, (s + n + 1)[:-1])  # between a run and the one before it
+    gap[begin] = 0
+    x = {"doc": c["doc"][begin], "h": c["h"][begin].view(np.int32), "s": s[begin], "end": np.maximum.reduceat(s + n, begin) + length}
+    x |= {"td": c["td"][begin], "th": c["th"][begin].view(np.int32), "shift": c["shift"][begin].view(np.int32), "bounds": bounds, "gap": gap, "n": n, "k": c["k"]}
+    known: dict[tuple[int, int], list[int]] = {}
+    for i, name in enumerate(zip(x["doc"].tolist(), x["h"].tolist(), strict=True)):
+        known.setdefault(name, []).append(i)
+    return x, known
+
+
+def _sent(x: dict, rows: list[tuple[int, bytes]]) -> bytes:
+    """Stretches and their bytes for one block, compressed: whose they are to be (doc, h, s), whose they are (doc, h, s), and their runs."""
+    which = np.array([i for i, _ in rows])
+    sizes = np.diff(x["bounds"])[which]
+    runs, _ = _places(x["bounds"][which], sizes)
+    names = [x["td"], x["th"], x["s"] + x["shift"], x["doc"], x["h"], x["s"]]
+    head = np.stack([*(a[which].astype(np.int64) for a in names), np.array([len(t) for _, t in rows]), sizes])
+    parts = [np.array(head.shape[1], "<i8"), head.astype("<i8"), x["gap"][runs].astype("<i4"), x["n"][runs].astype("<i4"), x["k"][runs]]
+    data = b"".join([*(a.tobytes() for a in parts), *(t for _, t in rows)])
+    return len(data).to_bytes(8, "little") + pa.compress(data, "zstd", asbytes=True)
+
+
+def _sent_bytes(messages: pa.Array) -> dict[tuple[int, int], list[tuple]]:
+    """The stretches that earlier documents sent, by the document (doc_id, h) that they are for: s, bytes, the earlier document's (doc_id, h, s), and its runs."""
+    out: dict[tuple[int, int], list[tuple]] = {}
+    for message in messages.to_pylist():
+        data = pa.decompress(memoryview(message)[8:], int.from_bytes(message[:8], "little"), "zstd", asbytes=True)
+        n = int(np.frombuffer(data, "<i8", 1)[0])
+        head = np.frombuffer(data, "<i8", 8 * n, 8).reshape(8, n)
+        runs, at = int(head[7].sum()), 8 + 64 * n
+        gap, after = np.frombuffer(data, "<i4", 2 * runs, at).reshape(2, runs)
+        kind = np.frombuffer(data, np.uint8, runs, at + 8 * runs)
+        ends, last = at + 9 * runs + np.cumsum(head[6]), np.cumsum(head[7])
+        for td, th, s, doc, h, es, size, count, end, stop in zip(*head.tolist(), ends.tolist(), last.tolist(), strict=True):
+            own = slice(stop - count, stop)
+            out.setdefault((td, th), []).append((s, data[end - size : end], (doc, h, es), (gap[own], after[own], kind[own])))
+    return out
 
 
-def _stretches(doc: int, h: int, text: bytes, x: dict, length: int, blocks: int):
-    """The claims on one document as stretches of runs that follow each other in both documents."""
-    shift = x["shift"].astype(np.uint32).view(np.int32).astype(np.int64)
-    td, th, s, n = x["td"].view(np.int64), x["th"].astype(np.uint32).view(np.int32), x["s"].astype(np.int64), x["n"].astype(np.int64)
-    order = np.lexsort((s, shift, th, td))
-    td, th, s, n, shift, kind = td[order], th[order], s[order], n[order], shift[order], x["k"][order].astype(np.int64)
-    new = np.append(True, (td[1:] != td[:-1]) | (th[1:] != th[:-1]) | (shift[1:] != shift[:-1]) | (s[1:] > s[:-1] + n[:-1] + length))
-    bounds = np.append(np.flatnonzero(new), len(s)).tolist()
-    for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-        start, end = int(s[a]), int((s[a:b] + n[a:b]).max()) + length
-        own = int(shift[a])
-        yield int(td[a]) % blocks, {"doc": int(td[a]), "h": int(th[a]), "s": start + own, "data": text[start:end], "e": doc, "eh": h, "es": start, "at": (s[a:b] + own).tolist(), "n": n[a:b].tolist(), "k": kind[a:b].tolist()}
+def _runs_of(s: int, runs: tuple) -> zip:
+    """The runs (place, windows after the first, kind) of a stretch from s on."""
+    gap, after, kind = (a.astype(np.int64) for a in runs)
+    return zip((s + np.cumsum(gap) + np.cumsum(after + 1) - after - 1).tolist(), after.tolist(), kind.tolist(), strict=True)
 
 
 def _by_document(x: dict) -> dict[tuple[int, int], dict]:
@@ -381,28 +469,20 @@ def _by_document(x: dict) -> dict[tuple[int, int], dict]:
     return {name: _take(x, slice(a, b)) for name, a, b in zip(names, bounds[:-1], bounds[1:], strict=True)}
 
 
-def _told(told: pa.Table) -> dict[tuple[int, int], dict]:
-    """The runs of each document (doc_id, h) that the rows of its block tell of."""
-    told = told.filter(pc.equal(told.column("kind"), TOLD))
-    if not told.num_rows:
-        return {}
-    return _by_document(_joined([_unpack(data, _TELL)[1] for data in told.column("data").to_pylist()]))
-
-
-def _sent_bytes(got: pa.Table) -> dict[tuple[int, int], list[dict]]:
-    """The stretches that earlier documents sent, by the document (doc_id, h) that they are for."""
-    out: dict[tuple[int, int], list[dict]] = {}
-    for data in got.filter(pc.equal(got.column("kind"), BYTES)).column("data"):
-        for row in pa.ipc.open_stream(data.as_buffer()).read_all().to_pylist():
-            out.setdefault((row["doc"], row["h"]), []).append(row)
-    return out
+def _told(told: pa.Table) -> dict[str, np.ndarray]:
+    """The runs that the rows of a block tell of."""
+    return _unpack(_of_kind(told, TOLD), _TELL)[0]
 
 
 def _settled(runs: list[tuple[int, int, int, int]]) -> dict:
     """Settled runs (doc, h, s, n)."""
     doc, h, s, n = np.array(runs, np.int64).reshape(-1, 4).T
-    x = {"doc": doc, "h": h.astype(np.int32).view(np.uint32).astype(np.uint64), "s": s.astype(np.uint64), "n": n.astype(np.uint64), "m": np.zeros(len(doc), np.uint64)}
-    return _marked(x, SETTLED)
+    return _marked(_alone(doc, h, s, n), SETTLED)
+
+
+def _alone(doc, h, s, n) -> dict:
+    """Runs without an anchor."""
+    return {"doc": doc, "h": h.astype(np.int32).view(np.uint32), "s": s.astype(np.uint32), "n": n.astype(np.uint32), "m": np.zeros(len(doc), np.uint64)}
 
 
 def _open_windows(length: int, anchor: int, buckets: int, blocks: int, bits: int):
@@ -414,11 +494,11 @@ def _open_windows(length: int, anchor: int, buckets: int, blocks: int, bits: int
     windows, under the window's own hash as anchor; of equal ones in a block those of later documents are settled at once.
     """
 
-    def unlike(row, at, own, other, kind, rows, wide):
+    def unlike(doc, h, at, own, earlier, other, kind, rows, wide):
         """A run of two documents that only agrees in its hashes."""
         m = int(anchored_runs(np.frombuffer(own, np.uint8), np.array([0, len(own)]), length, anchor, bits)[3][0])
         m = (m & int(_LOW_BITS)) | ((m >> int(_LOW)) % buckets) << int(_LOW)
-        for doc, h, s, text in ((row["doc"], row["h"], at, own), (row["e"], row["eh"], row["es"] + at - row["s"], other)):
+        for doc, h, s, text in ((doc, h, at, own), (*earlier, other)):
             if kind == WIDE:
                 places, windows = _each_window(text, np.array([0]), np.array([len(text) - length]), length)
                 wide.append((doc, h, places + s, windows))
@@ -427,24 +507,24 @@ def _open_windows(length: int, anchor: int, buckets: int, blocks: int, bits: int
                 rows.append((doc, h, [s], m64, text, m & SPREAD))
 
     def run(blobs, told):
-        known, rows, settled, alike, wide = _told(told), [], [], [], []
-        sent = _sent_bytes(told)
+        x, rows, alike, wide = _told(told), [], [], []
+        settled = [_take(x, x["k"] == SETTLED)]
+        known = _by_document(_take(x, x["k"] != SETTLED))
+        sent = _sent_bytes(_of_kind(told, BYTES))
         for batch in batches_of(blobs, BATCH_BYTES):
             for doc, h, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "h", "text")), strict=True):
-                for row in sent.pop((doc, h), ()):
-                    start, data = row["s"], row["data"]
+                for start, data, (e, eh, es), runs in sent.pop((doc, h), ()):
                     if text[start : start + len(data)] == data:
-                        alike += [(doc, h, start, len(data) - length)] if row["e"] != doc else []
+                        alike += [(doc, h, start, len(data) - length)] if e != doc else []
                         continue
-                    for at, n, kind in zip(row["at"], row["n"], row["k"], strict=True):
+                    for at, n, kind in _runs_of(start, runs):
                         own, other = text[at : at + n + length], data[at - start : at - start + n + length]
                         if own == other:
-                            alike += [(doc, h, at, n)] if row["e"] != doc else []
+                            alike += [(doc, h, at, n)] if e != doc else []
                         else:
-                            unlike(row, at, own, other, kind, rows, wide)
+                            unlike(doc, h, at, own, (e, eh, es + at - start), other, kind, rows, wide)
                 if (x := known.get((doc, h))) is not None:
                     here = x["k"] == OPEN
-                    settled.append(_take(x, x["k"] == SETTLED))
                     apart = x["k"] == WIDE
                     if apart.any():
                         wide.append((doc, h, *_each_window(text, x["s"][apart].astype(np.int64), x["n"][apart].astype(np.int64), length)))
@@ -456,10 +536,11 @@ def _open_windows(length: int, anchor: int, buckets: int, blocks: int, bits: int
             more, covered = _first_windows(wide)
             rows += more
             settled.append(_take(covered, np.mod(covered["doc"], blocks) == told.column("block")[0].as_py()))
-        settled = [x for x in (*settled, _settled(alike)) if len(x["doc"])]
-        if settled:
+        settled = _joined([*settled, _settled(alike)])
+        if len(settled["doc"]):
             block = told.column("block")[0].as_py()
-            rows.append((block, 0, None, None, _pack(_joined(settled), True, _TELL), block))
+            settled = _take(settled, np.lexsort((settled["h"], settled["doc"])))
+            rows.append((block, 0, None, None, _pack(settled, np.array([0, len(settled["doc"])]), _TELL)[0].as_py(), block))
         columns = list(zip(*rows, strict=True)) if rows else [[]] * 6
         kinds = (pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.int64(), pa.binary(), pa.int32())
         return pa.table([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "h", "s", "m", "text", "bucket"])
@@ -489,8 +570,7 @@ def _first_windows(wide: list[tuple]) -> tuple[list[tuple], dict]:
     which, doc, h, at, windows = which[order], doc[order], h[order], at[order], windows[order]
     starts = _groups(which)
     later = doc > np.repeat(doc[starts], np.diff(np.append(starts, len(which))))
-    x = {"doc": doc, "h": h.astype(np.int32).view(np.uint32).astype(np.uint64), "s": at.astype(np.uint64), "n": np.zeros(len(at), np.uint64), "m": np.zeros(len(at), np.uint64)}
-    covered = _marked(_take(x, later), SETTLED)
+    covered = _marked(_take(_alone(doc, h, at, np.zeros(len(at))), later), SETTLED)
     which, doc, h, at, windows = which[~later], doc[~later], h[~later], at[~later], windows[~later]
     flat_windows = np.ascontiguousarray(windows).ravel()
     hashes = Prefixes(flat_windows).of(*(np.arange(len(which) + 1)[i : len(which) + i] * windows.shape[1] for i in (0, 1)))
@@ -521,26 +601,43 @@ def exact_order(buffer: np.ndarray, at: np.ndarray, group: np.ndarray, most: int
 def beside(buffer: np.ndarray, at: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
     """For each suffix but the first, whether its ``most`` bytes are those of the one before, and whether they are less."""
     same, less = np.zeros(len(at), bool), np.zeros(len(at), bool)
-    for a in range(1, len(at), 1 << 15):
-        b = min(a + (1 << 15), len(at))
-        x, y = (buffer[at[i:j, None] + np.arange(most)] for i, j in ((a - 1, b - 1), (a, b)))
+    stretches = np.lib.stride_tricks.sliding_window_view(buffer, most)
+    for a in range(1, len(at), 1 << 12):
+        b = min(a + (1 << 12), len(at))
+        rows = stretches[at[a - 1 : b]]
+        x, y = rows[:-1], rows[1:]
         differ = x != y
         first, row = differ.argmax(1), np.arange(b - a)
-        same[a:b], less[a:b] = ~differ.any(1), y[row, first] < x[row, first]
+        same[a:b], less[a:b] = ~differ[row, first], y[row, first] < x[row, first]
     return same, less
 
 
+def shared_windows(prefixes: Prefixes, at: np.ndarray, length: int) -> np.ndarray:
+    """Which of these suffixes have the hash of their first bytes in common with another; no other can be equal to one."""
+    hashes = prefixes.raw(at, at + length)
+    order = np.argsort(hashes)
+    same = hashes[order[1:]] == hashes[order[:-1]]
+    out = np.zeros(len(at), bool)
+    out[order[1:][same]] = out[order[:-1][same]] = True
+    return out
+
+
 def suffix_sorted(prefixes: Prefixes, buffer: np.ndarray, at: np.ndarray, group: np.ndarray, most: int) -> np.ndarray:
     """The order of suffixes that begin at ``at`` by group, then by their first ``most`` bytes; equal ones stay in place.
 
-    A bottom-up mergesort of all groups at once: on each level every suffix finds its rank in the run beside
-    its own by binary search. Suffixes that differ in their first eight bytes are compared as numbers; any others by
-    their common extension and the byte after it. group is in order, ``most`` at least eight.
+    Of suffixes of a group whose first bytes have one hash, the first stands for all. These are sorted as numbers by their first eight bytes;
+    a bottom-up mergesort of those that agree there, all at once, does the rest: on each level every suffix finds its
+    rank in the run beside its own by binary search. Two are compared by their common extension and the byte after it.
+    group is in order, ``most`` at least eight.
     """
-    first = np.ndarray((max(0, len(buffer) - 7),), ">u8", buffer=np.ascontiguousarray(buffer), strides=(1,)).astype(np.uint64)[at]
-    starts = _groups(group)
+    whole = prefixes.raw(at, at + most)
+    alike = np.lexsort((whole, group))
+    heads = _groups(group[alike], whole[alike])
+    copies, at, group = np.diff(np.append(heads, len(at))), at[alike[heads]], group[alike[heads]]
+    first = np.ndarray((max(0, len(buffer) - 7),), ">u8", buffer=np.ascontiguousarray(buffer), strides=(1,))[at].astype(np.uint64)
+    order = np.lexsort((first, group))
+    starts = _groups(group[order], first[order])
     sizes = np.diff(np.append(starts, len(group)))
-    order = np.arange(len(at))
     base, size = np.repeat(starts, sizes), np.repeat(sizes, sizes)
     width = 1
     while width < sizes.max(initial=0):
@@ -549,30 +646,24 @@ def suffix_sorted(prefixes: Prefixes, buffer: np.ndarray, at: np.ndarray, group:
         run = place // width
         beside = (run ^ 1) * width
         there = np.clip(size[here] - beside, 0, width)
-        own, begin, odd = order[here], base[here] + beside, (run & 1).astype(bool)
+        own, begin = order[here], base[here] + beside
         low, high = np.zeros(len(here), np.int64), there.copy()
         while len(todo := np.flatnonzero(low < high)):
             middle = (low[todo] + high[todo]) >> 1
-            mine, other = own[todo], order[begin[todo] + middle]
-            x, y = first[mine], first[other]
-            after = y < x
-            tie = np.flatnonzero(x == y)
-            if len(tie):
-                a, b = at[mine[tie]], at[other[tie]]
-                agree = common_extension(prefixes, a, b, most, 8)
-                last = np.minimum(agree, most - 1)
-                after[tie] = np.where(agree == most, odd[todo[tie]], buffer[b + last] < buffer[a + last])
+            a, b = at[own[todo]], at[order[begin[todo] + middle]]
+            last = np.minimum(common_extension(prefixes, a, b, most, 8), most - 1)
+            after = buffer[b + last] < buffer[a + last]
             low[todo], high[todo] = np.where(after, middle + 1, low[todo]), np.where(after, high[todo], middle)
         merged = order.copy()
         merged[base[here] + (run >> 1) * 2 * width + place % width + low] = order[here]
         order, width = merged, 2 * width
-    return order
+    return alike[_places(heads[order], copies[order])[0]]
 
 
 def _sort_windows(length: int, blocks: int, bits: int):
     """Open runs of whole buckets: sort their windows as suffixes within each anchor, verify the order and equal ones by their bytes, and tell later documents.
 
-    Where bytes say otherwise than hashes did, bytes sort. Settled runs pass through.
+    Windows whose hash no other has are left out, as none can be equal to them. Where bytes say otherwise than hashes did, bytes sort. Settled runs pass through.
     """
 
     def run(batches):
@@ -599,19 +690,23 @@ def _sort_windows(length: int, blocks: int, bits: int):
             part, bounds = buffer[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
             row, off = _windows(bounds, length)
             at = bounds[row] + off
-            prefixes, group = Prefixes(part, bits), anchors[lo + row]
+            prefixes = Prefixes(part, bits)
+            shared = shared_windows(prefixes, at, length)
+            row, off, at = row[shared], off[shared], at[shared]
+            group = anchors[lo + row]
             order = suffix_sorted(prefixes, part, at, group, length)
             alike, less = beside(part, at[order], length)
-            if (less[1:] & (group[order[1:]] == group[order[:-1]])).any() or (np.bincount(order, minlength=len(order)) != 1).any():
+            if (less[1:] & (group[order[1:]] == group[order[:-1]])).any() or (np.bincount(order, minlength=len(at)) != 1).any():
                 order = exact_order(part, at, group, length)
                 alike, _ = beside(part, at[order], length)
             alike[1:] &= group[order[1:]] == group[order[:-1]]
             at, off, own = at[order], off[order], lo + row[order]
-            begin = np.flatnonzero(~alike)
-            counts = np.diff(np.append(begin, len(at)))
-            which = np.flatnonzero(ids[own] > np.repeat(np.minimum.reduceat(ids[own], begin), counts))
-            out.append({"row": own[which], "off": off[which]})
             lo = hi
+            if len(at):
+                begin = np.flatnonzero(~alike)
+                counts = np.diff(np.append(begin, len(at)))
+                which = np.flatnonzero(ids[own] > np.repeat(np.minimum.reduceat(ids[own], begin), counts))
+                out.append({"row": own[which], "off": off[which]})
         x = _joined(out) if out else {"row": []}
         if not len(x["row"]):
             yield _NOTHING
@@ -622,12 +717,11 @@ def _sort_windows(length: int, blocks: int, bits: int):
         row, times = x["row"][begin], copies[x["row"][begin]]
         place = np.repeat(first[row] - np.cumsum(times) + times, times) + np.arange(times.sum())
         row, at, n = np.repeat(row, times), s[place] + np.repeat(x["off"][begin], times), np.repeat(n, times)
-        x = {"doc": ids[row], "h": h[row].view(np.uint32).astype(np.uint64), "s": at, "n": n}
+        x = {"doc": ids[row], "h": h[row].view(np.uint32), "s": at, "n": n}
         x = _take(x, np.lexsort((x["s"], x["h"], x["doc"])))
         begin = np.flatnonzero(np.append(True, (np.diff(x["doc"]) != 0) | (np.diff(x["h"].astype(np.int64)) != 0) | (x["s"][1:] > (x["s"] + x["n"])[:-1] + 1)))
         n = np.maximum.reduceat(x["s"] + x["n"], begin) - x["s"][begin]
-        x = _take(x, begin) | {"n": n.astype(np.uint64), "m": np.zeros(len(begin), np.uint64), "k": np.zeros(len(begin), np.uint8)}
-        yield _by_block(x | {"s": x["s"].astype(np.uint64)}, blocks)
+        yield _by_block(_marked(_alone(x["doc"][begin], x["h"][begin], x["s"][begin], n), SETTLED), blocks)
 
     return run
 
@@ -652,7 +746,7 @@ def removed_ranges(starts: np.ndarray, after: np.ndarray, length: int) -> list[t
 
 def _kept(length: int, with_text: bool):
     def run(blobs, told):
-        known, rows, ids = _told(told), [], []
+        known, rows, ids = _by_document(_told(told)), [], []
         for batch in batches_of(blobs, BATCH_BYTES):
             ids.append(batch.column("doc_id"))
             for doc, h, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "h", "text")), strict=True):
@@ -684,9 +778,10 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
     small_batches(docs.sparkSession)
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.hash(text).alias("h"), text.alias("text"))
-    buckets = n_parts(docs, "text", BUCKET_BYTES)
+    total = held_bytes(docs, "text")
+    buckets = parts_of(total, BUCKET_BYTES)
     some = own.filter(F.col("doc_id").isNotNull() & (F.octet_length("text") >= length))
-    blocks, n = in_blocks(own, OWN_BLOCK_BYTES, _dealt)
+    blocks, n = in_blocks(own, OWN_BLOCK_BYTES, _dealt, total)
     message = "block int, data binary, kind int"
     sent = some.mapInArrow(_send(length, anchor, buckets, bits), "bucket int, data binary")
     met = sent.repartition(buckets, "bucket").mapInArrow(_meet(n, wide), message)

@@ -6,11 +6,13 @@ import re
 import string
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
 from specweave.llm import chat, components, decontamination, kneser_ney, language_id, mixing, nearest, pii, quality, simhash, suffix_dedup, url_filter
+from specweave.llm.common import flat, held_bytes
 
 DOCS = "doc_id long, text string, lang string, source string"
 
@@ -755,3 +757,58 @@ def test_repeats_are_met_in_blocks_of_their_own_size(spark, monkeypatch):
     whole = sorted(map(tuple, suffix_dedup.remove_repeats(docs).collect()))
     monkeypatch.setattr(suffix_dedup, "OWN_BLOCK_BYTES", 2_000)
     assert sorted(map(tuple, suffix_dedup.remove_repeats(docs).collect())) == whole and any(r[2] for r in whole)
+
+
+def test_suffixes_of_one_text_are_compared_once_however_many_they_are(monkeypatch):
+    rng = np.random.default_rng(4)
+    lines = rng.integers(97, 100, (6, 60), dtype=np.uint8)
+    lines[:, :8] = 97  # they agree in their first bytes
+    buffer = lines[rng.integers(0, 6, 5_000)].ravel()
+    at, group = np.arange(0, len(buffer), 60), np.repeat([3, 9], 2_500)
+    pairs, extension = [], suffix_dedup.common_extension
+    monkeypatch.setattr(suffix_dedup, "common_extension", lambda p, a, *more: (pairs.append(len(a)), extension(p, a, *more))[1])
+    order = suffix_dedup.suffix_sorted(suffix_dedup.Prefixes(buffer), buffer, at, group, 50)
+    assert order.tolist() == suffix_dedup.exact_order(buffer, at, group, 50).tolist()
+    assert 0 < sum(pairs) < 200  # of six lines in two groups; 10,000 and more if each copy is compared
+
+
+def test_runs_go_to_a_bucket_in_one_message_and_come_back_as_they_were(spark):
+    rng = random.Random(6)
+    line = "".join(rng.choices("abcdefgh", k=90))
+    ids = [-(2**63), -5, 0, 7, 2**40, 2**63 - 1]
+    rows = [(i, "".join(rng.choices("abcdefgh", k=300)) + line + f" end {k}") for k, i in enumerate(ids)]
+    got = sorted(map(tuple, suffix_dedup.remove_repeats(docs(spark, rows)).collect()), key=str)
+    assert got == brute_repeats(rows, 50) and sum(r[2] > 0 for r in got) == len(ids) - 1
+    text = pa.array([t.encode() for _, t in rows], pa.binary())
+    batch = pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([3, -4, 5, -6, 7, -8], pa.int32()), text], ["doc_id", "h", "text"])
+    sent = list(suffix_dedup._send(50, 24, 3, 64)(iter([batch])))
+    assert [b.column("bucket").to_pylist() for b in sent] == [[0, 1, 2]]  # settled runs among the others
+    x, sizes = suffix_dedup._unpack(sent[0].column("data"))
+    runs = suffix_dedup.anchored_runs(*flat(batch))
+    assert sizes.sum() == len(runs[0]) and (x["n"] & 1).sum() > 0
+    whose = np.array(ids)[runs[0]]
+    assert sorted(zip(x["doc"].tolist(), x["s"].tolist(), (x["n"] >> 1).tolist(), x["c"].tolist())) == sorted(zip(whose.tolist(), runs[1].tolist(), runs[2].tolist(), (runs[4] & np.uint64(2**32 - 1)).tolist()))
+
+
+def test_texts_are_measured_once_for_buckets_and_blocks(spark):
+    table, sc = docs(spark, [(i, f"text {i} " * 20) for i in range(20)]), spark.sparkContext
+    jobs = []
+    for name, f in (("size", lambda: held_bytes(table, "text")), ("plan", lambda: suffix_dedup.remove_repeats(table))):
+        sc.setJobGroup(f"measured {name}", name)
+        f()
+        jobs.append(len(sc.statusTracker().getJobIdsForGroup(f"measured {name}")))
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs[0] == jobs[1] > 0
+
+
+def test_stretches_that_differ_are_compared_run_by_run():
+    text = bytes(range(97, 122)) * 12
+    claims = {"doc": np.array([4, 4, 4, 4, 9]), "h": np.array([1, 1, 1, 1, 2], np.uint32), "s": np.array([40, 10, 25, 200, 0], np.uint32), "n": np.array([5, 14, 14, 3, 2], np.uint32)}
+    claims |= {"td": np.array([6, 6, 6, 6, -6]), "th": np.array([8, 8, 8, 8, 2**32 - 1], np.uint32), "shift": np.array([-10, -10, -10, -10, 7]).astype(np.uint32), "k": np.array([0, 1, 2, 1, 1], np.uint8)}
+    x, known = suffix_dedup._stretches(claims, 50)
+    ends = {(4, 1): [(10, 95), (200, 253)], (9, 2): [(0, 52)]}
+    assert {name: sorted((int(x["s"][i]), int(x["end"][i])) for i in own) for name, own in known.items()} == ends
+    message = suffix_dedup._sent(x, [(i, text[x["s"][i] : x["end"][i]]) for i in range(3)])
+    got = suffix_dedup._sent_bytes(pa.array([message]))
+    told = {name: sorted((s, data, source, list(suffix_dedup._runs_of(s, runs))) for s, data, source, runs in own) for name, own in got.items()}
+    assert told == {(6, 8): [(0, text[10:95], (4, 1, 10), [(0, 14, 1), (15, 14, 2), (30, 5, 0)]), (190, text[200:253], (4, 1, 200), [(190, 3, 1)])], (-6, -1): [(7, text[0:52], (9, 2, 0), [(7, 2, 1)])]}
