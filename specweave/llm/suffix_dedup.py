@@ -134,10 +134,10 @@ def anchored_runs(buffer: np.ndarray, offsets: np.ndarray, length: int = LENGTH,
 _KINDS = {"doc": np.int64, "td": np.int64, "m": np.uint64, "k": np.uint8}
 _FIELDS = (("doc", 8), ("h", 4))
 #: Of an anchor's hash the bucket has the rest; n has a bit more, whether the run is settled.
-_ENTRY = (("m", 5), ("c", 4), ("s", 4), ("n", 4))
-_LOW, _LOW_BITS = _U(40), _U((1 << 40) - 1)
+_ENTRY = (("m", 4), ("c", 3), ("s", 4), ("n", 4))
+_LOW, _LOW_BITS = _U(32), _U((1 << 32) - 1)
 _TELL = (("s", 4), ("n", 4), ("m", 8), ("k", 1))
-#: A claim on a run (s, n) of this document by the run at s + shift of another (td, th); k is what becomes of both if bytes differ.
+#: A claim on a run (s, n) of this document by the run at s + shift of another (td; th is its h exclusive or this one's); k is what becomes of both if bytes differ.
 _CLAIM = (("s", 4), ("n", 4), ("k", 1), ("td", 8), ("th", 4), ("shift", 4))
 
 
@@ -149,7 +149,7 @@ def _places(at: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _pack(x: dict[str, np.ndarray], bounds: np.ndarray, entry=_ENTRY) -> pa.Array:
     """Rows as bytes, a message for each bounds[i]:bounds[i + 1], all made in one pass; rows of one document beside each other name it once.
 
-    Numbers of a message are laid down byte place by byte place, so that compression sees like with like.
+    Numbers of a message are laid down byte place by byte place, so that compression sees like with like; of doc_ids, the steps between them.
     """
     sizes = np.diff(bounds)
     if not len(sizes):
@@ -164,7 +164,11 @@ def _pack(x: dict[str, np.ndarray], bounds: np.ndarray, entry=_ENTRY) -> pa.Arra
     out = np.empty(ends[-1], np.uint8)
     out[at[:, None] + np.arange(8)] = np.stack([docs, sizes], 1).astype("<u4").view(np.uint8)
     at = at + 8
-    for values, width, n in [*((x[f][heads], w, docs) for f, w in _FIELDS), (counts, 4, docs), *((x[f], w, sizes) for f, w in entry)]:
+    steps = x["doc"][heads].astype(np.uint64)
+    steps[1:] -= steps[:-1].copy()
+    own = np.searchsorted(heads, bounds[:-1])
+    steps[own] = x["doc"][heads[own]].astype(np.uint64)
+    for values, width, n in [(steps, 8, docs), (x["h"][heads], 4, docs), (counts, 4, docs), *((x[f], w, sizes) for f, w in entry)]:
         place, step = _places(at, n)
         low = values.astype(f"<u{8 if width > 4 else 4}").view(np.uint8).reshape(len(values), -1)
         for k in range(width):
@@ -189,6 +193,9 @@ def _unpack(data: pa.Array, entry=_ENTRY) -> tuple[dict[str, np.ndarray], np.nda
             place += step
         x[f], at = out.view(kind.newbyteorder("<")).reshape(-1), at + n * width
     counts = x.pop("count").astype(np.int64)
+    begin = np.cumsum(docs) - docs  # doc_ids from their steps, modulo 2^64
+    sums = np.append(_U(0), np.cumsum(x["doc"].view(np.uint64)))
+    x["doc"] = (sums[1:] - np.repeat(sums[begin], docs)).view(np.int64)
     return x | {f: np.repeat(x[f], counts) for f, _ in _FIELDS}, sizes
 
 
@@ -241,8 +248,8 @@ def _dealt(doc_id, n: int):
 def _by_block(x: dict, blocks: int, entry=_TELL) -> pa.RecordBatch:
     """What documents are told, or claims on them, a row for each block that holds some of them: block, data, kind."""
     block = np.mod(x["doc"], blocks)
-    # rows of one document come together, in whatever order
-    order = np.argsort(block.astype(np.uint64) << _U(32) | mixed(x["doc"].astype(np.uint64) * _U(_BASE) + x["h"]) >> _U(32))
+    # rows of one document come together
+    order = np.argsort(block.astype(np.uint64) << _U(40) | (x["doc"] // blocks).astype(np.uint64) & _U((1 << 40) - 1))
     block = block[order]
     bounds = np.append(_groups(block), len(block))
     return _messages(block[bounds[:-1]], _pack(_take(x, order), bounds, entry), CLAIMS if entry is _CLAIM else TOLD)
@@ -297,7 +304,7 @@ def _send(length: int, anchor: int, buckets: int, bits: int):
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
             h = batch.column("h").to_numpy(zero_copy_only=False).view(np.uint32)
             if len(which):
-                held.append({"doc": ids[which], "h": h[which], "s": s.astype(np.uint32), "n": n.astype(np.uint32), "m": m, "c": c.astype(np.uint32), "p": size + offsets[which] + s})
+                held.append({"doc": ids[which], "h": h[which], "s": s.astype(np.uint32), "n": n.astype(np.uint32), "m": m, "c": c.astype(np.uint32) & np.uint32(0xFFFFFF), "p": size + offsets[which] + s})
             buffers.append(buffer)
             if (size := size + len(buffer)) >= COMBINE_BYTES and held:
                 yield flush(held, buffers)
@@ -368,7 +375,7 @@ def _claims(x: dict, covered: np.ndarray, kind: np.ndarray) -> dict:
     first = np.repeat(nth[classes], sizes)
     source = docs[first + (nth - first) // FAN_OUT][covered]
     shift = x["s"][covered] - x["s"][source]  # modulo 2^32
-    named = {"td": x["doc"][covered], "th": x["h"][covered], "shift": shift, "k": kind[covered].astype(np.uint8), "n": x["n"][covered]}
+    named = {"td": x["doc"][covered], "th": x["h"][covered] ^ x["h"][source], "shift": shift, "k": kind[covered].astype(np.uint8), "n": x["n"][covered]}
     return {k: x[k][source] for k in ("doc", "h", "s")} | named
 
 
@@ -403,6 +410,7 @@ def _answers(length: int, blocks: int):
 
 def _stretches(claims: dict, length: int) -> tuple[dict, dict[tuple[int, int], list[int]]]:
     """The claims on a block as stretches (doc, h, s, end, and for whom) of runs that follow each other in both documents, with their runs; those of each document."""
+    claims["th"] ^= claims["h"]
     parties = ("doc", "h", "td", "th", "shift")
     key = np.zeros(len(claims["doc"]), np.uint64)
     for f in parties:

@@ -787,7 +787,7 @@ def test_runs_go_to_a_bucket_in_one_message_and_come_back_as_they_were(spark):
     runs = suffix_dedup.anchored_runs(*flat(batch))
     assert sizes.sum() == len(runs[0]) and (x["n"] & 1).sum() > 0
     whose = np.array(ids)[runs[0]]
-    assert sorted(zip(x["doc"].tolist(), x["s"].tolist(), (x["n"] >> 1).tolist(), x["c"].tolist())) == sorted(zip(whose.tolist(), runs[1].tolist(), runs[2].tolist(), (runs[4] & np.uint64(2**32 - 1)).tolist()))
+    assert sorted(zip(x["doc"].tolist(), x["s"].tolist(), (x["n"] >> 1).tolist(), x["c"].tolist())) == sorted(zip(whose.tolist(), runs[1].tolist(), runs[2].tolist(), (runs[4] & np.uint64(2**24 - 1)).tolist()))
 
 
 def test_texts_are_measured_once_for_buckets_and_blocks(spark):
@@ -804,7 +804,7 @@ def test_texts_are_measured_once_for_buckets_and_blocks(spark):
 def test_stretches_that_differ_are_compared_run_by_run():
     text = bytes(range(97, 122)) * 12
     claims = {"doc": np.array([4, 4, 4, 4, 9]), "h": np.array([1, 1, 1, 1, 2], np.uint32), "s": np.array([40, 10, 25, 200, 0], np.uint32), "n": np.array([5, 14, 14, 3, 2], np.uint32)}
-    claims |= {"td": np.array([6, 6, 6, 6, -6]), "th": np.array([8, 8, 8, 8, 2**32 - 1], np.uint32), "shift": np.array([-10, -10, -10, -10, 7]).astype(np.uint32), "k": np.array([0, 1, 2, 1, 1], np.uint8)}
+    claims |= {"td": np.array([6, 6, 6, 6, -6]), "th": np.array([8, 8, 8, 8, 2**32 - 1], np.uint32) ^ np.array([1, 1, 1, 1, 2], np.uint32), "shift": np.array([-10, -10, -10, -10, 7]).astype(np.uint32), "k": np.array([0, 1, 2, 1, 1], np.uint8)}
     x, known = suffix_dedup._stretches(claims, 50)
     ends = {(4, 1): [(10, 95), (200, 253)], (9, 2): [(0, 52)]}
     assert {name: sorted((int(x["s"][i]), int(x["end"][i])) for i in own) for name, own in known.items()} == ends
